@@ -1,10 +1,727 @@
-"""Registered queries of the engine and the DuckDB SQL each is held against."""
+"""Registered queries of the engine and the DuckDB SQL each is held against.
+
+The plain tables are read as a corpus: each ``source`` is a document, each row of ``documents`` a page of it, its
+chunks come from the chunker, and each row of ``part`` is an element on the page whose id it shares.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import lexical, parse, text, vectors
+from ..operators import catalog, chunking, ingest, rag, search
+from ..sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+STOP = "[" + ",".join(f"'{w}'" for w in text.STOPWORDS) + "]"
+
+#: Common table expressions that rebuild the views in DuckDB.
+DOCS = """
+    docs AS (
+        SELECT row_number() OVER (ORDER BY regexp_extract(slug, '([0-9]+)$', 1)::INT, slug)::INT AS id, slug, upper(slug[1]) || slug[2:] AS title, slug || '.pdf' AS source_file
+        FROM (SELECT DISTINCT source AS slug FROM documents WHERE source IS NOT NULL)
+    ), pgs AS (
+        SELECT doc_id AS id, d.id AS document_id, source AS slug, text AS full_text, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INT AS page_number
+        FROM documents JOIN docs d ON d.slug = source
+    )"""
+ELEMENTS = (
+    DOCS
+    + """, els AS (
+        SELECT p_partkey AS id, (p_partkey % 20 + 1)::INT AS document_id, p_partkey AS page_id,
+            CASE p_type WHEN 'STANDARD' THEN 'figure' WHEN 'MEDIUM' THEN 'table' WHEN 'PROMO' THEN 'equation' WHEN 'LARGE' THEN 'chart' WHEN 'SMALL' THEN 'diagram' ELSE 'unknown' END AS element_type,
+            p_name AS label, p_brand || ' ' || p_name AS description, CASE WHEN p_size % 2 = 0 THEN p_name || ' ' || lower(p_type) ELSE '' END AS search_text,
+            'elements/' || p_partkey || '.png' AS crop_path, CASE WHEN p_type = 'PROMO' THEN 'rendered/' || p_partkey || '.png' ELSE '' END AS rendered_path, embedding
+        FROM part LEFT JOIN embeddings ON vec_id = p_partkey
+    )"""
+)
+VECTOR0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
+PCT = "greatest(0::DOUBLE, least(100::DOUBLE, (1.0::DOUBLE - {0}) / 0.3::DOUBLE * 100))"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Tables:
+    """The tables and views that queries start from."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return _table(self.spark, self._dir, name)
+
+    @property
+    def catalog(self) -> DataFrame:
+        return corpus.view_documents(self.documents)
+
+    @property
+    def view_pages(self) -> DataFrame:
+        return corpus.view_pages(self.documents, self.catalog)
+
+    @property
+    def view_elements(self) -> DataFrame:
+        return corpus.view_elements(self.part, self.embeddings)
+
+    @property
+    def vector_rows(self) -> DataFrame:
+        """Pages with their vectors, null where there is none."""
+        return self.view_pages.join(self.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+
+    @property
+    def chunks(self) -> DataFrame:
+        """Chunks of the pages; a page's first chunk has the page's vector."""
+        out = chunking.chunk_pages(self.view_pages.select("id", "document_id", "page_number", "full_text"))
+        out = out.select((F.col("id") * 100_000 + F.col("chunk_index")).alias("id"), "document_id", F.col("id").alias("page_id"), "content", "chunk_index", "start_char", "end_char")
+        first = self.embeddings.select((F.col("vec_id") * 100_000).alias("id"), "embedding")
+        return out.join(first, "id", "left")
+
+    def vector(self, vec_id: int = 0) -> list[float]:
+        return self.embeddings.where(F.col("vec_id") == vec_id).first()["embedding"]
+
+    @property
+    def corpus(self) -> search.Corpus:
+        return search.Corpus(self.catalog, self.view_pages.select("id", "document_id", "page_number"), self.chunks, self.view_elements)
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function of Tables under a name."""
+
+    def register(function: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: function(Tables(spark, sf_dir))
+        if oracle is not None:
+            ORACLE_SQL[name] = oracle
+        return function
+
+    return register
+
+
+def six(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+# Vectors
+
+
+@query("knn_l2", f"WITH {DOCS} SELECT p.id, slug, page_number, round(list_distance(embedding::DOUBLE[], {VECTOR0}), 6) AS score FROM pgs p JOIN embeddings ON vec_id = p.id ORDER BY list_distance(embedding::DOUBLE[], {VECTOR0}), p.id LIMIT 10")
+def _(t: Tables) -> DataFrame:
+    return search.nearest(t.vector_rows, t.vector(), 10).select("id", "slug", "page_number", six(F.col("score")).alias("score"))
+
+
+@query("knn_l2_filtered_document", f"WITH {DOCS} SELECT p.id, page_number, round(list_distance(embedding::DOUBLE[], {VECTOR0}), 6) AS score FROM pgs p JOIN embeddings ON vec_id = p.id WHERE slug = 'src3' ORDER BY list_distance(embedding::DOUBLE[], {VECTOR0}), p.id LIMIT 5")
+def _(t: Tables) -> DataFrame:
+    return search.nearest(t.vector_rows.where("slug = 'src3'"), t.vector(), 5).select("id", "page_number", six(F.col("score")).alias("score"))
+
+
+@query("knn_l2_filtered_type", f"WITH {ELEMENTS} SELECT id, label, round(list_distance(embedding::DOUBLE[], {VECTOR0}), 6) AS score FROM els WHERE element_type = 'table' AND embedding IS NOT NULL ORDER BY list_distance(embedding::DOUBLE[], {VECTOR0}), id LIMIT 5")
+def _(t: Tables) -> DataFrame:
+    return search.nearest(t.view_elements.where("element_type = 'table'"), t.vector(), 5).select("id", "label", six(F.col("score")).alias("score"))
+
+
+@query("knn_l2_threshold", f"SELECT vec_id AS id, round(list_distance(embedding::DOUBLE[], {VECTOR0}), 6) AS score, round({PCT.format(f'list_distance(embedding::DOUBLE[], {VECTOR0})')}, 6) AS score_pct FROM embeddings WHERE list_distance(embedding::DOUBLE[], {VECTOR0}) <= 1.2")
+def _(t: Tables) -> DataFrame:
+    d = vectors.l2_distance(F.col("embedding"), vectors.literal(t.vector()))
+    return t.embeddings.select(F.col("vec_id").alias("id"), six(d).alias("score"), six(vectors.score_percent(d)).alias("score_pct")).where(F.col("score") <= 1.2)
+
+
+@query("knn_cosine", f"SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], {VECTOR0}), 6) AS similarity FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {VECTOR0}) DESC, vec_id LIMIT 10")
+def _(t: Tables) -> DataFrame:
+    return search.most_similar(t.embeddings.withColumnRenamed("vec_id", "id"), t.vector(), 10).select("id", six(F.col("similarity")).alias("similarity"))
+
+
+@query("knn_join_batch", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), r AS (SELECT query_id, vec_id AS id, list_distance(embedding::DOUBLE[], e) AS d FROM q, embeddings), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM r) SELECT query_id, id, round(d, 6) AS distance, rank::INT AS rank FROM k WHERE rank <= 5")
+def _(t: Tables) -> DataFrame:
+    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return search.knn_join(t.embeddings.withColumnRenamed("vec_id", "id"), queries, 5).select("query_id", "id", six(F.col("distance")).alias("distance"), "rank")
+
+
+@query("l2_normalize", "WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS e FROM embeddings UNION ALL SELECT -1, [0.0::DOUBLE, 0.0::DOUBLE]), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v) SELECT vec_id, list_transform(e, lambda x: round(CASE WHEN n = 0 THEN x ELSE x / n END, 6)) AS unit FROM n")
+def _(t: Tables) -> DataFrame:
+    scaled = t.embeddings.select("vec_id", F.transform(vectors.as_double(F.col("embedding")), lambda x: x * 3).alias("e"))
+    zero = t.spark.range(1).select(F.lit(-1).cast("long").alias("vec_id"), vectors.literal([0, 0]).alias("e"))
+    return scaled.unionByName(zero).select("vec_id", F.transform(vectors.l2_normalize(F.col("e")), six).alias("unit"))
+
+
+@query("score_pct", f"SELECT vec_id, round({PCT.format('d')}, 6) AS pct FROM (SELECT vec_id, 0.5 + vec_id % 80 / 100.0::DOUBLE AS d FROM embeddings)")
+def _(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", six(vectors.score_percent(F.lit(0.5) + F.col("vec_id") % 80 / 100.0)).alias("pct"))
+
+
+# Catalog
+
+PAGED = "WITH " + DOCS + """, c AS (SELECT document_id, count(*) AS n FROM pgs GROUP BY 1)
+    SELECT d.id, slug, title, coalesce(n, 0) AS page_count FROM docs d LEFT JOIN c ON c.document_id = d.id ORDER BY {0} OFFSET {1} LIMIT {2}"""
+COLUMNS = ("id", "slug", "title", "page_count")
+
+
+@query("documents_page_title", PAGED.format("title NULLS LAST, slug", 5, 5))
+def _(t: Tables) -> DataFrame:
+    return catalog.list_documents(t.catalog, t.view_pages, 2, 5, "title").select(*COLUMNS)
+
+
+@query("documents_page_date", PAGED.format("make_date(2024, 1 + d.id % 12, 1 + d.id % 28) DESC NULLS LAST, slug", 0, 7))
+def _(t: Tables) -> DataFrame:
+    return catalog.list_documents(t.catalog, t.view_pages, 0, 7, "date").select(*COLUMNS)
+
+
+@query("documents_page_count", PAGED.format("coalesce(n, 0) DESC, slug", 6, 6))
+def _(t: Tables) -> DataFrame:
+    return catalog.list_documents(t.catalog, t.view_pages, 2, 6, "page_count").select(*COLUMNS)
+
+
+@query("documents_total", "SELECT count(DISTINCT source) AS total, ceil(count(DISTINCT source) / 6.0)::BIGINT AS total_pages FROM documents")
+def _(t: Tables) -> DataFrame:
+    return catalog.page_total(t.catalog, 6)
+
+
+@query("documents_left_join_counts", "SELECT c_custkey AS id, count(o_orderkey) AS page_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    return catalog.page_counts(t.customer.select(F.col("c_custkey").alias("id")), t.orders.select(F.col("o_custkey").alias("document_id")))
+
+
+@query("document_type_counts", f"WITH {ELEMENTS} SELECT document_id, " + ", ".join(f"count(*) FILTER (WHERE element_type = '{k}') AS {k}s" for k in catalog.ELEMENT_TYPES) + " FROM els GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    return catalog.type_counts(t.view_elements)
+
+
+@query("document_details", f"WITH {ELEMENTS} SELECT d.id, slug, title, (SELECT count(*) FROM pgs WHERE document_id = d.id) AS page_count, " + ", ".join(f"(SELECT count(*) FROM els WHERE document_id = d.id AND element_type = '{k}') AS {k}s" for k in catalog.ELEMENT_TYPES) + " FROM docs d WHERE slug = 'src4'")
+def _(t: Tables) -> DataFrame:
+    return catalog.document_details(t.catalog, t.view_pages, t.view_elements, "src4").drop("source_file", "extraction_date")
+
+
+@query("document_verify_counts", f"WITH {ELEMENTS} SELECT d.slug, (SELECT count(DISTINCT p.id) FROM pgs p WHERE p.document_id = d.id) AS page_count, (SELECT count(DISTINCT e.id) FROM els e WHERE e.document_id = d.id) AS element_count FROM docs d")
+def _(t: Tables) -> DataFrame:
+    return catalog.verified_counts(t.catalog, t.view_pages, t.view_elements).select("slug", "page_count", "element_count")
+
+
+FIND = "WITH " + DOCS + " SELECT d.id, slug, title, (SELECT count(*) FROM pgs WHERE document_id = d.id) AS page_count FROM docs d WHERE title ILIKE '%{0}%' OR slug ILIKE '%{0}%' OR source_file ILIKE '%{0}%' ORDER BY title, slug LIMIT 10"
+
+
+@query("documents_find_ilike", FIND.format("RC1"))
+def _(t: Tables) -> DataFrame:
+    return catalog.find_documents(t.catalog, t.view_pages, "RC1").select(*COLUMNS)
+
+
+@query("documents_find_wildcard", FIND.format("c_5"))
+def _(t: Tables) -> DataFrame:
+    return catalog.find_documents(t.catalog, t.view_pages, "c_5").select(*COLUMNS)
+
+
+@query("document_by_slug", f"WITH {DOCS} SELECT id, slug, title, source_file FROM docs WHERE slug = 'src7'")
+def _(t: Tables) -> DataFrame:
+    return t.catalog.where("slug = 'src7'").limit(1).drop("extraction_date")
+
+
+@query("page_lookup", f"WITH {DOCS} SELECT id, document_id, page_number, full_text FROM pgs WHERE document_id = 3 AND page_number = 4")
+def _(t: Tables) -> DataFrame:
+    return catalog.page_lookup(t.view_pages, 3, 4).select("id", "document_id", "page_number", "full_text")
+
+
+@query("page_elements", f"WITH {ELEMENTS} SELECT id, element_type, label, description FROM els WHERE page_id = 17")
+def _(t: Tables) -> DataFrame:
+    return catalog.page_elements(t.view_elements, 17).select("id", "element_type", "label", "description")
+
+
+LISTED = "WITH " + ELEMENTS + " SELECT e.id, element_type, label, page_number, left(description, 200) AS description FROM els e JOIN pgs p ON p.id = page_id WHERE {0} ORDER BY page_number, label NULLS LAST, e.id {1}"
+LIST = ("id", "element_type", "label", "page_number")
+
+
+@query("elements_list_paged", LISTED.format("e.document_id = 5 AND element_type = 'figure'", "OFFSET 3 LIMIT 3"))
+def _(t: Tables) -> DataFrame:
+    rows = catalog.list_elements(t.view_elements, t.view_pages, 5, "figure", page=2, page_size=3)
+    return rows.select(*LIST, F.left("description", F.lit(200)).alias("description"))
+
+
+@query("elements_total", f"WITH {ELEMENTS} SELECT count(*) AS total, ceil(count(*) / 20.0)::BIGINT AS total_pages FROM els WHERE element_type = 'chart'")
+def _(t: Tables) -> DataFrame:
+    return catalog.page_total(t.view_elements.where("element_type = 'chart'"), 20)
+
+
+@query("element_by_label", LISTED.format("e.document_id = 2 AND label = (SELECT label FROM els WHERE id = 21)", "LIMIT 1"))
+def _(t: Tables) -> DataFrame:
+    label = t.part.where("p_partkey = 21").first()["p_name"]
+    return catalog.element_by_label(t.view_elements, t.view_pages, 2, label).select(*LIST, F.left("description", F.lit(200)).alias("description"))
+
+
+@query("element_by_id", f"WITH {ELEMENTS} SELECT e.id, label, d.slug AS document_slug, d.title AS document_title, page_number FROM els e JOIN docs d ON d.id = e.document_id JOIN pgs p ON p.id = page_id WHERE e.id = 33")
+def _(t: Tables) -> DataFrame:
+    return search.element_by_id(t.corpus, 33).select("id", "label", "document_slug", "document_title", "page_number")
+
+
+@query("element_best_image", f"WITH {ELEMENTS} SELECT id, CASE WHEN element_type = 'equation' THEN coalesce(nullif(rendered_path, ''), crop_path) ELSE crop_path END AS image, coalesce(nullif(rendered_path, ''), crop_path) AS any_image FROM els")
+def _(t: Tables) -> DataFrame:
+    e = t.view_elements
+    return e.select("id", catalog.best_image(e).alias("image"), catalog.best_image(e, True).alias("any_image"))
+
+
+# Text functions, on texts with added edges so that every branch is taken
+
+EDGED = r"chr(9) || '  ' || replace(text, ' a', chr(13) || chr(10) || chr(9) || '  a') || chr(10) || ' ' || chr(10) || chr(10) || chr(10) || chr(10) || ' end  ' || chr(13)"
+
+
+def edged() -> Column:
+    odd = F.replace(F.col("text"), F.lit(" a"), F.lit("\r\n\t  a"))
+    return F.concat(F.lit("\t  "), odd, F.lit("\n \n\n\n\n end  \r"))
+
+
+LINES = r"array_to_string(list_transform(string_split({0}, chr(10)), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10))"
+CLEAN = r"regexp_replace(" + LINES.format(r"regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')") + r", '^\s+|\s+$', '', 'g')"
+
+
+@query("clean_text", f"SELECT doc_id, md5({CLEAN.format(EDGED)}) AS cleaned FROM documents")
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(text.clean_text(edged())).alias("cleaned"))
+
+
+@query("normalize_ws", "SELECT doc_id, md5(regexp_replace(" + LINES.format(rf"regexp_replace(regexp_replace({EDGED}, ' +', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')") + r", '^\s+|\s+$', '', 'g')) AS cleaned FROM documents")
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(text.normalize_whitespace(edged())).alias("cleaned"))
+
+
+NUMBERED = r"array_to_string(list_transform(string_split(replace(text, ' ', chr(10)), chr(10)), lambda w, i: CASE WHEN doc_id % 2 = 0 OR i % 2 = 0 THEN lpad((i % 1000)::VARCHAR, 3, '0') || ' ' ELSE '' END || w), chr(10))"
+
+
+@query("strip_line_numbers", rf"WITH n AS (SELECT doc_id, {NUMBERED} AS s FROM documents) SELECT doc_id, md5(CASE WHEN len(list_filter(list_slice(string_split(s, chr(10)), 1, 20), lambda l: regexp_matches(l, '^\s*\d{{3}}\s+'))) > 10 THEN array_to_string(list_transform(string_split(s, chr(10)), lambda l: regexp_replace(l, '^\s*\d{{3}}\s+', '')), chr(10)) ELSE s END) AS stripped FROM n")
+def _(t: Tables) -> DataFrame:
+    lines = F.split(F.replace(F.col("text"), F.lit(" "), F.lit("\n")), "\n", -1)
+    number = lambda i: F.concat(F.lpad(((i + 1) % 1000).cast("string"), 3, "0"), F.lit(" "))
+    made = F.array_join(F.transform(lines, lambda w, i: F.concat(F.when((F.col("doc_id") % 2 == 0) | ((i + 1) % 2 == 0), number(i)).otherwise(""), w)), "\n")
+    return t.documents.select("doc_id", F.md5(text.strip_line_numbers(made)).alias("stripped"))
+
+
+def _truncated(most: int) -> str:
+    head = f"left(text, {most - 3})"
+    space = f"(length({head}) - instr(reverse({head}), ' '))"
+    return f"CASE WHEN length(text) <= {most} THEN text ELSE CASE WHEN instr({head}, ' ') > 0 AND {space} > {most // 2} THEN left({head}, {space}) ELSE {head} END || '...' END"
+
+
+@query("truncate_text", f"SELECT doc_id, {_truncated(500)} AS t500, {_truncated(30)} AS t30 FROM documents")
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.truncate(F.col("text"), 500).alias("t500"), text.truncate(F.col("text"), 30).alias("t30"))
+
+
+@query("preview_text", "SELECT doc_id, CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END AS preview FROM documents")
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.preview(F.col("text"), 150).alias("preview"))
+
+
+@query("strip_think", r"SELECT doc_id, md5(regexp_replace(regexp_replace('<think>' || left(text, 50) || '</think>' || chr(10) || right(text, 80) || '<think>x</think> ', '(?s)<think>.*?</think>\s*', '', 'g'), '^\s+|\s+$', '', 'g')) AS answer FROM documents")
+def _(t: Tables) -> DataFrame:
+    made = F.concat(F.lit("<think>"), F.left("text", F.lit(50)), F.lit("</think>\n"), F.right("text", F.lit(80)), F.lit("<think>x</think> "))
+    return t.documents.select("doc_id", F.md5(text.strip_think_tags(made)).alias("answer"))
+
+
+LATEX = "left(text, 40) || CASE doc_id % 4 WHEN 0 THEN ' LaTeX: ' WHEN 1 THEN ' latex:' WHEN 2 THEN ' LaTeX: $' ELSE ' ' END || right(text, 60) || CASE doc_id % 4 WHEN 2 THEN '$' ELSE '' END"
+
+
+def _latex() -> Column:
+    kind = F.col("doc_id") % 4
+    mark = F.when(kind == 0, " LaTeX: ").when(kind == 1, " latex:").when(kind == 2, " LaTeX: $").otherwise(" ")
+    return F.concat(F.left("text", F.lit(40)), mark, F.right("text", F.lit(60)), F.when(kind == 2, "$").otherwise(""))
+
+
+@query("latex_extract", rf"WITH l AS (SELECT doc_id, {LATEX} AS s FROM documents) SELECT doc_id, CASE WHEN regexp_matches(s, '(?is)LaTeX:\s*.+') THEN regexp_split_to_array(regexp_replace(regexp_extract(s, '(?is)LaTeX:\s*(.+)', 1), '^\s+|\s+$', '', 'g'), '\.\s+[A-Z]')[1] END AS latex FROM l")
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.latex_of_description(_latex()).alias("latex"))
+
+
+@query("latex_parse", rf"WITH l AS (SELECT doc_id, {LATEX} AS s FROM documents), x AS (SELECT doc_id, CASE WHEN regexp_matches(s, '(?s)LaTeX:\s*.+') THEN regexp_replace(regexp_extract(s, '(?s)LaTeX:\s*(.+)', 1), '^\s+|\s+$', '', 'g') END AS s FROM l) SELECT doc_id, regexp_replace(regexp_replace(s, '(?s)^\$(.+)\$$', '\1'), '^\s+|\s+$', '', 'g') AS latex FROM x")
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.parsed_latex(_latex()).alias("latex"))
+
+
+ANSWER = "CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'summary: ' || left(text, 60) || chr(10) END || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'KEYWORDS: ' || replace(right(text, 80), ' ', ', ') || ', ,' END"
+
+
+def _answer() -> Column:
+    first = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("summary: "), F.left("text", F.lit(60)), F.lit("\n")))
+    return F.concat(first, F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("KEYWORDS: "), F.replace(F.right("text", F.lit(80)), F.lit(" "), F.lit(", ")), F.lit(", ,"))))
+
+
+@query("summary_keywords", rf"WITH a AS (SELECT doc_id, {ANSWER} AS s FROM documents) SELECT doc_id, CASE WHEN regexp_matches(s, '(?is)SUMMARY:\s*.+') THEN regexp_replace(regexp_extract(split_part(s, 'KEYWORDS:', 1), '(?is)SUMMARY:\s*(.+)', 1), '^\s+|\s+$', '', 'g') END AS summary, list_slice(list_filter(list_transform(string_split(regexp_extract(s, '(?is)KEYWORDS:\s*(.+)', 1), ','), lambda w: lower(regexp_replace(w, '^\s+|\s+$', '', 'g'))), lambda w: w <> ''), 1, 8) AS keywords FROM a")
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.summary_of(_answer()).alias("summary"), text.keywords_of(_answer(), 8).alias("keywords"))
+
+
+@query("license_norm", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN regexp_replace(left(text, 20), '^\\s+|\\s+$', '', 'g') END AS license FROM documents")
+def _(t: Tables) -> DataFrame:
+    kind = F.col("doc_id") % 3
+    made = F.when(kind == 0, "<think>a</think> none ").when(kind == 1, "  ").otherwise(F.left("text", F.lit(20)))
+    return t.documents.select("doc_id", text.license_of(made).alias("license"))
+
+
+@query("license_input", f"WITH {DOCS}, e AS (SELECT document_id, min_by(full_text, page_number) AS a, max_by(full_text, page_number) AS b FROM pgs GROUP BY 1) SELECT document_id, md5('FIRST PAGE:' || chr(10) || left(a, 2000) || chr(10) || chr(10) || 'LAST PAGE:' || chr(10) || left(b, 2000)) AS input FROM e")
+def _(t: Tables) -> DataFrame:
+    ends = ingest.first_last_text(t.view_pages, "full_text")
+    return ends.select("document_id", F.md5(text.license_input(F.col("first_text"), F.col("last_text"))).alias("input"))
+
+
+@query("slug_title", "WITH s AS (SELECT DISTINCT p_partkey, replace(p_name, ' ', '_') || '-' || lower(p_type) || '_4th' || CASE p_partkey % 3 WHEN 0 THEN '_v2' WHEN 1 THEN '-2401v3' ELSE '' END AS slug FROM part) SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(translate(regexp_replace(slug, '[-_]?(v\\d+|\\d{4}v\\d+)$', ''), '_-', '  ')), '[a-z]+|[^a-z]+'), lambda w: upper(w[1]) || w[2:]), '') AS title FROM s")
+def _(t: Tables) -> DataFrame:
+    kind = F.col("p_partkey") % 3
+    slug = F.concat(F.translate("p_name", " ", "_"), F.lit("-"), F.lower("p_type"), F.lit("_4th"), F.when(kind == 0, "_v2").when(kind == 1, "-2401v3").otherwise(""))
+    return t.part.select("p_partkey", text.title_of_slug(slug).alias("title"))
+
+
+@query("token_estimate", "SELECT doc_id, (length(text) // 4)::INT AS tokens FROM documents")
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("image_suffix_mime", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/webp' END AS mime FROM documents")
+def _(t: Tables) -> DataFrame:
+    kind = F.col("doc_id") % 6
+    name = F.when(kind == 0, "a/b.PNG").when(kind == 1, "x.jpeg").when(kind == 2, "d/e.webp").when(kind == 3, "a/../b.png").when(kind == 4, "/etc/x.png").otherwise("notes.txt")
+    return t.documents.select("doc_id", text.mime_of(name).alias("mime"))
+
+
+@query("element_colors", "SELECT p_partkey, CASE p_type WHEN 'STANDARD' THEN [255, 107, 107] WHEN 'MEDIUM' THEN [78, 205, 196] WHEN 'PROMO' THEN [69, 183, 209] WHEN 'LARGE' THEN [150, 206, 180] WHEN 'SMALL' THEN [255, 234, 167] ELSE [221, 160, 221] END AS rgb FROM part")
+def _(t: Tables) -> DataFrame:
+    return t.view_elements.select(F.col("id").alias("p_partkey"), text.rgb_of_hex(text.color_of(F.col("element_type"))).alias("rgb"))
+
+
+@query("element_filename", "SELECT p_partkey, 'p' || lpad(p_size::VARCHAR, 2, '0') || '_' || lower(p_type) || '_' || (p_partkey % 7) || '_' || left(regexp_replace(regexp_replace(p_name || ' (' || p_brand || ')!', '[^\\w\\s-]', '', 'g'), '\\s+', '_', 'g'), 30) || '.png' AS name, regexp_replace(p_name || ' (' || p_brand || ')!', '[^\\w\\-]', '_', 'g') AS cached FROM part")
+def _(t: Tables) -> DataFrame:
+    label = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")!"))
+    return t.part.select("p_partkey", text.element_file_name(F.col("p_size"), F.lower("p_type"), F.col("p_partkey") % 7, label).alias("name"), text.cache_label(label).alias("cached"))
+
+
+# Vision answers and boxes
+
+
+@query("vision_json_elements", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'figure' WHEN 1 THEN 'table' ELSE 'equation' END AS type, [(p_size / 1000.0::DOUBLE * 1200)::INT - CASE WHEN (p_size / 1000.0::DOUBLE * 1200)::INT > p_size / 1000.0::DOUBLE * 1200 THEN 1 ELSE 0 END, 106, 600, floor(p_size * 10 / 1000.0::DOUBLE * 1600)::INT + 16] AS bbox_pixels, p_name AS label, 'see LaTeX: x_' || p_size || ' \\alpha' AS description, CASE WHEN p_partkey % 3 = 2 THEN 'x_' || p_size || ' \\alpha' END AS latex FROM part WHERE p_partkey % 4 <> 3")
+def _(t: Tables) -> DataFrame:
+    kind = F.col("p_partkey") % 3
+    key = F.when(kind == 0, "figures").when(kind == 1, "table").otherwise("equations")
+    box = F.when(F.col("p_partkey") % 2 == 0, "bbox").otherwise("bbox_2d")
+    good = F.concat(F.lit('{"'), key, F.lit('": [{"'), box, F.lit('": ['), "p_size", F.lit(", 56.25, 500, "), F.col("p_size") * 10, F.lit('], "label": "'), "p_name", F.lit('", "description": "see LaTeX: x_'), "p_size", F.lit(' \\alpha"}, {"bbox": [1, 2]}], "note": "none"}'))
+    fence = F.when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("Here:\n```json\n"), good, F.lit("\n```\nDone."))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("```\n"), good, F.lit("\n```"))).when(F.col("p_partkey") % 4 == 3, F.left(good, F.lit(40))).otherwise(good)
+    pages = t.part.select("p_partkey", fence.alias("answer"), F.lit(1200).alias("width"), F.lit(1600).alias("height"))
+    return parse.elements_of_answers(pages).select("p_partkey", "type", "bbox_pixels", "label", "description", "latex")
+
+
+@query("bbox_crop_box", "SELECT p_partkey, CASE WHEN p_size * 3 > 40 THEN [greatest(0, 40 - 7), greatest(0, p_size - 7), least(100, p_size * 3 + 7), least(140, p_size + 50 + 7)] END AS crop, CASE WHEN p_size * 30 > 400 THEN [greatest(0, 40 - 7), greatest(0, p_size * 140 // 1000 - 7), least(100, p_size * 30 * 100 // 1000 + 7), least(140, 900 * 140 // 1000 + 7)] END AS scaled FROM part")
+def _(t: Tables) -> DataFrame:
+    w, h = F.lit(100), F.lit(140)
+    pad = parse.crop_padding(w, h)
+    size = F.col("p_size").cast("double")
+    pixel = F.array(F.lit(40.0), size, size * 3, size + 50)
+    scaled = F.array(F.lit(400.0), size, size * 30, F.lit(900.0))
+    return t.part.select("p_partkey", parse.crop_box(pixel, w, h, pad, 100).alias("crop"), parse.crop_box(scaled, w, h, pad, 1000).alias("scaled"))
+
+
+# Chunks
+
+#: A text in which paragraphs, clauses and words all end chunks.
+RAGGED = "CASE doc_id % 3 WHEN 0 THEN replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) WHEN 1 THEN replace(replace(text, '. ', ', '), '.' || chr(10), '; ') ELSE replace(replace(text, '.', ''), ',', '') END"
+
+
+def ragged() -> Column:
+    kind, c = F.col("doc_id") % 3, F.col("text")
+    less = lambda x, *marks: less(F.replace(x, F.lit(marks[0][0]), F.lit(marks[0][1])), *marks[1:]) if marks else x
+    return F.when(kind == 0, less(c, (".\n", ".\n\n"))).when(kind == 1, less(c, (". ", ", "), (".\n", "; "))).otherwise(less(c, (".", ""), (",", "")))
+
+
+def chunk_sql(source: str, where: str = "") -> str:
+    """Recursive SQL that gives ch(doc_id, chunk_index, start_char, end_char, content) of texts ``source`` in documents."""
+    window = "substr(t, greatest(s, s + 800 - 160) + 1, s + 800 - greatest(s, s + 800 - 160))"
+    low = "greatest(s, s + 800 - 160)"
+
+    def last(mark: str, n: int) -> str:
+        return f"CASE WHEN instr({window}, {mark}) = 0 THEN -1 ELSE length({window}) - (instr(reverse({window}), reverse({mark})) - 1) - {n} END"
+
+    sentence = "greatest(" + ", ".join(last(m, 2) for m in ("'. '", "'.' || chr(10)", "'! '", "'!' || chr(10)", "'? '", "'?' || chr(10)")) + ")"
+    para, word = last("chr(10) || chr(10)", 2), last("' '", 1)
+    comma, semi, colon = last("', '", 2), last("'; '", 2), last("': '", 2)
+    end = f"CASE WHEN s + 800 >= length(t) THEN length(t) WHEN {para} >= 0 THEN {low} + {para} + 2 WHEN {sentence} >= 0 THEN {low} + {sentence} + 2 WHEN {comma} >= 0 THEN {low} + {comma} + 2 WHEN {semi} >= 0 THEN {low} + {semi} + 2 WHEN {colon} >= 0 THEN {low} + {colon} + 2 WHEN {word} >= 0 THEN {low} + {word} + 1 ELSE s + 800 END"
+    return rf"""cleaned AS (SELECT doc_id, {CLEAN.format('(' + source + ')')} AS t FROM documents {where}),
+        walk AS (
+            SELECT doc_id, t, 0 AS s, CASE WHEN length(t) <= 800 THEN length(t) ELSE ({end.replace('greatest(s, s + 800 - 160)', '640').replace('s + 800', '800')}) END AS e FROM cleaned WHERE length(t) > 0
+            UNION ALL
+            SELECT doc_id, t, s, {end} AS e FROM (SELECT doc_id, t, e - 200 AS s FROM walk WHERE e < length(t))
+        ),
+        ch AS (
+            SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS chunk_index, s::INT AS start_char, e::INT AS end_char, content
+            FROM (SELECT *, regexp_replace(substr(t, s + 1, e - s), '^\s+|\s+$', '', 'g') AS content FROM walk) WHERE content <> ''
+        )"""
+
+
+@query("chunk_documents", f"WITH RECURSIVE {chunk_sql(RAGGED)} SELECT doc_id, chunk_index, start_char, end_char, md5(content) AS content FROM ch")
+def _(t: Tables) -> DataFrame:
+    return chunking.chunk_pages(t.documents.select("doc_id", ragged().alias("full_text"))).withColumn("content", F.md5("content"))
+
+
+@query("chunk_stats", f"WITH RECURSIVE {chunk_sql('text')} SELECT source, count(*) AS chunks, sum(length(content))::BIGINT AS chars, max(length(content))::INT AS longest FROM ch JOIN documents USING (doc_id) GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    chunks = chunking.chunk_pages(t.documents.select("source", F.col("text").alias("full_text")))
+    return chunks.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content")).cast("long").alias("chars"), F.max(F.length("content")).alias("longest"))
+
+
+@query("chunk_global_index", f"WITH RECURSIVE {chunk_sql('text')} SELECT source, doc_id, chunk_index, (row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_index) - 1)::INT AS global_index FROM ch JOIN documents USING (doc_id)")
+def _(t: Tables) -> DataFrame:
+    chunks = chunking.chunk_pages(t.documents.select("source", "doc_id", F.col("text").alias("full_text"))).drop("content", "start_char", "end_char")
+    return chunking.with_global_index(chunks, "source", "doc_id")
+
+
+@query("chunk_context_range", f"WITH RECURSIVE {chunk_sql('text')} SELECT doc_id * 100000 + chunk_index AS id, chunk_index, md5(content) AS content FROM ch WHERE doc_id = 21 AND chunk_index BETWEEN 0 AND 3")
+def _(t: Tables) -> DataFrame:
+    return search.chunk_context(t.chunks, 2_100_001, 2).select("id", "chunk_index", F.md5("content").alias("content"))
+
+
+# Questions and conversations
+
+
+@query("keywords_extract", rf"SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+'), lambda w: w <> '' AND NOT list_contains({STOP}, lower(w))), ' ') AS keywords FROM conversations")
+def _(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", text.keywords_of_query(F.col("text")).alias("keywords"))
+
+
+ASKED = "CASE (conv_id + turn) % 7 WHEN 0 THEN 'Show me a figure of ' WHEN 1 THEN 'And what about ' WHEN 2 THEN 'Are there charts related to this? ' WHEN 3 THEN 'no, ' WHEN 4 THEN 'tables ' WHEN 5 THEN 'anything about it ' ELSE '' END || left(text, 60)"
+
+
+def _asked() -> Column:
+    kind, out = (F.col("conv_id") + F.col("turn")) % 7, F.lit("")
+    for i, s in enumerate(("Show me a figure of ", "And what about ", "Are there charts related to this? ", "no, ", "tables ", "anything about it ")):
+        out = F.when(kind == i, s).otherwise(out)
+    return F.concat(out, F.left("text", F.lit(60)))
+
+
+def _any_sql(patterns, start: str = "") -> str:
+    return "'" + start + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")'"
+
+
+@query("intent_elements", f"SELECT conv_id, turn, regexp_matches(lower({ASKED}), {_any_sql(text.ELEMENT_PATTERNS)}) AS elements FROM conversations")
+def _(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", text.asks_for_elements(_asked()).alias("elements"))
+
+
+@query(
+    "followup_expand",
+    rf"""WITH a AS (SELECT conv_id, turn, {ASKED} AS text FROM conversations WHERE role = 'user'),
+    q AS (SELECT *, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS q, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM a),
+    c AS (SELECT *, regexp_replace(regexp_replace(q, '{text.FOLLOWUP_PREFIX}', ''), '^\s+|\s+$', '', 'g') AS short,
+        regexp_replace(regexp_replace(regexp_replace(q, '{text.REFERENCE}', '', 'g'), '[?\s]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS plain FROM q)
+    SELECT conv_id, turn, CASE WHEN coalesce(last, '') = '' THEN text
+        WHEN regexp_matches(q, {_any_sql(text.FOLLOWUP_STARTS, '^')}) THEN CASE WHEN short <> '' THEN short || ' ' || last ELSE text END
+        WHEN regexp_matches(q, {_any_sql(text.REFERENCES)}) THEN plain || ' ' || last ELSE text END AS query FROM c""",
+)
+def _(t: Tables) -> DataFrame:
+    return rag.followups(t.conversations.withColumn("text", _asked())).select("conv_id", "turn", "query")
+
+
+@query("message_window", "SELECT conv_id, turn, count(*) OVER w AS messages, md5(string_agg(role || ':' || text, chr(10)) OVER w) AS content FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)")
+def _(t: Tables) -> DataFrame:
+    seen = rag.message_window(t.conversations, 4)
+    joined = F.array_join(F.transform("window", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "\n")
+    return seen.select("conv_id", "turn", F.size("window").cast("long").alias("messages"), F.md5(joined).alias("content"))
+
+
+@query("search_terms", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text ELSE regexp_replace(replace(left(text, 30), chr(10), ''), '^\\s+|\\s+$', '', 'g') END AS terms FROM conversations")
+def _(t: Tables) -> DataFrame:
+    kind = F.col("turn") % 3
+    answer = F.when(kind == 0, "Error querying").when(kind == 1, ' "" ').otherwise(F.concat(F.lit('"'), F.left("text", F.lit(30)), F.lit('"')))
+    return t.conversations.select("conv_id", "turn", text.search_terms(answer, F.col("text")).alias("terms"))
+
+
+# Words, fusion, hybrid search
+
+WORDS = r"list_filter(regexp_split_to_array(lower(full_text), '[^\p{L}\p{N}]+'), lambda w: true)"
+
+
+@query("lexical_exact_topk", f"WITH {DOCS}, w AS (SELECT id, {WORDS} AS w FROM pgs), r AS (SELECT id, (len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'thing')))::DOUBLE / len(w) AS r FROM w WHERE list_contains(w, 'the') AND list_contains(w, 'thing')) SELECT id, round(r, 6) AS rank FROM r ORDER BY r DESC, id LIMIT 10")
+def _(t: Tables) -> DataFrame:
+    rank = lexical.exact_rank(F.col("full_text"), ["the", "thing"])
+    return t.view_pages.select("id", rank.alias("r")).where("r is not null").orderBy(F.desc("r"), "id").limit(10).select("id", six(F.col("r")).alias("rank"))
+
+
+@query("tsvector_build")
+def _(t: Tables) -> DataFrame:
+    return t.view_elements.select("id", lexical.vector_column(F.concat_ws(" ", "label", "description", "search_text")).alias("tsv"))
+
+
+@query("lexical_rank")
+def _(t: Tables) -> DataFrame:
+    rows = t.view_elements.withColumn("tsv", lexical.vector_column(F.concat_ws(" ", "label", "description", "search_text")))
+    return search.lexical_matches(rows, "red widgets", 20).select("id", "label", six(F.col("rank")).alias("rank"), six(F.col("score")).alias("score"))
+
+
+@query("summary_tsvector")
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", lexical.vector_column(F.left("text", F.lit(200))).alias("summary_tsv"))
+
+
+BRANCHES = """
+    b1 AS (SELECT vec_id AS id, 'chunk' AS source_type, list_distance(embedding::DOUBLE[], {v0}) AS score FROM embeddings ORDER BY score, id LIMIT 20),
+    b2 AS (SELECT vec_id AS id, 'chunk' AS source_type, list_distance(embedding::DOUBLE[], {v1}) AS score FROM embeddings ORDER BY score, id LIMIT 20),
+    s AS (SELECT *, row_number() OVER (ORDER BY score, id) AS seen FROM b1 UNION ALL SELECT *, 1000000 + row_number() OVER (ORDER BY score, id) FROM b2),
+    f AS (SELECT id, min(score) AS score, min(seen) AS seen FROM s GROUP BY 1)""".replace("{v0}", VECTOR0).replace("{v1}", VECTOR0.replace("= 0", "= 1"))
+
+
+@query("fuse_min_score", f"WITH {BRANCHES} SELECT id, round(score, 6) AS score FROM f WHERE score <= 1.3 ORDER BY score, seen LIMIT 15")
+def _(t: Tables) -> DataFrame:
+    rows = t.embeddings.withColumnRenamed("vec_id", "id").withColumn("source_type", F.lit("chunk"))
+    missing = {c: F.lit(None).cast("string") for c in search.RESULT if c not in ("id", "score", "source_type")}
+    branches = [search.nearest(rows, t.vector(i), 20).withColumns(missing) for i in (0, 1)]
+    return search.fuse(branches, 15, 1.3).select("id", six(F.col("score")).alias("score"))
+
+
+def _embed(t: Tables):
+    """Vectors of queries: the stored vector that a query's length names."""
+    return lambda q: t.vector(len(q) % 100)
+
+
+HYBRID = "what the thing is"
+SHORT = search.keywords(HYBRID)
+
+
+def _hybrid_sql(chunks: bool, elements: bool, limit: int) -> str:
+    """The branches of a hybrid search over chunks and elements, by exact words, fused."""
+    rows = []
+    if chunks:
+        rows.append("chunk_rows")
+    if elements:
+        rows.append("element_rows")
+    parts, n = [], 0
+    for wording in (HYBRID, SHORT):
+        v = f"(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {len(wording) % 100})"
+        for r in rows:
+            parts.append(f"SELECT *, {n} * 1000000 + row_number() OVER (ORDER BY score, id) AS seen FROM (SELECT id, source_type, list_distance(embedding::DOUBLE[], {v}) AS score FROM {r} WHERE embedding IS NOT NULL ORDER BY score, id LIMIT {limit})")
+            n += 1
+    for wording in (HYBRID, SHORT):
+        lexemes = lexical.query_lexemes(wording, stemmed=False)
+        count = " + ".join(f"len(list_filter(w, lambda x: x = '{x}'))" for x in lexemes)
+        holds = " AND ".join(f"list_contains(w, '{x}')" for x in lexemes)
+        for r in rows:
+            parts.append(f"SELECT id, source_type, greatest(0, 1 - 2 * rank) AS score, {n} * 1000000 + row_number() OVER (ORDER BY greatest(0, 1 - 2 * rank), id) AS seen FROM (SELECT id, source_type, ({count})::DOUBLE / len(w) AS rank FROM (SELECT id, source_type, regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+') AS w FROM {r}) WHERE {holds} ORDER BY rank DESC, id LIMIT {limit})")
+            n += 1
+    chunk_rows = "chunk_rows AS (SELECT doc_id * 100000 + chunk_index AS id, 'chunk' AS source_type, content, CASE WHEN chunk_index = 0 THEN embedding END AS embedding FROM ch LEFT JOIN embeddings ON vec_id = doc_id)"
+    element_rows = "element_rows AS (SELECT e.id, 'element' AS source_type, coalesce(nullif(search_text, ''), description) AS content, embedding FROM els e JOIN pgs p ON p.id = e.page_id JOIN docs d ON d.id = e.document_id)"
+    return f"WITH RECURSIVE {chunk_sql('text')}, {ELEMENTS.strip()}, {chunk_rows}, {element_rows}, s AS ({' UNION ALL '.join(parts)}), f AS (SELECT source_type, id, min(score) AS score, min(seen) AS seen FROM s GROUP BY 1, 2) SELECT source_type, id, round(score, 6) AS score FROM f WHERE score <= 1.2 ORDER BY f.score, seen LIMIT {limit}"
+
+
+def _hybrid(t: Tables, chunks: bool, elements: bool, limit: int) -> DataFrame:
+    out = search.search(t.corpus, HYBRID, _embed(t), limit, include_chunks=chunks, include_elements=elements, max_distance=1.2, exact_words=True)
+    return out.select("source_type", "id", six(F.col("score")).alias("score"))
+
+
+@query("hybrid_search", _hybrid_sql(True, True, 10))
+def _(t: Tables) -> DataFrame:
+    return _hybrid(t, True, True, 10)
+
+
+@query("search_chunks", _hybrid_sql(True, False, 8))
+def _(t: Tables) -> DataFrame:
+    return _hybrid(t, True, False, 8)
+
+
+@query("search_elements", f"WITH {ELEMENTS} SELECT e.id, e.label AS element_label, coalesce(nullif(search_text, ''), description) AS content, round(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {len(HYBRID)})), 6) AS score FROM els e JOIN pgs p ON p.id = page_id JOIN docs d ON d.id = e.document_id WHERE embedding IS NOT NULL AND d.slug = 'src2' ORDER BY list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {len(HYBRID)})), e.id LIMIT 6")
+def _(t: Tables) -> DataFrame:
+    return search.search_elements(t.corpus, HYBRID, _embed(t), 6, "src2").select("id", "element_label", "content", six(F.col("score")).alias("score"))
+
+
+# Contexts and sources
+
+RANKED = ELEMENTS + """, r AS (SELECT row_number() OVER (PARTITION BY e.document_id ORDER BY e.id) AS rank, e.*, d.title AS document_title, p.page_number, 0.7 + e.id % 30 / 100.0::DOUBLE AS score
+    FROM els e JOIN docs d ON d.id = e.document_id JOIN pgs p ON p.id = e.page_id QUALIFY rank <= 6)"""
+
+
+def _ranked(t: Tables) -> DataFrame:
+    rows = t.corpus.element_rows().withColumn("source_type", F.when(F.col("id") % 3 == 0, "chunk").otherwise("element")).withColumn("content", F.col("description"))
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("document_id").orderBy("id"))).where("rank <= 6")
+    return rows.withColumn("score", F.lit(0.7) + F.col("id") % 30 / 100.0)
+
+
+@query("rag_context", f"WITH {RANKED} SELECT document_id, string_agg('[' || rank || '] ' || CASE WHEN id % 3 = 0 THEN 'TEXT' ELSE upper(element_type) || ': ' || label END || ' (from ' || document_title || ', page ' || page_number || ')' || chr(10) || '    ' || left(description, 500), chr(10) || chr(10) ORDER BY rank) AS text FROM r GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    return rag.context(_ranked(t), ["document_id"])
+
+
+@query("sources_list", f"WITH {RANKED} SELECT document_id, string_agg('[' || rank || '] ' || CASE WHEN id % 3 = 0 THEN 'TEXT chunk' ELSE upper(element_type) || ': ' || label END || ' | ' || document_title || ' p.' || page_number || ' | ' || round_even({PCT.format('score')}, 0)::INT || '%', chr(10) ORDER BY rank) AS text FROM r GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    return rag.sources(_ranked(t), ["document_id"])
+
+
+# Ingestion
+
+
+@query("ingest_skip_existing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_name NOT IN (SELECT 'Customer#' || lpad(s_suppkey::VARCHAR, 9, '0') FROM supplier)")
+def _(t: Tables) -> DataFrame:
+    there = t.orders.select(F.col("o_custkey").cast("string").alias("slug"), F.lit(None).cast("string").alias("source_file"))
+    there = there.unionByName(t.supplier.select(F.lit("-").alias("slug"), F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("source_file")))
+    new = t.customer.select(F.col("c_custkey").cast("string").alias("slug"), F.col("c_name").alias("source_file"))
+    return ingest.skip_existing(new, there).select(F.col("slug").cast("long").alias("c_custkey"))
+
+
+@query("ingest_delete_cascade", f"WITH {ELEMENTS} SELECT 'documents' AS name, count(*) AS n FROM docs WHERE slug NOT IN ('src1', 'src5') UNION ALL SELECT 'pages', count(*) FROM pgs WHERE slug NOT IN ('src1', 'src5') UNION ALL SELECT 'elements', count(*) FROM els WHERE document_id NOT IN (SELECT id FROM docs WHERE slug IN ('src1', 'src5'))")
+def _(t: Tables) -> DataFrame:
+    gone = t.spark.createDataFrame([("src1",), ("src5",), ("nothing",)], "slug string")
+    left = ingest.delete_documents({"documents": t.catalog, "pages": t.view_pages, "elements": t.view_elements}, gone)
+    out = None
+    for name, rows in left.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("ingest_duplicate_source", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def _(t: Tables) -> DataFrame:
+    there = t.orders.select(F.col("o_custkey").cast("string").alias("slug"), F.lit("-").alias("source_file"))
+    new = t.customer.select(F.col("c_custkey").cast("string").alias("slug"), F.col("c_name").alias("source_file"))
+    return ingest.existing(new, there).select(F.col("slug").cast("long").alias("c_custkey"))
+
+
+@query("ingest_dry_run_counts", f"WITH RECURSIVE {chunk_sql('text')}, {ELEMENTS.strip()} SELECT d.id AS document_id, (SELECT count(*) FROM pgs WHERE document_id = d.id) AS pages, (SELECT count(*) FROM ch JOIN documents USING (doc_id) WHERE source = d.slug) AS chunks, (SELECT count(*) FROM els WHERE document_id = d.id) AS elements FROM docs d")
+def _(t: Tables) -> DataFrame:
+    return ingest.dry_run(t.view_pages.select("document_id", "full_text"), t.view_elements)
+
+
+@query("ingest_element_rows", "SELECT p_partkey AS id, left(repeat(p_name, 20), 100) AS label, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS search_text, CASE WHEN p_partkey % 3 = 0 THEN [1.0] END AS embedding FROM part")
+def _(t: Tables) -> DataFrame:
+    even = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand"))
+    vector = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>"))
+    made = t.part.select(F.col("p_partkey").alias("id"), F.repeat("p_name", F.lit(20)).alias("label"), even.alias("search_text"), F.lit(None).cast("string").alias("latex"), F.lit(None).cast("string").alias("rendered_path"), vector.alias("embedding"))
+    return ingest.normalized_elements(made).select("id", "label", "search_text", "embedding")
+
+
+@query("assigned_ids", "SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) + 500)::INT AS id FROM part WHERE p_partkey % 3 = 0")
+def _(t: Tables) -> DataFrame:
+    return ingest.with_ids(t.part.where("p_partkey % 3 = 0").select("p_partkey"), "p_partkey", 500)
+
+
+@query("uniqueness_violations", "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
+def _(t: Tables) -> DataFrame:
+    return ingest.violations(t.orders, "o_custkey", "o_orderpriority")
+
+
+@query("doc_summary_input", f"WITH {DOCS}, s AS (SELECT document_id, page_number, left(full_text, 90) AS s FROM pgs WHERE page_number % 3 > 0), n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number) AS i FROM s WHERE s <> ''), j AS (SELECT document_id, string_agg('Page ' || i || ': ' || s, chr(10) ORDER BY i) AS text FROM n GROUP BY 1) SELECT document_id, md5(CASE WHEN length(text) > 2000 THEN left(text, 2000) || chr(10) || '...' ELSE text END) AS text FROM j")
+def _(t: Tables) -> DataFrame:
+    pages = t.view_pages.withColumn("summary", F.when(F.col("page_number") % 3 > 0, F.left("full_text", F.lit(90))))
+    return ingest.summary_input(pages, "summary", most=2000).withColumn("text", F.md5("text"))
+
+
+@query("first_last_page_text", f"WITH {DOCS} SELECT document_id, min_by(full_text, page_number) AS first_text, max_by(full_text, page_number) AS last_text FROM pgs GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    return ingest.first_last_text(t.view_pages, "full_text")
+
+
+@query("extraction_progress", f"WITH {DOCS}, done AS (SELECT document_id, count(*) AS n FROM pgs WHERE document_id % 4 > 0 AND (document_id % 2 = 0 OR page_number > 1) GROUP BY 1), total AS (SELECT document_id, count(*) AS n FROM pgs GROUP BY 1) SELECT document_id, total.n AS total, coalesce(done.n, 0) AS extracted, coalesce(done.n, 0) >= total.n AS complete FROM total LEFT JOIN done USING (document_id)")
+def _(t: Tables) -> DataFrame:
+    pages = t.view_pages.select("document_id", "page_number")
+    return ingest.progress(pages.where("document_id % 4 > 0 and (document_id % 2 = 0 or page_number > 1)"), pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("total")))
+
+
+@query("pages_missing", f"WITH {DOCS} SELECT document_id, page_number FROM pgs WHERE page_number % 5 = 0")
+def _(t: Tables) -> DataFrame:
+    pages = t.view_pages.select("document_id", "page_number")
+    return pages.join(pages.where("page_number % 5 <> 0"), ["document_id", "page_number"], "left_anti")
+
+
+@query("worth_summary", "SELECT doc_id, length(trim(text)) >= 400 AS worth FROM documents")
+def _(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", ingest.worth_summary(F.col("text"), 400).alias("worth"))
