@@ -469,7 +469,7 @@ def _(t: Tables) -> DataFrame:
     return chunking.with_global_index(chunks, "source", "doc_id")
 
 
-@query("chunk_context_range", f"WITH RECURSIVE {chunk_sql('text')} SELECT doc_id * 100000 + chunk_index AS id, chunk_index, md5(content) AS content FROM ch WHERE doc_id = 21 AND chunk_index BETWEEN 0 AND 3")
+@query("chunk_context_range", f"WITH RECURSIVE {chunk_sql('text')} SELECT doc_id * 100000 + chunk_index AS id, chunk_index, md5(content) AS content FROM ch WHERE doc_id = 21 AND chunk_index BETWEEN 0 AND 3 AND EXISTS (SELECT 1 FROM ch WHERE doc_id = 21 AND chunk_index = 1)")
 def _(t: Tables) -> DataFrame:
     return search.chunk_context(t.chunks, 2_100_001, 2).select("id", "chunk_index", F.md5("content").alias("content"))
 
