@@ -121,7 +121,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = docs.schema["doc_id"].dataType.simpleString()
     fp = materialise(docs.mapInArrow(_fingerprint_rows(primes), f"doc_id {kind}, n_bytes long, fp long, text_sha256 string"))
     groups = fp.groupBy("fp", "n_bytes").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    assigned = materialise(fp.join(groups, ["fp", "n_bytes"]))
+    # Both sides come from tables, so AQE can split the partition of a group that holds most rows.
+    assigned = materialise(fp.join(materialise(groups), ["fp", "n_bytes"]))
 
     # Members meet the text that stays: a group is dealt over a salt for each SALT_ROWS of its rows.
     many = assigned.filter("group_size > 1").select("doc_id", "fp", "n_bytes", "keep_id", "group_size").distinct()
