@@ -33,7 +33,7 @@ BUCKET_SEGMENTS, BUCKET_BYTES = 20000, 16 << 20
 BUCKET_DEPTH = 200
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = 22  # bits for a position in a slice of texts
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 # The tree, in memory
@@ -410,9 +410,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = materialise(long_docs.mapInArrow(_segment_rows(least, gram, again), f"doc_id {kind}, th long, begin long, size long, anchor long, key long, c1 long, c2 long"))
     place = F.struct("doc_id", "th", "begin", "size", "anchor")
-    distinct = found.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at"))
-    per_key = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum("copies").alias("total"))
-    distinct = materialise(distinct.join(per_key.filter("total > 1"), "key"))
+    distinct = materialise(found.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")))
+    per_key = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum("copies").alias("total")).filter("total > 1")
+    distinct = materialise(distinct.join(materialise(per_key), "key"))  # AQE can split a frequent key between two tables
 
     # Segments that are the same wherever their anchor occurs are repeats as a whole.
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("at.size").alias("b")))
