@@ -87,10 +87,10 @@ def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     seeds = hosts.select(F.lit("trust").alias("kind"), "host", F.col("allowed").alias("weight")).unionByName(hosts.select(F.lit("distrust").alias("kind"), "host", F.col("blocked").alias("weight"))).filter("weight > 0")
     rank = propagate(both, seeds, rounds=rounds)
-    count = hosts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("hosts"))
+    count = F.lit(float(max(1, hosts.count())))
     of = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)), 12)
-    score = rank.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")).crossJoin(F.broadcast(count))  # a single row
-    score = score.select("host", (F.col("trust") * F.col("hosts")).alias("trust"), (F.col("distrust") * F.col("hosts")).alias("distrust"))
+    score = rank.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
+    score = score.select("host", (F.col("trust") * count).alias("trust"), (F.col("distrust") * count).alias("distrust"))
     out = judged.join(score, "host", "left").na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") > RATIO * F.col("trust")) & (F.col("distrust") > LEAST)
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
