@@ -102,7 +102,7 @@ def test_lookups(library):
 
 def test_vectors(spark):
     row = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0, 9.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
-    got = row.select(vectors.l2_normalize("a") if False else vectors.l2_normalize(F.col("a")).alias("n"), vectors.l2_normalize(F.col("z")).alias("z"), vectors.cosine_similarity(F.col("a"), F.col("z")).alias("c"), vectors.l2_distance(F.col("a"), F.col("z")).alias("d")).first()
+    got = row.select(vectors.l2_normalize(F.col("a")).alias("n"), vectors.l2_normalize(F.col("z")).alias("z"), vectors.cosine_similarity(F.col("a"), F.col("z")).alias("c"), vectors.l2_distance(F.col("a"), F.col("z")).alias("d")).first()
     assert got["n"] == [0.6, 0.8] and got["z"] == [0.0, 0.0] and got["c"] == 0.0 and got["d"] == 5.0
 
 
