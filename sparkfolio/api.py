@@ -56,6 +56,26 @@ class Library:
     def page(self, document_id: int, page_number: int) -> DataFrame:
         return catalog.page_lookup(self.corpus.pages, document_id, page_number)
 
+    def page_metadata(self, document_id: int, page_number: int) -> DataFrame:
+        return catalog.page_metadata(self.corpus.pages, self.corpus.elements, document_id, page_number)
+
+    def sql(self, query: str, **args) -> DataFrame:
+        """A query with named parameters over the views documents, pages, chunks and elements."""
+        for name in ("documents", "pages", "chunks", "elements"):
+            getattr(self.corpus, name).createOrReplaceTempView(name)
+        return self.corpus.documents.sparkSession.sql(query, args=args)
+
+    def register_functions(self) -> None:
+        """Table functions ``search_chunks(vector, n, document)`` and ``search_elements(vector, n, document, type)``; null means any."""
+        spark = self.corpus.documents.sparkSession
+        self.sql("SELECT 1")
+        likeness = "aggregate(zip_with(embedding, q, (a, b) -> CAST(a AS DOUBLE) * b), 0D, (s, x) -> s + x) / nullif(sqrt(aggregate(embedding, 0D, (s, x) -> s + CAST(x AS DOUBLE) * x)) * sqrt(aggregate(q, 0D, (s, x) -> s + x * x)), 0D)"
+        for name, extra, columns, where in (("chunks", "", "content", ""), ("elements", ", kind STRING DEFAULT NULL", "label", " AND (kind IS NULL OR element_type = kind)")):
+            spark.sql(
+                f"CREATE OR REPLACE TEMPORARY FUNCTION search_{name}(q ARRAY<DOUBLE>, n INT, document INT DEFAULT NULL{extra}) RETURNS TABLE (id BIGINT, {columns} STRING, similarity DOUBLE) "
+                f"RETURN SELECT id, {columns}, similarity FROM (SELECT *, row_number() OVER (ORDER BY similarity DESC, id) AS place FROM (SELECT id, {columns}, {likeness} AS similarity FROM {name} WHERE embedding IS NOT NULL AND (document IS NULL OR document_id = document){where})) WHERE place <= n"
+            )
+
     def chunk_context(self, chunk_id: int, around: int = 2) -> DataFrame:
         return search.chunk_context(self.corpus.chunks, chunk_id, around)
 

@@ -96,6 +96,15 @@ def page_lookup(pages: DataFrame, document_id: int, page_number: int) -> DataFra
     return pages.where((F.col("document_id") == document_id) & (F.col("page_number") == page_number)).limit(1)
 
 
+def page_metadata(pages: DataFrame, elements: DataFrame, document_id: int, page_number: int) -> DataFrame:
+    """The page with its elements (type, label, description, text cut at 500 characters) and their number."""
+    one = page_lookup(pages, document_id, page_number)
+    text = F.when(F.length("search_text") > 500, F.concat(F.left("search_text", F.lit(500)), F.lit("..."))).otherwise(F.nullif(F.col("search_text"), F.lit("")))
+    item = F.struct(F.coalesce("element_type", F.lit("unknown")).alias("type"), "label", F.nullif(F.col("description"), F.lit("")).alias("description"), text.alias("text"), "id")
+    listed = elements.groupBy(F.col("page_id").alias("id")).agg(F.sort_array(F.collect_list(item)).alias("elements"))
+    return one.join(listed, "id", "left").withColumn("element_count", F.coalesce(F.size("elements"), F.lit(0)))
+
+
 def best_image(rows: DataFrame, any_type: bool = False) -> Column:
     """Rendered image of an equation (or, with ``any_type``, of anything that has one), else the crop."""
     rendered = F.nullif(F.col("rendered_path"), F.lit(""))

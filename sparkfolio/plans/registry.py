@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import format as cards
 from ..functions import lexical, parse, text, vectors
-from ..operators import catalog, chunking, ingest, rag, search
+from ..operators import catalog, chunking, enrich, index, ingest, rag, search
 from ..sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -725,3 +726,79 @@ def _(t: Tables) -> DataFrame:
 @query("worth_summary", "SELECT doc_id, length(trim(text)) >= 400 AS worth FROM documents")
 def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", ingest.worth_summary(F.col("text"), 400).alias("worth"))
+
+
+# Cards, drawing plans, metadata, statistics, side tables
+
+
+@query("result_cards", f"WITH {RANKED} SELECT id, CASE WHEN id % 3 = 0 THEN '[TEXT] Chunk ' || (id % 10) ELSE '[' || upper(element_type) || '] ' || label END || chr(10) || '  Score: ' || printf('%.1f', round_even({PCT.format('score')}, 1)) || '% | Page ' || page_number || ' | ' || document_title || chr(10) || '  ' || left(description, 200) || '...' AS card FROM r")
+def _(t: Tables) -> DataFrame:
+    return _ranked(t).withColumn("chunk_index", F.col("id") % 10).select("id", cards.result_card(True).alias("card"))
+
+
+@query("tool_cards", f"WITH {RANKED} SELECT r.id, '[' || rank || '] ' || CASE WHEN r.id % 3 = 0 THEN 'TEXT CHUNK' ELSE upper(element_type) || ': ' || label END || chr(10) || '  Document: ' || d.slug || chr(10) || '  Page: ' || page_number || chr(10) || '  Score: ' || printf('%.1f', round_even({PCT.format('score')}, 1)) || '%' || chr(10) || '  Content: ' || left(description, 300) || '...' AS card FROM r JOIN docs d ON d.id = r.document_id")
+def _(t: Tables) -> DataFrame:
+    return _ranked(t).select("id", cards.tool_card(F.col("rank")).alias("card"))
+
+
+@query("document_cards", f"WITH {DOCS} SELECT d.id, '## ' || title || ' (' || slug || ')' || chr(10) || '   Pages: ' || (SELECT count(*) FROM pgs WHERE document_id = d.id) || CASE WHEN d.id % 2 = 0 THEN chr(10) || '   Summary: ' || repeat('ab ', 66) || 'ab...' ELSE '' END AS card FROM docs d")
+def _(t: Tables) -> DataFrame:
+    documents = t.catalog.withColumn("summary", F.when(F.col("id") % 2 == 0, F.repeat(F.lit("ab "), F.lit(90))))
+    return catalog.page_counts(documents, t.view_pages).select("id", cards.document_card().alias("card"))
+
+
+@query("drawn_boxes", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN [p_size, 2, 30, 40] WHEN 1 THEN [p_size * 600 // 1000, 0, 300, 800] WHEN 2 THEN [p_size, 5, 1001, 9] END AS box FROM part")
+def _(t: Tables) -> DataFrame:
+    kind, size = F.col("p_partkey") % 3, F.col("p_size")
+    pixels = F.when(kind == 0, F.array(size, F.lit(2), F.lit(30), F.lit(40)))
+    box = F.when(kind == 1, F.array(size.cast("double"), F.lit(0.0), F.lit(500.0), F.lit(1000.0))).otherwise(F.array(size.cast("double"), F.lit(5.0), F.lit(1001.0), F.lit(9.0)))
+    return t.part.select("p_partkey", cards.drawn_box(pixels, box, F.lit(600), F.lit(800), F.lit("table"))["box"].alias("box"))
+
+
+@query("latex_sources", r"WITH l AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x_' || p_size WHEN 1 THEN 'a &= ' || p_size WHEN 2 THEN '\begin{cases} ' || p_size || ' \end{cases}' ELSE '' END AS b FROM part) SELECT p_partkey, CASE WHEN b <> '' THEN '\documentclass[preview,border=2pt]{standalone}' || chr(10) || '\usepackage{amsmath}' || chr(10) || '\usepackage{amssymb}' || chr(10) || '\begin{document}' || chr(10) || CASE p_partkey % 4 WHEN 0 THEN '$\displaystyle ' || b || '$' WHEN 1 THEN '\begin{align*}' || chr(10) || b || chr(10) || '\end{align*}' ELSE b END || chr(10) || '\end{document}' || chr(10) END AS source FROM l".replace("\\\\", "\\"))
+def _(t: Tables) -> DataFrame:
+    kind = F.col("p_partkey") % 4
+    size = F.col("p_size").cast("string")
+    formula = F.when(kind == 0, F.concat(F.lit("$x_"), size, F.lit("$"))).when(kind == 1, F.concat(F.lit("\\(a &= "), size, F.lit("\\)"))).when(kind == 2, F.concat(F.lit("\\begin{cases} "), size, F.lit(" \\end{cases}"))).otherwise("")
+    return t.part.select("p_partkey", cards.latex_source(formula).alias("source"))
+
+
+@query("page_metadata", f"WITH {ELEMENTS} SELECT p.id, page_number, full_text, (SELECT count(*) FROM els WHERE page_id = p.id)::INT AS element_count, (SELECT min(label) FROM els WHERE page_id = p.id) AS label FROM pgs p WHERE document_id = 6 AND page_number = 2")
+def _(t: Tables) -> DataFrame:
+    return catalog.page_metadata(t.view_pages, t.view_elements, 6, 2).select("id", "page_number", "full_text", "element_count", F.col("elements")[0]["label"].alias("label"))
+
+
+@query("enrichment_stats", f"WITH {ELEMENTS} SELECT d.id AS document_id, (SELECT count(*) FROM pgs WHERE document_id = d.id) AS pages, (SELECT count(*) FROM pgs WHERE document_id = d.id AND page_number % 2 = 0) AS pages_summarized, (SELECT count(*) FROM pgs WHERE document_id = d.id AND length(trim(full_text)) < 100) AS pages_short, (SELECT count(*) FROM els WHERE document_id = d.id) AS elements, (SELECT count(*) FROM els WHERE document_id = d.id AND search_text <> '') AS elements_enriched FROM docs d")
+def _(t: Tables) -> DataFrame:
+    pages = t.view_pages.withColumn("summary", F.when(F.col("page_number") % 2 == 0, "s"))
+    return enrich.enrichment_stats(pages, t.view_elements)
+
+
+@query("extraction_stats", f"WITH {DOCS} SELECT document_id, count(*) AS pages, round_even(avg(length(full_text) / 100.0::DOUBLE), 2) AS avg_seconds FROM pgs GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    return enrich.extraction_stats(t.view_pages.withColumn("extraction_time_seconds", F.length("full_text") / 100.0))
+
+
+@query("rendered_sizes", "SELECT p_partkey, [floor(p_size * 100 * least(1.0::DOUBLE, 2048.0::DOUBLE / (p_size * 100)))::INT, floor(p_size * 50 * least(1.0::DOUBLE, 2048.0::DOUBLE / (p_size * 100)))::INT] AS size FROM part")
+def _(t: Tables) -> DataFrame:
+    size = parse.rendered_size(F.col("p_size") * 100, F.col("p_size") * 50)
+    return t.part.select("p_partkey", F.array(size["width"], size["height"]).alias("size"))
+
+
+@query("postings_build")
+def _(t: Tables) -> DataFrame:
+    return index.postings(t.view_elements.select("id", lexical.vector_column(F.col("description")).alias("tsv")))
+
+
+@query("postings_match")
+def _(t: Tables) -> DataFrame:
+    table = index.postings(t.view_elements.select("id", lexical.vector_column(F.col("description")).alias("tsv")))
+    return index.match_postings(table, lexical.query_lexemes("red widgets"), 20).select("id", six(F.col("rank")).alias("rank"))
+
+
+@query("knn_cells")
+def _(t: Tables) -> DataFrame:
+    rows = t.embeddings.withColumnRenamed("vec_id", "id")
+    cells = index.Cells.fit(rows, 16)
+    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return index.near_join(cells.assign(rows), cells, queries, 5, probe=10)
