@@ -50,4 +50,4 @@ def test_stages_by_brute_force(spark, sf):
 def test_run_is_the_stages_in_turn(spark, sf):
     whole = corpus_pipeline.run(spark, sf)
     assert whole.columns == ["doc_id", "ids", "n_tokens", "n_byte_tokens", "decoded_sha256", "lossless"] and whole.count() > 0
-    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
