@@ -1,7 +1,9 @@
-"""Vector functions: native for short expressions, a matrix product over Arrow batches for many queries."""
+"""Vector functions: native expressions, and for scans a matrix product over Arrow batches, which needs no boxing."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,33 @@ def score_percent(distance: Column) -> Column:
 def distance_of_rank(rank: Column) -> Column:
     """A lexical rank on the scale of distances."""
     return F.greatest(F.lit(0.0), F.lit(1.0) - rank * 2)
+
+
+def _over_batches(score) -> Column:
+    """An Arrow function of vectors of one length; null for null vectors."""
+
+    @F.arrow_udf("double")
+    def run(v: pa.Array) -> pa.Array:
+        valid = np.asarray(v.is_valid())
+        out = np.zeros(len(v))
+        if valid.any():
+            out[valid] = score(np.asarray(v.flatten(), np.float64).reshape(int(valid.sum()), -1))
+        return pa.array(out, mask=~valid)
+
+    return run
+
+
+def l2_distances(v: Column, query) -> Column:
+    """Distance of each vector to one query; all have its length."""
+    q = np.array(query, np.float64)
+    return _over_batches(lambda x: np.sqrt(((x - q) ** 2).sum(axis=1)))(v)
+
+
+def cosine_similarities(v: Column, query) -> Column:
+    q = np.array(query, np.float64)
+
+    def score(x: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
+        return np.where(length == 0, 0.0, x @ q / np.where(length == 0, 1, length))
+
+    return _over_batches(score)(v)

@@ -56,13 +56,13 @@ class Corpus:
 
 def nearest(rows: DataFrame, vector, limit: int) -> DataFrame:
     """The rows nearest to a vector by Euclidean distance; rows without a vector are left out."""
-    found = rows.where(F.col("embedding").isNotNull()).withColumn("score", vectors.l2_distance(F.col("embedding"), vectors.literal(vector)))
+    found = rows.where(F.col("embedding").isNotNull()).withColumn("score", vectors.l2_distances(F.col("embedding"), vector))
     return found.orderBy("score", "id").limit(limit)
 
 
 def most_similar(rows: DataFrame, vector, limit: int) -> DataFrame:
     """The rows with the highest cosine similarity, as ``similarity``."""
-    found = rows.where(F.col("embedding").isNotNull()).withColumn("similarity", vectors.cosine_similarity(F.col("embedding"), vectors.literal(vector)))
+    found = rows.where(F.col("embedding").isNotNull()).withColumn("similarity", vectors.cosine_similarities(F.col("embedding"), vector))
     return found.orderBy(F.desc("similarity"), "id").limit(limit)
 
 
@@ -84,8 +84,10 @@ def fuse(branches: list[DataFrame], limit: int, max_distance: float = MAX_DISTAN
     """
     numbered = None
     for i, branch in enumerate(branches):
-        at = F.row_number().over(W.orderBy("score", "id")) + i * 1_000_000  # a branch is limited, so one task holds it
-        one = branch.select(*RESULT).withColumn("seen", at)
+        # A branch is limited, so one task holds it; above 0, ranks still order what is at distance 0.
+        order = ([F.desc("rank")] if "rank" in branch.columns else []) + [F.asc("score"), F.asc("id")]
+        at = F.row_number().over(W.orderBy(*order)) + i * 1_000_000
+        one = branch.withColumn("seen", at).select(*RESULT, "seen")
         numbered = one if numbered is None else numbered.unionByName(one)
     row = F.struct("score", F.col("seen").alias("at"), *[c for c in RESULT if c != "score"])
     best = numbered.groupBy("source_type", "id").agg(F.min_by(row, F.struct("score", "seen")).alias("r"), F.min("seen").alias("first_seen"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,7 +89,8 @@ class Tables:
 
     @property
     def corpus(self) -> search.Corpus:
-        return search.Corpus(self.catalog, self.view_pages.select("id", "document_id", "page_number"), self.chunks, self.view_elements)
+        """Chunks are kept while the branches of a search read them, each on its own."""
+        return search.Corpus(self.catalog, self.view_pages.select("id", "document_id", "page_number"), self.chunks.persist(StorageLevel.MEMORY_AND_DISK), self.view_elements)
 
 
 def query(name: str, oracle: str | None = None):
@@ -599,7 +601,7 @@ def _hybrid_sql(chunks: bool, elements: bool, limit: int) -> str:
         count = " + ".join(f"len(list_filter(w, lambda x: x = '{x}'))" for x in lexemes)
         holds = " AND ".join(f"list_contains(w, '{x}')" for x in lexemes)
         for r in rows:
-            parts.append(f"SELECT id, source_type, greatest(0, 1 - 2 * rank) AS score, {n} * 1000000 + row_number() OVER (ORDER BY greatest(0, 1 - 2 * rank), id) AS seen FROM (SELECT id, source_type, ({count})::DOUBLE / len(w) AS rank FROM (SELECT id, source_type, regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+') AS w FROM {r}) WHERE {holds} ORDER BY rank DESC, id LIMIT {limit})")
+            parts.append(f"SELECT id, source_type, greatest(0, 1 - 2 * rank) AS score, {n} * 1000000 + row_number() OVER (ORDER BY rank DESC, id) AS seen FROM (SELECT id, source_type, ({count})::DOUBLE / len(w) AS rank FROM (SELECT id, source_type, regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+') AS w FROM {r}) WHERE {holds} ORDER BY rank DESC, id LIMIT {limit})")
             n += 1
     chunk_rows = "chunk_rows AS (SELECT doc_id * 100000 + chunk_index AS id, 'chunk' AS source_type, content, CASE WHEN chunk_index = 0 THEN embedding END AS embedding FROM ch LEFT JOIN embeddings ON vec_id = doc_id)"
     element_rows = "element_rows AS (SELECT e.id, 'element' AS source_type, coalesce(nullif(search_text, ''), description) AS content, embedding FROM els e JOIN pgs p ON p.id = e.page_id JOIN docs d ON d.id = e.document_id)"

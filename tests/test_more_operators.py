@@ -4,12 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkfolio import cli
+from sparkfolio.chat import Chat
 from sparkfolio.api import Library
 from sparkfolio.functions import format as cards
-from sparkfolio.functions import lexical
+from sparkfolio.functions import lexical, vectors
 from sparkfolio.operators import enrich, index, ingest, search
 from sparkfolio.operators.pipeline import Store, ingest_tree
 from sparkfolio.operators.providers import HashingEmbedder
+from sparkfolio.sources import render as render_module
 
 
 def test_postings_give_what_position_vectors_give(spark, sf):
@@ -114,3 +116,42 @@ def test_specs():
     assert cards.indexes_of("1,2 3") == [0, 1, 2]
     with pytest.raises(ValueError):
         cards.indexes_of("one")
+
+
+def test_scan_distances_are_the_native_ones(spark):
+    rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [3.0, 4.0])], "id int, v array<double>")
+    q = [1.0, 1.0]
+    got = rows.select("id", vectors.l2_distances(F.col("v"), q).alias("a"), vectors.l2_distance(F.col("v"), vectors.literal(q)).alias("b"), vectors.cosine_similarities(F.col("v"), q).alias("c"), vectors.cosine_similarity(F.col("v"), vectors.literal(q)).alias("d")).collect()
+    for r in got:
+        assert r["a"] == (None if r["b"] is None else pytest.approx(r["b"])) and r["c"] == (None if r["id"] == 2 else pytest.approx(r["d"]))
+
+
+def test_rendering_and_detection_through_providers(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"two pages")
+    render = lambda content, dpi, most: ((n, 1000, 1000, content, f"page {n}") for n in (1, 2))
+    pages = render_module.render_files(spark, str(tmp_path / "*.pdf"), render)
+    assert [(r["page_number"], r["text"]) for r in pages.orderBy("page_number").collect()] == [(1, "page 1"), (2, "page 2")]
+    found = render_module.detect_elements(pages, lambda p: '{"table": [{"bbox": [0, 0, 10, 10], "label": "T"}]}' if "base64" in p else "").collect()
+    assert [(r["page_number"], r["type"], r["label"]) for r in found] == [(1, "table", "T"), (2, "table", "T")]
+    (tmp_path / "x.png").write_bytes(b"png")
+    copy = render_module.copy_to_cache(str(tmp_path / "x.png"), str(tmp_path / "cache"), "Fig 1: é")
+    assert copy.endswith("Fig_1__é.png") and open(copy, "rb").read() == b"png"
+
+
+def test_chat(spark):
+    embed = HashingEmbedder()
+    documents = spark.createDataFrame([(1, "d", "Doc")], "id int, slug string, title string")
+    pages = spark.createDataFrame([(1, 1, 3)], "id int, document_id int, page_number int")
+    chunks = spark.createDataFrame([(1, 1, 1, "glacier maps", 0, embed(["glacier maps"])[0])], "id int, document_id int, page_id int, content string, chunk_index int, embedding array<double>").withColumn("tsv", lexical.vector_column(F.col("content")))
+    elements = spark.createDataFrame([(7, 1, 1, "figure", "Fig", "a glacier", "", "c.png", "", embed(["a glacier"])[0])], "id int, document_id int, page_id int, element_type string, label string, description string, search_text string, crop_path string, rendered_path string, embedding array<double>").withColumn("tsv", lexical.vector_column(F.col("description")))
+    prompts = []
+    chat = Chat(Library(search.Corpus(documents, pages, chunks, elements), embed, lambda p: prompts.append(p) or "<think>x</think>Yes [1]"))
+    assert chat.sources() == "No sources available."
+    assert chat.ask("glacier maps") == "Yes [1]"
+    assert [r["source_type"] for r in chat.results] == ["element", "chunk"]
+    assert "[1] FIGURE: Fig (from Doc, page 3)" in prompts[0] and chat.sources().startswith("[1] FIGURE: Fig | Doc p.3 | ")
+    chat.ask("and rivers")
+    assert chat.last_query == "and rivers" and len(chat.window()) == 5
+    assert [r["id"] for r in chat.show("1, 9")] == [7]
+    chat.clear()
+    assert chat.results == [] and len(chat.window()) == 1
