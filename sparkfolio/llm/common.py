@@ -68,7 +68,11 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+#: Bytes of text that an operator works on at a time; its arrays take many times as much.
+SLICE = 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that ``column`` has about ``limit`` bytes at most (a longer text comes alone)."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -76,7 +76,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK, prim
 def _fingerprint_rows(primes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = powers(CHUNK, primes)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             data, off = utf8(batch.column("text"))
             data = LOWER[data]
             whole = data.tobytes()
@@ -103,7 +103,7 @@ def same_text(a: str | None, b: str | None, step: int = COMPARE) -> bool:
 
 
 def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text"):
         bad = [not same_text(a, b) for a, b in zip(batch.column("text").to_pylist(), batch.column("stay_text").to_pylist())]
         yield pa.record_batch({k: batch.column(k) for k in ("fp", "n_bytes")}).filter(pa.array(bad, pa.bool_()))
 

@@ -225,7 +225,7 @@ def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _predictions(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = PieceCache(model.value.word_sums)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             names, scores = model.value.predict(texts(batch.column("text")), cache)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 

@@ -224,7 +224,7 @@ _TYPES = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string"
 
 def _rows(with_media: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text"):
             text = batch.column("text").to_pylist()
             if with_media:
                 yield pa.record_batch({"doc_id": batch.column("doc_id"), "media": pa.array([store(pad((t or "").encode())) for t in text], pa.binary())})

@@ -132,7 +132,7 @@ class AttentionMil:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text"):
         counts, n = passages(*utf8(batch.column("text")))
         whole = [c[:: max(1, -(-len(c) // SAMPLE_PASSAGES))].astype(np.uint16).tobytes() for c in np.split(counts, np.cumsum(n)[:-1])]
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "counts": pa.array(whole, pa.binary())})
@@ -151,7 +151,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def _scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             if model.value is None:
                 p = np.full(batch.num_rows, 0.5)
             else:

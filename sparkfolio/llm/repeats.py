@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, id_text, is_empty, materialise, slices, utf8
+from .common import SLICE, BitFilter, id_text, is_empty, materialise, slices, utf8
 
 LEAST = 400
 GRAM = 32
@@ -33,7 +33,6 @@ BUCKET_SEGMENTS, BUCKET_BYTES = 20000, 16 << 20
 BUCKET_DEPTH = 200
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = 22  # bits for a position in a slice of texts
-SLICE = 1 << 20
 
 
 # The tree, in memory
@@ -185,7 +184,7 @@ def _long(a: np.ndarray) -> pa.Array:
 
 def _keys(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text"):
             *_, key = segments(*utf8(batch.column("text")), least, gram)
             yield pa.record_batch({"key": _long(key)})
 
@@ -199,7 +198,7 @@ def _slot(key: np.ndarray) -> np.ndarray:
 def _segment_rows(least: int, gram: int, again):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(again.value, np.uint8)
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text"):
             data, off = utf8(batch.column("text"))
             text, begin, count, anchor, key = segments(data, off, least, gram)
             slot = _slot(key)
@@ -348,7 +347,7 @@ def _repeated(found: DataFrame, least: int, most: int, most_bytes: int, depth_li
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 4 << 20):
+    for batch in slices(batches, "text"):
         rows = []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
             raw = text.encode()
@@ -358,7 +357,7 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text"):
         size, gone, runs, sha, kept_text = [], [], [], [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
             raw = (text or "").encode()

@@ -174,7 +174,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text"):
         out = [deep_scan(t or "") for t in batch.column("text").to_pylist()]
         count = {f"n_{k}": pa.array([sum(s[1] == i for s in base) for base, *_ in out], pa.int64()) for i, k in enumerate(KINDS)}
         yield pa.record_batch(

@@ -264,7 +264,7 @@ def _encode_rows(shared):
         cache = pieces.encoder()
         is_byte = np.zeros(len(pieces.surface), bool)
         is_byte[pieces.byte[pieces.byte >= 0]] = True
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             text = texts(batch.column("text"))
             ids = pieces.encode(text, cache)
             back = [pieces.decode(i) for i in ids]

@@ -110,7 +110,7 @@ def fingerprints(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text"):
         fp = fingerprints(texts(batch.column("text")))
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(fp.view(np.int64))})
 

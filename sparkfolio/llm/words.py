@@ -13,7 +13,7 @@ class PieceCache:
     ``compute`` takes a list of pieces and returns an array with a row for each.
     """
 
-    def __init__(self, compute: Callable[[list], np.ndarray], most: int = 300_000):
+    def __init__(self, compute: Callable[[list], np.ndarray], most: int = 150_000):
         self._compute, self._most = compute, most
         self._number: dict = {}
         self.rows: np.ndarray | None = None
