@@ -20,7 +20,8 @@ from .common import BitFilter, id_text, is_empty, materialise, slices, utf8
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 69069069)
-CHUNK = 16384
+#: Bytes of a chunk, and chunks that are hashed at a time.
+CHUNK, CHUNKS = 16384, 256
 COMPARE = 65536
 SALT_ROWS = 256
 #: A-Z to a-z, all other bytes as they are.
@@ -63,7 +64,10 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK, prim
     first = np.cumsum(count) - count
     owner = np.repeat(np.arange(len(size)), count)
     begin = offsets[:-1][owner] + (np.arange(count.sum()) - first[owner]) * chunk
-    hashes = chunk_hashes(data, np.append(begin, offsets[-1]), table, primes).tolist() if len(begin) else []
+    bounds, hashes = np.append(begin, offsets[-1]), []
+    for i in range(0, len(begin), CHUNKS):
+        some = bounds[i : i + CHUNKS + 1]
+        hashes += chunk_hashes(data[some[0] : some[-1]], some - some[0], table, primes).tolist()
     out = []
     for n, c, f in zip(size.tolist(), count.tolist(), first.tolist()):
         whole = (0, (0,) * len(primes))

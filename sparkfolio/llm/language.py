@@ -26,8 +26,11 @@ from .words import PieceCache
 UNDETERMINED = "und"
 #: The sample: documents of each language, the bytes read of each, and distinct words over all.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WORDS = 250, 4096, 60_000
-LANGUAGES = 500
+#: Documents over all languages; beyond eight languages, each has fewer.
+SAMPLE_ROWS = 2000
 HIDDEN, STEPS, BATCH, RATE = 16, 220, 768, 0.02
+#: Characters of a long text that are read at a time.
+PIECE = 1 << 20
 #: A word's bytes beyond this start anew.
 LONGEST = 32
 LETTER = re.compile(r"[^\W\d_]")
@@ -182,6 +185,8 @@ class LanguageModel:
         cache = cache or PieceCache(self.word_sums)
         if self.net is None:
             return [UNDETERMINED] * len(documents), [0.0] * len(documents)
+        if any(len(d) > PIECE for d in documents):
+            return self._predict_long(documents, cache)
         pieces = [units(d) if LETTER.search(d) else [] for d in documents]
         count = np.array([len(p) for p in pieces])
         flat = [w for p in pieces for w in p]
@@ -191,12 +196,31 @@ class LanguageModel:
         rows = cache.numbers(flat)
         some = np.flatnonzero(count)
         sums = np.add.reduceat(cache.rows[rows].astype(np.float64), (np.cumsum(count) - count)[some], axis=0)
-        sums /= sums.sum(axis=1, keepdims=True)
         for i, p in zip(some.tolist(), sums):
-            best = int(p.argmax())
-            names[i], scores[i] = self.languages[best], min(1.0, float(p[best]))
+            names[i], scores[i] = self._best(p)
         return names, scores
 
+    def _best(self, sums: np.ndarray) -> tuple[str, float]:
+        best = int(sums.argmax())
+        return self.languages[best], min(1.0, float(sums[best] / sums.sum()))
+
+    def _predict_long(self, documents: list[str], cache: PieceCache) -> tuple[list[str], list[float]]:
+        """One text at a time, added up over pieces that end at blanks where there are any."""
+        found = []
+        for d in documents:
+            total, at = np.zeros(len(self.languages)), 0
+            while at < len(d) and LETTER.search(d):
+                end = at + PIECE if at + PIECE < len(d) else len(d)
+                blank = d.rfind(" ", at, end) + 1 if end < len(d) else 0
+                end = blank if blank > at else end
+                words = units(d[at:end])
+                if words:
+                    rows = cache.numbers(words)
+                    total += cache.rows[rows].sum(axis=0, dtype=np.float64)
+                at = end
+            found.append(self._best(total) if total.any() else (UNDETERMINED, 0.0))
+        return [n for n, _ in found], [s for _, s in found]
+
 
 def remainder(col: Column, by: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit(""))), F.lit(by))
@@ -208,7 +232,7 @@ def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mine = mine.filter((remainder(F.col("doc_id"), fold) != out) & F.col("lang").isNotNull() & (F.length("text") > 0))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
     picked = mine.select("lang", "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS)
-    rows = picked.orderBy("n", "lang").limit(LANGUAGES * 4).select("lang", "text", "n").collect()
+    rows = picked.orderBy("n", "lang").limit(SAMPLE_ROWS).select("lang", "text", "n").collect()
     languages = sorted({r["lang"] for r in rows})
     place = {k: i for i, k in enumerate(languages)}
     counts: dict[bytes, np.ndarray] = {}
@@ -252,9 +276,11 @@ def language_column(docs: DataFrame, text_col: str = "text", **names) -> Column:
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache = PieceCache(shared.value.word_sums)
         for part in parts:
-            done = []
-            for i in range(0, len(part), 1000):
-                done.append(pd.DataFrame(dict(zip(("lang", "score"), shared.value.predict([x or "" for x in part.iloc[i : i + 1000]], cache)))))
-            yield pd.concat(done) if done else pd.DataFrame({"lang": [], "score": []})
+            batch = pa.record_batch({"text": pa.array(part, pa.string(), from_pandas=True)})
+            found: tuple[list, list] = ([], [])
+            for piece in slices([batch], "text"):
+                for all_, some in zip(found, shared.value.predict(texts(piece.column("text")), cache)):
+                    all_ += some
+            yield pd.DataFrame({"lang": found[0], "score": found[1]})
 
     return predict(F.col(text_col).cast("string"))

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .common import slices, utf8
 from .language import remainder
 
-PASSAGE = 512
+#: Bytes of a passage, and of a long text's piece, which holds whole passages.
+PASSAGE, PIECE = 512, 1 << 21
 #: Byte counts, words, and words that equal the one before.
 FEATURES, WORDS, REPEATED = 258, 256, 257
 ENCODED, ATTENTION = 16, 8
@@ -90,9 +91,14 @@ class AttentionMil:
 
     def forward(self, x: np.ndarray, count: np.ndarray):
         """x: features of all passages, count: how many each bag has (at least one)."""
-        we, be, wv, wu, wa, wc, bc = self.parts
+        return self.pool(self.encode(x), count)
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return np.tanh(x @ self.parts[0] + self.parts[1])
+
+    def pool(self, h: np.ndarray, count: np.ndarray):
+        _, _, wv, wu, wa, wc, bc = self.parts
         first = np.cumsum(count) - count
-        h = np.tanh(x @ we + be)
         v, u = np.tanh(h @ wv), _sigmoid(h @ wu)
         raw = (v * u) @ wa
         e = np.exp(raw - np.repeat(np.maximum.reduceat(raw, first), count))
@@ -155,8 +161,15 @@ def _scores(model):
             if model.value is None:
                 p = np.full(batch.num_rows, 0.5)
             else:
-                counts, n = passages(*utf8(batch.column("text")))
-                p = np.clip(model.value.forward(features(counts), n)[0].astype(np.float64), 0, 1)
+                data, off = utf8(batch.column("text"))
+                if len(off) == 2 and len(data) > PIECE:  # a long text is encoded piece by piece
+                    cut = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+                    h = np.concatenate([model.value.encode(features(passages(c, np.array([0, len(c)]))[0])) for c in cut])
+                    p = model.value.pool(h, np.array([len(h)]))[0]
+                else:
+                    counts, n = passages(data, off)
+                    p = model.value.forward(features(counts), n)[0]
+                p = np.clip(p.astype(np.float64), 0, 1)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(p), "predicted": pa.array((p >= THRESHOLD).astype(np.int32))})
 
     return run

@@ -154,12 +154,23 @@ def _leftmost_least(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(ahead[: n - width + 1], behind[width - 1 : n]) & low).astype(np.int64)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: int = GRAM):
+def segments(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: int = GRAM, piece: int = 2 * SLICE):
     """Cuts each text's windows of ``least`` bytes into runs with the same anchor.
 
     Returns text, begin, count, anchor (place in data) and key of each run; its bytes are
-    data[begin:begin + count - 1 + least].
+    data[begin:begin + count - 1 + least]. A single text of over ``piece`` bytes goes piece by piece, which may cut a run in two.
     """
+    if len(offsets) != 2 or len(data) <= piece:
+        return _segments(data, offsets, least, gram)
+    parts = []
+    for at in range(0, len(data) - least + 1, piece):
+        part = data[at : at + piece + least - 1]
+        text, begin, count, anchor, key = _segments(part, np.array([0, len(part)]), least, gram)
+        parts.append((text, begin + at, count, anchor + at, key))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _segments(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
     size = np.diff(offsets)
     n = np.maximum(0, size - least + 1)
     if not n.sum():

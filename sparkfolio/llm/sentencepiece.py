@@ -25,6 +25,8 @@ MARK = "▁"
 PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Byte fallback costs this much below the worst piece, for each byte.
 UNKNOWN = 10.0
+#: Characters of a long text that are encoded at a time.
+PIECE = 1 << 20
 #: Parts of more bytes than this are segmented one at a time.
 SIDE_BY_SIDE = 48
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -233,6 +235,11 @@ class Pieces:
     def encode(self, documents: list[str], cache: PieceCache | None = None) -> list[np.ndarray]:
         """Piece ids of each text; the empty text has none."""
         cache = cache or self.encoder()
+        if any(len(d) > PIECE for d in documents):  # a long text goes in pieces, each of which has the blank before it as its marker
+            return [np.concatenate([self._encode([p], cache)[0] for p in pieces_of(d)] or [np.empty(0, np.int32)]) for d in documents]
+        return self._encode(documents, cache)
+
+    def _encode(self, documents: list[str], cache: PieceCache) -> list[np.ndarray]:
         split = [parts_of(d) for d in documents]
         flat = [p for s in split for p in s]
         rows = cache.numbers(flat)
@@ -249,6 +256,18 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+def pieces_of(text: str, size: int = PIECE) -> Iterator[str]:
+    """Pieces of a long text, without the single blanks that part them; encoding them in turn encodes the text."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        while 0 < end < len(text) and not (text[end] == " " and text[end - 1] not in (" ", MARK) and end + 1 < len(text) and text[end + 1] not in (" ", MARK)):
+            end = text.find(" ", end + 1)
+        end = end if 0 < end < len(text) else len(text)
+        yield text[at:end]
+        at = end + 1
+
+
 def parts_of(text: str) -> list[bytes]:
     """The marked text, split before each marker that follows another character."""
     if not text:

@@ -25,6 +25,8 @@ SHINGLE = 3
 DISTANCE = 3
 #: Generator of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0xC75
+#: Shingles of a long text that are counted at a time.
+BLOCK = 200_000
 #: A bucket beyond this is dealt out in pairs of blocks.
 BUCKET = 4096
 #: Nodes that a task remembers to leave out links it has already implied.
@@ -83,17 +85,30 @@ def fuzzy_keys(fp: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def _bits(hashes: list[int]) -> np.ndarray:
+    """(hashes, 64), lowest bit first."""
+    return np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
 def fingerprints(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
     """SimHash of each text: words between ASCII white space, A-Z lower-cased, and every shingle counted as often as it occurs."""
-    digest, hashes, count = xxhash.xxh64_intdigest, [], []
-    for text in texts:
+    digest, hashes, count, long = xxhash.xxh64_intdigest, [], [], {}
+    for i, text in enumerate(texts):
         words = text.encode().lower().split()
         n = len(words)
         joined = b" ".join(words)
         if n > shingle:
             end = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-            begin = np.append(0, end[: n - shingle]).tolist()
-            hashes += [digest(joined[a:b], SEED) for a, b in zip(begin, (end[shingle - 1 :] - 1).tolist())]
+            begin, end = np.append(0, end[: n - shingle]), end[shingle - 1 :] - 1
+            if len(begin) > BLOCK:  # a long text adds up block by block
+                ones = np.zeros(64, np.int64)
+                for at in range(0, len(begin), BLOCK):
+                    some = [digest(joined[a:b], SEED) for a, b in zip(begin[at : at + BLOCK].tolist(), end[at : at + BLOCK].tolist())]
+                    ones += _bits(some).sum(axis=0, dtype=np.int64)
+                long[i] = ones * 2 > len(begin)
+                count.append(0)
+                continue
+            hashes += [digest(joined[a:b], SEED) for a, b in zip(begin.tolist(), end.tolist())]
             count.append(n - shingle + 1)
         elif n:
             hashes.append(digest(joined, SEED))
@@ -103,9 +118,10 @@ def fingerprints(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
     out, n = np.zeros(len(texts), np.uint64), np.array(count)
     some = np.flatnonzero(n)
     if len(some):
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
+        ones = np.add.reduceat(_bits(hashes), (np.cumsum(n) - n)[some], axis=0, dtype=np.int32)
         out[some] = np.packbits(ones * 2 > n[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    for i, bits in long.items():
+        out[i] = np.packbits(bits, bitorder="little").view(np.uint64)[0]
     return out
 
 

@@ -79,3 +79,38 @@ def test_stages_keep_columns_and_survive_edges(spark, edges, sf):
         docs = out.checkpoint()
     assert docs.where("doc_id in (1, 2, 7, 8)").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_long_texts_go_piece_by_piece_with_the_same_results(monkeypatch):
+    import numpy as np
+
+    text = ("Ein Text mit Wörtern, " * 40 + "\n  and more  words of it ▁ x " * 30) * 3
+    raw = np.frombuffer(text.encode(), np.uint8)
+    off = np.array([0, len(raw)])
+
+    whole = simhash.fingerprints([text, "a b c d"])
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    assert simhash.fingerprints([text, "a b c d"]).tolist() == whole.tolist()
+
+    whole = exact_dedup.fingerprints(raw, off, 64)
+    monkeypatch.setattr(exact_dedup, "CHUNKS", 3)
+    assert exact_dedup.fingerprints(raw, off, 64) == whole
+
+    pieces = sentencepiece.Pieces.load()
+    whole = pieces.encode([text])[0].tolist()
+    for size in (1, 100, 777):
+        monkeypatch.setattr(sentencepiece, "PIECE", size)
+        monkeypatch.setattr(sentencepiece.pieces_of, "__defaults__", (size,))
+        assert pieces.encode([text, ""])[0].tolist() == whole
+
+    model = language.LanguageModel(["a", "b"], language.BiGru.new(2))
+    (names, scores), rest = model.predict([text]), ["", "123"]
+    monkeypatch.setattr(language, "PIECE", 200)
+    assert model.predict([text, *rest]) == (names + ["und"] * 2, pytest.approx(scores + [0.0] * 2))
+
+    windows = lambda got: sorted((p, a, k) for _, b, n, a, k in zip(*got) for p in range(b, b + n))
+    assert windows(repeats.segments(raw, off, 60, 12, piece=500)) == windows(repeats.segments(raw, off, 60, 12))
+
+    mil = quality.AttentionMil.new()
+    counts, n = quality.passages(raw, off)
+    assert mil.forward(quality.features(counts), n)[0] == pytest.approx(mil.pool(mil.encode(quality.features(counts)), n)[0])
