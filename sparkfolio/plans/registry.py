@@ -684,7 +684,7 @@ def _(t: Tables) -> DataFrame:
     return ingest.dry_run(t.view_pages.select("document_id", "full_text"), t.view_elements)
 
 
-@query("ingest_element_rows", "SELECT p_partkey AS id, left(repeat(p_name, 20), 100) AS label, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS search_text, CASE WHEN p_partkey % 3 = 0 THEN [1.0] END AS embedding FROM part")
+@query("ingest_element_rows", "SELECT p_partkey AS id, left(repeat(p_name, 20), 100) AS label, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS search_text, CASE WHEN p_partkey % 3 = 0 THEN [1.0::DOUBLE] END AS embedding FROM part")
 def _(t: Tables) -> DataFrame:
     even = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand"))
     vector = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>"))
