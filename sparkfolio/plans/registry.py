@@ -79,7 +79,8 @@ class Tables:
     @property
     def chunks(self) -> DataFrame:
         """Chunks of the pages; a page's first chunk has the page's vector."""
-        out = chunking.chunk_pages(self.view_pages.select("id", "document_id", "page_number", "full_text"))
+        placed = self.documents.join(self.catalog.select(F.col("slug").alias("source"), F.col("id").alias("document_id")), "source")  # texts need no page number, so they are not moved
+        out = chunking.chunk_pages(placed.select(F.col("doc_id").alias("id"), "document_id", F.col("text").alias("full_text")))
         out = out.select((F.col("id") * 100_000 + F.col("chunk_index")).alias("id"), "document_id", F.col("id").alias("page_id"), "content", "chunk_index", "start_char", "end_char")
         first = self.embeddings.select((F.col("vec_id") * 100_000).alias("id"), "embedding")
         return out.join(first, "id", "left")
