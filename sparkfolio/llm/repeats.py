@@ -203,7 +203,8 @@ def _keys(least: int, gram: int):
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(64 - BitFilter.BITS)).astype(np.int64)
+    """Low bits of a key; the high ones are small in a least hash."""
+    return (key & np.uint64((1 << BitFilter.BITS) - 1)).astype(np.int64)
 
 
 def _segment_rows(least: int, gram: int, again):
@@ -411,7 +412,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Anchors that occur again, as a bitmap of fixed size.
     keys = long_docs.select("text").mapInArrow(_keys(least, gram), "key long")
     again = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    slot = F.shiftrightunsigned("key", 64 - BitFilter.BITS)
+    slot = F.col("key").bitwiseAND(F.lit((1 << BitFilter.BITS) - 1))
     parts = again.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
     bits = bytearray(1 << BitFilter.BITS - 3)
     for row in parts.toLocalIterator():
