@@ -177,96 +177,70 @@ class _Forest:
         return a != b
 
 
-def _link_batch(links: list[tuple[int, int]], over: list[tuple]) -> pa.RecordBatch:
-    none, n = np.empty(0, np.int64), len(links)
-    key, fp, node, seq = (np.concatenate(x) for x in zip(*over)) if over else (none,) * 4
-    zero = np.zeros(n, np.int64)
-    pair = np.array(links, np.int64).reshape(-1, 2)
-    columns = {"key": (zero, key), "fp": (zero, fp), "node": (pair[:, 0], node), "other": (pair[:, 1], np.zeros(len(key), np.int64)), "seq": (zero - 1, seq)}
-    return pa.record_batch({k: pa.array(np.concatenate([a, b.astype(np.int64)])) for k, (a, b) in columns.items()})
-
-
-def _bucket_links(limit: int):
-    """Rows come ordered by key. Gives the links that connect each bucket's components (``seq`` -1); rows of a bucket of over
-    ``limit`` members come out again, numbered by ``seq``, for the pass over pairs of blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, links, over = _Forest(), [], []
-        key, fps, nodes, seen, handed = None, [], [], 0, False  # the bucket that may go on in the next batch
-
-        def solve(fp: np.ndarray, node: np.ndarray) -> None:
-            fp = fp.view(np.uint64)
-            if len(fp) == 2:
-                if int(np.bitwise_count(fp[0] ^ fp[1])) > DISTANCE:
-                    return
-                label = (0, 0)
-            else:
-                label = group_stars(fp)
-            for i, j in enumerate(label):
-                if i != j and forest.joins(a := int(node[i]), b := int(node[j])):
-                    links.append((a, b))
-
-        def hand(start: int) -> None:
-            fp, node = np.concatenate(fps), np.concatenate(nodes)
-            over.append((np.full(len(fp), key), fp, node, start + np.arange(len(fp))))
-            fps.clear()
-            nodes.clear()
-
-        def close() -> None:
-            if handed and fps:
-                hand(seen - sum(map(len, fps)))
-            elif not handed and seen > 1:
-                solve(np.concatenate(fps), np.concatenate(nodes))
-
-        for batch in batches:
-            if not batch.num_rows:
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come ordered by key. Gives the links that connect each bucket's components, and that no earlier link of the task implies."""
+    forest, links = _Forest(), []
+    key, fps, nodes = None, [], []  # the bucket that may go on in the next batch
+
+    def solve(fp: np.ndarray, node: np.ndarray) -> None:
+        fp = fp.view(np.uint64)
+        if len(fp) == 2:
+            if int(np.bitwise_count(fp[0] ^ fp[1])) > DISTANCE:
+                return
+            label = (0, 0)
+        else:
+            label = group_stars(fp)
+        for i, j in enumerate(label):
+            if i != j and forest.joins(a := int(node[i]), b := int(node[j])):
+                links.append((a, b))
+
+    def close() -> None:
+        if sum(map(len, fps)) > 1:
+            solve(np.concatenate(fps), np.concatenate(nodes))
+
+    def found() -> pa.RecordBatch:
+        pair = np.array(links, np.int64).reshape(-1, 2)
+        links.clear()
+        return pa.record_batch({"u": pa.array(pair[:, 0]), "v": pa.array(pair[:, 1])})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, fp, node = (batch.column(k).to_numpy() for k in ("key", "fp", "node"))
+        bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        size, last = np.diff(bounds), len(bounds) - 2
+        for i in sorted({0, last, *np.flatnonzero(size > 1).tolist()}):
+            a, b = bounds[i], bounds[i + 1]
+            if i not in (0, last):
+                solve(fp[a:b], node[a:b])
                 continue
-            keys, fp, node = (batch.column(k).to_numpy() for k in ("key", "fp", "node"))
-            bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-            size, last = np.diff(bounds), len(bounds) - 2
-            for i in sorted({0, last, *np.flatnonzero(size > 1).tolist()}):
-                a, b = bounds[i], bounds[i + 1]
-                if i not in (0, last) and b - a <= limit:
-                    solve(fp[a:b], node[a:b])
-                    continue
-                if keys[a] != key:
-                    close()
-                    key, fps, nodes, seen, handed = int(keys[a]), [], [], 0, False
-                fps.append(fp[a:b])
-                nodes.append(node[a:b])
-                seen += b - a
-                if seen > limit:
-                    hand(seen - sum(map(len, fps)))
-                    handed = True
-            if links or over:
-                yield _link_batch(links, over)
-                links, over = [], []
-        close()
-        if links or over:
-            yield _link_batch(links, over)
-
-    return run
-
-
-_LINK = "key long, fp long, node long, other long, seq long"
+            if keys[a] != key:
+                close()
+                key, fps, nodes = int(keys[a]), [], []
+            fps.append(fp[a:b])
+            nodes.append(node[a:b])
+        if links:
+            yield found()
+    close()
+    if links:
+        yield found()
 
 
 def near_links(nodes: DataFrame, limit: int = BUCKET) -> DataFrame:
-    """Links (u, v) between rows of (fp, node) that connect all whose fingerprints differ in at most three bits, directly or through others."""
+    """Links (u, v) between rows of (fp, node) that connect all whose fingerprints differ in at most three bits, directly or through others.
+
+    Buckets of over ``limit`` rows are known by their counts before rows move. Such a bucket is dealt into blocks by hash, and each pair of
+    blocks is work of its own, so no task holds the bucket together.
+    """
     keys = nodes.mapInArrow(_key_rows, "key long, fp long, node long")
-    out = materialise(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(limit), _LINK))
-    links = out.filter("seq < 0").select(F.col("node").alias("u"), F.col("other").alias("v"))
-    over = out.filter("seq >= 0")
-    if is_empty(over):
-        return links
-    # A large bucket: each pair of its blocks of ``limit`` rows is a task's work of its own.
-    block = over.withColumn("block", F.floor(F.col("seq") / limit))
-    count = over.groupBy("key").agg((F.floor(F.max("seq") / limit) + 1).alias("blocks"))
-    pairs = block.join(count, "key").withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    large = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit))
+    linked = lambda rows: rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "u long, v long")
+    if is_empty(large):
+        return linked(keys)
+    last = F.ceil(F.col("n") / limit) - 1
+    rows = keys.join(large, "key").withColumn("block", F.pmod(F.xxhash64("fp"), last + 1)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     pair = F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))
-    pairs = pairs.select(pair.alias("key"), "fp", "node").repartition("key").sortWithinPartitions("key")
-    more = pairs.mapInArrow(_bucket_links(1 << 40), _LINK)
-    return links.unionByName(more.select(F.col("node").alias("u"), F.col("other").alias("v")))
+    return linked(keys.join(large, "key", "left_anti")).unionByName(linked(rows.select(pair.alias("key"), "fp", "node")))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET) -> DataFrame:
