@@ -27,8 +27,8 @@ from .common import SLICE, BitFilter, id_text, is_empty, materialise, slices, ut
 
 LEAST = 400
 GRAM = 32
-#: Segments and bytes of a bucket that one task scans; beyond, its strings are counted instead.
-BUCKET_SEGMENTS, BUCKET_BYTES = 20000, 16 << 20
+#: Different segments of a bucket that one task scans; the strings of a larger one are counted instead. A segment has under twice LEAST bytes.
+BUCKET_SEGMENTS = 8192
 #: A bucket whose intervals hold so many members for each segment is counted as well.
 BUCKET_DEPTH = 200
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -290,8 +290,8 @@ _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 _SEGMENT = "key long, c1 long, c2 long, copies long, anchor long, bytes binary"
 
 
-def _buckets(least: int, most: int, most_bytes: int, depth_limit: int):
-    """Rows come ordered by key. A bucket is scanned, or handed on as it is with ``hot`` set if it is over the bounds."""
+def _buckets(least: int, depth_limit: int):
+    """Rows come ordered by key. A bucket is scanned, or handed on as it is with ``hot`` set if its tree is too deep."""
 
     def solved(rows: list[tuple]) -> list[tuple]:
         spans = anchored_repeats([(r[5], r[4], r[3]) for r in rows], least, depth_limit)
@@ -305,20 +305,13 @@ def _buckets(least: int, most: int, most_bytes: int, depth_limit: int):
         return pa.record_batch(columns | {"bytes": pa.array([r[5] for r in rows], pa.binary()), "spans": pa.array([r[6] for r in rows], _SPANS), "hot": pa.array([r[7] for r in rows], pa.bool_())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, size, hot, out = None, [], 0, False, []
+        held, out = [], []
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if row[0] != key:
-                    out += solved(held) if held else []
-                    key, held, size, hot = row[0], [], 0, False
-                if hot:
-                    out.append((*row, [], True))
-                else:
-                    held.append(row)
-                    size += len(row[5])
-                    if len(held) > most or size > most_bytes:
-                        out += [(*r, [], True) for r in held]
-                        held, hot = [], True
+                if held and row[0] != held[0][0]:
+                    out += solved(held)
+                    held = []
+                held.append(row)
                 if len(out) >= 2000:
                     yield batch_of(out)
                     out = []
@@ -343,19 +336,23 @@ def _windows(least: int):
     return run
 
 
-def _repeated(found: DataFrame, least: int, most: int, most_bytes: int, depth_limit: int) -> DataFrame:
-    """key, c1, c2, spans of the segments (one row each, with ``copies``) that a repeat touches."""
-    out = materialise(
-        found.select("key", "c1", "c2", "copies", "anchor", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(least, most, most_bytes, depth_limit), _SEGMENT + ", spans array<struct<a: long, b: long>>, hot boolean")
-    )
-    done = out.filter("not hot").select("key", "c1", "c2", "spans")
-    hot = out.filter("hot")
-    if is_empty(hot):
-        return done
-    windows = materialise(hot.mapInArrow(_windows(least), "key long, c1 long, c2 long, copies long, at long, w1 long, w2 long"))
+_WINDOW = "key long, c1 long, c2 long, copies long, at long, w1 long, w2 long"
+
+
+def _counted(windows: DataFrame, least: int) -> DataFrame:
+    """key, c1, c2, spans of segments by counts of all their strings."""
+    windows = materialise(windows)
     again = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1")
     span = F.struct(F.col("at").alias("a"), (F.col("at") + least).alias("b"))
-    return done.unionByName(windows.join(again, ["w1", "w2"]).groupBy("key", "c1", "c2").agg(F.collect_list(span).alias("spans")))
+    return windows.join(materialise(again), ["w1", "w2"]).groupBy("key", "c1", "c2").agg(F.collect_list(span).alias("spans"))
+
+
+def _repeated(found: DataFrame, least: int, depth_limit: int) -> DataFrame:
+    """key, c1, c2, spans of the segments (one row each, with ``copies``) that a repeat touches."""
+    rows = found.select("key", "c1", "c2", "copies", "anchor", "bytes").repartition("key").sortWithinPartitions("key")
+    out = materialise(rows.mapInArrow(_buckets(least, depth_limit), _SEGMENT + ", spans array<struct<a: long, b: long>>, hot boolean"))
+    done, deep = out.filter("not hot").select("key", "c1", "c2", "spans"), out.filter("hot")
+    return done if is_empty(deep) else done.unionByName(_counted(deep.mapInArrow(_windows(least), _WINDOW), least))
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +368,8 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         size, gone, runs, sha, kept_text = [], [], [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+        listed = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
+        for text, spans in zip(batch.column("text").to_pylist(), listed):
             raw = (text or "").encode()
             spans = merged([(s["a"], s["b"]) for s in spans or ()])
             keep, at = [], 0
@@ -396,7 +394,16 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, with_kept: bool = False, most: int = BUCKET_SEGMENTS, most_bytes: int = BUCKET_BYTES, depth_limit: int = BUCKET_DEPTH) -> DataFrame:
+def _untouched(bits: BitFilter):
+    """The same for the texts that surely have no spans, in the worker that finds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _digests(b.filter(pa.array(~bits.has(b.column("slot").to_numpy()))) for b in batches)
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, with_kept: bool = False, most: int = BUCKET_SEGMENTS, depth_limit: int = BUCKET_DEPTH) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes).
 
     A byte goes if a string of ``least`` bytes that also starts elsewhere, in the same text or another, covers it; strings are judged on the
@@ -428,22 +435,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Segments that are the same wherever their anchor occurs are repeats as a whole.
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("at.size").alias("b")))
     plain = distinct.filter("different = 1").select("key", "c1", "c2", whole.alias("spans"))
-    wanted = distinct.filter("different > 1").select("at.*", F.struct("key", "c1", "c2", "copies", "at.anchor", "at.begin", "at.size").alias("w"))
-    wanted = materialise(wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted")))
+    wanted = F.struct("key", "c1", "c2", "copies", "at.anchor", "at.begin", "at.size").alias("w")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
-    holders = long_docs.filter(BitFilter(wanted.select("th")).column(F.col("th"))).dropDuplicates(["doc_id", "th"])
-    holders = holders.join(wanted, same(holders, wanted)).select("text", "wanted")
-    spans = plain.unionByName(_repeated(holders.mapInArrow(_cut_segments, _SEGMENT), least, most, most_bytes, depth_limit))
+
+    def holders_of(which: DataFrame) -> DataFrame:
+        """Texts with the segments to be cut out of them, each segment from one text that holds it."""
+        lists = materialise(which.select("at.*", wanted).groupBy("doc_id", "th").agg(F.collect_list("w").alias("wanted")))
+        holders = long_docs.filter(BitFilter(lists.select("th")).column(F.col("th"))).dropDuplicates(["doc_id", "th"])
+        return holders.join(lists, same(holders, lists)).select("text", "wanted")
+
+    small = holders_of(distinct.filter(f"different between 2 and {most}")).mapInArrow(_cut_segments, _SEGMENT)
+    spans = plain.unionByName(_repeated(small, least, depth_limit))
+    large = distinct.filter(f"different > greatest(1, {most})")
+    if not is_empty(large):  # no task holds such a bucket together
+        windows = holders_of(large).mapInArrow(lambda batches: _windows(least)(_cut_segments(batches)), _WINDOW)
+        spans = spans.unionByName(_counted(windows, least))
 
     # Back to the texts.
     spans = found.join(spans, ["key", "c1", "c2"]).select("doc_id", "th", F.expr("transform(spans, s -> struct(s.a + begin as a, s.b + begin as b))").alias("spans"))
     spans = materialise(spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    docs = docs.withColumn("touched", BitFilter(spans.select("th")).column(F.col("th")))
-    touched, other = docs.filter("touched"), docs.filter("not touched")
-    touched = touched.join(spans, same(touched, spans), "left").select(touched["doc_id"], "text", "spans")
-    other = other.select("doc_id", "text", F.lit(None).cast("array<struct<a: long, b: long>>").alias("spans"))
+    bits = BitFilter(spans.select("th"))
+    if with_kept:
+        docs = docs.withColumn("with_kept", F.lit(True))
+    touched = docs.filter(bits.column(F.col("th"))).join(spans.withColumnsRenamed({"doc_id": "spans_id", "th": "spans_th"}), F.col("doc_id").eqNullSafe(F.col("spans_id")) & (F.col("th") == F.col("spans_th")), "left").drop("spans_id", "spans_th", "th")
+    other = docs.withColumn("slot", BitFilter.slot_of(F.col("th"))).drop("th")
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_kept:
-        touched, other = (x.withColumn("with_kept", F.lit(True)) for x in (touched, other))
         schema += ", kept binary"
-    return touched.mapInArrow(_digests, schema).unionByName(other.mapInArrow(_digests, schema))
+    return touched.mapInArrow(_digests, schema).unionByName(other.mapInArrow(_untouched(bits), schema))
