@@ -59,6 +59,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return _table(self.spark, self._dir, name)
 
+    @property
+    def texts(self) -> DataFrame:
+        """Documents for work on their texts: dealt over the cores where the table comes in fewer partitions, as one small file does."""
+        rows, cores = self.documents, self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
     @property
     def catalog(self) -> DataFrame:
         return corpus.view_documents(self.documents)
@@ -79,7 +85,7 @@ class Tables:
     @property
     def chunks(self) -> DataFrame:
         """Chunks of the pages; a page's first chunk has the page's vector."""
-        placed = self.documents.join(self.catalog.select(F.col("slug").alias("source"), F.col("id").alias("document_id")), "source")  # texts need no page number, so they are not moved
+        placed = self.texts.join(self.catalog.select(F.col("slug").alias("source"), F.col("id").alias("document_id")), "source")  # texts need no page number, so they are not moved
         out = chunking.chunk_pages(placed.select(F.col("doc_id").alias("id"), "document_id", F.col("text").alias("full_text")))
         out = out.select((F.col("id") * 100_000 + F.col("chunk_index")).alias("id"), "document_id", F.col("id").alias("page_id"), "content", "chunk_index", "start_char", "end_char")
         first = self.embeddings.select((F.col("vec_id") * 100_000).alias("id"), "embedding")
@@ -280,12 +286,12 @@ CLEAN = r"regexp_replace(" + LINES.format(r"regexp_replace(regexp_replace(regexp
 
 @query("clean_text", f"SELECT doc_id, md5({CLEAN.format(EDGED)}) AS cleaned FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(text.clean_text(edged())).alias("cleaned"))
+    return t.texts.select("doc_id", F.md5(text.clean_text(edged())).alias("cleaned"))
 
 
 @query("normalize_ws", "SELECT doc_id, md5(regexp_replace(" + LINES.format(rf"regexp_replace(regexp_replace({EDGED}, ' +', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')") + r", '^\s+|\s+$', '', 'g')) AS cleaned FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(text.normalize_whitespace(edged())).alias("cleaned"))
+    return t.texts.select("doc_id", F.md5(text.normalize_whitespace(edged())).alias("cleaned"))
 
 
 NUMBERED = r"array_to_string(list_transform(string_split(replace(text, ' ', chr(10)), chr(10)), lambda w, i: CASE WHEN doc_id % 2 = 0 OR i % 2 = 0 THEN lpad((i % 1000)::VARCHAR, 3, '0') || ' ' ELSE '' END || w), chr(10))"
@@ -296,7 +302,7 @@ def _(t: Tables) -> DataFrame:
     lines = F.split(F.replace(F.col("text"), F.lit(" "), F.lit("\n")), "\n", -1)
     number = lambda i: F.concat(F.lpad(((i + 1) % 1000).cast("string"), 3, "0"), F.lit(" "))
     made = F.array_join(F.transform(lines, lambda w, i: F.concat(F.when((F.col("doc_id") % 2 == 0) | ((i + 1) % 2 == 0), number(i)).otherwise(""), w)), "\n")
-    return t.documents.select("doc_id", F.md5(text.strip_line_numbers(made)).alias("stripped"))
+    return t.texts.select("doc_id", F.md5(text.strip_line_numbers(made)).alias("stripped"))
 
 
 def _truncated(most: int) -> str:
@@ -458,18 +464,18 @@ def chunk_sql(source: str, where: str = "") -> str:
 
 @query("chunk_documents", f"WITH RECURSIVE {chunk_sql(RAGGED)} SELECT doc_id, chunk_index, start_char, end_char, md5(content) AS content FROM ch")
 def _(t: Tables) -> DataFrame:
-    return chunking.chunk_pages(t.documents.select("doc_id", ragged().alias("full_text"))).withColumn("content", F.md5("content"))
+    return chunking.chunk_pages(t.texts.select("doc_id", ragged().alias("full_text"))).withColumn("content", F.md5("content"))
 
 
 @query("chunk_stats", f"WITH RECURSIVE {chunk_sql('text')} SELECT source, count(*) AS chunks, sum(length(content))::BIGINT AS chars, max(length(content))::INT AS longest FROM ch JOIN documents USING (doc_id) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    chunks = chunking.chunk_pages(t.documents.select("source", F.col("text").alias("full_text")))
+    chunks = chunking.chunk_pages(t.texts.select("source", F.col("text").alias("full_text")))
     return chunks.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content")).cast("long").alias("chars"), F.max(F.length("content")).alias("longest"))
 
 
 @query("chunk_global_index", f"WITH RECURSIVE {chunk_sql('text')} SELECT source, doc_id, chunk_index, (row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_index) - 1)::INT AS global_index FROM ch JOIN documents USING (doc_id)")
 def _(t: Tables) -> DataFrame:
-    chunks = chunking.chunk_pages(t.documents.select("source", "doc_id", F.col("text").alias("full_text"))).drop("content", "start_char", "end_char")
+    chunks = chunking.chunk_pages(t.texts.select("source", "doc_id", F.col("text").alias("full_text"))).drop("content", "start_char", "end_char")
     return chunking.with_global_index(chunks, "source", "doc_id")
 
 
