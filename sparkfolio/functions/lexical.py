@@ -213,11 +213,17 @@ def rank_column(vector: Column, lexemes: list[str]) -> Column:
     return F.when(has_all, score(F.when(has_all, wanted)))
 
 
-def exact_rank(text: Column, lexemes: list[str]) -> Column:
-    """Native rank by exact words: the share of the text's words that a lexeme matches, null unless all lexemes occur."""
-    words = F.split(F.lower(text), "[^\\p{L}\\p{N}]+")
-    count = lambda x: F.size(F.filter(words, lambda w: w == x))
-    total = sum((count(x) for x in lexemes), F.lit(0))
+def exact_words(text: Column) -> Column:
+    """Lower-cased words between characters that are neither letters nor digits."""
+    return F.split(F.lower(text), "[^\\p{L}\\p{N}]+")
+
+
+def exact_rank(words: Column, lexemes: list[str]) -> Column:
+    """Native rank by exact words: the share of a text's words that a lexeme matches, null unless all lexemes occur.
+
+    ``words`` should be a column of its own, so that texts are split once.
+    """
+    total = F.size(F.filter(words, lambda w: w.isin(*lexemes))) if lexemes else F.lit(0)
     has_all = F.lit(bool(lexemes))
     for x in lexemes:
         has_all = has_all & F.array_contains(words, x)

@@ -72,8 +72,11 @@ def lexical_matches(rows: DataFrame, query: str, limit: int, exact: bool = False
     ``exact`` compares plain words natively instead of stems in position vectors (column ``tsv``).
     """
     lexemes = lexical.query_lexemes(query, stemmed=not exact)
-    rank = lexical.exact_rank(F.col("content"), lexemes) if exact else lexical.rank_column(F.col("tsv"), lexemes)
-    found = rows.withColumn("rank", rank).where(F.col("rank").isNotNull())
+    if exact:
+        found = rows.withColumn("words", lexical.exact_words(F.col("content"))).withColumn("rank", lexical.exact_rank(F.col("words"), lexemes)).drop("words")
+    else:
+        found = rows.withColumn("rank", lexical.rank_column(F.col("tsv"), lexemes))
+    found = found.where(F.col("rank").isNotNull())
     return found.orderBy(F.desc("rank"), "id").limit(limit).withColumn("score", vectors.distance_of_rank(F.col("rank")))
 
 

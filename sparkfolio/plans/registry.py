@@ -546,8 +546,9 @@ WORDS = r"list_filter(regexp_split_to_array(lower(full_text), '[^\p{L}\p{N}]+'),
 
 @query("lexical_exact_topk", f"WITH {DOCS}, w AS (SELECT id, {WORDS} AS w FROM pgs), r AS (SELECT id, (len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'thing')))::DOUBLE / len(w) AS r FROM w WHERE list_contains(w, 'the') AND list_contains(w, 'thing')) SELECT id, round(r, 6) AS rank FROM r ORDER BY r DESC, id LIMIT 10")
 def _(t: Tables) -> DataFrame:
-    rank = lexical.exact_rank(F.col("full_text"), ["the", "thing"])
-    return t.view_pages.select("id", rank.alias("r")).where("r is not null").orderBy(F.desc("r"), "id").limit(10).select("id", six(F.col("r")).alias("rank"))
+    pages = t.texts.join(t.catalog.select(F.col("slug").alias("source")), "source")
+    rows = pages.select(F.col("doc_id").alias("id"), lexical.exact_words(F.col("text")).alias("words"))
+    return rows.select("id", lexical.exact_rank(F.col("words"), ["the", "thing"]).alias("r")).where("r is not null").orderBy(F.desc("r"), "id").limit(10).select("id", six(F.col("r")).alias("rank"))
 
 
 @query("tsvector_build")
