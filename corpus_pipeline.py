@@ -12,8 +12,8 @@ from sparkfolio.llm.common import materialise, table, without
 from sparkfolio.llm.exact_dedup import drop_exact_duplicates
 from sparkfolio.llm.language import UNDETERMINED, language_column
 from sparkfolio.llm.mixing import mixed_documents
+from sparkfolio.llm.near_copies import near_copies
 from sparkfolio.llm.sentencepiece import encode_documents
-from sparkfolio.llm.simhash import simhash_groups
 
 #: A document whose bytes are on average less sure of its language than this is rejected.
 LEAST_SCORE = 0.4
@@ -31,8 +31,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that with the smallest id."""
-    groups = materialise(simhash_groups(docs).filter("component_id <> doc_id").select("doc_id").distinct())
+    """One document of each group linked by five-word shingles of similarity 0.8 or more stays, that with the smallest id.
+
+    A bound on the bits of fingerprints would lose most of such pairs, so they are found and verified by their shingles.
+    """
+    groups = materialise(near_copies(docs).filter("component_id <> doc_id").select("doc_id").distinct())
     return without(docs, groups)
 
 
