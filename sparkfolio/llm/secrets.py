@@ -1,7 +1,7 @@
 """Secret scans over nested encodings.
 
 Each text starts a worklist. A layer is scanned, then every encoded part of it is unwrapped into
-a further layer: percent escapes, ``\\u`` and ``\\x`` escapes, base64, and gzip or zlib data inside base64. A layer
+further layers: percent escapes, ``\\u`` and ``\\x`` escapes, base64, and gzip or zlib data inside any of them. A layer
 keeps, for each of its characters, the place in the original text it comes from, so a secret
 found at any depth is reported as a span of the original. Layers seen before (same text from the
 same place) are not opened again, and the list runs until it is empty.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
@@ -34,6 +35,8 @@ PERCENT = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 ESCAPE = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|u\{[0-9A-Fa-f]{1,6}\})[^\s\\]*)+")
 ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|u\{([0-9A-Fa-f]{1,6})\})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Headers that compressed data have in practice; at the front of base64 any valid one counts.
+PACKED, STEP = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]"), 1024
 SEPARATOR, BASE64_PART = re.compile(r"[/_-]"), re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
 #: Unwrapped layers of one text may hold so many characters for each of its own, or LAYER_LEAST if that is more.
 #: It stops decompression bombs; a text that meets it is reported in ``cut``.
@@ -53,24 +56,86 @@ def scan(text: str) -> list[Span]:
     return sorted(out)
 
 
-def _characters(raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """UTF-8 bytes as text, with the source range of each character; None if they are no text."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
+_odd: list[tuple[int, int]] = []
+
+
+def _mark(error: UnicodeDecodeError) -> tuple[str, int]:
+    _odd.append((error.start, error.end))
+    return "\ufffd", error.end
+
+
+codecs.register_error("sparkfolio.mark", _mark)
+
+
+def _characters(raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """UTF-8 bytes as text, with the source range of each character; bytes that are no UTF-8 become U+FFFD."""
+    _odd.clear()
+    text = raw.decode(errors="sparkfolio.mark")
     if len(text) != len(raw):
-        lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        first = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+        for a, b in _odd:
+            first[a], first[a + 1 : b] = True, False
+        lead = np.flatnonzero(first)
         begin, end = begin[lead], np.append(end[lead[1:] - 1], end[-1:])
     return text, begin, end
 
 
 def _printable(text: str) -> bool:
-    odd = sum(1 for c in text if not (c.isprintable() or c in "\n\r\t"))
+    odd = sum(1 for c in text if c == "\ufffd" or not (c.isprintable() or c in "\n\r\t"))
     return odd * 20 <= len(text)
 
 
-def percent_layer(part: str, at: int):
+def _inflate(raw: bytes, most: int) -> tuple[bytes, bool]:
+    """What gzip or zlib data hold up to the first error, all members, and whether it was cut at ``most``."""
+    out, size = [], 0
+    while raw:
+        unpack = zlib.decompressobj(47)
+        for at in range(0, len(raw), STEP):
+            piece = raw[at : at + STEP]
+            try:
+                got = unpack.decompress(piece, most - size)
+            except zlib.error:
+                return b"".join(out), False
+            out.append(got)
+            size += len(got)
+            if unpack.unconsumed_tail or size >= most:
+                return b"".join(out), True
+            if unpack.eof:
+                break
+        raw = unpack.unused_data + raw[at + STEP :] if unpack.eof else b""
+        if not _compressed(raw):
+            break
+    return b"".join(out), False
+
+
+def _compressed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0
+
+
+def unpacked(raw: bytes, most: int) -> tuple[str | None, bool]:
+    """Text inside compressed bytes, through all their layers; None if they are not compressed. (text, whether it was cut)"""
+    inner, cut = None, False
+    while _compressed(raw):
+        raw, short = _inflate(raw, most)
+        cut |= short
+        if not raw:
+            break
+        inner = raw
+    return (inner.decode(errors="replace") if inner else None), cut
+
+
+def packed_layers(raw: bytes, begin: np.ndarray, end: np.ndarray, most: int):
+    """Layers of compressed data anywhere in bytes; each covers the source from its first byte on. (layers, whether one was cut)"""
+    out, cut = [], False
+    for m in PACKED.finditer(raw):
+        text, short = unpacked(raw[m.start() :], most)
+        cut |= short
+        if text:
+            out.append((text, np.full(len(text), begin[m.start()]), np.full(len(text), end[-1])))
+    return out, cut
+
+
+def percent_bytes(part: str, at: int):
     raw, begin, end, i = bytearray(), [], [], 0
     while i < len(part):
         if part[i] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", part[i + 1 : i + 3]):
@@ -81,7 +146,7 @@ def percent_layer(part: str, at: int):
         begin += [at + i] * len(code)
         end += [at + i + step] * len(code)
         i += step
-    return _characters(bytes(raw), np.array(begin), np.array(end))
+    return bytes(raw), np.array(begin), np.array(end)
 
 
 def escape_layer(part: str, at: int):
@@ -101,30 +166,67 @@ def escape_layer(part: str, at: int):
     return "".join(chars), np.array(begin), np.array(end)
 
 
-def base64_layer(part: str, at: int, most: int):
-    """Text of a base64 run, through gzip or zlib if its bytes are compressed. (layer, whether it was cut at ``most``)"""
+def base64_layers(part: str, place: np.ndarray, most: int):
+    """Layers of a base64 run whose characters lie at ``place``: its text, and what is compressed in it. (layers, whether one was cut)"""
     body = part.rstrip("=")
     if len(body) % 4 == 1:
         body = body[:-1]
     try:
         raw = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
-        return None, False
-    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-        cut = False
-        while raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            try:
-                unpack = zlib.decompressobj(47)
-                raw = unpack.decompress(raw, most)
-            except zlib.error:
-                return None, cut
-            cut |= bool(unpack.unconsumed_tail)
-        text = raw.decode(errors="replace")
-        whole = np.full(len(text), at)
-        return (text, whole, whole + len(part)), cut
-    place = np.arange(len(raw))
-    layer = _characters(raw, at + place * 4 // 3, at + np.minimum(-(-(place + 1) * 4 // 3), len(part)))
-    return (layer if layer and _printable(layer[0]) else None), False
+        return [], False
+    if not raw:
+        return [], False
+    byte = np.arange(len(raw))
+    begin, end = place[byte * 4 // 3], place[np.minimum(-(-(byte + 1) * 4 // 3), len(part)) - 1] + 1
+    text, cut = unpacked(raw, most)
+    if text:
+        return [(text, np.full(len(text), place[0]), np.full(len(text), place[-1] + 1))], cut
+    inner, short = packed_layers(raw, begin, end, most)
+    return [_characters(raw, begin, end), *inner], cut | short
+
+
+def opened_layers(layer: str, most: int):
+    """Everything that unwraps from a layer: each part alone. (layers, whether one was cut)"""
+    out, views, cut = [], [], False
+    if "%" in layer:
+        view = []
+        for m in PERCENT.finditer(layer):
+            raw, begin, end = percent_bytes(m[0], m.start())
+            inner, short = packed_layers(raw, begin, end, most)
+            cut |= short
+            out += inner
+            view.append((*m.span(), _characters(raw, begin, end)))
+        views.append(view)
+    if "\\" in layer:
+        view = []
+        for m in ESCAPE.finditer(layer):
+            part = escape_layer(m[0], m.start())
+            inner, short = packed_layers(part[0].encode("latin-1", "replace"), *part[1:], most)
+            cut |= short
+            out += inner
+            view.append((*m.span(), part))
+        views.append(view)
+    runs = [np.arange(*m.span()) for m in BASE64.finditer(layer)]
+    for places in (runs,):
+        view = []
+        for place in places:
+            a, b = int(place[0]), int(place[-1]) + 1
+            run = layer[a:b] if b - a == len(place) else "".join(layer[i] for i in place.tolist())
+            inner, short = base64_layers(run, place, most)
+            cut |= short
+            out += inner
+            if inner and _printable(inner[0][0]):
+                view.append((a, b, inner[0]))
+            elif SEPARATOR.search(run):  # of a path or a name: its parts may be base64
+                for x in BASE64_PART.finditer(run):
+                    some, short = base64_layers(x[0], place[x.start() : x.end()], most)
+                    cut |= short
+                    out += some
+        views.append(view)
+    for view in filter(None, views):
+        out += [inner for *_, inner in view]
+    return out, cut
 
 
 def deep_scan(text: str) -> tuple[list[Span], list[Span], int, bool]:
@@ -135,24 +237,11 @@ def deep_scan(text: str) -> tuple[list[Span], list[Span], int, bool]:
     work = deque([(text, None, None)])
     while work:
         layer, begin, end = work.popleft()
-        opened = []
-        if "%" in layer:
-            opened += [(m, percent_layer(m[0], m.start())) for m in PERCENT.finditer(layer)]
-        if "\\" in layer:
-            opened += [(m, escape_layer(m[0], m.start())) for m in ESCAPE.finditer(layer)]
-        for m in BASE64.finditer(layer):
-            inner, short = base64_layer(m[0], m.start(), max(1, left))
-            cut |= short
-            if inner is None and SEPARATOR.search(m[0]):  # of a path or a name: its parts may be base64
-                for x in BASE64_PART.finditer(m[0]):
-                    part, short = base64_layer(x[0], m.start() + x.start(), max(1, left))
-                    cut |= short
-                    opened.append((x, part))
-            opened.append((m, inner))
-        for m, inner in opened:
-            if inner is None or inner[0] == m[0] or not inner[0]:
+        opened, short = opened_layers(layer, max(1, left))
+        cut |= short
+        for inside, first, last in opened:
+            if not inside or inside == layer:
                 continue
-            inside, first, last = inner
             if begin is not None:
                 first, last = begin[first], end[last - 1]
             key = (inside, int(first[0]), int(last[-1]))

@@ -76,3 +76,23 @@ def test_decompression_is_bounded(monkeypatch):
     monkeypatch.setattr(S, "LAYER_LEAST", 1000)
     bomb = base64.b64encode(zlib.compress(b" " * 10_000_000)).decode()
     assert S.deep_scan(bomb)[3]
+
+
+def found(text):
+    return [text[a:b] for a, k, b in S.deep_scan(text)[1] if k == 0]
+
+
+def test_layers_that_are_partly_no_text():
+    coded = lambda raw: base64.b64encode(raw).decode()
+    for text in (
+        coded(b"x token=abcdefgh99"),
+        coded(zlib.compress(b"x token=abcdefgh99")),
+        coded(b"x^ token=abcdefgh99"),
+        coded(bytes(range(128, 160)) + b" token=abcdefgh99 "),
+        coded(b"\0\1\2\3\4\5\6" + b" token=abcdefgh99"),
+        coded(zlib.compress(b"token=abcdefgh99 " + bytes(range(256)) * 30)[:-40] + b"\xff" * 40),
+    ):
+        assert S.deep_scan(text)[1], text
+    assert found("/?q=caf%E9&token%3Dabcdefgh1") == ["token%3Dabcdefgh1"]
+    for raw in (gzip.compress(b"token=abcdefgh99", mtime=0), zlib.compress(b"token=abcdefgh99")):
+        assert found("data=" + quote(raw)) and found('b"' + "".join(f"\\x{c:02x}" for c in raw) + '"')
