@@ -1,8 +1,8 @@
 """Secret scans over nested encodings.
 
 Each text starts a worklist. A layer is scanned, then every encoded part of it is unwrapped into
-further layers: percent escapes, ``\\u`` and ``\\x`` escapes, base64, and gzip or zlib data inside any of them. A layer
-keeps, for each of its characters, the place in the original text it comes from, so a secret
+further layers: percent escapes, ``\\u`` and ``\\x`` escapes, base64 (also over line breaks), and gzip or zlib data inside any of them. A part
+is a layer alone, and the text around it with the parts of that encoding put in place is another. A layer keeps, for each of its characters, the place in the original text it comes from, so a secret
 found at any depth is reported as a span of the original. Layers seen before (same text from the
 same place) are not opened again, and the list runs until it is empty.
 """
@@ -35,6 +35,9 @@ PERCENT = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 ESCAPE = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|u\{[0-9A-Fa-f]{1,6}\})[^\s\\]*)+")
 ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|u\{([0-9A-Fa-f]{1,6})\})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs over single line breaks, in either alphabet; indented lines too.
+CHAINS = tuple(re.compile(rf"(?<![{c}])[{c}]++(?:\r?\n[ \t]*+[{c}]++)+={{0,2}}") for c in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Headers that compressed data have in practice; at the front of base64 any valid one counts.
 PACKED, STEP = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]"), 1024
 SEPARATOR, BASE64_PART = re.compile(r"[/_-]"), re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
@@ -186,8 +189,45 @@ def base64_layers(part: str, place: np.ndarray, most: int):
     return [_characters(raw, begin, end), *inner], cut | short
 
 
+def wrapped_runs(layer: str) -> Iterator[np.ndarray]:
+    """Places of base64 characters in runs over single line breaks: each whole chain of lines, and the blocks of equal width in it."""
+    for chain in CHAINS:
+        for m in chain.finditer(layer):
+            lines = [(x.start(), x.end()) for x in LINE.finditer(layer, m.start(), m.end())]
+            size = [b - a for a, b in lines]
+            if max(size) < 16:
+                continue
+            blocks, i = {(0, len(lines))}, 0
+            for i in range(len(lines) - 1):
+                if i and size[i] == size[i - 1]:
+                    continue
+                j = i + 1  # lines after the first are of one width, and the last is no wider
+                while j + 1 < len(lines) and size[j + 1] == size[i + 1]:
+                    j += 1
+                blocks.add((i, min(len(lines), j + 1 + (j + 1 < len(lines) and size[j + 1] < size[i + 1]))))
+            for a, b in sorted(blocks):
+                yield np.concatenate([np.arange(*x) for x in lines[a:b]])
+
+
+def in_place(layer: str, parts: list) -> tuple[str, np.ndarray, np.ndarray]:
+    """The layer with decoded parts (start, end, inner) in their places."""
+    text, first, last, i = [], [], [], 0
+    for a, b, inner in [*sorted(parts, key=lambda p: (p[0], -p[1])), (len(layer), len(layer), None)]:
+        if a < i:
+            continue
+        text.append(layer[i:a])
+        first.append(np.arange(i, a))
+        last.append(np.arange(i + 1, a + 1))
+        if inner:
+            text.append(inner[0])
+            first.append(inner[1])
+            last.append(inner[2])
+        i = b
+    return "".join(text), np.concatenate(first), np.concatenate(last)
+
+
 def opened_layers(layer: str, most: int):
-    """Everything that unwraps from a layer: each part alone. (layers, whether one was cut)"""
+    """Everything that unwraps from a layer: each part alone, and per encoding the layer with those parts in place. (layers, whether one was cut)"""
     out, views, cut = [], [], False
     if "%" in layer:
         view = []
@@ -208,7 +248,7 @@ def opened_layers(layer: str, most: int):
             view.append((*m.span(), part))
         views.append(view)
     runs = [np.arange(*m.span()) for m in BASE64.finditer(layer)]
-    for places in (runs,):
+    for places in (runs, wrapped_runs(layer) if "\n" in layer else ()):
         view = []
         for place in places:
             a, b = int(place[0]), int(place[-1]) + 1
@@ -226,6 +266,7 @@ def opened_layers(layer: str, most: int):
         views.append(view)
     for view in filter(None, views):
         out += [inner for *_, inner in view]
+        out.append(in_place(layer, view))
     return out, cut
 
 

@@ -82,6 +82,25 @@ def found(text):
     return [text[a:b] for a, k, b in S.deep_scan(text)[1] if k == 0]
 
 
+def test_secrets_that_lie_in_part_outside_the_encoded_run():
+    assert found('{"password": "\\u0068unter2hunter2"}') == ['password": "\\u0068unter2hunter2']
+    assert found("token = abc%64efgh1234") == ["token = abc%64efgh1234"]
+    value = base64.b64encode(b"hunter2hunter2").decode().rstrip("=")
+    assert f"token :  {value}" in found(f"token :  {value}")
+    assert found('secret = "%5Cu0061bcdefgh%31"') == ['secret = "%5Cu0061bcdefgh%31']
+
+
+@pytest.mark.parametrize("pack", [bytes, lambda raw: gzip.compress(raw, mtime=0), zlib.compress])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+def test_base64_over_line_ends(pack, end):
+    inside = "".join(chr(33 + i * i % 89) for i in range(50)) + " token=" + "Abcdefgh12" * 5 + " " + "".join(chr(33 + i * i * i % 89) for i in range(90))
+    coded = base64.b64encode(pack(inside.encode())).decode()
+    wrapped = end.join(coded[i : i + 76] for i in range(0, len(coded), 76))
+    for text in (wrapped, f"-----BEGIN CERTIFICATE-----\n{wrapped}\n-----END", f"somewhere\nelse\n{wrapped}\nand on"):
+        spans = S.deep_scan(text)[1]
+        assert any(k == 0 and (pack is not bytes or b - a >= 76) for a, k, b in spans), text
+
+
 def test_layers_that_are_partly_no_text():
     coded = lambda raw: base64.b64encode(raw).decode()
     for text in (
