@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import is_empty, materialise
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the url's path starts with its path; the longest wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
-ROUNDS = 12
-#: A host is blocked if its distrust is over RATIO times its trust and over LEAST times an evenly spread rank.
-RATIO, LEAST = 1.0, 1.0
+#: Steps go on until ranks, of a sum of 1, change by less than this in all over ROUND_CUT steps.
+TOLERANCE = 1e-6
+#: A host is blocked if its distrust is over RATIO times its trust, each a share of its kind's whole rank.
+RATIO = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 #: Steps between two tables written.
@@ -51,26 +52,35 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", host_of(full).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """kind, host, rank after ``rounds`` steps of personalised PageRank.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
+    """kind, host, rank after ``rounds`` steps of personalised PageRank, or when ranks change by less than TOLERANCE.
 
     edges: kind, src, dst, n; seeds: kind, host, weight. Each kind is a graph of its own. Rank that a host without
-    links would pass on is lost, which leaves the order of hosts as it is.
+    links would pass on is lost; once ranks have settled, scaling them to a sum of 1 is the same as handing it back to the seeds.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     edges = materialise(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
     seeds = materialise(seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("rank")))
-    rank = seeds
-    for i in range(rounds):
+    if rounds is None and is_empty(edges):
+        rounds = 1
+    rank = before = seeds
+    i = 0
+    while i != rounds:
         moved = edges.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         rank = moved.unionByName(seeds.withColumn("rank", F.col("rank") * (1 - damping))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % ROUND_CUT == ROUND_CUT - 1 or i == rounds - 1:
+        i += 1
+        if i % ROUND_CUT == 0 or i == rounds:
             rank = materialise(rank)
+            if rounds is None:
+                change = rank.unionByName(before.withColumn("rank", -F.col("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("change"))
+                if (change.agg(F.sum("change")).first()[0] or 0.0) < TOLERANCE:
+                    break
+                before = rank
     return rank
 
 
-def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, rounds: int | None = None) -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, trust, distrust (of the host, as multiples of an even spread).
 
     Null urls and those without ``://`` have empty host and path, fit no rule and are allowed, as is any host that no seed
@@ -87,10 +97,11 @@ def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     seeds = hosts.select(F.lit("trust").alias("kind"), "host", F.col("allowed").alias("weight")).unionByName(hosts.select(F.lit("distrust").alias("kind"), "host", F.col("blocked").alias("weight"))).filter("weight > 0")
     rank = propagate(both, seeds, rounds=rounds)
+    rank = rank.join(F.broadcast(rank.groupBy("kind").agg(F.sum("rank").alias("all"))), "kind").select("kind", "host", (F.col("rank") / F.col("all")).alias("rank"))
     count = F.lit(float(max(1, hosts.count())))
-    of = lambda k: F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)), 12)
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0))
     score = rank.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
-    score = score.select("host", (F.col("trust") * count).alias("trust"), (F.col("distrust") * count).alias("distrust"))
+    bad = F.col("distrust") > RATIO * F.col("trust") * (1 + TOLERANCE)
+    score = score.select("host", bad.alias("bad"), *((F.round(k, 12) * count).alias(k) for k in ("trust", "distrust")))
     out = judged.join(score, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    bad = (F.col("distrust") > RATIO * F.col("trust")) & (F.col("distrust") > LEAST)
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"), "trust", "distrust")

@@ -58,3 +58,24 @@ def test_rules_on_the_whole_table(spark, sf):
             assert (r["rule"], r["verdict"]) == max(fits, key=lambda f: len(f[0]))
         else:
             assert r["rule"] is None and r["verdict"] in ("allow", "block")
+
+
+def test_verdicts_do_not_depend_on_other_hosts(spark):
+    rows = [page(i, f"http://bad{i}.net/") for i in range(6)]
+    rows += [page(10, "http://farm.test/", "http://bad0.net/1"), page(11, "http://good.org/fr/", "http://friend.test/"), page(12, "http://friend.test/x")]
+    rows += [page(20 + i, f"http://far{i}.test/", f"http://far{i + 1}.test/") for i in range(16)] + [page(36, "http://far16.test/", "http://bad1.net/")]
+    idle = [page(100 + i, f"http://calm{i}.test/") for i in range(40)]
+    verdicts = []
+    for some in (rows, rows + idle):
+        out = {r["page_id"]: r["verdict"] for r in L.judge_pages(spark.createDataFrame(some, "page_id long, url string, html string")).collect()}
+        assert all(out.pop(r[0]) == "allow" for r in some if r[0] >= 100)
+        verdicts.append(out)
+    assert verdicts[0] == verdicts[1] == {r[0]: "allow" if r[0] in (11, 12) else "block" for r in rows}
+
+
+def test_ranks_settle(spark):
+    links = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("a", "d", 1)]
+    edges = spark.createDataFrame([("k", *x) for x in links], "kind string, src string, dst string, n long")
+    got = {r["host"]: r["rank"] for r in L.propagate(edges, spark.createDataFrame([("k", "a", 1)], "kind string, host string, weight long")).collect()}
+    want = brute(links, {"a": 1}, 300)
+    assert sum(abs(got[h] - want[h]) for h in want) < 3 * L.TOLERANCE
