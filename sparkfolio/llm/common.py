@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -25,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -43,11 +48,9 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def _remove() -> None:
     for spark, path in _written:
-        try:
+        with contextlib.suppress(Exception):  # the session may have ended before
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may have ended before
-            return
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -90,45 +93,88 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class BitFilter:
-    """Which 64-bit values are in a set: a bitmap of fixed size, so broadcasting it is bounded whatever the data.
+    """Which values are in a set: a bitmap of about eight bits for each, of 32 MB at most whatever the data.
 
-    It has no false negatives. A growing set only makes it let more through, so whatever uses it
-    must still join exactly afterwards.
+    It has no false negatives. Beyond four million values it lets more through, so whatever uses it
+    must still join exactly afterwards. ``hashed``: the values are spread 64-bit hashes themselves.
     """
 
-    BITS = 26
+    LEAST_BITS, MOST_BITS = 16, 28
     _PART = 32768  # bits of one map of bitmap_construct_agg
 
-    def __init__(self, values: DataFrame):
-        name = values.columns[0]
-        slot = F.pmod(F.xxhash64(F.col(name)), F.lit(1 << self.BITS))
-        parts = values.groupBy((slot / self._PART).cast("long").alias("part")).agg(F.bitmap_construct_agg(F.pmod(slot, F.lit(self._PART)).cast("long")).alias("bits"))
-        whole = bytearray(1 << self.BITS - 3)
-        for row in parts.toLocalIterator():  # 2048 rows of 4 KB at most
+    def __init__(self, values: DataFrame, hashed: bool = False):
+        name, self._hashed = values.columns[0], hashed
+        self.bits = min(self.MOST_BITS, max(self.LEAST_BITS, (8 * values.count()).bit_length()))
+        slot = self.slot_of(F.col(name))
+        parts = values.filter(F.col(name).isNotNull()).groupBy((slot / self._PART).cast("long").alias("part")).agg(F.bitmap_construct_agg(F.pmod(slot, F.lit(self._PART)).cast("long")).alias("bits"))
+        whole = bytearray(1 << self.bits - 3)
+        for row in parts.toLocalIterator():  # 8192 rows of 4 KB at most
             whole[row["part"] * 4096 : row["part"] * 4096 + len(row["bits"])] = row["bits"]
         self._shared = values.sparkSession.sparkContext.broadcast(bytes(whole))
 
-    @classmethod
-    def slot_of(cls, column):
-        """The slot of a column, to be handed to ``has`` or ``column``."""
-        return F.pmod(F.xxhash64(column), F.lit(1 << cls.BITS))
+    def slot_of(self, column):
+        """The slot of a column, to be handed to ``has_slot``."""
+        return F.pmod(column if self._hashed else F.xxhash64(column), F.lit(1 << self.bits))
 
-    def has(self, slots: np.ndarray) -> np.ndarray:
+    def has_slot(self, slots: np.ndarray) -> np.ndarray:
         bits = np.frombuffer(self._shared.value, np.uint8)
         return (bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
 
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether hashes may be in a set of hashes."""
+        return self.has_slot((hashes.view(np.uint64) & np.uint64((1 << self.bits) - 1)).astype(np.int64))
+
     def column(self, column):
         """A boolean column: whether the value may be in the set."""
-        @F.pandas_udf("boolean")
-        def look(slots: pd.Series) -> pd.Series:
-            return pd.Series(self.has(slots.to_numpy()))
-
+        look = F.arrow_udf(lambda slots: pa.array(self.has_slot(slots.to_numpy())), "boolean")
         return look(self.slot_of(column))
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in the one column of ``dropped``. Only rows that may be among those are shuffled."""
-    dropped = dropped.select(F.col(dropped.columns[0]).alias("__dropped"))
-    mark = docs.withColumn("__maybe", BitFilter(dropped).column(F.col(id_col)))
-    maybe = mark.filter("__maybe").drop("__maybe").join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
-    return mark.filter("not __maybe").drop("__maybe").unionByName(maybe)
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
+def text_hash(text_col: str) -> Column:
+    """64 bits of a text; null counts as empty. With the row's id it tells rows that repeat an id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id and ``text_hash`` are in ``dropped`` (doc_id, th). Only rows whose text may be among those are shuffled.
+
+    Null ids equal null ids; all rows of a dropped id and text go; nothing is dropped by an empty ``dropped``; columns of any name stay as they are.
+    """
+    th, mark, gone_id, gone_th = (free_name(docs, f"without_{x}") for x in ("th", "mark", "id", "gone"))
+    dropped = dropped.select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th))
+    some = BitFilter(dropped.select(gone_th))
+    marked = docs.withColumn(th, text_hash(text_col))
+    marked = marked.withColumn(mark, some.column(F.col(th)))
+    rest = marked.filter(F.col(mark)).join(dropped, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(th) == F.col(gone_th)), "left_anti")
+    return marked.filter(~F.col(mark)).unionByName(rest).drop(th, mark)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` over the batches of a task, after which the worker gives the memory it no longer needs back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)

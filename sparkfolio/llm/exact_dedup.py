@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, id_text, is_empty, materialise, slices, utf8
+from .common import BitFilter, free_name, id_text, is_empty, materialise, slices, text_hash, tidy, utf8
+from .rolling import LOWER
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 69069069)
@@ -24,8 +25,6 @@ BASES = (1000003, 69069069)
 CHUNK, CHUNKS = 16384, 256
 COMPARE = 65536
 SALT_ROWS = 256
-#: A-Z to a-z, all other bytes as they are.
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def powers(n: int, primes=PRIMES) -> np.ndarray:

@@ -1,10 +1,10 @@
 """Near copies by the exact Jaccard similarity of their word shingles.
 
-Fingerprints of texts at similarity 0.8 differ in up to a dozen bits and more, where no key scheme on 64 bits is selective. So keys are
-shingles: order all shingles alike everywhere, and two sets of similarity ``LEAST`` share one of their first n - ceil(LEAST * n) + 1. Rare shingles come
-first in the order, as a bounded sample of documents tells; the sample only orders, so it bears on speed and not on what is found. Pairs that share a key are
-verified on their whole sets: after a bound by histograms, first neighbours within each key's bucket, whose links contract large groups of copies, then all pairs
-of a bucket that are not yet connected.
+Candidates come from two places. Fingerprints (SimHash of the set of shingles) that share a Golay key bring most of a large group together. The rest
+come from shingles: order all shingles alike everywhere, and two sets of similarity ``LEAST`` share one of their first n - ceil(LEAST * n) + 1. Any order is
+right; here shingles that are frequent among those first ones go last, as counts over all documents tell, so that buckets stay small. All pairs
+are verified on their whole sets, after a bound by histograms. First come neighbours in the buckets and linked fingerprints, whose links contract groups of
+copies, then the pairs of a bucket that are not yet connected.
 """
 
 from __future__ import annotations
@@ -13,79 +13,121 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BitFilter, id_text, materialise, slices, texts
+from .common import BitFilter, free_name, is_empty, materialise, slices, text_hash, tidy, utf8, without
 from .components import components
+from .rolling import majority_bits, shingle_sets
+from .simhash import near_links
 
-SEED = 42
 SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
-#: Documents whose shingles tell which are common, and how many of those are told apart at most.
-SAMPLE, COMMON = 10_000, 200_000
+#: Shingles that come first in more documents than this go last in the order; counted anew so many times.
+OFTEN, ROUNDS = 32, 2
 #: Buckets of the histogram that bounds the overlap of two sets before the sets move.
 BINS = 128
-#: A bucket beyond this is dealt out in pairs of blocks.
+#: A bucket beyond this is dealt out: by hash for neighbours, in pairs of blocks for pairs.
 BUCKET = 4096
+#: Bytes of text that are hashed at a time.
+SLICE = 1 << 18
 
 
-def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles: words between ASCII white space, A-Z lower-cased. A text of fewer words is one shingle."""
-    words = text.encode().lower().split()
-    joined, n = b" ".join(words), len(words)
-    if n <= shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64).view(np.int64)
-    end = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    begin, end = np.append(0, end[: n - shingle]), end[shingle - 1 :] - 1
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, len(begin))
-    return np.unique(hashes.view(np.int64))
+def _sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    return shingle_sets(*utf8(batch.column("text")), shingle)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
-    """The first of a set's shingles in the order of all: those not ``common`` by hash, then ``common`` ones (sorted) by ``rank``."""
-    n = len(hashes)
-    most = n - -(-least[0] * n // least[1]) + 1
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        place = np.where(common[at] == hashes, rank[at], -1)
-        hashes = hashes[np.argsort(place, kind="stable")]
-    return hashes[:most]
+def first_shingles(hashes: np.ndarray, count: np.ndarray, last: np.ndarray | None, least: tuple[int, int] = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set (sorted hashes, set by set) that similar sets must share one of, and how many of each set. ``last`` marks those that go last."""
+    owner = np.repeat(np.arange(len(count)), count)
+    if last is not None and last.any():
+        hashes = hashes[np.lexsort((hashes, last, owner))]
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
+    most = count - -(-least[0] * count // least[1]) + 1
+    return hashes[place < most[owner]], np.minimum(most, count)
 
 
-def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in several documents of a sample, sorted, and the rank of each from the rarest up."""
-    share = max(1, docs.count() // SAMPLE)
+def _first(batch: pa.RecordBatch, shingle: int, least: tuple[int, int], often: BitFilter | None):
+    hashes, count = _sets(batch, shingle)
+    keys, size = first_shingles(hashes, count, None if often is None else often.has(hashes), least)
+    return hashes, count, keys, size
+
+
+def _often(docs: DataFrame, shingle: int, least: tuple[int, int]) -> BitFilter | None:
+    """Shingles that come first in more than OFTEN documents, and those that do once these go last."""
+    bits, found = None, None
+    for _ in range(ROUNDS):
+        seen = bits
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text", SLICE):
+                yield pa.record_batch({"key": pa.array(_first(batch, shingle, least, seen)[2].view(np.int64))})
+
+        new = docs.select("text").mapInArrow(tidy(rows), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > OFTEN).select("key")
+        new = materialise(new)
+        if is_empty(new):
+            break
+        found = new if found is None else materialise(found.unionByName(new).distinct())
+        bits = BitFilter(found, hashed=True)
+    return bits
+
+
+def _documents(docs: DataFrame, shingle: int, least: tuple[int, int], often: BitFilter | None) -> DataFrame:
+    """node, doc_id, th, n, fp, keys: of each document the size and fingerprint of its set, and its first shingles. Rows equal in id and text are one node."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            yield pa.record_batch({"hash": pa.array(np.concatenate([shingle_set(t, shingle) for t in texts(batch.column("text"))] or [np.empty(0, np.int64)]))})
+        for batch in slices(batches, "text", SLICE):
+            hashes, count, keys, size = _first(batch, shingle, least, often)
+            listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(keys.view(np.int64)))
+            fp = majority_bits(hashes, count)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "th": batch.column("th"), "n": pa.array(count.astype(np.int64)), "fp": pa.array(fp.view(np.int64)), "keys": listed})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = materialise(docs.mapInArrow(tidy(rows), f"doc_id {kind}, th long, n long, fp long, keys array<long>").withColumn("node", F.monotonically_increasing_id()))
+    again = materialise(out.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("one")).filter("rows > 1").select(F.col("doc_id").alias("again_id"), F.col("th").alias("again_th"), "one"))
+    if is_empty(again):
+        return out
+    same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("th") == F.col("again_th")) & (F.col("node") != F.col("one"))
+    return materialise(out.join(again, same, "left_anti"))
 
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(share)) == 0).mapInArrow(rows, "hash long")
-    found = some.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "hash").limit(COMMON).toPandas()
-    hashes = found["hash"].to_numpy(np.int64)[::-1]
-    order = np.argsort(hashes)
-    return hashes[order], order
 
+def _pair(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
-def _key_rows(shingle: int, least: tuple[int, int], shared):
-    """A maker of (key, n, node) rows: the prefix of each set, and the set's size."""
+
+def _by_fingerprint(nodes: DataFrame, limit: int) -> DataFrame:
+    """Pairs (u, v) of nodes with equal fingerprints or linked ones: each with the least node of its fingerprint, and those with each other."""
+    one = materialise(nodes.groupBy("fp").agg(F.min("node").alias("one")))
+    equal = nodes.select("node", "fp").join(one, "fp").filter("node <> one").select(*_pair("one", "node"))
+    links = materialise(near_links(one, limit))
+    ends = links.join(one.select(F.col("fp").alias("u"), F.col("one").alias("a")), "u").join(one.select(F.col("fp").alias("v"), F.col("one").alias("b")), "v")
+    return equal.unionByName(ends.select(*_pair("a", "b")))
+
+
+def _shared_rows(nodes: DataFrame) -> DataFrame:
+    """key, n, node, rows: first shingles that ``rows`` > 1 documents have, row by row."""
+    counts = materialise(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+    some = BitFilter(counts.select("key"), hashed=True)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = shared.value
-        for batch in slices(batches, "text"):
-            sets = [shingle_set(t, shingle) for t in texts(batch.column("text"))]
-            keys = [prefix(s, common, rank, least) for s in sets]
-            size = [len(k) for k in keys]
-            if keys:
-                n = np.repeat([len(s) for s in sets], size).astype(np.int64)
-                node = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), size).astype(np.int64)
-                yield pa.record_batch({"key": pa.array(np.concatenate(keys)), "n": pa.array(n), "node": pa.array(node)})
+        for batch in batches:
+            size = batch.column("keys").value_lengths().to_numpy()
+            keys = batch.column("keys").flatten().to_numpy()
+            go = some.has(keys)
+            owner = pa.array(np.repeat(np.arange(len(size)), size)[go])
+            yield pa.record_batch({"key": pa.array(keys[go]), "n": batch.column("n").take(owner), "node": batch.column("node").take(owner)})
+
+    found = materialise(nodes.select("keys", "n", "node").mapInArrow(rows, "key long, n long, node long"))
+    return materialise(found.join(counts, "key"))  # AQE can split a frequent key between two written tables
 
-    return rows
+
+def _neighbours(shared: DataFrame, least: tuple[int, int], limit: int, turn: int) -> DataFrame:
+    """Pairs (u, v) of nodes that stand next to each other in a bucket, by size, if they may be similar. A large bucket is dealt by a hash that each turn has its own of."""
+    part = F.when(F.col("rows") <= limit, 0).otherwise(F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("rows") / limit)))
+    bucket = Window.partitionBy("key", "part").orderBy("n", "node")
+    beside = shared.withColumn("part", part).withColumns({"before": F.lag("node").over(bucket), "less": F.lag("n").over(bucket)})
+    return beside.filter(F.col("less") * least[1] >= F.col("n") * least[0]).select(*_pair("node", "before"))
 
 
 def _bucket_pairs(least: tuple[int, int]):
@@ -118,14 +160,33 @@ def _bucket_pairs(least: tuple[int, int]):
     return rows
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
+def _open_pairs(shared: DataFrame, roots: DataFrame, least: tuple[int, int], limit: int) -> DataFrame:
+    """Pairs (u, v) of nodes that share a first shingle, may be similar by their sizes and are not connected yet."""
+    rooted = materialise(shared.select("key", "n", "node").join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root")))
+    open_keys = materialise(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "rows"))
+    last = F.ceil(F.col("rows") / limit) - 1
+    dealt = rooted.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), last + 1)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = dealt.select(F.when(last == 0, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))).alias("key"), "n", "node", "root")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_bucket_pairs(least)), "u long, v long")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
     """The pairs (u, v) whose whole sets have the least similarity. Only texts of documents in some pair are hashed and moved."""
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sets = [shingle_set(t, shingle) for t in texts(batch.column("text"))]
-            bins = [np.bincount(s & (BINS - 1), minlength=BINS).astype(np.int32).tobytes() for s in sets]
-            yield pa.record_batch({"node": batch.column("doc_id"), "bins": pa.array(bins, pa.binary()), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
+        for batch in slices(batches, "text", SLICE):
+            hashes, count = _sets(batch, shingle)
+            owner = np.repeat(np.arange(len(count)), count)
+            bins = np.bincount(owner * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=len(count) * BINS).astype(np.int32)
+            cut = np.append(0, np.cumsum(count))
+            whole = hashes.tobytes()
+            yield pa.record_batch(
+                {
+                    "node": batch.column("node"),
+                    "bins": pa.array([b.tobytes() for b in bins.reshape(-1, BINS)], pa.binary()),
+                    "hashes": pa.array([whole[8 * a : 8 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary()),
+                }
+            )
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,48 +201,66 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, least: tuple[int,
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("a"), batch.column("b")):
-                a, b = (np.frombuffer(x.as_buffer(), np.int64) for x in (a, b))
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both * least[1] >= least[0] * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = materialise(pairs.filter("u <> v").distinct())
-    inside = materialise(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    some = docs.filter(BitFilter(inside).column(F.col("doc_id"))).join(inside, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = materialise(some.mapInArrow(set_rows, "node long, bins binary, hashes binary"))
+    inside = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    inside = materialise(nodes.select("node", F.col("doc_id").alias("in_id"), F.col("th").alias("in_th")).join(inside, "node"))
+    some = docs.filter(BitFilter(inside.select("in_th")).column(F.col("th"))).dropDuplicates(["doc_id", "th"])
+    some = some.join(inside, F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.col("th") == F.col("in_th"))).select("node", "text")
+    sets = materialise(some.mapInArrow(tidy(set_rows), "node long, bins binary, hashes binary"))
 
     def beside(pairs: DataFrame, column: str) -> DataFrame:
         first = pairs.join(sets.select(F.col("node").alias("u"), F.col(column).alias("a")), "u")
         return first.join(sets.select(F.col("node").alias("v"), F.col(column).alias("b")), "v").select("u", "v", "a", "b")
 
-    likely = materialise(beside(pairs, "bins").mapInArrow(bound, "u long, v long").distinct())
-    return materialise(beside(likely, "hashes").mapInArrow(check, "u long, v long"))
+    likely = materialise(beside(pairs, "bins").mapInArrow(bound, "u long, v long"))
+    return materialise(beside(likely, "hashes").mapInArrow(tidy(check), "u long, v long"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, limit: int = BUCKET) -> DataFrame:
-    """One row for each document that has near copies: doc_id, component_id.
+    """One row per input row: doc_id, th (``text_hash``), component_id, kept.
 
-    Documents are linked where the Jaccard similarity of their sets of shingles (by 64-bit hashes) is ``least`` or more, and ``component_id`` is the
-    smallest id reachable. Null texts count as empty; texts without words are alike. Ids are integers; rows with a null id are left out, and
-    rows that repeat an id are linked where any of them is.
+    Documents are linked where the Jaccard similarity of their sets of word shingles is ``least`` or more. Fingerprints of the sets that share a Golay key and
+    are at three bits or fewer are the first candidates; they bring large groups together, but at a similarity of 0.8 most fingerprints are further apart, so
+    the shingles find the rest, and every link is verified on the sets. ``component_id`` is the smallest id reachable, and one row of each component is
+    ``kept``: that of the smallest id (nulls last) and text hash. Null texts count as empty; texts without words are alike; rows that repeat an id are rows of
+    their own; rows equal in id and text are one document, with equal values. An empty table gives no rows.
     """
-    docs = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).filter("doc_id is not null")
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
-    keys = docs.mapInArrow(_key_rows(shingle, least, shared), "key long, n long, node long")
-    bucket = Window.partitionBy("key").orderBy("n", "node")
-    beside = keys.withColumns({"before": F.lag("node").over(bucket), "less": F.lag("n").over(bucket), "after": F.lead("node").over(bucket)})
-    rows = materialise(beside.filter("before is not null or after is not null").drop("after"))
-    next_to = rows.filter(F.col("less") * least[1] >= F.col("n") * least[0])
-
-    pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    links = _verified(docs, next_to.select(*pair("node", "before")), shingle, least)
-    roots = materialise(components(links))
-    rooted = materialise(rows.drop("before", "less").distinct().join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root")))
-    open_keys = materialise(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "rows"))
-    last = F.ceil(F.col("rows") / limit) - 1
-    dealt = rooted.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), last + 1)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    dealt = dealt.select(F.when(last == 0, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))).alias("key"), "n", "node", "root")
-    rest = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(least), "u long, v long")
-    links = links.unionByName(_verified(docs, rest, shingle, least))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_hash(text_col).alias("th"))
+    nodes = _documents(docs, shingle, least, _often(docs, shingle, least))
+    shared = _shared_rows(nodes)
+    largest = shared.agg(F.max("rows")).first()[0] or 0
+    first = _by_fingerprint(nodes, limit).unionByName(_neighbours(shared, least, limit, 0))
+    for turn in range(1, 3 if largest > limit else 1):  # parts of large buckets meet in other parts
+        first = first.unionByName(_neighbours(shared, least, limit, turn))
+    links = _verified(docs, nodes, first, shingle, least)
     roots = materialise(components(links))
-    return roots.join(roots.groupBy("root").agg(F.min("node").alias("component_id")), "root").select(F.col("node").alias("doc_id"), "component_id")
+    links = links.unionByName(_verified(docs, nodes, _open_pairs(shared, roots, least, limit), shingle, least))
+    roots = materialise(components(links).join(nodes.select("node", "doc_id", "th"), "node"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    best = materialise(roots.groupBy("root").agg(F.min(order).alias("best")))
+    member = roots.join(best, "root").select("node", F.col("best.doc_id").alias("component_id"), (order == F.col("best")).alias("kept"))
+    found = nodes.select("node", "doc_id", "th").join(materialise(member), "node", "left")
+    alone = F.col("kept").isNull()
+    out = found.select("doc_id", "th", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("kept", F.lit(True)).alias("kept"))
+    rows = docs.select("doc_id", "th")
+    out = out.withColumnsRenamed({"doc_id": "node_id", "th": "node_th"})
+    return rows.join(out, F.col("doc_id").eqNullSafe(F.col("node_id")) & (F.col("th") == F.col("node_th"))).select("doc_id", "th", "component_id", "kept")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that ``near_copies`` keeps, with all their columns; of rows equal in id and text, one. Null ids and texts as there."""
+
+    found = materialise(near_copies(docs, id_col, text_col, **settings))
+    out = without(docs, found.filter("not kept").select("doc_id", "th").distinct(), id_col, text_col)
+    again = materialise(found.filter("kept").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id", "th"))
+    if is_empty(again):
+        return out
+    th = free_name(docs, "near_th")
+    some = docs.withColumn(th, text_hash(text_col))
+    one = some.join(again.withColumnsRenamed({"doc_id": "again_id", "th": "again_th"}), F.col(id_col).eqNullSafe(F.col("again_id")) & (F.col(th) == F.col("again_th")), "left_semi")
+    return without(out, again, id_col, text_col).unionByName(one.dropDuplicates([id_col, th]).drop(th))

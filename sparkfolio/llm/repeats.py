@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, BitFilter, id_text, is_empty, materialise, slices, utf8
+from .rolling import gram_hashes
 
 LEAST = 400
 GRAM = 32
@@ -31,7 +32,6 @@ GRAM = 32
 BUCKET_SEGMENTS = 8192
 #: A bucket whose intervals hold so many members for each segment is counted as well.
 BUCKET_DEPTH = 200
-_BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = 22  # bits for a position in a slice of texts
 
 
@@ -107,36 +107,6 @@ def maximal_repeats(strings: list[bytes], least: int) -> list[tuple[int, list[tu
 # Segments
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(32)
-    return h
-
-
-class _Powers:
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, SLICE)
-            inverse = pow(_BASE, -1, 1 << 64)
-            cls.up = np.cumprod(np.append(np.uint64(1), np.full(size, _BASE, np.uint64)))
-            cls.down = np.cumprod(np.append(np.uint64(1), np.full(size, inverse, np.uint64)))
-        return cls.up, cls.down
-
-
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of each window of ``gram`` bytes."""
-    up, down = _Powers.of(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return _mixed((total[gram:] - total[:-gram]) * down[: len(data) - gram + 1])
-
-
 def _leftmost_least(h: np.ndarray, width: int) -> np.ndarray:
     """Place of the least hash among h[p:p + width], the leftmost of equals, for each p."""
     n = len(h)

@@ -5,6 +5,8 @@ block is equal, and of the other 48 bits one half of 24 differs in one bit at mo
 binary Golay code (23, 12, 7) turns such halves into keys: a half gives the indices of the codewords
 nearest to it and to all its neighbours at one bit, 1 to 6 of them, and halves at one bit share one. Block and
 index together are the join key; each candidate pair is verified on all 64 bits.
+
+``near_copies`` takes such links as candidates only and compares the sets of word shingles themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, is_empty, materialise, slices, texts
+from .common import id_text, is_empty, materialise, shuffle_width, slices, texts, tidy
 from .components import components
 
 SEED = 42
@@ -27,7 +29,7 @@ DISTANCE = 3
 GENERATOR = 0xC75
 #: Shingles of a long text that are counted at a time.
 BLOCK = 200_000
-#: A bucket beyond this is dealt out in pairs of blocks.
+#: A bucket beyond this is split by further bits; what is still beyond it is dealt out in pairs of blocks.
 BUCKET = 4096
 #: Nodes that a task remembers to leave out links it has already implied.
 FOREST = 500_000
@@ -137,8 +139,27 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
             row, key = fuzzy_keys(part.column("fp").to_numpy().view(np.uint64), golay)
-            row = pa.array(row)
-            yield pa.record_batch({"key": pa.array(key), "fp": part.column("fp").take(row), "node": part.column("node").take(row)})
+            yield pa.record_batch({"key": pa.array(key), "fp": part.column("fp").take(pa.array(row))})
+
+
+def further_keys(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of the four parts that a large bucket's fingerprints fall into again.
+
+    Fingerprints of a bucket that are linked differ in three bits at most in the other half, so one of its four stretches of six bits is equal.
+    """
+    which = (key >> 28).astype(np.uint64)
+    shift = (which >> np.uint64(1)) * np.uint64(16)
+    low = fp & ((np.uint64(1) << shift) - np.uint64(1))
+    rest = low | fp >> np.uint64(16) >> shift << shift
+    other = rest >> np.uint64(24) * (np.uint64(1) - (which & np.uint64(1)))
+    keys = [key << 8 | i << 6 | (other >> np.uint64(6 * i) & np.uint64(63)).astype(np.int64) for i in range(4)]
+    return np.tile(np.arange(len(key)), 4), np.concatenate(keys)
+
+
+def _further_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, key = further_keys(batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64))
+        yield pa.record_batch({"key": pa.array(key), "fp": batch.column("fp").take(pa.array(row))})
 
 
 def group_stars(fp: np.ndarray, distance: int = DISTANCE, block: int = 512) -> np.ndarray:
@@ -180,10 +201,10 @@ class _Forest:
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by key. Gives the links that connect each bucket's components, and that no earlier link of the task implies."""
     forest, links = _Forest(), []
-    key, fps, nodes = None, [], []  # the bucket that may go on in the next batch
+    key, fps = None, []  # the bucket that may go on in the next batch
 
-    def solve(fp: np.ndarray, node: np.ndarray) -> None:
-        fp = fp.view(np.uint64)
+    def solve(node: np.ndarray) -> None:
+        fp = node.view(np.uint64)
         if len(fp) == 2:
             if int(np.bitwise_count(fp[0] ^ fp[1])) > DISTANCE:
                 return
@@ -196,7 +217,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def close() -> None:
         if sum(map(len, fps)) > 1:
-            solve(np.concatenate(fps), np.concatenate(nodes))
+            solve(np.concatenate(fps))
 
     def found() -> pa.RecordBatch:
         pair = np.array(links, np.int64).reshape(-1, 2)
@@ -206,19 +227,18 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, fp, node = (batch.column(k).to_numpy() for k in ("key", "fp", "node"))
+        keys, fp = (batch.column(k).to_numpy() for k in ("key", "fp"))
         bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
         size, last = np.diff(bounds), len(bounds) - 2
         for i in sorted({0, last, *np.flatnonzero(size > 1).tolist()}):
             a, b = bounds[i], bounds[i + 1]
             if i not in (0, last):
-                solve(fp[a:b], node[a:b])
+                solve(fp[a:b])
                 continue
             if keys[a] != key:
                 close()
-                key, fps, nodes = int(keys[a]), [], []
+                key, fps = int(keys[a]), []
             fps.append(fp[a:b])
-            nodes.append(node[a:b])
         if links:
             yield found()
     close()
@@ -226,21 +246,26 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield found()
 
 
-def near_links(nodes: DataFrame, limit: int = BUCKET) -> DataFrame:
-    """Links (u, v) between rows of (fp, node) that connect all whose fingerprints differ in at most three bits, directly or through others.
+def near_links(prints: DataFrame, limit: int = BUCKET) -> DataFrame:
+    """Links (u, v) between the distinct fingerprints ``fp`` that connect all that differ in at most three bits, directly or through others.
 
-    Buckets of over ``limit`` rows are known by their counts before rows move. Such a bucket is dealt into blocks by hash, and each pair of
-    blocks is work of its own, so no task holds the bucket together.
+    Buckets of over ``limit`` rows are known by their counts before rows move. Such a bucket is split by the bits its key does not use, and what
+    is still too large is dealt into blocks by hash, each pair of blocks being work of its own; no task holds the bucket together.
     """
-    keys = nodes.mapInArrow(_key_rows, "key long, fp long, node long")
-    large = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit))
-    linked = lambda rows: rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links, "u long, v long")
+    prints = prints.select("fp").repartition(shuffle_width(prints.sparkSession), "fp")
+    keys = prints.mapInArrow(_key_rows, "key long, fp long")
+    often = lambda rows: materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit))
+    linked = lambda rows: rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_bucket_links), "u long, v long")
+    large = often(keys)
     if is_empty(large):
         return linked(keys)
+    out = linked(keys.join(large, "key", "left_anti"))
+    parts = materialise(keys.join(large, "key").select("key", "fp").mapInArrow(_further_rows, "key long, fp long"))
+    large = often(parts)
     last = F.ceil(F.col("n") / limit) - 1
-    rows = keys.join(large, "key").withColumn("block", F.pmod(F.xxhash64("fp"), last + 1)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = parts.join(large, "key").withColumn("block", F.pmod(F.xxhash64("fp"), last + 1)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     pair = F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))
-    return linked(keys.join(large, "key", "left_anti")).unionByName(linked(rows.select(pair.alias("key"), "fp", "node")))
+    return out.unionByName(linked(parts.join(large, "key", "left_anti"))).unionByName(linked(rows.select(pair.alias("key"), "fp")))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET) -> DataFrame:
@@ -253,11 +278,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cost nothing in the search.
     """
     docs = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    fp = materialise(docs.mapInArrow(_fingerprint_rows, "doc_id long, fp long"))
-    nodes = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"))
-    roots = components(near_links(nodes, limit))
-    least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
-    member = roots.join(least, "root").select("node", "component_id")
-    found = nodes.join(member, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
+    fp = materialise(docs.mapInArrow(tidy(_fingerprint_rows), "doc_id long, fp long"))
+    nodes = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = materialise(components(near_links(nodes, limit)).withColumnRenamed("node", "fp").join(nodes, "fp"))
+    least = materialise(roots.groupBy("root").agg(F.min("least").alias("component_id")))
+    member = materialise(roots.join(least, "root").select("fp", "component_id"))  # two written tables, so that a giant component's partition can be split
+    found = materialise(nodes.join(member, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fp.join(found, "fp", "left").select("doc_id", hexed.alias("fingerprint"), "component_id")

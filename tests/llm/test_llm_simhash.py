@@ -74,8 +74,9 @@ def test_links_connect_what_brute_force_connects(spark, limit):
             for _ in range(rng.randrange(1, 6)):
                 x ^= 1 << rng.randrange(64)
     prints = list(enumerate(sorted(prints)))
-    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in prints], "fp long, node long").repartition(3)
-    found = {r["node"]: r["root"] for r in components(S.near_links(nodes, limit)).collect()}
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for _, f in prints], "fp long").repartition(3)
+    place = {f: i for i, f in prints}
+    found = {place[r["node"] % (1 << 64)]: r["root"] for r in components(S.near_links(nodes, limit)).collect()}
     want = slow_groups(prints)
     groups = lambda label: sorted(sorted(i for i, _ in prints if label(i) == r) for r in {label(i) for i, _ in prints})
     assert groups(lambda i: found.get(i, i)) == groups(lambda i: want[i])
