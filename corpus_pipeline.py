@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import materialise, table, without
+from sparkfolio.llm.common import materialise, table
 from sparkfolio.llm.exact_dedup import drop_exact_duplicates
 from sparkfolio.llm.language import UNDETERMINED, language_column
 from sparkfolio.llm.mixing import mixed_documents
-from sparkfolio.llm.near_copies import near_copies
+from sparkfolio.llm.near_copies import drop_near_copies
 from sparkfolio.llm.sentencepiece import encode_documents
 
 #: A document whose bytes are on average less sure of its language than this is rejected.
@@ -33,10 +33,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles of similarity 0.8 or more stays, that with the smallest id.
 
-    A bound on the bits of fingerprints would lose most of such pairs, so they are found and verified by their shingles.
+    Fingerprints and their Golay keys give the first links, the shingles the rest, and sets of shingles verify them all.
     """
-    groups = materialise(near_copies(docs).filter("component_id <> doc_id").select("doc_id").distinct())
-    return without(docs, groups)
+    return drop_near_copies(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
