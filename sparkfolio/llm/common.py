@@ -43,14 +43,28 @@ def materialise(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_remove)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    paths = {t._written_at for t in tables}
+    for entry in [e for e in _written if e[1] in paths]:
+        _written.remove(entry)
+        _delete(*entry)
 
 
 def _remove() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):  # the session may have ended before
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for entry in _written:
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -63,8 +77,8 @@ def texts(col: pa.Array) -> list[str]:
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a text column, one text after another, and its len + 1 offsets; null is the empty text."""
-    col = pc.fill_null(col.cast(pa.large_string()), "")
+    """The bytes of a text or binary column, one text after another, and its len + 1 offsets; null is the empty text."""
+    col = pc.fill_null(col.cast(pa.large_binary()), b"")
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = col.buffers()[2]
     data = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.empty(0, np.uint8)
@@ -87,8 +101,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE) -
             begin = end
 
 
+#: Bounds on what stands in a Python worker and its queue at a time, where the session has no settings of its own.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key in BATCHES.keys() - dict(spark.conf.getAll).keys():
+        spark.conf.set(key, BATCHES[key])
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns an operator reads, so that no other column can clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -157,6 +181,18 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_co
     return marked.filter(~F.col(mark)).unionByName(rest).drop(th, mark)
 
 
+def kept_rows(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (doc_id, th, kept; a row for each of ``docs``) keeps, with all their columns; of rows equal in id and text, one."""
+    out = without(docs, judged.filter("not kept").select("doc_id", "th").distinct(), id_col, text_col)
+    again = materialise(judged.filter("kept").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id", "th"))
+    if is_empty(again):
+        return out
+    th, again_id, again_th = (free_name(docs, f"again_{x}") for x in ("hash", "id", "th"))
+    again_of = again.withColumnsRenamed({"doc_id": again_id, "th": again_th})
+    some = docs.withColumn(th, text_hash(text_col)).join(again_of, F.col(id_col).eqNullSafe(F.col(again_id)) & (F.col(th) == F.col(again_th)), "left_semi")
+    return without(out, again, id_col, text_col).unionByName(some.dropDuplicates([id_col, th]).drop(th))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,38 +1,39 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word in both directions, starting anew at each word, and gives every byte
-a distribution over languages; a document's probabilities are the mean over all of its bytes. It
-is trained in numpy by backpropagation through time, on words of a bounded sample. As words
-start anew, equal words have equal labels, and each distinct word is run once.
+The network reads every byte of a text, blanks included, in both directions and gives each a distribution over languages; a document's probabilities
+are their mean. Texts of any length are read in windows of ``WINDOW`` bytes. In each, the network starts ``CONTEXT`` bytes before the first label
+it gives, and ends as many after the last, across words and blanks; beyond the ends of a text stands an edge symbol. It is
+trained in numpy by backpropagation through time, on windows from all over the documents of a bounded sample.
+
+Arrays are laid out with windows along the last axis, where numpy is fastest.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, texts
-from .words import PieceCache
+from .common import slices, small_batches, tidy, utf8
 
 UNDETERMINED = "und"
-#: The sample: documents of each language, the bytes read of each, and distinct words over all.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_WORDS = 250, 4096, 60_000
-#: Documents over all languages; beyond eight languages, each has fewer.
-SAMPLE_ROWS = 2000
-HIDDEN, STEPS, BATCH, RATE = 16, 220, 768, 0.02
-#: Characters of a long text that are read at a time.
-PIECE = 1 << 20
-#: A word's bytes beyond this start anew.
-LONGEST = 32
+#: The sample: documents of each language, chosen by hash, and documents over all languages; beyond eight languages, each has fewer.
+SAMPLE_DOCS, SAMPLE_ROWS = 250, 2000
+#: Windows that are learned from in each sampled document, spread evenly over the whole of it, and the characters of each.
+SAMPLE_WINDOWS, SAMPLE_CHARS = 8, 80
+HIDDEN, STEPS, BATCH, RATE = 12, 240, 192, 0.02
+#: Bytes labelled in a window, and bytes read before and after them.
+WINDOW, CONTEXT = 224, 32
+#: Windows that run side by side.
+WINDOWS = 1024
+#: Symbol that stands before and after a text.
+EDGE = 256
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -40,9 +41,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Over the second axis, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 @dataclass
 class BiGru:
-    """Weights: by direction the input table (byte to gates), recurrent weights and candidate bias; then the output layer. Gates: update, reset, candidate."""
+    """Weights: by direction the input table (symbol to gates), recurrent weights and candidate bias; then the output layer. Gates: update, reset, candidate."""
 
     table: list[np.ndarray]
     recur: list[np.ndarray]
@@ -54,89 +63,109 @@ class BiGru:
     def new(cls, classes: int, hidden: int = HIDDEN, seed: int = 7) -> BiGru:
         rng = np.random.default_rng(seed)
         make = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-        return cls([make(257, 3 * hidden, scale=0.3) for _ in "fb"], [make(hidden, 3 * hidden, scale=hidden**-0.5) for _ in "fb"], [np.zeros(hidden, np.float32) for _ in "fb"], make(2 * hidden, classes, scale=0.1), np.zeros(classes, np.float32))
+        return cls(
+            [make(3 * hidden, EDGE + 1, scale=0.3) for _ in "fb"],
+            [make(3 * hidden, hidden, scale=hidden**-0.5) for _ in "fb"],
+            [np.zeros(hidden, np.float32) for _ in "fb"],
+            make(classes, 2 * hidden, scale=0.1),
+            np.zeros(classes, np.float32),
+        )
 
     def parts(self) -> list[np.ndarray]:
         return [*self.table, *self.recur, *self.bias, self.out, self.out_bias]
 
-    def states(self, x: np.ndarray, k: int, trace: list | None = None) -> np.ndarray:
-        """Hidden states of direction k; x is (words, bytes), as is the order of the result in its first two axes."""
-        hidden = self.recur[k].shape[0]
-        h = np.zeros((len(x), hidden), np.float32)
-        out = np.empty((*x.shape, hidden), np.float32)
-        for t in range(x.shape[1]) if k == 0 else reversed(range(x.shape[1])):
-            given, back = self.table[k][x[:, t]], h @ self.recur[k]
-            gates = _sigmoid(given[:, : 2 * hidden] + back[:, : 2 * hidden])
-            z, r = gates[:, :hidden], gates[:, hidden:]
-            inner = back[:, 2 * hidden :] + self.bias[k]
-            c = np.tanh(given[:, 2 * hidden :] + r * inner)
-            new = c + z * (h - c)
+    def states(self, x: np.ndarray, k: int, begin: np.ndarray | None = None, trace: list | None = None) -> np.ndarray:
+        """Hidden states (place, hidden, window) of direction k over symbols x (place, window). ``begin``: how many places of each window the backward direction reads."""
+        hidden, n = self.recur[k].shape[1], x.shape[1]
+        h = np.zeros((hidden, n), self.out.dtype)
+        out = np.empty((len(x), hidden, n), self.out.dtype)
+        bias = self.bias[k][:, None]
+        least = len(x) if begin is None else int(begin.min())
+        for t in range(len(x)) if k == 0 else reversed(range(len(x))):
+            given, back = np.take(self.table[k], x[t], axis=1), self.recur[k] @ h
+            gates = given[: 2 * hidden]
+            gates += back[: 2 * hidden]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            z, r = gates[:hidden], gates[hidden:]
+            inner = back[2 * hidden :]
+            inner += bias
+            c = np.tanh(given[2 * hidden :] + r * inner)
+            new = out[t]
+            np.subtract(h, c, out=new)
+            new *= z
+            new += c
+            if t >= least:
+                new *= t < begin
             if trace is not None:
                 trace.append((t, h, z, r, inner, c))
-            h = out[:, t] = new
+            h = new
         return out
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """(words, bytes, languages)"""
-        logits = np.concatenate([self.states(x, 0), self.states(x, 1)], axis=2) @ self.out + self.out_bias
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        return e / e.sum(axis=2, keepdims=True)
+    def logits(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+        """(place, language, window)"""
+        hidden = forward.shape[1]
+        out = self.out[:, :hidden] @ forward
+        out += self.out[:, hidden:] @ backward
+        out += self.out_bias[:, None]
+        return out
+
+    def probabilities(self, x: np.ndarray, context: int = 0, begin: np.ndarray | None = None) -> np.ndarray:
+        """(place, language, window) of the symbols that have ``context`` symbols before and after them."""
+        rows = len(x) - 2 * context
+        forward = self.states(x[: rows + context], 0)[context:]
+        backward = self.states(x[context:], 1, begin)[:rows]
+        return _softmax(self.logits(forward, backward))
 
     def gradients(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Loss and gradients of the mean cross entropy; target is (words, languages) and holds for each byte, weight (words, bytes)."""
-        hidden = self.recur[0].shape[0]
+        """Loss and gradients of the mean cross entropy; target is (language, window) and holds for each symbol, weight (place, window)."""
+        hidden = self.recur[0].shape[1]
         traces: list[list] = [[], []]
-        states = np.concatenate([self.states(x, k, traces[k]) for k in (0, 1)], axis=2)
-        logits = states @ self.out + self.out_bias
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p = e / e.sum(axis=2, keepdims=True)
+        states = np.concatenate([self.states(x, k, trace=traces[k]) for k in (0, 1)], axis=1)
+        p = _softmax(self.logits(states[:, :hidden], states[:, hidden:]))
         total = weight.sum()
-        loss = float(-(weight * (np.log(p + 1e-9) * target[:, None]).sum(axis=2)).sum() / total)
-        error = (p - target[:, None]) * (weight / total)[:, :, None]
-        flat = error.reshape(-1, error.shape[2])
-        grads = {"out": states.reshape(-1, 2 * hidden).T @ flat, "out_bias": flat.sum(axis=0)}
-        down = error @ self.out.T
+        loss = float(-(weight * (np.log(p + 1e-9) * target).sum(axis=1)).sum() / total)
+        error = (p - target) * (weight / total)[:, None]
+        grad_out = (error @ states.transpose(0, 2, 1)).sum(axis=0)
+        down = self.out.T @ error
+        order = np.argsort(x, axis=None, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(x.ravel()[order]) != 0))
+        symbols = x.ravel()[order[first]]
         tables, recurs, biases = [], [], []
         for k in (0, 1):
             table, recur, bias = np.zeros_like(self.table[k]), np.zeros_like(self.recur[k]), np.zeros_like(self.bias[k])
-            dh = np.zeros((len(x), hidden), np.float32)
+            gates = np.empty((len(x), 3 * hidden, x.shape[1]), x.dtype if x.dtype.kind == "f" else self.out.dtype)
+            dh = np.zeros((hidden, x.shape[1]), self.out.dtype)
             for t, before, z, r, inner, c in reversed(traces[k]):  # through time, against the reading direction
-                dh = dh + down[:, t, k * hidden : (k + 1) * hidden]
+                dh = dh + down[t, k * hidden : (k + 1) * hidden]
                 dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (before - c) * z * (1 - z)
-                dr = dc * inner * r * (1 - r)
                 dinner = dc * r
-                gates = np.concatenate([dz, dr, dc], axis=1)
-                back = np.concatenate([dz, dr, dinner], axis=1)
-                order = np.argsort(x[:, t], kind="stable")
-                first = np.flatnonzero(np.append(True, np.diff(x[order, t]) != 0))
-                table[x[order[first], t]] += np.add.reduceat(gates[order], first, axis=0)
-                recur += before.T @ back
-                bias += dinner.sum(axis=0)
-                dh = dh * z + back @ self.recur[k].T
+                gates[t, :hidden] = dh * (before - c) * z * (1 - z)
+                gates[t, hidden : 2 * hidden] = dc * inner * r * (1 - r)
+                gates[t, 2 * hidden :] = dc
+                back = np.concatenate([gates[t, : 2 * hidden], dinner])
+                recur += back @ before.T
+                bias += dinner.sum(axis=1)
+                dh = dh * z + self.recur[k].T @ back
+            flat = gates.transpose(1, 0, 2).reshape(3 * hidden, -1)
+            table[:, symbols] = np.add.reduceat(flat[:, order], first, axis=1)
             tables.append(table)
             recurs.append(recur)
             biases.append(bias)
-        return loss, [*tables, *recurs, *biases, grads["out"], grads["out_bias"]]
-
-
-#: Byte that stands before and after a word.
-EDGE = 256
-
+        return loss, [*tables, *recurs, *biases, grad_out, error.sum(axis=(0, 2))]
 
-def units(text: str) -> list[bytes]:
-    """The words' bytes, long ones in parts."""
-    words = text.encode().split()
-    if len(text) > LONGEST and max(map(len, words), default=0) > LONGEST:
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
 
-
-def _matrix(words: list[bytes]) -> np.ndarray:
-    """Bytes of words of one length, with an edge on either side."""
-    x = np.full((len(words), len(words[0]) + 2), EDGE, np.int16)
-    x[:, 1:-1] = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
-    return x
+def windows_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and length of the windows of all texts, the longest first."""
+    size = np.diff(offsets)
+    count = -(-size // window)
+    text = np.repeat(np.arange(len(size)), count)
+    start = offsets[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * window
+    length = np.minimum(window, offsets[1:][text] - start)
+    order = np.argsort(-length, kind="stable")
+    return text[order], start[order], length[order]
 
 
 @dataclass
@@ -145,24 +174,25 @@ class LanguageModel:
     net: BiGru | None
 
     @classmethod
-    def train(cls, words: dict[bytes, np.ndarray], languages: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 7) -> LanguageModel:
-        """``words``: how often each word stands in texts of each language."""
-        if not words:
+    def train(cls, windows: list[tuple[bytes, int]], languages: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 7) -> LanguageModel:
+        """``windows``: bytes and number of the language of each. A part of them is shown with edges where a text would begin or end."""
+        if not windows:
             return cls(languages, None)
         net, rng = BiGru.new(len(languages), hidden, seed), np.random.default_rng(seed)
-        by_length: dict[int, list[bytes]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        size = np.array([sum(np.log1p(words[w].sum()) for w in ws) * (n + 2) for n, ws in by_length.items()])
-        groups = [(_matrix(ws), np.array([words[w] for w in ws], np.float32)) for ws in by_length.values()]
-        odds = [np.log1p(c.sum(axis=1)) / np.log1p(c.sum(axis=1)).sum() for _, c in groups]
+        width = max(len(b) for b, _ in windows)
+        x = np.full((width, len(windows)), EDGE, np.int64)
+        for i, (b, _) in enumerate(windows):
+            x[: len(b), i] = np.frombuffer(b, np.uint8)
+        target = np.eye(len(languages), dtype=np.float32)[:, [k for _, k in windows]]
+        odds = 1 / (target.sum(axis=1) @ target)  # languages alike
+        odds /= odds.sum()
         first, second = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
         for step in range(1, steps + 1):
-            g = rng.choice(len(groups), p=size / size.sum())
-            x, counts = groups[g]
-            pick = rng.choice(len(x), BATCH, p=odds[g])
-            x, target = x[pick], counts[pick] / counts[pick].sum(axis=1, keepdims=True)
-            _, grads = net.gradients(x, target, np.ones(x.shape, np.float32))
+            pick = rng.choice(len(windows), BATCH, p=odds)
+            some = x[:, pick]
+            cut = rng.integers(0, CONTEXT + 1, BATCH) * (rng.random(BATCH) < 0.25)
+            some[np.arange(width)[:, None] < cut] = EDGE
+            _, grads = net.gradients(some, target[:, pick], (some != EDGE).astype(np.float32))
             rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
             for p, d, m, v in zip(net.parts(), grads, first, second):  # Adam
                 m += 0.1 * (d - m)
@@ -170,87 +200,72 @@ class LanguageModel:
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return cls(languages, net)
 
-    def word_sums(self, words: list[bytes]) -> np.ndarray:
-        """Sum of the distributions of each word's bytes."""
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(size, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
-            for i in range(0, len(part), 4096):
-                at = part[i : i + 4096]
-                out[at] = self.net.probabilities(_matrix([words[j] for j in at.tolist()]))[:, 1:-1].sum(axis=1)
+    def sums(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(texts, languages): the distributions of all bytes of each text, added up."""
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
+        text, start, length = windows_of(data, offsets)
+        side = max(16, min(WINDOWS, WINDOWS * 8 // len(self.languages)))
+        padded = np.concatenate([data, np.zeros(1, np.uint8)]).astype(np.int64)
+        for a in range(0, len(text), side):
+            at, begin, n = text[a : a + side], start[a : a + side], length[a : a + side]
+            rows = int(n.max())
+            place = begin + np.arange(-CONTEXT, rows + CONTEXT)[:, None]
+            inside = (place >= offsets[at]) & (place < offsets[at + 1])
+            x = np.where(inside, padded[np.clip(place, 0, len(data))], EDGE)
+            p = self.net.probabilities(x, CONTEXT, n + CONTEXT)
+            least = int(n.min())
+            p[least:] *= (np.arange(least, rows)[:, None] < n)[:, None]
+            np.add.at(out, at, p.sum(axis=0, dtype=np.float64).T)
         return out
 
-    def predict(self, documents: list[str], cache: PieceCache | None = None) -> tuple[list[str], list[float]]:
-        cache = cache or PieceCache(self.word_sums)
-        if self.net is None:
-            return [UNDETERMINED] * len(documents), [0.0] * len(documents)
-        if any(len(d) > PIECE for d in documents):
-            return self._predict_long(documents, cache)
-        pieces = [units(d) if LETTER.search(d) else [] for d in documents]
-        count = np.array([len(p) for p in pieces])
-        flat = [w for p in pieces for w in p]
-        names, scores = [UNDETERMINED] * len(documents), [0.0] * len(documents)
-        if not flat:
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], list[float]]:
+        """Language and score of UTF-8 texts."""
+        size = np.diff(offsets)
+        names, scores = [UNDETERMINED] * len(size), [0.0] * len(size)
+        if self.net is None or not len(data):
             return names, scores
-        rows = cache.numbers(flat)
-        some = np.flatnonzero(count)
-        sums = np.add.reduceat(cache.rows[rows].astype(np.float64), (np.cumsum(count) - count)[some], axis=0)
-        for i, p in zip(some.tolist(), sums):
-            names[i], scores[i] = self._best(p)
+        letter = np.append(0, np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122)))
+        some = letter[offsets[1:]] > letter[offsets[:-1]]
+        for i in np.flatnonzero(~some & (size > 0)):
+            some[i] = LETTER.search(data[offsets[i] : offsets[i + 1]].tobytes().decode(errors="replace")) is not None
+        for i, p in enumerate(self.sums(data, offsets)):
+            if some[i]:
+                best = int(p.argmax())
+                names[i], scores[i] = self.languages[best], min(1.0, round(float(p[best] / size[i]), 6))
         return names, scores
 
-    def _best(self, sums: np.ndarray) -> tuple[str, float]:
-        best = int(sums.argmax())
-        return self.languages[best], min(1.0, float(sums[best] / sums.sum()))
-
-    def _predict_long(self, documents: list[str], cache: PieceCache) -> tuple[list[str], list[float]]:
-        """One text at a time, added up over pieces that end at blanks where there are any."""
-        found = []
-        for d in documents:
-            total, at = np.zeros(len(self.languages)), 0
-            while at < len(d) and LETTER.search(d):
-                end = at + PIECE if at + PIECE < len(d) else len(d)
-                blank = d.rfind(" ", at, end) + 1 if end < len(d) else 0
-                end = blank if blank > at else end
-                words = units(d[at:end])
-                if words:
-                    rows = cache.numbers(words)
-                    total += cache.rows[rows].sum(axis=0, dtype=np.float64)
-                at = end
-            found.append(self._best(total) if total.any() else (UNDETERMINED, 0.0))
-        return [n for n, _ in found], [s for _, s in found]
-
 
 def remainder(col: Column, by: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit(""))), F.lit(by))
 
 
 def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 4, out: int = 2, steps: int = STEPS) -> LanguageModel:
-    """Learns from ``SAMPLE_DOCS`` documents of each language, by hash, whose crc32(id) mod ``fold`` is not ``out``, and the first ``SAMPLE_BYTES`` of them."""
+    """Learns from ``SAMPLE_DOCS`` documents of each language, by hash, whose crc32(id) mod ``fold`` is not ``out``.
+
+    ``SAMPLE_WINDOWS`` windows of each come to the driver, spread over the whole text. Rows with a null text, id or language are left out but for
+    a null id, which is as any other; ties of the hash are told apart by id and text; without rows there is no network, and all is undetermined.
+    """
+    small_batches(docs.sparkSession)
     mine = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     mine = mine.filter((remainder(F.col("doc_id"), fold) != out) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    picked = mine.select("lang", "doc_id", F.substring("text", 1, SAMPLE_BYTES).alias("text")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS)
-    rows = picked.orderBy("n", "lang").limit(SAMPLE_ROWS).select("lang", "text", "n").collect()
+    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    cut = [F.substring(F.col("text"), (room * i / max(1, SAMPLE_WINDOWS - 1)).cast("int") + 1, F.lit(SAMPLE_CHARS)) for i in range(SAMPLE_WINDOWS)]
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "parts")
+    picked = mine.select("lang", "doc_id", F.array(*cut).alias("parts")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS)
+    rows = picked.orderBy("n", "lang").limit(SAMPLE_ROWS).select("lang", "parts", "n").collect()
     languages = sorted({r["lang"] for r in rows})
-    place = {k: i for i, k in enumerate(languages)}
-    counts: dict[bytes, np.ndarray] = {}
-    for r in sorted(rows, key=lambda r: (r["n"], r["lang"])):
-        for w, n in Counter(units(r["text"])).items():
-            if w not in counts:
-                if len(counts) >= SAMPLE_WORDS:
-                    continue
-                counts[w] = np.zeros(len(languages), np.float32)
-            counts[w][place[r["lang"]]] += n
-    return LanguageModel.train(counts, languages, steps)
+    windows = [(p.encode(), languages.index(r["lang"])) for r in sorted(rows, key=lambda r: (r["n"], r["lang"])) for p in dict.fromkeys(r["parts"])]
+    return LanguageModel.train(windows, languages, steps)
+
+
+#: Bytes of text that are read at a time.
+SLICE = 1 << 19
 
 
 def _predictions(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = PieceCache(model.value.word_sums)
-        for batch in slices(batches, "text"):
-            names, scores = model.value.predict(texts(batch.column("text")), cache)
+        for batch in slices(batches, "text", SLICE):
+            names, scores = model.value.predict(*utf8(batch.column("text")))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     return run
@@ -260,27 +275,26 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per input row: doc_id, held_out (crc32 of the id mod 4 is 2), lang_pred, score.
 
     Null texts and texts without a letter are ``und`` with score 0, as is all if there is no labelled row to learn from. Equal texts have
-    equal values; every byte of a text counts; an empty table gives no rows.
+    equal values; every byte of a text of any length counts; rows that repeat an id are rows of their own; an empty table gives no rows.
     """
     model = model or train_language(docs, id_col, text_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 120 KB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 100 KB
     mine = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (remainder(F.col(id_col), 4) == 2).alias("held_out"))
-    return mine.mapInArrow(_predictions(shared), f"doc_id {mine.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return mine.mapInArrow(tidy(_predictions(shared)), f"doc_id {mine.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def language_column(docs: DataFrame, text_col: str = "text", **names) -> Column:
-    """The struct (lang, score) of each text, by a model learned from ``docs``, to filter rows as they stand."""
+    """The struct (lang, score) of each text, by a model learned from ``docs``, to filter rows as they stand. Null and empty texts, ties and empty tables as in ``identify_language``."""
     shared = docs.sparkSession.sparkContext.broadcast(train_language(docs, text_col=text_col, **names))
 
-    @F.pandas_udf("lang string, score double")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache = PieceCache(shared.value.word_sums)
+    @F.arrow_udf("lang string, score double")
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            batch = pa.record_batch({"text": pa.array(part, pa.string(), from_pandas=True)})
+            batch = pa.record_batch({"text": part})
             found: tuple[list, list] = ([], [])
-            for piece in slices([batch], "text"):
-                for all_, some in zip(found, shared.value.predict(texts(piece.column("text")), cache)):
+            for piece in slices([batch], "text", SLICE):
+                for all_, some in zip(found, shared.value.predict(*utf8(piece.column("text")))):
                     all_ += some
-            yield pd.DataFrame({"lang": found[0], "score": found[1]})
+            yield pa.StructArray.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], ["lang", "score"])
 
     return predict(F.col(text_col).cast("string"))

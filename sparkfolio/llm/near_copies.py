@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BitFilter, free_name, is_empty, materialise, slices, text_hash, tidy, utf8, without
+from .common import BitFilter, is_empty, kept_rows, materialise, slices, small_batches, text_hash, tidy, utf8
 from .components import components
 from .rolling import majority_bits, shingle_sets
 from .simhash import near_links
@@ -230,6 +230,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``kept``: that of the smallest id (nulls last) and text hash. Null texts count as empty; texts without words are alike; rows that repeat an id are rows of
     their own; rows equal in id and text are one document, with equal values. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), text_hash(text_col).alias("th"))
     nodes = _documents(docs, shingle, least, _often(docs, shingle, least))
     shared = _shared_rows(nodes)
@@ -255,12 +256,4 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that ``near_copies`` keeps, with all their columns; of rows equal in id and text, one. Null ids and texts as there."""
 
-    found = materialise(near_copies(docs, id_col, text_col, **settings))
-    out = without(docs, found.filter("not kept").select("doc_id", "th").distinct(), id_col, text_col)
-    again = materialise(found.filter("kept").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id", "th"))
-    if is_empty(again):
-        return out
-    th = free_name(docs, "near_th")
-    some = docs.withColumn(th, text_hash(text_col))
-    one = some.join(again.withColumnsRenamed({"doc_id": "again_id", "th": "again_th"}), F.col(id_col).eqNullSafe(F.col("again_id")) & (F.col(th) == F.col("again_th")), "left_semi")
-    return without(out, again, id_col, text_col).unionByName(one.dropDuplicates([id_col, th]).drop(th))
+    return kept_rows(docs, materialise(near_copies(docs, id_col, text_col, **settings)), id_col, text_col)

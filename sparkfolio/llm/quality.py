@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, small_batches, tidy, utf8
 from .language import remainder
 
 #: Bytes of a passage, and of a long text's piece, which holds whole passages.
@@ -146,6 +146,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 5, steps: int = STEPS) -> AttentionMil | None:
     """Learns from ``SAMPLE`` labelled documents whose crc32(id) mod ``fold`` is not 0."""
+    small_batches(docs.sparkSession)
     mine = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("quality")).filter((remainder(F.col("doc_id"), fold) != 0) & F.col("quality").isNotNull())
     mine = mine.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(SAMPLE)  # so it may be broadcast
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(mine), "doc_id")
@@ -184,4 +185,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = model or train_quality(docs, labels, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 20 KB
     mine = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (remainder(F.col(id_col), 5) == 0).alias("held_out"))
-    return mine.mapInArrow(_scores(shared), f"doc_id {mine.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return mine.mapInArrow(tidy(_scores(shared)), f"doc_id {mine.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

@@ -8,8 +8,10 @@ maximal repeats, each with all its occurrences.
 least hash of its 32-byte windows, which depends on nothing but the string; so equal strings
 have equal anchors at equal places. Texts are cut into segments that share an anchor, only
 anchors that occur again are followed, and the suffixes that start at equal anchors meet in one
-bucket, where a sparse suffix array of them is scanned. A bucket over the bounds is resolved by counts of its
-whole strings, which no task has to hold together.
+bucket, where a sparse suffix array of them is scanned. Segments that are the same wherever their anchor occurs are repeats as a whole. A bucket over the
+bounds is resolved by counts of its whole strings, which no task has to hold together.
+
+``repeated_passages`` counts passages of over 50 words that stand in another document as well, however many bytes they have: by the same anchors, over words.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, BitFilter, id_text, is_empty, materialise, slices, utf8
-from .rolling import gram_hashes
+from .common import SLICE, BitFilter, id_text, is_empty, materialise, release, slices, tidy, utf8
+from .rolling import gram_hashes, mixed, word_bounds, word_hashes
 
 LEAST = 400
 GRAM = 32
+#: Words of a passage, and of the stretches of it that anchors are chosen among.
+PASSAGE, PASSAGE_GRAM = 51, 8
 #: Different segments of a bucket that one task scans; the strings of a larger one are counted instead. A segment has under twice LEAST bytes.
 BUCKET_SEGMENTS = 8192
 #: A bucket whose intervals hold so many members for each segment is counted as well.
@@ -131,21 +135,21 @@ def segments(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: in
     data[begin:begin + count - 1 + least]. A single text of over ``piece`` bytes goes piece by piece, which may cut a run in two.
     """
     if len(offsets) != 2 or len(data) <= piece:
-        return _segments(data, offsets, least, gram)
+        return _segments(gram_hashes(data, gram), offsets, least, gram)
     parts = []
     for at in range(0, len(data) - least + 1, piece):
         part = data[at : at + piece + least - 1]
-        text, begin, count, anchor, key = _segments(part, np.array([0, len(part)]), least, gram)
+        text, begin, count, anchor, key = _segments(gram_hashes(part, gram), np.array([0, len(part)]), least, gram)
         parts.append((text, begin + at, count, anchor + at, key))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _segments(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
+def _segments(h: np.ndarray, offsets: np.ndarray, least: int, gram: int):
+    """``h``: the hash of each stretch of ``gram`` bytes (or words)."""
     size = np.diff(offsets)
     n = np.maximum(0, size - least + 1)
     if not n.sum():
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
-    h = gram_hashes(data, gram)
     text = np.repeat(np.arange(len(size)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + offsets[:-1][text]
     anchor = _leftmost_least(h, least - gram + 1)[place]
@@ -172,19 +176,12 @@ def _keys(least: int, gram: int):
     return run
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    """Low bits of a key; the high ones are small in a least hash."""
-    return (key & np.uint64((1 << BitFilter.BITS) - 1)).astype(np.int64)
-
-
-def _segment_rows(least: int, gram: int, again):
+def _segment_rows(least: int, gram: int, again: BitFilter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(again.value, np.uint8)
         for batch in slices(batches, "text"):
             data, off = utf8(batch.column("text"))
             text, begin, count, anchor, key = segments(data, off, least, gram)
-            slot = _slot(key)
-            keep = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            keep = np.flatnonzero(again.has(key))
             text, begin, count, anchor, key = (x[keep] for x in (text, begin, count, anchor, key))
             content = _content(data.tobytes(), begin, begin + count - 1 + least)
             row = pa.array(text)
@@ -320,7 +317,7 @@ def _counted(windows: DataFrame, least: int) -> DataFrame:
 def _repeated(found: DataFrame, least: int, depth_limit: int) -> DataFrame:
     """key, c1, c2, spans of the segments (one row each, with ``copies``) that a repeat touches."""
     rows = found.select("key", "c1", "c2", "copies", "anchor", "bytes").repartition("key").sortWithinPartitions("key")
-    out = materialise(rows.mapInArrow(_buckets(least, depth_limit), _SEGMENT + ", spans array<struct<a: long, b: long>>, hot boolean"))
+    out = materialise(rows.mapInArrow(tidy(_buckets(least, depth_limit)), _SEGMENT + ", spans array<struct<a: long, b: long>>, hot boolean"))
     done, deep = out.filter("not hot").select("key", "c1", "c2", "spans"), out.filter("hot")
     return done if is_empty(deep) else done.unionByName(_counted(deep.mapInArrow(_windows(least), _WINDOW), least))
 
@@ -335,6 +332,88 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["key", "c1", "c2", "copies", "anchor", "bytes"])
 
 
+# Passages of words
+
+
+def word_segments(data: np.ndarray, offsets: np.ndarray, words: int, gram: int):
+    """Word hashes of texts, and the runs of their windows of ``words`` words with the same anchor: text, begin (in words), count, key."""
+    start, end, owner = word_bounds(data, offsets)
+    word = word_hashes(data, start, end)
+    cut = np.searchsorted(owner, np.arange(len(offsets)))
+    text, begin, count, _, key = _segments(_rolled(word, gram), cut, words, gram)
+    return word, cut, text, begin, count, key
+
+
+def _rolled(word: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` words in a row."""
+    out = np.zeros(max(0, len(word) - n + 1), np.uint64)
+    for j in range(n):
+        out *= np.uint64(_STEP)
+        out += word[j : j + len(out)]
+    return mixed(out)
+
+
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _passage_keys(words: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            *_, text, _, _, key = word_segments(*utf8(batch.column("text")), words, gram)
+            yield pa.record_batch({"key": _long(key), "row": batch.column("row").take(pa.array(text))})
+
+    return run
+
+
+def _passage_windows(words: int, gram: int, again: BitFilter):
+    """A row for each run of windows whose anchor occurs again: where it begins, its windows' hashes, and a hash of them all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            word, cut, text, begin, count, key = word_segments(*utf8(batch.column("text")), words, gram)
+            keep = np.flatnonzero(again.has(key))
+            text, begin, count = text[keep], begin[keep], count[keep]
+            ends = np.append(0, np.cumsum(count))
+            windows = _rolled(word, words)[np.repeat(begin - ends[:-1], count) + np.arange(ends[-1])] if len(keep) else np.empty(0, np.uint64)
+            raw, row = windows.tobytes(), pa.array(text)
+            yield pa.record_batch(
+                {
+                    "doc_id": batch.column("doc_id").take(row),
+                    "th": batch.column("th").take(row),
+                    "row": batch.column("row").take(row),
+                    "at": _long(begin - cut[text]),
+                    "content": pa.array([xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.uint64()).view(pa.int64()),
+                    "windows": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _long(windows)),
+                }
+            )
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """doc_id, th, n_passages for each document (doc_id, th, text) that holds passages of ``words`` words or more which stand in another one too.
+
+    Words stand between ASCII white space and count as they are; overlapping passages count as one. Rows equal in id and text are one document.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "th", "text", F.xxhash64("doc_id", "th").alias("row")).filter(F.octet_length("text") >= 2 * words - 1)
+    two = lambda rows, key: rows.groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select(key)
+    keys = docs.select("text", "row").mapInArrow(tidy(_passage_keys(words, gram)), "key long, row long").select("key", F.col("row").alias("lo"), F.col("row").alias("hi"))
+    again = materialise(two(keys, "key"))
+    runs = docs.mapInArrow(tidy(_passage_windows(words, gram, BitFilter(again, hashed=True))), f"doc_id {kind}, th long, row long, at long, content long, windows array<long>")
+    runs = materialise(runs)
+    one = materialise(runs.groupBy("content").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.any_value("windows").alias("windows")))
+    windows = one.select("content", "lo", "hi", F.posexplode("windows").alias("i", "w"))
+    common = materialise(two(windows, "w"))
+    places = materialise(windows.select("content", "i", "w").join(common, "w").groupBy("content").agg(F.collect_list(F.col("i").cast("long")).alias("places")))
+    found = runs.select("doc_id", "th", "at", "content").join(places, "content").select("doc_id", "th", F.expr("transform(places, i -> i + at)").alias("places"))
+    starts = found.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("s"))
+    count = F.expr(f"if(size(s) = 1, 1, 1 + size(filter(sequence(1, size(s) - 1), i -> s[i] - s[i - 1] > {words})))").cast("long")
+    out = materialise(starts.select("doc_id", "th", count.alias("n_passages")))
+    release(again, runs, one, common, places)
+    return out
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         size, gone, runs, sha, kept_text = [], [], [], [], []
@@ -359,6 +438,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "n_removed": pa.array(gone, pa.int64()),
                 "n_spans": pa.array(runs, pa.int64()),
                 "kept_sha256": pa.array(sha, pa.string()),
+                "n_passages": batch.column("n_passages") if "n_passages" in batch.schema.names else pa.array(np.zeros(len(size), np.int64)),
             }
             | ({"kept": pa.array(kept_text, pa.binary())} if "with_kept" in batch.schema.names else {})
         )
@@ -368,35 +448,29 @@ def _untouched(bits: BitFilter):
     """The same for the texts that surely have no spans, in the worker that finds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _digests(b.filter(pa.array(~bits.has(b.column("slot").to_numpy()))) for b in batches)
+        return _digests(b.filter(pa.array(~bits.has_slot(b.column("slot").to_numpy()))) for b in batches)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, with_kept: bool = False, most: int = BUCKET_SEGMENTS, depth_limit: int = BUCKET_DEPTH) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, with_kept: bool = False, most: int = BUCKET_SEGMENTS, depth_limit: int = BUCKET_DEPTH, words: int = PASSAGE) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages (and ``kept``, the remaining bytes).
 
     A byte goes if a string of ``least`` bytes that also starts elsewhere, in the same text or another, covers it; strings are judged on the
     input. Null text counts as empty; texts under ``least`` bytes stay whole; rows that repeat an id are rows of their own, and
     equal texts remove each other; an empty table gives no rows. Strings count as equal with equal 128-bit hashes or by
-    comparison.
+    comparison. ``n_passages`` counts passages of ``words`` words or more that also stand in another document; they may have fewer bytes, and nothing is
+    removed for them.
     """
-    spark = docs.sparkSession
     docs = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("th", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     long_docs = docs.filter(F.octet_length("text") >= least)
 
-    # Anchors that occur again, as a bitmap of fixed size.
-    keys = long_docs.select("text").mapInArrow(_keys(least, gram), "key long")
-    again = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    slot = F.col("key").bitwiseAND(F.lit((1 << BitFilter.BITS) - 1))
-    parts = again.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(F.lit(32767))).alias("bits"))
-    bits = bytearray(1 << BitFilter.BITS - 3)
-    for row in parts.toLocalIterator():
-        bits[row["part"] * 4096 : row["part"] * 4096 + len(row["bits"])] = row["bits"]
-    again = spark.sparkContext.broadcast(bytes(bits))
-
-    found = materialise(long_docs.mapInArrow(_segment_rows(least, gram, again), f"doc_id {kind}, th long, begin long, size long, anchor long, key long, c1 long, c2 long"))
+    passages = repeated_passages(docs, words)
+
+    keys = long_docs.select("text").mapInArrow(tidy(_keys(least, gram)), "key long")
+    again = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    found = materialise(long_docs.mapInArrow(tidy(_segment_rows(least, gram, BitFilter(again, hashed=True))), f"doc_id {kind}, th long, begin long, size long, anchor long, key long, c1 long, c2 long"))
     place = F.struct("doc_id", "th", "begin", "size", "anchor")
     distinct = materialise(found.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")))
     per_key = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("different"), F.sum("copies").alias("total")).filter("total > 1")
@@ -414,7 +488,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         holders = long_docs.filter(BitFilter(lists.select("th")).column(F.col("th"))).dropDuplicates(["doc_id", "th"])
         return holders.join(lists, same(holders, lists)).select("text", "wanted")
 
-    small = holders_of(distinct.filter(f"different between 2 and {most}")).mapInArrow(_cut_segments, _SEGMENT)
+    small = holders_of(distinct.filter(f"different between 2 and {most}")).mapInArrow(tidy(_cut_segments), _SEGMENT)
     spans = plain.unionByName(_repeated(small, least, depth_limit))
     large = distinct.filter(f"different > greatest(1, {most})")
     if not is_empty(large):  # no task holds such a bucket together
@@ -423,13 +497,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Back to the texts.
     spans = found.join(spans, ["key", "c1", "c2"]).select("doc_id", "th", F.expr("transform(spans, s -> struct(s.a + begin as a, s.b + begin as b))").alias("spans"))
-    spans = materialise(spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    bits = BitFilter(spans.select("th"))
+    spans = spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    passages = passages.withColumnsRenamed({"doc_id": "in_id", "th": "in_th"})
+    same_row = F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.col("th") == F.col("in_th"))
+    spans = spans.join(passages, same_row, "full").select(F.coalesce("doc_id", "in_id").alias("spans_id"), F.coalesce("th", "in_th").alias("spans_th"), "spans", F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"))
+    spans = materialise(spans)
+    bits = BitFilter(spans.select("spans_th"))
     if with_kept:
         docs = docs.withColumn("with_kept", F.lit(True))
-    touched = docs.filter(bits.column(F.col("th"))).join(spans.withColumnsRenamed({"doc_id": "spans_id", "th": "spans_th"}), F.col("doc_id").eqNullSafe(F.col("spans_id")) & (F.col("th") == F.col("spans_th")), "left").drop("spans_id", "spans_th", "th")
-    other = docs.withColumn("slot", BitFilter.slot_of(F.col("th"))).drop("th")
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    touched = docs.filter(bits.column(F.col("th"))).join(spans, F.col("doc_id").eqNullSafe(F.col("spans_id")) & (F.col("th") == F.col("spans_th")), "left").drop("spans_id", "spans_th", "th")
+    touched = touched.na.fill(0, ["n_passages"])
+    other = docs.withColumn("slot", bits.slot_of(F.col("th"))).drop("th")
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long"
     if with_kept:
         schema += ", kept binary"
-    return touched.mapInArrow(_digests, schema).unionByName(other.mapInArrow(_untouched(bits), schema))
+    return touched.mapInArrow(tidy(_digests), schema).unionByName(other.mapInArrow(tidy(_untouched(bits)), schema))

@@ -45,6 +45,8 @@ def _running(data: np.ndarray, up: np.ndarray) -> np.ndarray:
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A hash of each window of ``gram`` bytes."""
+    if len(data) < gram:
+        return np.empty(0, np.uint64)
     up, down = Powers.of(len(data) + 1)
     total = _running(data, up)
     return mixed((total[gram:] - total[:-gram]) * down[: len(data) - gram + 1])

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, slices
+from .common import id_text, slices, tidy
 
 KINDS = ("assign", "access", "hex")
 #: The given patterns. A match that fails its length is dropped after it was consumed.
@@ -328,4 +328,4 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = id_text(docs, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_rows, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, cut boolean")
+    return docs.mapInArrow(tidy(_rows), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, cut boolean")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, texts
+from .common import id_text, slices, texts, tidy
 from .words import PieceCache
 
 MARK = "▁"
@@ -96,6 +96,9 @@ class Pieces:
     surface: list[bytes]
     unknown: int = 0
 
+    def __post_init__(self):
+        self.least = float(self.score.min(initial=0.0)) - UNKNOWN
+
     @classmethod
     def of(cls, pieces: list[tuple[str, float]], byte_pieces: dict[int, int], skip: set[int] = frozenset(), unknown: int = 0) -> Pieces:
         byte = np.full(256, -1, np.int64)
@@ -123,10 +126,6 @@ class Pieces:
             raw = [float(-np.log(2 - s)) if s > -1e8 else float(least) for s in raw]
         return cls.of([(model.id_to_piece(i), s) for i, s in enumerate(raw)], byte, special, model.unk_id())
 
-    @property
-    def least(self) -> float:
-        return float(self.score.min()) - UNKNOWN
-
     def viterbi(self, part: bytes) -> list[int]:
         """Best pieces of one part, character by character."""
         n, trie = len(part), self.trie
@@ -313,7 +312,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(path))  # a few MB, by the vocabulary
     docs = id_text(docs, id_col, text_col)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_tokens long, n_byte_tokens long, decoded_sha256 string, lossless boolean"
-    return docs.mapInArrow(_encode_rows(shared), schema)
+    return docs.mapInArrow(tidy(_encode_rows(shared)), schema)
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = MODEL) -> DataFrame:

@@ -103,11 +103,6 @@ def test_long_texts_go_piece_by_piece_with_the_same_results(monkeypatch):
         monkeypatch.setattr(sentencepiece.pieces_of, "__defaults__", (size,))
         assert pieces.encode([text, ""])[0].tolist() == whole
 
-    model = language.LanguageModel(["a", "b"], language.BiGru.new(2))
-    (names, scores), rest = model.predict([text]), ["", "123"]
-    monkeypatch.setattr(language, "PIECE", 200)
-    assert model.predict([text, *rest]) == (names + ["und"] * 2, pytest.approx(scores + [0.0] * 2))
-
     windows = lambda got: sorted((p, a, k) for _, b, n, a, k in zip(*got) for p in range(b, b + n))
     assert windows(repeats.segments(raw, off, 60, 12, piece=500)) == windows(repeats.segments(raw, off, 60, 12))
 

@@ -54,6 +54,27 @@ def test_a_large_group_is_dealt_over_salts(make, monkeypatch):
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in E.exact_duplicates(make(rows)).collect()) == expected(rows)
 
 
+@pytest.mark.parametrize("primes", [E.PRIMES, (13, 7)])
+def test_huge_texts_are_hashed_in_parts_and_rows_without_an_id_are_compared(make, primes):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 2, 3, i]), "".join(rng.choice("aAé ") for _ in range(rng.randrange(12)))) for i in range(200)]
+    whole = E.exact_duplicates(make(rows), primes=primes).collect()
+    parts = E.exact_duplicates(make(rows), primes=primes, huge=3).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, parts))
+    groups = {}
+    for i, t in rows:
+        groups.setdefault("".join(c.lower() if c in "A" else c for c in t), []).append(-1 if i is None else i)
+    want = sorted((-1 if i is None else i, max(g), len(g)) for i, t in rows for g in [groups["".join(c.lower() if c in "A" else c for c in t)]])
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["keep_id"] is None else r["keep_id"], r["group_size"]) for r in whole) == want
+
+
+def test_names_that_clash_with_those_used_inside(spark):
+    names = "doc_id long, text string, th long, without_mark boolean, again_id long, kept string, __maybe int"
+    docs = spark.createDataFrame([(i, t, 5, True, 9, "k", 3) for i, t in [(1, "a"), (1, "a"), (2, "A"), (None, "b"), (None, "b"), (3, "c")]], names)
+    out = E.drop_exact_duplicates(docs)
+    assert out.columns == docs.columns and out.where("th = 5 and without_mark and again_id = 9 and kept = 'k' and __maybe = 3").count() == 3
+
+
 def test_one_of_each_group_stays(make):
     rows = [(1, "a"), (2, "A"), (3, "b"), (3, "b"), (4, None), (5, ""), (6, "c"), (6, "a")]
     out = E.drop_exact_duplicates(make(rows))

@@ -26,16 +26,70 @@ def test_gradients_through_time():
     for group in (net.table, net.recur, net.bias):
         group[:] = [p.astype(np.float64) for p in group]
     net.out, net.out_bias = net.out.astype(np.float64) * 5, net.out_bias.astype(np.float64)
-    x = rng.integers(0, 5, (6, 7))
-    target = rng.dirichlet(np.ones(3), 6)
-    weight = np.ones(x.shape)
+    x = rng.integers(0, 5, (7, 6))
+    target = rng.dirichlet(np.ones(3), 6).T
+    weight = rng.random(x.shape)
     _, grads = net.gradients(x, target, weight)
     for part, grad in zip(net.parts(), grads):
         for _ in range(6):
-            place = tuple(rng.integers(0, 5 if part.shape[0] == 257 and i == 0 else n) for i, n in enumerate(part.shape))
+            place = tuple(rng.integers(0, 5 if part.ndim == 2 and part.shape[1] == 257 and i == 1 else n) for i, n in enumerate(part.shape))
             assert grad[place] == pytest.approx(numeric(lambda: net.gradients(x, target, weight)[0], part, place, 1e-4), rel=0.05, abs=2e-5)
 
 
+def by_byte(net, raw):
+    """Mean distribution of a text's bytes, by scalar steps byte after byte in each window."""
+    hidden = net.recur[0].shape[1]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    symbol = lambda i: raw[i] if 0 <= i < len(raw) else L.EDGE
+
+    def step(k, h, s):
+        given, back = net.table[k][:, s].astype(float), net.recur[k].astype(float) @ h
+        z, r = sigmoid(given[:hidden] + back[:hidden]), sigmoid(given[hidden : 2 * hidden] + back[hidden : 2 * hidden])
+        c = np.tanh(given[2 * hidden :] + r * (back[2 * hidden :] + net.bias[k]))
+        return z * h + (1 - z) * c
+
+    total = 0
+    for start in range(0, len(raw), L.WINDOW):
+        stop = min(len(raw), start + L.WINDOW)
+        ahead, behind = {}, {}
+        h = np.zeros(hidden)
+        for i in range(start - L.CONTEXT, stop):
+            ahead[i] = h = step(0, h, symbol(i))
+        h = np.zeros(hidden)
+        for i in reversed(range(start, stop + L.CONTEXT)):
+            behind[i] = h = step(1, h, symbol(i))
+        for i in range(start, stop):
+            v = np.exp(net.out.astype(float) @ np.concatenate([ahead[i], behind[i]]) + net.out_bias)
+            total = total + v / v.sum()
+    return total / len(raw)
+
+
+def test_documents_by_a_loop_over_bytes(monkeypatch):
+    net = L.BiGru.new(3, seed=5)
+    net.out *= 20
+    raw = [t.encode() for t in ("", "a", "né à " * 100, "x" * 500, "one two three\n" * 31, "z" * L.WINDOW)]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    model = L.LanguageModel(["a", "b", "c"], net)
+    sums = model.sums(data, off)
+    for text, got in zip(raw[1:], sums[1:]):
+        assert got / len(text) == pytest.approx(by_byte(net, text), abs=1e-4)
+    monkeypatch.setattr(L, "WINDOWS", 1)
+    assert model.sums(data, off) == pytest.approx(sums, rel=1e-4)
+
+
+def test_a_text_without_blanks_and_a_mixed_one(spark, sf):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    model = L.train_language(spark.read.parquet(f"{sf}/documents.parquet"))
+    held = [(t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 4 == 2 and len(t) > 200]
+    raw = ["".join(t.split()).encode() for t, _ in held]
+    names, _ = model.predict(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert sum(a == k for a, (_, k) in zip(names, held)) >= 0.9 * len(held)
+    one = {k: t.encode() for t, k in held}
+    both = one["en"][:300] + b" " + one["es"][:2000]
+    names, scores = model.predict(np.frombuffer(both, np.uint8), np.array([0, len(both)]))
+    assert names == ["es"] and scores[0] < 1
+
+
 def test_gradients_of_attention():
     rng = np.random.default_rng(0)
     model = Q.AttentionMil.new()
@@ -104,10 +158,8 @@ def test_quality_of_held_out_documents(spark, sf):
     assert sum(r["predicted"] == quality[r["doc_id"]] for r in held) >= 0.9 * len(held)
 
 
-def test_long_words_and_cut_caches():
+def test_cut_caches():
     cache = PieceCache(lambda pieces: np.array([[len(p)] for p in pieces]), most=3)
     for pieces in (["a", "bb", "a"], ["ccc", "bb", "d", "ee"], ["a", "fff"]):
         rows = cache.numbers(pieces)
         assert cache.rows[rows][:, 0].tolist() == [len(p) for p in pieces]
-    assert b"".join(L.units("x" * 100 + " é")) == b"x" * 100 + "é".encode()
-    assert max(map(len, L.units("x" * 100))) <= L.LONGEST

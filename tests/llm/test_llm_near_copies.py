@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from sparkfolio.llm.near_copies import near_copies
+from sparkfolio.llm.near_copies import drop_near_copies, near_copies
 
 
 def shingles(text):
@@ -48,3 +48,27 @@ def test_stage_drops_all_near_copies_of_the_table(spark, sf):
     want = slow_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf).collect())
     assert kept == sorted(i for i, least in want.items() if i == least) and len(kept) < len(want)
+
+
+def test_rows_that_repeat_an_id_are_rows_of_their_own(make):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a), (3, b), (2, b), (4, a), (None, a), (7, None), (7, ""), (None, "x y"), (None, "x y")]
+    out = sorted(((r["doc_id"], r["text"]) for r in drop_near_copies(make(rows)).collect()), key=str)
+    assert out == sorted([(3, a), (2, b), (7, None), (None, "x y")], key=str) or out == sorted([(3, a), (2, b), (7, ""), (None, "x y")], key=str)
+    found = near_copies(make(rows))
+    assert found.count() == len(rows) and found.where("kept").count() == 6
+
+
+def test_large_buckets_are_dealt_out_with_the_same_groups(make):
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.randrange(1, 3)):
+            words[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    want = slow_groups(rows)
+    for limit in (4096, 7):
+        found = {r["doc_id"]: r["component_id"] for r in near_copies(make(rows).repartition(3), limit=limit).collect()}
+        assert found == want

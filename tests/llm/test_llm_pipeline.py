@@ -1,6 +1,11 @@
+import pyarrow as pa
+
 import corpus_pipeline
 import __spark_entry__
-from sparkfolio.llm import language, mixing, sentencepiece, simhash
+from sparkfolio.llm import language, mixing, sentencepiece
+from sparkfolio.llm.common import utf8
+
+from test_llm_near_copies import slow_groups
 
 
 def fold(text):
@@ -15,7 +20,7 @@ def test_stages_by_brute_force(spark, sf):
     kept = stage(spark, docs, sf).checkpoint()
     model = language.train_language(docs)
     rows = docs.collect()
-    names, scores = model.predict([r["text"] or "" for r in rows])
+    names, scores = zip(*((n[0], x[0]) for n, x in (model.predict(*utf8(pa.array([r["text"]], pa.string()))) for r in rows)))
     assert plain(kept) == sorted((tuple(r) for r, n, s in zip(rows, names, scores) if n != "und" and s >= corpus_pipeline.LEAST_SCORE), key=str)
 
     unique = corpus_pipeline.STAGES[1][1](spark, kept, sf).checkpoint()
@@ -26,16 +31,7 @@ def test_stages_by_brute_force(spark, sf):
 
     far = corpus_pipeline.STAGES[2][1](spark, unique, sf).checkpoint()
     rows = unique.collect()
-    prints = [int(x) for x in simhash.fingerprints([r["text"] for r in rows])]
-    group = {r["doc_id"]: r["doc_id"] for r in rows}
-    changed = True
-    near = [(a["doc_id"], b["doc_id"]) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and (prints[i] ^ prints[j]).bit_count() <= 3]
-    while changed:
-        changed = False
-        for a, b in near:
-            least = min(group[a], group[b])
-            changed |= group[a] != group[b]
-            group[a] = group[b] = least
+    group = slow_groups([(r["doc_id"], r["text"]) for r in rows])
     assert plain(far) == sorted((tuple(r) for r in rows if group[r["doc_id"]] == r["doc_id"]), key=str)
 
     mixed = corpus_pipeline.STAGES[3][1](spark, far, sf).checkpoint()

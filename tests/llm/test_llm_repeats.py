@@ -115,6 +115,35 @@ def test_query_on_the_whole_table(spark, sf):
         assert (r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
 
 
+def passages(texts, words):
+    """Number of stretches of each text that windows of so many words which stand in another text cover."""
+    split = [(t or "").encode().split() for t in texts]
+    holders = {}
+    for i, w in enumerate(split):
+        for p in range(len(w) - words + 1):
+            holders.setdefault(tuple(w[p : p + words]), set()).add(i)
+    out = []
+    for w in split:
+        starts = [p for p in range(len(w) - words + 1) if len(holders[tuple(w[p : p + words])]) > 1]
+        out.append(sum(not k or p - starts[k - 1] > words for k, p in enumerate(starts)))
+    return out
+
+
+@pytest.mark.parametrize("seed, words", [(1, 20), (2, 9), (3, 31)])
+def test_passages_of_words_by_brute_force(make, seed, words):
+    texts = corpus(seed)
+    docs = make(list(enumerate(texts))).repartition(5)
+    found = {r["doc_id"]: r["n_passages"] for r in R.remove_repeats(docs, least=60, gram=12, words=words).collect()}
+    want = passages(texts, words)
+    assert [found[i] for i in range(len(texts))] == want and max(want) > 0
+
+
+def test_passages_on_the_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = dict(zip([d["doc_id"] for d in docs], passages([d["text"] for d in docs], 51)))
+    assert {r["doc_id"]: r["n_passages"] for r in QUERIES["op9_repeat_removal"](spark, sf).collect()} == want
+
+
 def test_a_text_longer_than_a_slice():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 5000).astype(np.uint64)
