@@ -49,11 +49,13 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
+    """Deletes written tables that nothing reads any more, and has the driver collect its garbage, since shuffle files stay until then."""
     paths = {t._written_at for t in tables}
     for entry in [e for e in _written if e[1] in paths]:
         _written.remove(entry)
         _delete(*entry)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def _remove() -> None:

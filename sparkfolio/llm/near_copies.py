@@ -3,7 +3,7 @@
 Candidates come from two places. Fingerprints (SimHash of the set of shingles) that share a Golay key bring most of a large group together. The rest
 come from shingles: order all shingles alike everywhere, and two sets of similarity ``LEAST`` share one of their first n - ceil(LEAST * n) + 1. Any order is
 right; here shingles that are frequent among those first ones go last, as counts over all documents tell, so that buckets stay small. All pairs
-are verified on their whole sets, after a bound by histograms. First come neighbours in the buckets and linked fingerprints, whose links contract groups of
+are verified on their whole sets, after bounds by histograms. First come neighbours in the buckets and linked fingerprints, whose links contract groups of
 copies, then the pairs of a bucket that are not yet connected.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BitFilter, is_empty, kept_rows, materialise, slices, small_batches, text_hash, tidy, utf8
+from .common import BitFilter, is_empty, kept_rows, materialise, release, slices, small_batches, text_hash, tidy, utf8
 from .components import components
 from .rolling import majority_bits, shingle_sets
 from .simhash import near_links
@@ -24,10 +24,10 @@ from .simhash import near_links
 SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
-#: Shingles that come first in more documents than this go last in the order; counted anew so many times.
-OFTEN, ROUNDS = 32, 2
-#: Buckets of the histogram that bounds the overlap of two sets before the sets move.
-BINS = 128
+#: Shingles that come first in more documents than this go last in the order.
+OFTEN = 32
+#: Buckets of the histograms, of a byte each, that bound the overlap of two sets before the sets move: first coarse, then fine.
+COARSE, FINE = 128, 1024
 #: A bucket beyond this is dealt out: by hash for neighbours, in pairs of blocks for pairs.
 BUCKET = 4096
 #: Bytes of text that are hashed at a time.
@@ -55,36 +55,36 @@ def _first(batch: pa.RecordBatch, shingle: int, least: tuple[int, int], often: B
 
 
 def _often(docs: DataFrame, shingle: int, least: tuple[int, int]) -> BitFilter | None:
-    """Shingles that come first in more than OFTEN documents, and those that do once these go last."""
-    bits, found = None, None
-    for _ in range(ROUNDS):
-        seen = bits
+    """Shingles that come first in more than OFTEN documents, in an order by hash alone."""
 
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", SLICE):
-                yield pa.record_batch({"key": pa.array(_first(batch, shingle, least, seen)[2].view(np.int64))})
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE):
+            yield pa.record_batch({"key": pa.array(_first(batch, shingle, least, None)[2].view(np.int64))})
+
+    found = materialise(docs.select("text").mapInArrow(tidy(rows), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > OFTEN).select("key"))
+    return None if is_empty(found) else BitFilter(found, hashed=True)
 
-        new = docs.select("text").mapInArrow(tidy(rows), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > OFTEN).select("key")
-        new = materialise(new)
-        if is_empty(new):
-            break
-        found = new if found is None else materialise(found.unionByName(new).distinct())
-        bits = BitFilter(found, hashed=True)
-    return bits
+
+def histograms(hashes: np.ndarray, count: np.ndarray, bins: int) -> list[bytes]:
+    """How many hashes of each set fall into each bin, 255 meaning that many or more."""
+    owner = np.repeat(np.arange(len(count)), count)
+    out = np.bincount(owner * bins + (hashes & np.uint64(bins - 1)).astype(np.int64), minlength=len(count) * bins)
+    return [b.tobytes() for b in np.minimum(out, 255).astype(np.uint8).reshape(-1, bins)]
 
 
 def _documents(docs: DataFrame, shingle: int, least: tuple[int, int], often: BitFilter | None) -> DataFrame:
-    """node, doc_id, th, n, fp, keys: of each document the size and fingerprint of its set, and its first shingles. Rows equal in id and text are one node."""
+    """node, doc_id, th, n, fp, keys, coarse, fine: of each document the size, fingerprint and histograms of its set, and its first shingles. Rows equal in id and text are one node."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             hashes, count, keys, size = _first(batch, shingle, least, often)
             listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(keys.view(np.int64)))
             fp = majority_bits(hashes, count)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "th": batch.column("th"), "n": pa.array(count.astype(np.int64)), "fp": pa.array(fp.view(np.int64)), "keys": listed})
+            out = {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "n": pa.array(count.astype(np.int64)), "fp": pa.array(fp.view(np.int64)), "keys": listed}
+            yield pa.record_batch(out | {k: pa.array(histograms(hashes, count, bins), pa.binary()) for k, bins in (("coarse", COARSE), ("fine", FINE))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = materialise(docs.mapInArrow(tidy(rows), f"doc_id {kind}, th long, n long, fp long, keys array<long>").withColumn("node", F.monotonically_increasing_id()))
+    out = materialise(docs.mapInArrow(tidy(rows), f"doc_id {kind}, th long, n long, fp long, keys array<long>, coarse binary, fine binary").withColumn("node", F.monotonically_increasing_id()))
     again = materialise(out.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("one")).filter("rows > 1").select(F.col("doc_id").alias("again_id"), F.col("th").alias("again_th"), "one"))
     if is_empty(again):
         return out
@@ -118,8 +118,10 @@ def _shared_rows(nodes: DataFrame) -> DataFrame:
             owner = pa.array(np.repeat(np.arange(len(size)), size)[go])
             yield pa.record_batch({"key": pa.array(keys[go]), "n": batch.column("n").take(owner), "node": batch.column("node").take(owner)})
 
-    found = materialise(nodes.select("keys", "n", "node").mapInArrow(rows, "key long, n long, node long"))
-    return materialise(found.join(counts, "key"))  # AQE can split a frequent key between two written tables
+    found = materialise(nodes.select("keys", "n", "node").mapInArrow(tidy(rows), "key long, n long, node long"))
+    out = materialise(found.join(counts, "key"))  # AQE can split a frequent key between two written tables
+    release(counts, found)
+    return out
 
 
 def _neighbours(shared: DataFrame, least: tuple[int, int], limit: int, turn: int) -> DataFrame:
@@ -170,32 +172,34 @@ def _open_pairs(shared: DataFrame, roots: DataFrame, least: tuple[int, int], lim
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_bucket_pairs(least)), "u long, v long")
 
 
+def bounded(a: list[bytes], b: list[bytes], n: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """Whether pairs of sets may have the least similarity by their histograms; ``n``: the sum of both sizes."""
+    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(n), -1) for x in (a, b))
+    both = np.minimum(a, b)
+    most = both.sum(axis=1, dtype=np.int64)  # the overlap is no larger, unless a bin is full
+    return (most * least[1] >= least[0] * (n - most)) | (both == 255).any(axis=1)
+
+
+def _likely(nodes: DataFrame, pairs: DataFrame, column: str, least: tuple[int, int]) -> DataFrame:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keep = bounded(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("n").to_numpy(), least)
+                yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    first = pairs.join(nodes.select(F.col("node").alias("u"), F.col(column).alias("a"), F.col("n").alias("one")), "u")
+    both = first.join(nodes.select(F.col("node").alias("v"), F.col(column).alias("b"), F.col("n").alias("two")), "v")
+    return materialise(both.select("u", "v", "a", "b", (F.col("one") + F.col("two")).alias("n")).mapInArrow(tidy(bound), "u long, v long"))
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) whose whole sets have the least similarity. Only texts of documents in some pair are hashed and moved."""
+    """The pairs (u, v) whose whole sets have the least similarity. Only texts of documents in pairs that pass both bounds are hashed again and moved."""
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             hashes, count = _sets(batch, shingle)
-            owner = np.repeat(np.arange(len(count)), count)
-            bins = np.bincount(owner * BINS + (hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=len(count) * BINS).astype(np.int32)
-            cut = np.append(0, np.cumsum(count))
-            whole = hashes.tobytes()
-            yield pa.record_batch(
-                {
-                    "node": batch.column("node"),
-                    "bins": pa.array([b.tobytes() for b in bins.reshape(-1, BINS)], pa.binary()),
-                    "hashes": pa.array([whole[8 * a : 8 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary()),
-                }
-            )
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.int32).reshape(-1, BINS) for c in "ab")
-                both = np.minimum(a, b).sum(axis=1, dtype=np.int64)  # the overlap is no larger
-                keep = both * least[1] >= least[0] * (a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64) - both)
-                yield part.select(["u", "v"]).filter(pa.array(keep))
+            cut, whole = np.append(0, np.cumsum(count) * 8).tolist(), hashes.tobytes()
+            yield pa.record_batch({"node": batch.column("node"), "hashes": pa.array([whole[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,18 +211,18 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = materialise(pairs.filter("u <> v").distinct())
-    inside = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    coarse = _likely(nodes, pairs, "coarse", least)
+    likely = _likely(nodes, coarse, "fine", least)
+    inside = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     inside = materialise(nodes.select("node", F.col("doc_id").alias("in_id"), F.col("th").alias("in_th")).join(inside, "node"))
-    some = docs.filter(BitFilter(inside.select("in_th")).column(F.col("th"))).dropDuplicates(["doc_id", "th"])
+    some = docs.filter(BitFilter(inside.select("in_th")).column(F.col("th")))
     some = some.join(inside, F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.col("th") == F.col("in_th"))).select("node", "text")
-    sets = materialise(some.mapInArrow(tidy(set_rows), "node long, bins binary, hashes binary"))
-
-    def beside(pairs: DataFrame, column: str) -> DataFrame:
-        first = pairs.join(sets.select(F.col("node").alias("u"), F.col(column).alias("a")), "u")
-        return first.join(sets.select(F.col("node").alias("v"), F.col(column).alias("b")), "v").select("u", "v", "a", "b")
-
-    likely = materialise(beside(pairs, "bins").mapInArrow(bound, "u long, v long"))
-    return materialise(beside(likely, "hashes").mapInArrow(tidy(check), "u long, v long"))
+    sets = materialise(some.mapInArrow(tidy(set_rows), "node long, hashes binary").dropDuplicates(["node"]))
+    first = likely.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
+    both = first.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
+    out = materialise(both.mapInArrow(tidy(check), "u long, v long"))
+    release(pairs, coarse, likely, inside, sets)
+    return out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, limit: int = BUCKET) -> DataFrame:
@@ -241,6 +245,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = _verified(docs, nodes, first, shingle, least)
     roots = materialise(components(links))
     links = links.unionByName(_verified(docs, nodes, _open_pairs(shared, roots, least, limit), shingle, least))
+    release(shared)
     roots = materialise(components(links).join(nodes.select("node", "doc_id", "th"), "node"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     best = materialise(roots.groupBy("root").agg(F.min(order).alias("best")))
