@@ -31,7 +31,7 @@ HIDDEN, STEPS, BATCH, RATE = 12, 240, 192, 0.02
 #: Bytes labelled in a window, and bytes read before and after them.
 WINDOW, CONTEXT = 224, 32
 #: Windows that run side by side.
-WINDOWS = 1024
+WINDOWS = 512
 #: Symbol that stands before and after a text.
 EDGE = 256
 LETTER = re.compile(r"[^\W\d_]")
@@ -259,7 +259,7 @@ def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 #: Bytes of text that are read at a time.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 
 def _predictions(model):

@@ -73,18 +73,22 @@ def histograms(hashes: np.ndarray, count: np.ndarray, bins: int) -> list[bytes]:
 
 
 def _documents(docs: DataFrame, shingle: int, least: tuple[int, int], often: BitFilter | None) -> DataFrame:
-    """node, doc_id, th, n, fp, keys, coarse, fine: of each document the size, fingerprint and histograms of its set, and its first shingles. Rows equal in id and text are one node."""
+    """node, doc_id, th, n, usual, fp, keys, coarse, fine: of each document the size, fingerprint and histograms of its set, how many of a million of its
+    shingles are frequent ones, and its first shingles. Rows equal in id and text are one node."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             hashes, count, keys, size = _first(batch, shingle, least, often)
             listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(keys.view(np.int64)))
             fp = majority_bits(hashes, count)
-            out = {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "n": pa.array(count.astype(np.int64)), "fp": pa.array(fp.view(np.int64)), "keys": listed}
+            ends = np.append(0, np.cumsum(np.zeros(len(hashes), np.int64) if often is None else often.has(hashes)))
+            stops = np.cumsum(count)
+            usual = (ends[stops] - ends[stops - count]) * 1_000_000 // count
+            out = {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "n": pa.array(count.astype(np.int64)), "usual": pa.array(usual), "fp": pa.array(fp.view(np.int64)), "keys": listed}
             yield pa.record_batch(out | {k: pa.array(histograms(hashes, count, bins), pa.binary()) for k, bins in (("coarse", COARSE), ("fine", FINE))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = materialise(docs.mapInArrow(tidy(rows), f"doc_id {kind}, th long, n long, fp long, keys array<long>, coarse binary, fine binary").withColumn("node", F.monotonically_increasing_id()))
+    out = materialise(docs.mapInArrow(tidy(rows), f"doc_id {kind}, th long, n long, usual long, fp long, keys array<long>, coarse binary, fine binary").withColumn("node", F.monotonically_increasing_id()))
     again = materialise(out.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("one")).filter("rows > 1").select(F.col("doc_id").alias("again_id"), F.col("th").alias("again_th"), "one"))
     if is_empty(again):
         return out
@@ -106,7 +110,7 @@ def _by_fingerprint(nodes: DataFrame, limit: int) -> DataFrame:
 
 
 def _shared_rows(nodes: DataFrame) -> DataFrame:
-    """key, n, node, rows: first shingles that ``rows`` > 1 documents have, row by row."""
+    """key, n, usual, node, rows: first shingles that ``rows`` > 1 documents have, row by row."""
     counts = materialise(nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
     some = BitFilter(counts.select("key"), hashed=True)
 
@@ -116,32 +120,40 @@ def _shared_rows(nodes: DataFrame) -> DataFrame:
             keys = batch.column("keys").flatten().to_numpy()
             go = some.has(keys)
             owner = pa.array(np.repeat(np.arange(len(size)), size)[go])
-            yield pa.record_batch({"key": pa.array(keys[go]), "n": batch.column("n").take(owner), "node": batch.column("node").take(owner)})
+            yield pa.record_batch({"key": pa.array(keys[go])} | {k: batch.column(k).take(owner) for k in ("n", "usual", "node")})
 
-    found = materialise(nodes.select("keys", "n", "node").mapInArrow(tidy(rows), "key long, n long, node long"))
+    found = materialise(nodes.select("keys", "n", "usual", "node").mapInArrow(tidy(rows), "key long, n long, usual long, node long"))
     out = materialise(found.join(counts, "key"))  # AQE can split a frequent key between two written tables
     release(counts, found)
     return out
 
 
 def _neighbours(shared: DataFrame, least: tuple[int, int], limit: int, turn: int) -> DataFrame:
-    """Pairs (u, v) of nodes that stand next to each other in a bucket, by size, if they may be similar. A large bucket is dealt by a hash that each turn has its own of."""
+    """Pairs (u, v) of nodes that may be similar by their sizes: those next to each other in a bucket, by size, and each with the bucket's most usual
+    one, which is near the text that the others were copied from. A large bucket is dealt by a hash that each turn has its own of."""
     part = F.when(F.col("rows") <= limit, 0).otherwise(F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("rows") / limit)))
-    bucket = Window.partitionBy("key", "part").orderBy("n", "node")
-    beside = shared.withColumn("part", part).withColumns({"before": F.lag("node").over(bucket), "less": F.lag("n").over(bucket)})
-    return beside.filter(F.col("less") * least[1] >= F.col("n") * least[0]).select(*_pair("node", "before"))
+    bucket = Window.partitionBy("key", "part")
+    by_size, centre = bucket.orderBy("n", "node"), F.max(F.struct("usual", "node", "n")).over(bucket)
+    beside = shared.withColumn("part", part).withColumns({"before": F.struct(F.lag("node").over(by_size).alias("node"), F.lag("n").over(by_size).alias("n")), "centre": F.struct(centre["node"].alias("node"), centre["n"].alias("n"))})
+    pairs = beside.select("node", "n", F.explode(F.array("before", "centre")).alias("other")).filter("node <> other.node")
+    fits = F.least("n", "other.n") * least[1] >= F.greatest("n", "other.n") * least[0]
+    return pairs.filter(fits).select(*_pair("node", "other.node"))
 
 
 def _bucket_pairs(least: tuple[int, int]):
-    """A maker of the pairs (u, v) within each bucket that may be similar by their sizes and have no root in common. Rows come ordered by key."""
+    """A maker of the pairs (u, v) within each bucket that may be similar by their sizes and coarse histograms and have no root in common. Rows come ordered by key."""
 
-    def solve(n: np.ndarray, node: np.ndarray, root: np.ndarray, block: int = 256) -> Iterator[pa.RecordBatch]:
+    def solve(n: np.ndarray, node: np.ndarray, root: np.ndarray, coarse: np.ndarray, block: int = 256) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(n), block):
             one, two = n[a : a + block, None], n[None]
             fits = (root[a : a + block, None] != root) & (least[1] * np.minimum(one, two) >= least[0] * np.maximum(one, two)) & (node[a : a + block, None] < node)
             i, j = np.nonzero(fits)
-            if len(i):
-                yield pa.record_batch({"u": pa.array(node[a + i]), "v": pa.array(node[j])})
+            i += a
+            for at in range(0, len(i), 8192):
+                x, y = i[at : at + 8192], j[at : at + 8192]
+                keep = bounded(coarse[x], coarse[y], n[x] + n[y], least)
+                if keep.any():
+                    yield pa.record_batch({"u": pa.array(node[x[keep]]), "v": pa.array(node[y[keep]])})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []  # the bucket that may go on in the next batch
@@ -149,32 +161,38 @@ def _bucket_pairs(least: tuple[int, int]):
             if not batch.num_rows:
                 continue
             keys, n, node, root = (batch.column(c).to_numpy() for c in ("key", "n", "node", "root"))
+            coarse = _matrix(batch.column("coarse"))
             bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             for a, b in zip(bounds[:-1], bounds[1:]):
                 if keys[a] != key:
                     if parts:
                         yield from solve(*map(np.concatenate, zip(*parts)))
                     key, parts = int(keys[a]), []
-                parts.append((n[a:b], node[a:b], root[a:b]))
+                parts.append((n[a:b], node[a:b], root[a:b], coarse[a:b]))
         if parts:
             yield from solve(*map(np.concatenate, zip(*parts)))
 
     return rows
 
 
-def _open_pairs(shared: DataFrame, roots: DataFrame, least: tuple[int, int], limit: int) -> DataFrame:
-    """Pairs (u, v) of nodes that share a first shingle, may be similar by their sizes and are not connected yet."""
+def _open_pairs(nodes: DataFrame, shared: DataFrame, roots: DataFrame, least: tuple[int, int], limit: int) -> DataFrame:
+    """Pairs (u, v) of nodes that share a first shingle, may be similar by their sizes and coarse histograms and are not connected yet."""
     rooted = materialise(shared.select("key", "n", "node").join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root")))
     open_keys = materialise(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "rows"))
     last = F.ceil(F.col("rows") / limit) - 1
     dealt = rooted.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), last + 1)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     dealt = dealt.select(F.when(last == 0, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))).alias("key"), "n", "node", "root")
+    dealt = dealt.join(nodes.select("node", "coarse"), "node")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_bucket_pairs(least)), "u long, v long")
 
 
-def bounded(a: list[bytes], b: list[bytes], n: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+def _matrix(histograms: pa.Array) -> np.ndarray:
+    """Rows of histograms of one width."""
+    return utf8(histograms)[0].reshape(len(histograms), -1)
+
+
+def bounded(a: np.ndarray, b: np.ndarray, n: np.ndarray, least: tuple[int, int]) -> np.ndarray:
     """Whether pairs of sets may have the least similarity by their histograms; ``n``: the sum of both sizes."""
-    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(n), -1) for x in (a, b))
     both = np.minimum(a, b)
     most = both.sum(axis=1, dtype=np.int64)  # the overlap is no larger, unless a bin is full
     return (most * least[1] >= least[0] * (n - most)) | (both == 255).any(axis=1)
@@ -184,7 +202,7 @@ def _likely(nodes: DataFrame, pairs: DataFrame, column: str, least: tuple[int, i
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = bounded(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("n").to_numpy(), least)
+                keep = bounded(_matrix(batch.column("a")), _matrix(batch.column("b")), batch.column("n").to_numpy(), least)
                 yield batch.select(["u", "v"]).filter(pa.array(keep))
 
     first = pairs.join(nodes.select(F.col("node").alias("u"), F.col(column).alias("a"), F.col("n").alias("one")), "u")
@@ -192,8 +210,8 @@ def _likely(nodes: DataFrame, pairs: DataFrame, column: str, least: tuple[int, i
     return materialise(both.select("u", "v", "a", "b", (F.col("one") + F.col("two")).alias("n")).mapInArrow(tidy(bound), "u long, v long"))
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) whose whole sets have the least similarity. Only texts of documents in pairs that pass both bounds are hashed again and moved."""
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: tuple[int, int], bound: bool = False) -> DataFrame:
+    """The pairs (u, v) (of which ``bound`` says that they have passed the coarse histograms) whose whole sets have the least similarity. Only texts of documents in pairs that pass both bounds are hashed again and moved."""
 
     def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -211,8 +229,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = materialise(pairs.filter("u <> v").distinct())
-    coarse = _likely(nodes, pairs, "coarse", least)
-    likely = _likely(nodes, coarse, "fine", least)
+    likely = _likely(nodes, pairs if bound else _likely(nodes, pairs, "coarse", least), "fine", least)
     inside = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     inside = materialise(nodes.select("node", F.col("doc_id").alias("in_id"), F.col("th").alias("in_th")).join(inside, "node"))
     some = docs.filter(BitFilter(inside.select("in_th")).column(F.col("th")))
@@ -221,7 +238,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     first = likely.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
     both = first.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
     out = materialise(both.mapInArrow(tidy(check), "u long, v long"))
-    release(pairs, coarse, likely, inside, sets)
+    release(pairs, likely, inside, sets)
     return out
 
 
@@ -244,7 +261,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = first.unionByName(_neighbours(shared, least, limit, turn))
     links = _verified(docs, nodes, first, shingle, least)
     roots = materialise(components(links))
-    links = links.unionByName(_verified(docs, nodes, _open_pairs(shared, roots, least, limit), shingle, least))
+    links = links.unionByName(_verified(docs, nodes, _open_pairs(nodes, shared, roots, least, limit), shingle, least, True))
     release(shared)
     roots = materialise(components(links).join(nodes.select("node", "doc_id", "th"), "node"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
