@@ -21,7 +21,7 @@ TOLERANCE = 1e-6
 RATIO = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-#: Steps between two tables written.
+#: Steps between two looks at the change.
 ROUND_CUT = 3
 
 
@@ -70,8 +70,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         moved = edges.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         rank = moved.unionByName(seeds.withColumn("rank", F.col("rank") * (1 - damping))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         i += 1
+        rank = materialise(rank)  # the join of two written tables splits the links of a popular host
         if i % ROUND_CUT == 0 or i == rounds:
-            rank = materialise(rank)
             if rounds is None:
                 change = rank.unionByName(before.withColumn("rank", -F.col("rank"))).groupBy("kind", "host").agg(F.abs(F.sum("rank")).alias("change"))
                 if (change.agg(F.sum("change")).first()[0] or 0.0) < TOLERANCE:
@@ -103,5 +103,6 @@ def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     score = rank.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
     bad = F.col("distrust") > RATIO * F.col("trust") * (1 + TOLERANCE)
     score = score.select("host", bad.alias("bad"), *((F.round(k, 12) * count).alias(k) for k in ("trust", "distrust")))
+    score = materialise(score)  # so that the partition of a host with most of the pages can be split
     out = judged.join(score, "host", "left").na.fill(0.0, ["trust", "distrust"])
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"), "trust", "distrust")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, tidy, utf8
+from .common import materialise, slices, small_batches, tidy, utf8
 from .language import remainder
 
 #: Bytes of a passage, and of a long text's piece, which holds whole passages.
@@ -23,8 +23,8 @@ PASSAGE, PIECE = 512, 1 << 21
 #: Byte counts, words, and words that equal the one before.
 FEATURES, WORDS, REPEATED = 258, 256, 257
 ENCODED, ATTENTION = 16, 8
-#: Labelled documents that are learned from, chosen by hash, and the passages of each that are sent to the driver.
-SAMPLE, SAMPLE_PASSAGES = 3000, 64
+#: Labelled documents that are learned from, chosen by hash among those of no more bytes than SAMPLE_BYTES; all of their passages count.
+SAMPLE, SAMPLE_BYTES = 3000, 1 << 15
 STEPS, BATCH, RATE = 400, 256, 0.02
 THRESHOLD = 0.3
 
@@ -140,16 +140,24 @@ class AttentionMil:
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         counts, n = passages(*utf8(batch.column("text")))
-        whole = [c[:: max(1, -(-len(c) // SAMPLE_PASSAGES))].astype(np.uint16).tobytes() for c in np.split(counts, np.cumsum(n)[:-1])]
+        whole = [c.astype(np.uint16).tobytes() for c in np.split(counts, np.cumsum(n)[:-1])]
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "counts": pa.array(whole, pa.binary())})
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 5, steps: int = STEPS) -> AttentionMil | None:
-    """Learns from ``SAMPLE`` labelled documents whose crc32(id) mod ``fold`` is not 0."""
+    """Learns from ``SAMPLE`` labelled documents whose crc32(id) mod ``fold`` is not 0, each read as a whole.
+
+    Of labels that disagree on an id the larger counts; null labels and labels without a document count for nothing; rows that repeat an id come in as they are, up to
+    the bound; without any there is no model.
+    """
     small_batches(docs.sparkSession)
     mine = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("quality")).filter((remainder(F.col("doc_id"), fold) != 0) & F.col("quality").isNotNull())
-    mine = mine.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(SAMPLE)  # so it may be broadcast
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(mine), "doc_id")
+    mine = mine.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    order = (F.xxhash64("doc_id", F.lit(2)), "doc_id")
+    short = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
+    picked = materialise(short.select("doc_id").join(mine, "doc_id").distinct().orderBy(*order).limit(SAMPLE))  # so it may be broadcast
+    found = short.join(F.broadcast(picked), "doc_id").orderBy(*order, F.xxhash64("text"), "text").limit(SAMPLE)
     rows = found.mapInArrow(_bags, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, quality int, counts binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["counts"]))
     bags = [features(np.frombuffer(r["counts"], np.uint16).reshape(-1, FEATURES).astype(np.int64)) for r in rows]

@@ -12,7 +12,9 @@ from __future__ import annotations
 import base64
 import binascii
 import codecs
+import contextlib
 import hashlib
+import itertools
 import re
 import zlib
 from collections import deque
@@ -31,19 +33,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so this drops just what the length rule drops
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
-PERCENT = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-ESCAPE = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|u\{[0-9A-Fa-f]{1,6}\})[^\s\\]*)+")
+#: Runs without blanks and without a stray % or backslash, taken once each; those with an escape are unwrapped.
+PERCENT = re.compile(r"(?:[^\s%]++|%[0-9A-Fa-f]{2})++")
+ESCAPE = re.compile(r"(?:[^\s\\]++|\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|u\{[0-9A-Fa-f]{1,6}\}))++")
+ONE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|u\{([0-9A-Fa-f]{1,6})\})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Runs over single line breaks, in either alphabet; indented lines too.
 CHAINS = tuple(re.compile(rf"(?<![{c}])[{c}]++(?:\r?\n[ \t]*+[{c}]++)+={{0,2}}") for c in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Headers that compressed data have in practice; at the front of base64 any valid one counts.
-PACKED, STEP = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]"), 1024
+PACKED, STEP, OUTPUT = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]"), 1024, 1 << 16
 SEPARATOR, BASE64_PART = re.compile(r"[/_-]"), re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
-#: Unwrapped layers of one text may hold so many characters for each of its own, or LAYER_LEAST if that is more.
-#: It stops decompression bombs; a text that meets it is reported in ``cut``.
-LAYER_TIMES, LAYER_LEAST = 64, 16 << 20
+#: A compressed layer is held as a whole up to so many bytes for each character of the text, or LAYER_LEAST if that is more. The rest of a larger one is
+#: scanned in windows, which have SHARED bytes in common; its spans are all of the compressed run, so it ends once it has given every kind.
+LAYER_TIMES, LAYER_LEAST, WINDOW, SHARED = 64, 16 << 20, 1 << 22, 1 << 16
+SPACES = re.compile(rb" {2,}")
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -88,105 +93,163 @@ def _printable(text: str) -> bool:
     return odd * 20 <= len(text)
 
 
-def _inflate(raw: bytes, most: int) -> tuple[bytes, bool]:
-    """What gzip or zlib data hold up to the first error, all members, and whether it was cut at ``most``."""
-    out, size = [], 0
-    while raw:
-        unpack = zlib.decompressobj(47)
-        for at in range(0, len(raw), STEP):
-            piece = raw[at : at + STEP]
-            try:
-                got = unpack.decompress(piece, most - size)
-            except zlib.error:
-                return b"".join(out), False
-            out.append(got)
-            size += len(got)
-            if unpack.unconsumed_tail or size >= most:
-                return b"".join(out), True
-            if unpack.eof:
-                break
-        raw = unpack.unused_data + raw[at + STEP :] if unpack.eof else b""
-        if not _compressed(raw):
-            break
-    return b"".join(out), False
-
-
 def _compressed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0
 
 
-def unpacked(raw: bytes, most: int) -> tuple[str | None, bool]:
-    """Text inside compressed bytes, through all their layers; None if they are not compressed. (text, whether it was cut)"""
-    inner, cut = None, False
-    while _compressed(raw):
-        raw, short = _inflate(raw, most)
-        cut |= short
-        if not raw:
+def inflate(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What gzip or zlib data hold up to the first error, all members, STEP bytes of input and OUTPUT bytes of output at a time."""
+    unpack, rest = zlib.decompressobj(47), b""
+    for chunk in chunks:
+        for at in range(0, len(chunk), STEP):
+            piece = rest + bytes(chunk[at : at + STEP])
+            rest = b""
+            while piece:
+                if unpack.eof:  # another member
+                    if len(piece) < 3:
+                        rest = piece
+                        break
+                    if not _compressed(piece):
+                        return
+                    unpack = zlib.decompressobj(47)
+                try:
+                    got = unpack.decompress(piece, OUTPUT)
+                except zlib.error:
+                    return
+                if got:
+                    yield got
+                piece = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+
+
+def _opens(head: bytes) -> bool:
+    """Whether bytes begin like compressed data and give something."""
+    if not _compressed(head):
+        return False
+    unpack = zlib.decompressobj(47)
+    with contextlib.suppress(zlib.error):
+        return any(unpack.decompress(bytes(head[at : at + STEP]), 1) for at in range(0, len(head), STEP))
+    return False
+
+
+def unpacked(raw: bytes, most: int) -> tuple[bytes | None, Iterator[bytes]]:
+    """Bytes inside compressed bytes, through all their layers, about ``most`` of them; None if they are not compressed. (bytes, those that follow)"""
+    if not _opens(raw):
+        return None, iter(())
+    chunks = inflate(iter([raw]))
+    while True:
+        head = b""
+        while len(head) < STEP and (more := next(chunks, b"")):
+            head += more
+        chunks = itertools.chain([head], chunks)
+        if not _opens(head):
+            break
+        chunks = inflate(chunks)
+    out, size = [], 0
+    for chunk in chunks:
+        out.append(chunk)
+        size += len(chunk)
+        if size >= most:
             break
-        inner = raw
-    return (inner.decode(errors="replace") if inner else None), cut
+    return b"".join(out), chunks
+
+
+def kinds_of(chunks: Iterator[bytes]) -> set[int]:
+    """Kinds of secrets in bytes of any number, window by window: a secret needs far fewer bytes than windows have in common."""
+    found, held = set(), b""
+    for chunk in itertools.chain(chunks, [None]):
+        if chunk is not None:
+            held += chunk
+            if len(held) >= WINDOW:
+                held = SPACES.sub(b" ", held)  # patterns take any number of them
+            if len(held) < WINDOW:
+                continue
+        found |= {k for _, k, _ in deep_scan(held.decode(errors="replace"))[1]}
+        held = held[-SHARED:]
+        if len(found) == len(KINDS):
+            break
+    return found
+
 
+def _packed(raw: bytes, first: int, last: int, most: int) -> list:
+    """The layer of compressed data, all of it from source ``first`` to ``last``, and if it has more than ``most`` bytes, the kinds in the rest."""
+    inner, rest = unpacked(raw, most)
+    if inner is None:
+        return []
+    text = inner.decode(errors="replace")
+    out = [(text, np.full(len(text), first), np.full(len(text), last))]
+    more = next(rest, None)
+    if more is not None:
+        out.append((kinds_of(itertools.chain([SPACES.sub(b" ", inner)[-SHARED:], more], rest)), first, last))
+    return out
 
-def packed_layers(raw: bytes, begin: np.ndarray, end: np.ndarray, most: int):
-    """Layers of compressed data anywhere in bytes; each covers the source from its first byte on. (layers, whether one was cut)"""
-    out, cut = [], False
+
+def packed_layers(raw: bytes, begin: np.ndarray, end: np.ndarray, most: int) -> list:
+    """Layers of compressed data anywhere in bytes; each covers the source from its first byte on."""
+    out, view = [], memoryview(raw)
     for m in PACKED.finditer(raw):
-        text, short = unpacked(raw[m.start() :], most)
-        cut |= short
-        if text:
-            out.append((text, np.full(len(text), begin[m.start()]), np.full(len(text), end[-1])))
-    return out, cut
+        out += _packed(view[m.start() :], begin[m.start()], end[-1], most)
+    return out
 
 
 def percent_bytes(part: str, at: int):
     raw, begin, end, i = bytearray(), [], [], 0
-    while i < len(part):
-        if part[i] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", part[i + 1 : i + 3]):
-            code, step = bytes((int(part[i + 1 : i + 3], 16),)), 3
-        else:
-            code, step = part[i].encode(errors="replace"), 1
-        raw += code
-        begin += [at + i] * len(code)
-        end += [at + i + step] * len(code)
-        i += step
-    return bytes(raw), np.array(begin), np.array(end)
+
+    def plain(a: int, b: int) -> None:
+        code = part[a:b].encode(errors="replace")
+        raw.extend(code)
+        place = range(a, b)
+        if len(code) > b - a:
+            place = (np.cumsum((np.frombuffer(code, np.uint8) & 0xC0) != 0x80) + a - 1).tolist()
+        begin.extend(place)
+        end.extend(p + 1 for p in place)
+
+    for m in ONE_PERCENT.finditer(part):
+        plain(i, m.start())
+        raw.append(int(m[1], 16))
+        begin.append(m.start())
+        end.append(m.end())
+        i = m.end()
+    plain(i, len(part))
+    return bytes(raw), np.array(begin, np.int64) + at, np.array(end, np.int64) + at
 
 
 def escape_layer(part: str, at: int):
-    chars, begin, end, i = [], [], [], 0
+    """Two escapes that are halves of a surrogate pair are one character; a half alone is U+FFFD."""
+    chars, begin, end, i, high = [], [], [], 0, None
     for m in ONE_ESCAPE.finditer(part):
-        chars += part[i : m.start()]
-        begin += range(at + i, at + m.start())
-        end += range(at + i + 1, at + m.start() + 1)
         code = int(m[1] or m[2] or m[3], 16)
+        if high is not None and m.start() == i and 0xDC00 <= code < 0xE000:
+            chars[-1] = chr(0x10000 + (high - 0xD800 << 10) + code - 0xDC00)
+            end[-1], i, high = m.end(), m.end(), None
+            continue
+        chars += part[i : m.start()]
+        begin += range(i, m.start())
+        end += range(i + 1, m.start() + 1)
+        high = code if 0xD800 <= code < 0xDC00 else None
         chars.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd")
-        begin.append(at + m.start())
-        end.append(at + m.end())
+        begin.append(m.start())
+        end.append(m.end())
         i = m.end()
     chars += part[i:]
-    begin += range(at + i, at + len(part))
-    end += range(at + i + 1, at + len(part) + 1)
-    return "".join(chars), np.array(begin), np.array(end)
+    begin += range(i, len(part))
+    end += range(i + 1, len(part) + 1)
+    return "".join(chars), np.array(begin, np.int64) + at, np.array(end, np.int64) + at
 
 
-def base64_layers(part: str, place: np.ndarray, most: int):
-    """Layers of a base64 run whose characters lie at ``place``: its text, and what is compressed in it. (layers, whether one was cut)"""
+def base64_layers(part: str, place: np.ndarray, most: int) -> list:
+    """Layers of a base64 run whose characters lie at ``place``: its text, and what is compressed in it."""
     body = part.rstrip("=")
     if len(body) % 4 == 1:
         body = body[:-1]
     try:
         raw = base64.b64decode(body.translate({45: 43, 95: 47}) + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
-        return [], False
+        return []
     if not raw:
-        return [], False
+        return []
     byte = np.arange(len(raw))
     begin, end = place[byte * 4 // 3], place[np.minimum(-(-(byte + 1) * 4 // 3), len(part)) - 1] + 1
-    text, cut = unpacked(raw, most)
-    if text:
-        return [(text, np.full(len(text), place[0]), np.full(len(text), place[-1] + 1))], cut
-    inner, short = packed_layers(raw, begin, end, most)
-    return [_characters(raw, begin, end), *inner], cut | short
+    return _packed(raw, int(place[0]), int(place[-1]) + 1, most) or [_characters(raw, begin, end), *packed_layers(raw, begin, end, most)]
 
 
 def wrapped_runs(layer: str) -> Iterator[np.ndarray]:
@@ -226,26 +289,31 @@ def in_place(layer: str, parts: list) -> tuple[str, np.ndarray, np.ndarray]:
     return "".join(text), np.concatenate(first), np.concatenate(last)
 
 
-def opened_layers(layer: str, most: int):
-    """Everything that unwraps from a layer: each part alone, and per encoding the layer with those parts in place. (layers, whether one was cut)"""
-    out, views, cut = [], [], False
+def _readable(inner: list) -> bool:
+    return bool(inner) and _printable(inner[0][0])
+
+
+def opened_layers(layer: str, most: int) -> list:
+    """Everything that unwraps from a layer: each part alone, and per encoding the layer with those parts in place.
+
+    An entry is (text, first, last) by character, or (kinds, first, last) of what a compressed layer holds beyond ``most`` bytes.
+    """
+    out, views = [], []
     if "%" in layer:
         view = []
         for m in PERCENT.finditer(layer):
-            raw, begin, end = percent_bytes(m[0], m.start())
-            inner, short = packed_layers(raw, begin, end, most)
-            cut |= short
-            out += inner
-            view.append((*m.span(), _characters(raw, begin, end)))
+            if "%" in m[0]:
+                raw, begin, end = percent_bytes(m[0], m.start())
+                out += packed_layers(raw, begin, end, most)
+                view.append((*m.span(), _characters(raw, begin, end)))
         views.append(view)
     if "\\" in layer:
         view = []
         for m in ESCAPE.finditer(layer):
-            part = escape_layer(m[0], m.start())
-            inner, short = packed_layers(part[0].encode("latin-1", "replace"), *part[1:], most)
-            cut |= short
-            out += inner
-            view.append((*m.span(), part))
+            if "\\" in m[0]:
+                part = escape_layer(m[0], m.start())
+                out += packed_layers(part[0].encode("latin-1", "replace"), *part[1:], most)
+                view.append((*m.span(), part))
         views.append(view)
     runs = [np.arange(*m.span()) for m in BASE64.finditer(layer)]
     for places in (runs, wrapped_runs(layer) if "\n" in layer else ()):
@@ -253,34 +321,37 @@ def opened_layers(layer: str, most: int):
         for place in places:
             a, b = int(place[0]), int(place[-1]) + 1
             run = layer[a:b] if b - a == len(place) else "".join(layer[i] for i in place.tolist())
-            inner, short = base64_layers(run, place, most)
-            cut |= short
+            inner = base64_layers(run, place, most)
             out += inner
-            if inner and _printable(inner[0][0]):
+            if _readable(inner):
                 view.append((a, b, inner[0]))
-            elif SEPARATOR.search(run):  # of a path or a name: its parts may be base64
+                continue
+            if SEPARATOR.search(run):  # of a path or a name: its parts may be base64
                 for x in BASE64_PART.finditer(run):
-                    some, short = base64_layers(x[0], place[x.start() : x.end()], most)
-                    cut |= short
-                    out += some
+                    out += base64_layers(x[0], place[x.start() : x.end()], most)
+            for off in (1, 2, 3):  # glued to a prefix of other length
+                some = base64_layers(run[off:], place[off:], most)
+                out += some if _readable(some) else some[1:]
         views.append(view)
     for view in filter(None, views):
         out += [inner for *_, inner in view]
         out.append(in_place(layer, view))
-    return out, cut
+    return out
 
 
-def deep_scan(text: str) -> tuple[list[Span], list[Span], int, bool]:
-    """Base spans, all spans, the number of layers unwrapped, and whether a layer was cut at the size bound."""
+def deep_scan(text: str) -> tuple[list[Span], list[Span], int]:
+    """Base spans, all spans, and the number of layers unwrapped."""
     base = scan(text)
-    found, seen, layers, cut = set(base), set(), 0, False
-    left = max(LAYER_LEAST, LAYER_TIMES * len(text))
+    found, seen, layers = set(base), set(), 0
+    most = max(LAYER_LEAST, LAYER_TIMES * len(text))
     work = deque([(text, None, None)])
     while work:
         layer, begin, end = work.popleft()
-        opened, short = opened_layers(layer, max(1, left))
-        cut |= short
-        for inside, first, last in opened:
+        for inside, first, last in opened_layers(layer, most):
+            if isinstance(inside, set):
+                a, b = (first, last) if begin is None else (int(begin[first]), int(end[last - 1]))
+                found.update((a, kind, b) for kind in inside)
+                continue
             if not inside or inside == layer:
                 continue
             if begin is not None:
@@ -288,15 +359,11 @@ def deep_scan(text: str) -> tuple[list[Span], list[Span], int, bool]:
             key = (inside, int(first[0]), int(last[-1]))
             if key in seen:
                 continue
-            if len(inside) > left:
-                cut = True
-                continue
             seen.add(key)
-            left -= len(inside)
             layers += 1
             found.update((int(first[a]), kind, int(last[b - 1])) for a, kind, b in scan(inside))
             work.append((inside, first, last))
-    return base, sorted(found), layers, cut
+    return base, sorted(found), layers
 
 
 def joined(spans: list[Span]) -> str:
@@ -312,15 +379,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             | count
             | {
                 "base_sha256": pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, *_ in out], pa.string()),
-                "spans": pa.array([joined(spans) for _, spans, *_ in out], pa.string()),
-                "n_layers": pa.array([n for *_, n, _ in out], pa.int64()),
-                "cut": pa.array([c for *_, c in out], pa.bool_()),
+                "spans": pa.array([joined(spans) for _, spans, _ in out], pa.string()),
+                "n_layers": pa.array([n for *_, n in out], pa.int64()),
             }
         )
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex (base spans), base_sha256, spans, n_layers, cut.
+    """One row per input row: doc_id, n_assign, n_access, n_hex (base spans), base_sha256, spans, n_layers.
 
     Spans count code points of the original text, end exclusive. A span found in a decoded layer
     covers the encoded characters it was decoded from (all of the run where that was compressed). Null text counts as empty and has no
@@ -328,4 +394,4 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = id_text(docs, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(tidy(_rows), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, cut boolean")
+    return docs.mapInArrow(tidy(_rows), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long")

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -25,7 +26,7 @@ parts = st.sampled_from(["password", "PassWd", "secret", "toKen", "api_key", "ap
 @settings(max_examples=300, deadline=None)
 @given(st.lists(parts, max_size=30).map("".join))
 def test_base_spans_are_those_of_the_patterns_and_stay(text):
-    base, spans, _, _ = S.deep_scan(text)
+    base, spans, _ = S.deep_scan(text)
     assert base == brute(text)
     assert set(base) <= set(spans)
 
@@ -50,8 +51,8 @@ def test_wrapped_secrets_are_found_within_their_wrapping(inner, outer):
     if outer:
         wrapped = WRAPS[outer](wrapped)
     text = f"some text. {wrapped} and on"
-    base, spans, layers, cut = S.deep_scan(text)
-    assert not base and layers >= 1 and not cut
+    base, spans, layers = S.deep_scan(text)
+    assert not base and layers >= 1
     assert any(k == 0 and 11 <= a < b <= 11 + len(wrapped) for a, k, b in spans)
 
 
@@ -72,10 +73,34 @@ def test_a_layer_that_unwraps_to_itself_ends():
     assert S.deep_scan(nested)[1]
 
 
-def test_decompression_is_bounded(monkeypatch):
-    monkeypatch.setattr(S, "LAYER_LEAST", 1000)
-    bomb = base64.b64encode(zlib.compress(b" " * 10_000_000)).decode()
-    assert S.deep_scan(bomb)[3]
+def test_large_compressed_layers_go_in_windows(monkeypatch):
+    for name, value in {"LAYER_LEAST": 1000, "LAYER_TIMES": 0, "WINDOW": 5000, "SHARED": 100}.items():
+        monkeypatch.setattr(S, name, value)
+    bomb = lambda raw: base64.b64encode(raw).decode()
+    assert S.deep_scan(bomb(zlib.compress(b" " * 10_000_000)))[1] == []
+    for at in (10, 990, 4990, 5050, 299_980):
+        raw = bytearray(b". " * 150_000)
+        raw[at : at + 18] = b'"token" : abcdefgh'
+        for text in (bomb(zlib.compress(raw)), bomb(gzip.compress(zlib.compress(raw))), bomb(gzip.compress(raw[:100_000]) + gzip.compress(raw[100_000:]))):
+            assert S.deep_scan(text)[1] == [(0, 0, len(text))], at
+    raw = b". " * 30_000 + b"token" + b" " * 20_000 + b"= abcdefgh" + b". " * 10_000
+    assert {k for _, k, _ in S.deep_scan(bomb(zlib.compress(raw)))[1]} == {0}
+
+
+def test_long_tokens_take_linear_time():
+    for text in ("a" * 1_000_000 + "%41", "b1" * 500_000 + "\\x41", "%41" * 300_000 + " token%3Dabcdefgh1"):
+        begin = time.process_time()
+        S.deep_scan(text)
+        assert time.process_time() - begin < 20
+
+
+def test_pairs_of_escapes_and_glued_base64():
+    assert S.escape_layer("a\\ud83d\\ude00\\ud83db", 5)[0] == "a\U0001f600\ufffdb"
+    assert S.escape_layer("a\\ud83d\\ude00b", 5)[2].tolist() == [6, 18, 19]
+    assert found('"\\ud83d\\ude00 p\\u0061ssword=\\u0061bcdefgh1"')
+    coded = base64.b64encode(b"the token=abcdefgh99 is here").decode()
+    for prefix in ("x", "xy", "xyz", "xyzw"):
+        assert found(prefix + coded), prefix
 
 
 def found(text):
