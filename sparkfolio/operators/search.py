@@ -20,39 +20,51 @@ from ..functions import lexical, text, vectors
 #: Results farther than this are left out.
 MAX_DISTANCE = 0.94
 RESULT = ["id", "score", "content", "source_type", "document_slug", "document_title", "page_number", "element_type", "element_label", "crop_path", "rendered_path", "chunk_index"]
+#: What branches carry; documents and pages are looked up for the rows that are left.
+KEPT = ["id", "score", "content", "source_type", "document_id", "page_id", "element_type", "element_label", "crop_path", "rendered_path", "chunk_index"]
 #: Query vectors of a batched search that go to all executors; beyond, searches run in blocks of so many.
 QUERY_BLOCK = 1000
 
 
 @dataclass
 class Corpus:
-    """documents(id, slug, title), pages(id, document_id, page_number), chunks and elements (id, document_id, page_id, …, embedding, tsv)."""
+    """documents(id, slug, title), pages(id, document_id, page_number), chunks and elements (id, document_id, page_id, …, embedding, tsv).
+
+    Every chunk and element has its document and page.
+    """
 
     documents: DataFrame
     pages: DataFrame
     chunks: DataFrame
     elements: DataFrame
 
-    def _placed(self, rows: DataFrame, document_slug: str | None) -> DataFrame:
-        documents = self.documents.select(F.col("id").alias("document_id"), F.col("slug").alias("document_slug"), F.col("title").alias("document_title"))
-        if document_slug:
-            documents = documents.where(F.col("document_slug") == document_slug)
-        pages = self.pages.select(F.col("id").alias("page_id"), "page_number")
-        return rows.join(documents, "document_id").join(pages, "page_id")
+    def _of_document(self, rows: DataFrame, document_slug: str | None) -> DataFrame:
+        if not document_slug:
+            return rows
+        return rows.join(self.documents.where(F.col("slug") == document_slug).select(F.col("id").alias("document_id")), "document_id", "left_semi")
 
     def chunk_rows(self, document_slug: str | None = None) -> DataFrame:
-        rows = self._placed(self.chunks, document_slug)
+        """Chunks by the columns of a result, without those of document and page."""
+        rows = self._of_document(self.chunks, document_slug)
         none = {c: F.lit(None).cast("string") for c in ("element_type", "element_label", "crop_path", "rendered_path")}
         return rows.withColumns({"source_type": F.lit("chunk"), **none})
 
     def element_rows(self, document_slug: str | None = None, element_type: str | None = None) -> DataFrame:
+        """Elements by the columns of a result, without those of document and page."""
         rows = self.elements
         if element_type:
             rows = rows.where(F.col("element_type") == element_type)
-        rows = self._placed(rows, document_slug)
+        rows = self._of_document(rows, document_slug)
         content = F.coalesce(F.nullif(F.col("search_text"), F.lit("")), F.col("description"))
         return rows.withColumns({"content": content, "source_type": F.lit("element"), "element_label": F.col("label"), "chunk_index": F.lit(None).cast("int")})
 
+    def placed(self, rows: DataFrame, few: bool = True) -> DataFrame:
+        """Rows with their documents and pages; ``few`` says that a limit bounds them, so that they may be broadcast."""
+        documents = self.documents.select(F.col("id").alias("document_id"), F.col("slug").alias("document_slug"), F.col("title").alias("document_title"))
+        pages = self.pages.select(F.col("id").alias("page_id"), "page_number")
+        some = F.broadcast if few else lambda df: df
+        return pages.join(some(documents.join(some(rows), "document_id")), "page_id")
+
 
 def nearest(rows: DataFrame, vector, limit: int) -> DataFrame:
     """The rows nearest to a vector by Euclidean distance; rows without a vector are left out."""
@@ -80,8 +92,8 @@ def lexical_matches(rows: DataFrame, query: str, limit: int, exact: bool = False
     return found.orderBy(F.desc("rank"), "id").limit(limit).withColumn("score", vectors.distance_of_rank(F.col("rank")))
 
 
-def fuse(branches: list[DataFrame], limit: int, max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """Union of ranked branches: the best row of each (source_type, id), cut at a distance, in order of score.
+def fuse(branches: list[DataFrame], limit: int, max_distance: float = MAX_DISTANCE, columns: list[str] = RESULT) -> DataFrame:
+    """Union of ranked branches with ``columns``: the best row of each (source_type, id), cut at a distance, in order of score.
 
     Equal scores stay in the order in which their keys first came up: by branch, then rank within it.
     """
@@ -90,11 +102,11 @@ def fuse(branches: list[DataFrame], limit: int, max_distance: float = MAX_DISTAN
         # A branch is limited, so one task holds it; above 0, ranks still order what is at distance 0.
         order = ([F.desc("rank")] if "rank" in branch.columns else []) + [F.asc("score"), F.asc("id")]
         at = F.row_number().over(W.orderBy(*order)) + i * 1_000_000
-        one = branch.withColumn("seen", at).select(*RESULT, "seen")
+        one = branch.withColumn("seen", at).select(*columns, "seen")
         numbered = one if numbered is None else numbered.unionByName(one)
-    row = F.struct("score", F.col("seen").alias("at"), *[c for c in RESULT if c != "score"])
+    row = F.struct("score", F.col("seen").alias("at"), *[c for c in columns if c != "score"])
     best = numbered.groupBy("source_type", "id").agg(F.min_by(row, F.struct("score", "seen")).alias("r"), F.min("seen").alias("first_seen"))
-    out = best.select(*[F.col(f"r.{c}") for c in RESULT], "first_seen").where(F.col("score") <= max_distance)
+    out = best.select(*[F.col(f"r.{c}") for c in columns], "first_seen").where(F.col("score") <= max_distance)
     return out.orderBy("score", "first_seen").limit(limit)
 
 
@@ -123,7 +135,8 @@ def search(corpus: Corpus, query: str, embed, limit: int = 10, document_slug: st
             branches += [nearest(rows, vector, limit) for rows in kinds]
     for wording in lexical_wordings:
         branches += [lexical_matches(rows, wording, limit, exact_words) for rows in kinds]
-    return fuse(branches, limit, max_distance)
+    best = fuse(branches, limit, max_distance, KEPT)
+    return corpus.placed(best).select(*RESULT, "first_seen").orderBy("score", "first_seen")
 
 
 def search_chunks(corpus: Corpus, query: str, embed, limit: int = 10, document_slug: str | None = None, **more) -> DataFrame:
@@ -135,7 +148,7 @@ def search_elements(corpus: Corpus, query: str, embed, limit: int = 10, document
     vector = embed(query)
     rows = corpus.element_rows(document_slug, element_type)
     found = nearest(rows, vector, limit) if vector is not None else rows.withColumn("score", F.lit(None).cast("double")).limit(0)
-    return found.select(*RESULT)
+    return corpus.placed(found.select(*KEPT)).select(*RESULT).orderBy("score", "id")
 
 
 def routed_search(corpus: Corpus, query: str, embed, limit: int = 10, document_slug: str | None = None, element_type: str | None = None, include_chunks: bool = True, include_elements: bool = True) -> DataFrame:

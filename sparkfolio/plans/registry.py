@@ -77,6 +77,11 @@ class Tables:
     def view_elements(self) -> DataFrame:
         return corpus.view_elements(self.part, self.embeddings)
 
+    @property
+    def paged_elements(self) -> DataFrame:
+        """Those elements whose page is in the table of documents."""
+        return self.view_elements.join(self.documents.select(F.col("doc_id").alias("page_id")), "page_id", "left_semi")
+
     @property
     def vector_rows(self) -> DataFrame:
         """Pages with their vectors, null where there is none."""
@@ -97,7 +102,7 @@ class Tables:
     @property
     def corpus(self) -> search.Corpus:
         """Chunks are kept while the branches of a search read them, each on its own."""
-        return search.Corpus(self.catalog, self.view_pages.select("id", "document_id", "page_number"), self.chunks.persist(StorageLevel.MEMORY_AND_DISK), self.view_elements)
+        return search.Corpus(self.catalog, self.view_pages.select("id", "document_id", "page_number"), self.chunks.persist(StorageLevel.MEMORY_AND_DISK), self.paged_elements)
 
 
 def query(name: str, oracle: str | None = None):
@@ -121,7 +126,9 @@ def six(c: Column) -> Column:
 
 @query("knn_l2", f"WITH {DOCS} SELECT p.id, slug, page_number, round(list_distance(embedding::DOUBLE[], {VECTOR0}), 6) AS score FROM pgs p JOIN embeddings ON vec_id = p.id ORDER BY list_distance(embedding::DOUBLE[], {VECTOR0}), p.id LIMIT 10")
 def _(t: Tables) -> DataFrame:
-    return search.nearest(t.vector_rows, t.vector(), 10).select("id", "slug", "page_number", six(F.col("score")).alias("score"))
+    pages = t.view_pages.select("id", "slug", "page_number")
+    found = search.nearest(t.embeddings.select(F.col("vec_id").alias("id"), "embedding").join(t.documents.select(F.col("doc_id").alias("id")), "id", "left_semi"), t.vector(), 10)
+    return pages.join(F.broadcast(found.drop("embedding")), "id").orderBy("score", "id").select("id", "slug", "page_number", six(F.col("score")).alias("score"))
 
 
 @query("knn_l2_filtered_document", f"WITH {DOCS} SELECT p.id, page_number, round(list_distance(embedding::DOUBLE[], {VECTOR0}), 6) AS score FROM pgs p JOIN embeddings ON vec_id = p.id WHERE slug = 'src3' ORDER BY list_distance(embedding::DOUBLE[], {VECTOR0}), p.id LIMIT 5")
@@ -638,14 +645,21 @@ def _(t: Tables) -> DataFrame:
 
 # Contexts and sources
 
-RANKED = ELEMENTS + """, r AS (SELECT row_number() OVER (PARTITION BY e.document_id ORDER BY e.id) AS rank, e.*, d.title AS document_title, p.page_number, 0.7 + e.id % 30 / 100.0::DOUBLE AS score
-    FROM els e JOIN docs d ON d.id = e.document_id JOIN pgs p ON p.id = e.page_id QUALIFY rank <= 6)"""
+SCORED = ELEMENTS + """, r AS (SELECT row_number() OVER (PARTITION BY e.document_id ORDER BY 0.7 + e.id % 30 / 100.0::DOUBLE, e.id) AS rank, e.*, d.title AS document_title, p.page_number, 0.7 + e.id % 30 / 100.0::DOUBLE AS score
+    FROM els e JOIN docs d ON d.id = e.document_id JOIN pgs p ON p.id = e.page_id)"""
+RANKED = SCORED[:-1] + " QUALIFY rank <= 6)"
+
+
+def _scored(t: Tables) -> DataFrame:
+    """Every element with a score and its rank among those of its document."""
+    rows = t.corpus.placed(t.corpus.element_rows(), few=False).withColumn("source_type", F.when(F.col("id") % 3 == 0, "chunk").otherwise("element")).withColumn("content", F.col("description"))
+    rows = rows.withColumn("score", F.lit(0.7) + F.col("id") % 30 / 100.0)
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("document_id").orderBy("score", "id")))
 
 
 def _ranked(t: Tables) -> DataFrame:
-    rows = t.corpus.element_rows().withColumn("source_type", F.when(F.col("id") % 3 == 0, "chunk").otherwise("element")).withColumn("content", F.col("description"))
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("document_id").orderBy("id"))).where("rank <= 6")
-    return rows.withColumn("score", F.lit(0.7) + F.col("id") % 30 / 100.0)
+    """The best six elements of each document."""
+    return _scored(t).where("rank <= 6")
 
 
 @query("rag_context", f"WITH {RANKED} SELECT document_id, string_agg('[' || rank || '] ' || CASE WHEN id % 3 = 0 THEN 'TEXT' ELSE upper(element_type) || ': ' || label END || ' (from ' || document_title || ', page ' || page_number || ')' || chr(10) || '    ' || left(description, 500), chr(10) || chr(10) ORDER BY rank) AS text FROM r GROUP BY 1")
@@ -741,14 +755,14 @@ def _(t: Tables) -> DataFrame:
 # Cards, drawing plans, metadata, statistics, side tables
 
 
-@query("result_cards", f"WITH {RANKED} SELECT id, CASE WHEN id % 3 = 0 THEN '[TEXT] Chunk ' || (id % 10) ELSE '[' || upper(element_type) || '] ' || label END || chr(10) || '  Score: ' || printf('%.1f', round_even({PCT.format('score')}, 1)) || '% | Page ' || page_number || ' | ' || document_title || chr(10) || '  ' || left(description, 200) || '...' AS card FROM r")
+@query("result_cards", f"WITH {SCORED} SELECT id, CASE WHEN id % 3 = 0 THEN '[TEXT] Chunk ' || (id % 10) ELSE '[' || upper(element_type) || '] ' || label END || chr(10) || '  Score: ' || printf('%.1f', round_even({PCT.format('score')}, 1)) || '% | Page ' || page_number || ' | ' || document_title || chr(10) || '  ' || left(description, 200) || '...' AS card FROM r")
 def _(t: Tables) -> DataFrame:
-    return _ranked(t).withColumn("chunk_index", F.col("id") % 10).select("id", cards.result_card(True).alias("card"))
+    return _scored(t).withColumn("chunk_index", F.col("id") % 10).select("id", cards.result_card(True).alias("card"))
 
 
-@query("tool_cards", f"WITH {RANKED} SELECT r.id, '[' || rank || '] ' || CASE WHEN r.id % 3 = 0 THEN 'TEXT CHUNK' ELSE upper(element_type) || ': ' || label END || chr(10) || '  Document: ' || d.slug || chr(10) || '  Page: ' || page_number || chr(10) || '  Score: ' || printf('%.1f', round_even({PCT.format('score')}, 1)) || '%' || chr(10) || '  Content: ' || left(description, 300) || '...' AS card FROM r JOIN docs d ON d.id = r.document_id")
+@query("tool_cards", f"WITH {SCORED} SELECT r.id, '[' || rank || '] ' || CASE WHEN r.id % 3 = 0 THEN 'TEXT CHUNK' ELSE upper(element_type) || ': ' || label END || chr(10) || '  Document: ' || d.slug || chr(10) || '  Page: ' || page_number || chr(10) || '  Score: ' || printf('%.1f', round_even({PCT.format('score')}, 1)) || '%' || chr(10) || '  Content: ' || left(description, 300) || '...' AS card FROM r JOIN docs d ON d.id = r.document_id")
 def _(t: Tables) -> DataFrame:
-    return _ranked(t).select("id", cards.tool_card(F.col("rank")).alias("card"))
+    return _scored(t).select("id", cards.tool_card(F.col("rank")).alias("card"))
 
 
 @query("document_cards", f"WITH {DOCS} SELECT d.id, '## ' || title || ' (' || slug || ')' || chr(10) || '   Pages: ' || (SELECT count(*) FROM pgs WHERE document_id = d.id) || CASE WHEN d.id % 2 = 0 THEN chr(10) || '   Summary: ' || repeat('ab ', 66) || 'ab...' ELSE '' END AS card FROM docs d")
