@@ -39,7 +39,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # snappy takes direct buffers, which executors keep
     if not _written:
         atexit.register(_remove)
     _written.append((spark, path))

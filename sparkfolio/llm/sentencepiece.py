@@ -27,6 +27,8 @@ PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 UNKNOWN = 10.0
 #: Characters of a long text that are encoded at a time.
 PIECE = 1 << 20
+#: Bytes of text that are encoded at a time, and distinct parts that a worker remembers.
+SLICE, REMEMBERED = 1 << 18, 60_000
 #: Parts of more bytes than this are segmented one at a time.
 SIDE_BY_SIDE = 48
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -229,7 +231,7 @@ class Pieces:
         return out
 
     def encoder(self) -> PieceCache:
-        return PieceCache(self.encode_parts)
+        return PieceCache(self.encode_parts, REMEMBERED)
 
     def encode(self, documents: list[str], cache: PieceCache | None = None) -> list[np.ndarray]:
         """Piece ids of each text; the empty text has none."""
@@ -282,7 +284,7 @@ def _encode_rows(shared):
         cache = pieces.encoder()
         is_byte = np.zeros(len(pieces.surface), bool)
         is_byte[pieces.byte[pieces.byte >= 0]] = True
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             text = texts(batch.column("text"))
             ids = pieces.encode(text, cache)
             back = [pieces.decode(i) for i in ids]

@@ -16,6 +16,7 @@ class PieceCache:
     def __init__(self, compute: Callable[[list], np.ndarray], most: int = 150_000):
         self._compute, self._most = compute, most
         self._number: dict = {}
+        self._filled = 0
         self.rows: np.ndarray | None = None
 
     def numbers(self, pieces: list) -> np.ndarray:
@@ -28,5 +29,12 @@ class PieceCache:
         if len(known) > before:
             new = list(known)[before:] if not before else [p for p, _ in zip(reversed(known), range(len(known) - before))][::-1]
             rows = self._compute(new)
-            self.rows = rows if self.rows is None else np.concatenate([self.rows, rows])
+            n = 0 if self.rows is None else self._filled
+            if self.rows is None or n + len(rows) > len(self.rows):  # room to grow into, so that batches don't copy it each time
+                room = np.empty((max(2 * n, n + len(rows)), *rows.shape[1:]), rows.dtype)
+                if n:
+                    room[:n] = self.rows[:n]
+                self.rows = room
+            self.rows[n : n + len(rows)] = rows
+            self._filled = n + len(rows)
         return out
