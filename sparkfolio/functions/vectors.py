@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,24 +53,24 @@ def distance_of_rank(rank: Column) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - rank * 2)
 
 
-def _over_batches(score) -> Column:
-    """An Arrow function of vectors of one length; null for null vectors."""
+def _over_batches(score, size: int) -> Column:
+    """An Arrow function of vectors of one length; null for null vectors and those of another length."""
 
     @F.arrow_udf("double")
     def run(v: pa.Array) -> pa.Array:
-        valid = np.asarray(v.is_valid())
+        fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(v), size), False))
         out = np.zeros(len(v))
-        if valid.any():
-            out[valid] = score(np.asarray(v.flatten(), np.float64).reshape(int(valid.sum()), -1))
-        return pa.array(out, mask=~valid)
+        if fits.any():
+            out[fits] = score(np.asarray(v.filter(pa.array(fits)).flatten(), np.float64).reshape(-1, size))
+        return pa.array(out, mask=~fits)
 
     return run
 
 
 def l2_distances(v: Column, query) -> Column:
-    """Distance of each vector to one query; all have its length."""
+    """Distance of each vector to one query; null for a vector of another length."""
     q = np.array(query, np.float64)
-    return _over_batches(lambda x: np.sqrt(((x - q) ** 2).sum(axis=1)))(v)
+    return _over_batches(lambda x: np.sqrt(((x - q) ** 2).sum(axis=1)), len(q))(v)
 
 
 def cosine_similarities(v: Column, query) -> Column:
@@ -79,4 +80,4 @@ def cosine_similarities(v: Column, query) -> Column:
         length = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
         return np.where(length == 0, 0.0, x @ q / np.where(length == 0, 1, length))
 
-    return _over_batches(score)(v)
+    return _over_batches(score, len(q))(v)

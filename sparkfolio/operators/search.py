@@ -67,14 +67,14 @@ class Corpus:
 
 
 def nearest(rows: DataFrame, vector, limit: int) -> DataFrame:
-    """The rows nearest to a vector by Euclidean distance; rows without a vector are left out."""
-    found = rows.where(F.col("embedding").isNotNull()).withColumn("score", vectors.l2_distances(F.col("embedding"), vector))
+    """The rows nearest to a vector by Euclidean distance; rows without a vector, or with one of another length, are left out."""
+    found = rows.where(F.col("embedding").isNotNull()).withColumn("score", vectors.l2_distances(F.col("embedding"), vector)).where(F.col("score").isNotNull())
     return found.orderBy("score", "id").limit(limit)
 
 
 def most_similar(rows: DataFrame, vector, limit: int) -> DataFrame:
     """The rows with the highest cosine similarity, as ``similarity``."""
-    found = rows.where(F.col("embedding").isNotNull()).withColumn("similarity", vectors.cosine_similarities(F.col("embedding"), vector))
+    found = rows.where(F.col("embedding").isNotNull()).withColumn("similarity", vectors.cosine_similarities(F.col("embedding"), vector)).where(F.col("similarity").isNotNull())
     return found.orderBy(F.desc("similarity"), "id").limit(limit)
 
 

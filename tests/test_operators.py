@@ -192,3 +192,9 @@ def test_config_layers(tmp_path, monkeypatch):
     assert (got.chunk_size, got.embed_health_url) == (500, "http://e/v1/health")
     monkeypatch.setenv("SPARKFOLIO_CHUNK_SIZE", "300")
     assert config.load_config().chunk_size == 300
+
+
+def test_vectors_of_another_length_have_no_distance(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, [0.0, 1.0])], "id long, embedding array<double>")
+    assert [r["id"] for r in search.nearest(rows, [1.0, 0.0], 9).collect()] == [1, 4]
+    assert [r["id"] for r in search.most_similar(rows, [0.0, 1.0], 9).collect()] == [4, 1]
