@@ -403,9 +403,12 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE
     runs = docs.mapInArrow(tidy(_passage_windows(words, gram, BitFilter(again, hashed=True))), f"doc_id {kind}, th long, row long, at long, content long, windows array<long>")
     runs = materialise(runs)
     one = materialise(runs.groupBy("content").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.any_value("windows").alias("windows")))
-    windows = one.select("content", "lo", "hi", F.posexplode("windows").alias("i", "w"))
-    common = materialise(two(windows, "w"))
-    places = materialise(windows.select("content", "i", "w").join(common, "w").groupBy("content").agg(F.collect_list(F.col("i").cast("long")).alias("places")))
+    # Runs that stand in several documents as they are need no look at their windows; those of one document meet the windows that several have.
+    common = materialise(two(one.select("lo", "hi", F.explode("windows").alias("w")), "w"))
+    alone = one.filter("lo = hi").select("content", F.posexplode("windows").alias("i", "w")).filter(BitFilter(common, hashed=True).column(F.col("w")))
+    alone = alone.join(common, "w").groupBy("content").agg(F.collect_list(F.col("i").cast("long")).alias("places"))
+    whole = one.filter("lo <> hi").select("content", F.expr("sequence(0L, size(windows) - 1L)").alias("places"))
+    places = materialise(whole.unionByName(alone))
     found = runs.select("doc_id", "th", "at", "content").join(places, "content").select("doc_id", "th", F.expr("transform(places, i -> i + at)").alias("places"))
     starts = found.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("s"))
     count = F.expr(f"if(size(s) = 1, 1, 1 + size(filter(sequence(1, size(s) - 1), i -> s[i] - s[i - 1] > {words})))").cast("long")
