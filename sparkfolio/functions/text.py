@@ -180,7 +180,9 @@ def license_of(response: Column) -> Column:
 
 
 def license_input(first: Column, last: Column) -> Column:
-    return F.concat(F.lit("FIRST PAGE:\n"), F.substring(first, 1, 2000), F.lit("\n\nLAST PAGE:\n"), F.substring(last, 1, 2000))
+    """Both ends of a document as the model is shown them; a page without text counts as empty."""
+    first, last = (F.substring(F.coalesce(c, F.lit("")), 1, 2000) for c in (first, last))
+    return F.concat(F.lit("FIRST PAGE:\n"), first, F.lit("\n\nLAST PAGE:\n"), last)
 
 
 def preview(text: Column, most: int, suffix: str = "...") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .chunking import chunk_pages
 from .numbering import running_number
 
@@ -72,10 +73,12 @@ def summary_input(pages: DataFrame, summary: str, by: str = "document_id", order
 
     Pages without a summary are left out. i counts the summaries, as the model was always shown it, unless ``true_numbers`` is set.
     """
-    kept = pages.where(F.length(summary) > 0)
-    listed = F.sort_array(F.collect_list(F.struct(F.col(order).alias("n"), F.col(summary).alias("s"))))
-    number = (lambda x, i: x["n"]) if true_numbers else (lambda x, i: i + 1)
-    text = F.array_join(F.transform(listed, lambda x, i: F.concat(F.lit("Page "), number(x, i).cast("string"), F.lit(": "), x["s"])), "\n")
+    kept = pages.where(F.length(summary) > 0).select(by, F.col(order).alias("n"), F.left(summary, F.lit(most + 1)).alias("s"))
+    # A line has nine characters at least, so later pages than these are never shown and a group stays small.
+    kept = running_number(kept, [by], ["n", "s"], "i", start=1).where(F.col("i") <= most // 9 + 1)
+    listed = F.sort_array(F.collect_list(F.struct("i", "n", "s")))
+    number = "n" if true_numbers else "i"
+    text = F.array_join(F.transform(listed, lambda x: F.concat(F.lit("Page "), x[number].cast("string"), F.lit(": "), x["s"])), "\n")
     out = kept.groupBy(by).agg(text.alias("text"))
     return out.withColumn("text", F.when(F.length("text") > most, F.concat(F.left("text", F.lit(most)), F.lit("\n..."))).otherwise(F.col("text")))
 
@@ -85,7 +88,7 @@ def first_last_text(pages: DataFrame, text: str, by: str = "document_id", order:
 
 
 def worth_summary(text: Column, least: int = 100) -> Column:
-    return F.length(F.trim(F.coalesce(text, F.lit("")))) >= least
+    return F.length(strip(F.coalesce(text, F.lit("")))) >= least
 
 
 def progress(extracted: DataFrame, totals: DataFrame, by: str = "document_id") -> DataFrame:

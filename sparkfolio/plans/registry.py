@@ -328,19 +328,19 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.preview(F.col("text"), 150).alias("preview"))
 
 
-@query("strip_think", r"SELECT doc_id, md5(regexp_replace(regexp_replace('<think>' || left(text, 50) || '</think>' || chr(10) || right(text, 80) || '<think>x</think> ', '(?s)<think>.*?</think>\s*', '', 'g'), '^\s+|\s+$', '', 'g')) AS answer FROM documents")
+@query("strip_think", r"SELECT doc_id, md5(regexp_replace(regexp_replace('<think>' || text || '</think>' || chr(10) || text || '<think>x</think> ', '(?s)<think>.*?</think>\s*', '', 'g'), '^\s+|\s+$', '', 'g')) AS answer FROM documents")
 def _(t: Tables) -> DataFrame:
-    made = F.concat(F.lit("<think>"), F.left("text", F.lit(50)), F.lit("</think>\n"), F.right("text", F.lit(80)), F.lit("<think>x</think> "))
-    return t.documents.select("doc_id", F.md5(text.strip_think_tags(made)).alias("answer"))
+    made = F.concat(F.lit("<think>"), "text", F.lit("</think>\n"), "text", F.lit("<think>x</think> "))
+    return t.texts.select("doc_id", F.md5(text.strip_think_tags(made)).alias("answer"))
 
 
-LATEX = "left(text, 40) || CASE doc_id % 4 WHEN 0 THEN ' LaTeX: ' WHEN 1 THEN ' latex:' WHEN 2 THEN ' LaTeX: $' ELSE ' ' END || right(text, 60) || CASE doc_id % 4 WHEN 2 THEN '$' ELSE '' END"
+LATEX = "text || CASE doc_id % 4 WHEN 0 THEN ' LaTeX: ' WHEN 1 THEN ' latex:' WHEN 2 THEN ' LaTeX: $' ELSE ' ' END || text || CASE doc_id % 4 WHEN 2 THEN '$' ELSE '' END"
 
 
 def _latex() -> Column:
     kind = F.col("doc_id") % 4
     mark = F.when(kind == 0, " LaTeX: ").when(kind == 1, " latex:").when(kind == 2, " LaTeX: $").otherwise(" ")
-    return F.concat(F.left("text", F.lit(40)), mark, F.right("text", F.lit(60)), F.when(kind == 2, "$").otherwise(""))
+    return F.concat("text", mark, "text", F.when(kind == 2, "$").otherwise(""))
 
 
 @query("latex_extract", rf"WITH l AS (SELECT doc_id, {LATEX} AS s FROM documents) SELECT doc_id, CASE WHEN regexp_matches(s, '(?is)LaTeX:\s*.+') THEN regexp_split_to_array(regexp_replace(regexp_extract(s, '(?is)LaTeX:\s*(.+)', 1), '^\s+|\s+$', '', 'g'), '\.\s+[A-Z]')[1] END AS latex FROM l")
@@ -353,12 +353,12 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.parsed_latex(_latex()).alias("latex"))
 
 
-ANSWER = "CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'summary: ' || left(text, 60) || chr(10) END || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'KEYWORDS: ' || replace(right(text, 80), ' ', ', ') || ', ,' END"
+ANSWER = "CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'summary: ' || text || chr(10) END || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'KEYWORDS: ' || replace(text, ' ', ', ') || ', ,' END"
 
 
 def _answer() -> Column:
-    first = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("summary: "), F.left("text", F.lit(60)), F.lit("\n")))
-    return F.concat(first, F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("KEYWORDS: "), F.replace(F.right("text", F.lit(80)), F.lit(" "), F.lit(", ")), F.lit(", ,"))))
+    first = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("summary: "), "text", F.lit("\n")))
+    return F.concat(first, F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("KEYWORDS: "), F.replace(F.col("text"), F.lit(" "), F.lit(", ")), F.lit(", ,"))))
 
 
 @query("summary_keywords", rf"WITH a AS (SELECT doc_id, {ANSWER} AS s FROM documents) SELECT doc_id, CASE WHEN regexp_matches(s, '(?is)SUMMARY:\s*.+') THEN regexp_replace(regexp_extract(split_part(s, 'KEYWORDS:', 1), '(?is)SUMMARY:\s*(.+)', 1), '^\s+|\s+$', '', 'g') END AS summary, list_slice(list_filter(list_transform(string_split(regexp_extract(s, '(?is)KEYWORDS:\s*(.+)', 1), ','), lambda w: lower(regexp_replace(w, '^\s+|\s+$', '', 'g'))), lambda w: w <> ''), 1, 8) AS keywords FROM a")
@@ -366,11 +366,11 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.summary_of(_answer()).alias("summary"), text.keywords_of(_answer(), 8).alias("keywords"))
 
 
-@query("license_norm", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN regexp_replace(left(text, 20), '^\\s+|\\s+$', '', 'g') END AS license FROM documents")
+@query("license_norm", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) END AS license FROM documents")
 def _(t: Tables) -> DataFrame:
     kind = F.col("doc_id") % 3
-    made = F.when(kind == 0, "<think>a</think> none ").when(kind == 1, "  ").otherwise(F.left("text", F.lit(20)))
-    return t.documents.select("doc_id", text.license_of(made).alias("license"))
+    made = F.when(kind == 0, "<think>a</think> none ").when(kind == 1, "  ").otherwise(F.col("text"))
+    return t.documents.select("doc_id", F.md5(text.license_of(made)).alias("license"))
 
 
 @query("license_input", f"WITH {DOCS}, e AS (SELECT document_id, min_by(full_text, page_number) AS a, max_by(full_text, page_number) AS b FROM pgs GROUP BY 1) SELECT document_id, md5('FIRST PAGE:' || chr(10) || left(a, 2000) || chr(10) || chr(10) || 'LAST PAGE:' || chr(10) || left(b, 2000)) AS input FROM e")
@@ -499,14 +499,14 @@ def _(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", text.keywords_of_query(F.col("text")).alias("keywords"))
 
 
-ASKED = "CASE (conv_id + turn) % 7 WHEN 0 THEN 'Show me a figure of ' WHEN 1 THEN 'And what about ' WHEN 2 THEN 'Are there charts related to this? ' WHEN 3 THEN 'no, ' WHEN 4 THEN 'tables ' WHEN 5 THEN 'anything about it ' ELSE '' END || left(text, 60)"
+ASKED = "CASE (conv_id + turn) % 7 WHEN 0 THEN 'Show me a figure of ' WHEN 1 THEN 'And what about ' WHEN 2 THEN 'Are there charts related to this? ' WHEN 3 THEN 'no, ' WHEN 4 THEN 'tables ' WHEN 5 THEN 'anything about it ' ELSE '' END || text"
 
 
 def _asked() -> Column:
     kind, out = (F.col("conv_id") + F.col("turn")) % 7, F.lit("")
     for i, s in enumerate(("Show me a figure of ", "And what about ", "Are there charts related to this? ", "no, ", "tables ", "anything about it ")):
         out = F.when(kind == i, s).otherwise(out)
-    return F.concat(out, F.left("text", F.lit(60)))
+    return F.concat(out, "text")
 
 
 def _any_sql(patterns, start: str = "") -> str:
@@ -539,10 +539,10 @@ def _(t: Tables) -> DataFrame:
     return seen.select("conv_id", "turn", F.size("window").cast("long").alias("messages"), F.md5(joined).alias("content"))
 
 
-@query("search_terms", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text ELSE regexp_replace(replace(left(text, 30), chr(10), ''), '^\\s+|\\s+$', '', 'g') END AS terms FROM conversations")
+@query("search_terms", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text ELSE regexp_replace(regexp_replace(text, '[\"''\\n]', '', 'g'), '^\\s+|\\s+$', '', 'g') END AS terms FROM conversations")
 def _(t: Tables) -> DataFrame:
     kind = F.col("turn") % 3
-    answer = F.when(kind == 0, "Error querying").when(kind == 1, ' "" ').otherwise(F.concat(F.lit('"'), F.left("text", F.lit(30)), F.lit('"')))
+    answer = F.when(kind == 0, "Error querying").when(kind == 1, ' "" ').otherwise(F.concat(F.lit('"'), "text", F.lit('"')))
     return t.conversations.select("conv_id", "turn", text.search_terms(answer, F.col("text")).alias("terms"))
 
 
@@ -571,7 +571,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("summary_tsvector")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", lexical.vector_column(F.left("text", F.lit(200))).alias("summary_tsv"))
+    return t.texts.select("doc_id", lexical.vector_column(F.col("text")).alias("summary_tsv"))
 
 
 BRANCHES = """
@@ -675,12 +675,12 @@ def _(t: Tables) -> DataFrame:
 # Ingestion
 
 
-@query("ingest_skip_existing", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_name NOT IN (SELECT 'Customer#' || lpad(s_suppkey::VARCHAR, 9, '0') FROM supplier)")
+@query("ingest_skip_existing", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT p_partkey FROM part) AND o_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def _(t: Tables) -> DataFrame:
-    there = t.orders.select(F.col("o_custkey").cast("string").alias("slug"), F.lit(None).cast("string").alias("source_file"))
-    there = there.unionByName(t.supplier.select(F.lit("-").alias("slug"), F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("source_file")))
-    new = t.customer.select(F.col("c_custkey").cast("string").alias("slug"), F.col("c_name").alias("source_file"))
-    return ingest.skip_existing(new, there).select(F.col("slug").cast("long").alias("c_custkey"))
+    there = t.part.select(F.col("p_partkey").cast("string").alias("slug"), F.lit(None).cast("string").alias("source_file"))
+    there = there.unionByName(t.supplier.select(F.lit("-").alias("slug"), F.col("s_suppkey").cast("string").alias("source_file")))
+    new = t.orders.select(F.col("o_orderkey").cast("string").alias("slug"), F.col("o_custkey").cast("string").alias("source_file"))
+    return ingest.skip_existing(new, there).select(F.col("slug").cast("long").alias("o_orderkey"))
 
 
 @query("ingest_delete_cascade", f"WITH {ELEMENTS} SELECT 'documents' AS name, count(*) AS n FROM docs WHERE slug NOT IN ('src1', 'src5') UNION ALL SELECT 'pages', count(*) FROM pgs WHERE slug NOT IN ('src1', 'src5') UNION ALL SELECT 'elements', count(*) FROM els WHERE document_id NOT IN (SELECT id FROM docs WHERE slug IN ('src1', 'src5'))")
@@ -714,9 +714,9 @@ def _(t: Tables) -> DataFrame:
     return ingest.normalized_elements(made).select("id", "label", "search_text", "embedding")
 
 
-@query("assigned_ids", "SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) + 500)::INT AS id FROM part WHERE p_partkey % 3 = 0")
+@query("assigned_ids", "SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) + 500)::INT AS id FROM part")
 def _(t: Tables) -> DataFrame:
-    return ingest.with_ids(t.part.where("p_partkey % 3 = 0").select("p_partkey"), "p_partkey", 500)
+    return ingest.with_ids(t.part.select("p_partkey"), "p_partkey", 500)
 
 
 @query("uniqueness_violations", "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
@@ -724,10 +724,9 @@ def _(t: Tables) -> DataFrame:
     return ingest.violations(t.orders, "o_custkey", "o_orderpriority")
 
 
-@query("doc_summary_input", f"WITH {DOCS}, s AS (SELECT document_id, page_number, left(full_text, 90) AS s FROM pgs WHERE page_number % 3 > 0), n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number) AS i FROM s WHERE s <> ''), j AS (SELECT document_id, string_agg('Page ' || i || ': ' || s, chr(10) ORDER BY i) AS text FROM n GROUP BY 1) SELECT document_id, md5(CASE WHEN length(text) > 2000 THEN left(text, 2000) || chr(10) || '...' ELSE text END) AS text FROM j")
+@query("doc_summary_input", f"WITH {DOCS}, s AS (SELECT document_id, page_number, full_text AS s FROM pgs), n AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number) AS i FROM s WHERE s <> ''), j AS (SELECT document_id, string_agg('Page ' || i || ': ' || s, chr(10) ORDER BY i) AS text FROM n GROUP BY 1) SELECT document_id, md5(CASE WHEN length(text) > 2000 THEN left(text, 2000) || chr(10) || '...' ELSE text END) AS text FROM j")
 def _(t: Tables) -> DataFrame:
-    pages = t.view_pages.withColumn("summary", F.when(F.col("page_number") % 3 > 0, F.left("full_text", F.lit(90))))
-    return ingest.summary_input(pages, "summary", most=2000).withColumn("text", F.md5("text"))
+    return ingest.summary_input(t.view_pages, "full_text", most=2000).withColumn("text", F.md5("text"))
 
 
 @query("first_last_page_text", f"WITH {DOCS} SELECT document_id, min_by(full_text, page_number) AS first_text, max_by(full_text, page_number) AS last_text FROM pgs GROUP BY 1")
@@ -747,9 +746,9 @@ def _(t: Tables) -> DataFrame:
     return pages.join(pages.where("page_number % 5 <> 0"), ["document_id", "page_number"], "left_anti")
 
 
-@query("worth_summary", "SELECT doc_id, length(trim(text)) >= 400 AS worth FROM documents")
+@query("worth_summary", r"SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 400 AS worth FROM documents")
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", ingest.worth_summary(F.col("text"), 400).alias("worth"))
+    return t.documents.select("doc_id", ingest.worth_summary(F.concat(F.lit("\n\t"), "text", F.repeat(F.lit("\n"), F.lit(400))), 400).alias("worth"))
 
 
 # Cards, drawing plans, metadata, statistics, side tables
@@ -792,7 +791,7 @@ def _(t: Tables) -> DataFrame:
     return catalog.page_metadata(t.view_pages, t.view_elements, 6, 2).select("id", "page_number", "full_text", "element_count", F.col("elements")[0]["label"].alias("label"))
 
 
-@query("enrichment_stats", f"WITH {ELEMENTS} SELECT d.id AS document_id, (SELECT count(*) FROM pgs WHERE document_id = d.id) AS pages, (SELECT count(*) FROM pgs WHERE document_id = d.id AND page_number % 2 = 0) AS pages_summarized, (SELECT count(*) FROM pgs WHERE document_id = d.id AND length(trim(full_text)) < 100) AS pages_short, (SELECT count(*) FROM els WHERE document_id = d.id) AS elements, (SELECT count(*) FROM els WHERE document_id = d.id AND search_text <> '') AS elements_enriched FROM docs d")
+@query("enrichment_stats", f"WITH {ELEMENTS} SELECT d.id AS document_id, (SELECT count(*) FROM pgs WHERE document_id = d.id) AS pages, (SELECT count(*) FROM pgs WHERE document_id = d.id AND page_number % 2 = 0) AS pages_summarized, (SELECT count(*) FROM pgs WHERE document_id = d.id AND length(regexp_replace(full_text, '^\\s+|\\s+$', '', 'g')) < 100) AS pages_short, (SELECT count(*) FROM els WHERE document_id = d.id) AS elements, (SELECT count(*) FROM els WHERE document_id = d.id AND search_text <> '') AS elements_enriched FROM docs d")
 def _(t: Tables) -> DataFrame:
     pages = t.view_pages.withColumn("summary", F.when(F.col("page_number") % 2 == 0, "s"))
     return enrich.enrichment_stats(pages, t.view_elements)
