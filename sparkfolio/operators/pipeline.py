@@ -17,37 +17,72 @@ TABLES = {"documents": schemas.DOCUMENTS, "pages": schemas.PAGES, "chunks": sche
 
 
 class Store:
-    """Versions of the four tables under one folder. A version is written whole before ``current`` names it, so a failed run leaves the last one as it was."""
+    """Versions of the four tables under one folder.
+
+    A version is a list of parts, and a part holds the documents of one ingestion with all their pages, chunks and elements. Adding documents writes
+    only their part; taking some away rewrites only the parts that hold them. Parts are written whole before a line in ``current`` names them, so a
+    failed run leaves the last version as it was. ``compact`` puts all parts into one.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _version(self) -> str | None:
-        rows = self._read_current()
-        return max(rows)[1] if rows else None
-
-    def _read_current(self) -> list[tuple[int, str]]:
+    def _last(self) -> tuple[int, list[str]]:
+        """Number and parts of the last version."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return []
-        return [(r["number"], r["name"]) for r in self.spark.read.schema("number long, name string").json(f"{self.root}/current").collect()]
+            return 0, []
+        row = self.spark.read.schema("number long, parts array<string>").json(f"{self.root}/current").agg(F.max(F.struct("number", "parts")).alias("last")).first()["last"]
+        return (row["number"], list(row["parts"])) if row else (0, [])
 
-    def tables(self) -> dict[str, DataFrame]:
-        version = self._version()
-        if version is None:
+    def _name(self, parts: list[str]) -> None:
+        number = self._last()[0] + 1
+        self.spark.createDataFrame([(number, parts)], "number long, parts array<string>").coalesce(1).write.mode("append").json(f"{self.root}/current")
+
+    def _read(self, parts: list[str]) -> dict[str, DataFrame]:
+        if not parts:
             return {k: self.spark.createDataFrame([], s) for k, s in TABLES.items()}
-        return {k: self.spark.read.schema(s).parquet(f"{self.root}/{version}/{k}") for k, s in TABLES.items()}
+        return {k: self.spark.read.schema(s).parquet(*[f"{self.root}/{part}/{k}" for part in parts]) for k, s in TABLES.items()}
 
-    def write(self, tables: dict[str, DataFrame]) -> None:
+    def _write_part(self, tables: dict[str, DataFrame]) -> str:
         name = uuid.uuid4().hex
         for k, t in tables.items():
             t.write.parquet(f"{self.root}/{name}/{k}")
-        number = max([n for n, _ in self._read_current()], default=0) + 1
-        self.spark.createDataFrame([(number, name)], "number long, name string").coalesce(1).write.mode("append").json(f"{self.root}/current")
+        return name
+
+    def tables(self) -> dict[str, DataFrame]:
+        return self._read(self._last()[1])
+
+    def _without(self, gone: DataFrame, parts: list[str]) -> list[str]:
+        """The parts once the documents of ``gone`` (slug) have left them."""
+        if not parts:
+            return []
+        holding = self._read(parts)["documents"].select("slug", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("part"))
+        touched = {r["part"] for r in holding.join(gone.select("slug").distinct(), "slug", "left_semi").select("part").distinct().collect()}
+        return [self._write_part(ingest.delete_documents(self._read([p]), gone)) if p in touched else p for p in parts]
+
+    def add(self, tables: dict[str, DataFrame], instead_of: DataFrame | None = None) -> None:
+        """A version with the rows of ``tables`` as a part of their own, and without the documents of ``instead_of`` (slug)."""
+        new = self._write_part(tables)
+        parts = self._last()[1]
+        self._name([*(parts if instead_of is None else self._without(instead_of, parts)), new])
 
     def delete(self, slugs: list[str]) -> None:
-        gone = self.spark.createDataFrame([(s,) for s in slugs], "slug string")
-        self.write(ingest.delete_documents(self.tables(), gone))
+        parts = self._last()[1]
+        left = self._without(self.spark.createDataFrame([(s,) for s in slugs], "slug string"), parts)
+        if left != parts:
+            self._name(left)
+
+    def compact(self) -> None:
+        parts = self._last()[1]
+        if len(parts) > 1:
+            self._name([self._write_part(self._read(parts))])
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """Rows as they are now, read from a table beside the parts."""
+        path = f"{self.root}/reports/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
 
 def _shaped(rows: DataFrame, table: str) -> DataFrame:
@@ -73,9 +108,7 @@ def ingest_tree(spark: SparkSession, root: str, store: Store, embedder: Embedder
     documents = corpus.document_rows(corpus.read_documents(spark, root))
     if policy == "skip":
         documents = ingest.skip_existing(documents, there["documents"])
-    elif policy == "replace":
-        there = ingest.delete_documents(there, documents.select("slug"))
-    else:
+    elif policy == "error":
         documents = ingest.require_new(documents, there["documents"])
     source = corpus.read_pages(spark, root).join(documents.select("slug"), "slug", "left_semi")
     pages, elements = corpus.page_rows(source), corpus.element_rows(source)
@@ -87,7 +120,7 @@ def ingest_tree(spark: SparkSession, root: str, store: Store, embedder: Embedder
     report = report.na.fill(0)
     if dry_run:
         return report
-    report = spark.createDataFrame(report.collect(), report.schema)  # a row for each new document, before anything changes
+    report = store.keep(report)  # before anything changes
 
     if embedder is not None:
         chunks = embed_column(chunks, "content", embedder)
@@ -102,7 +135,7 @@ def ingest_tree(spark: SparkSession, root: str, store: Store, embedder: Embedder
     new = {"documents": documents, "pages": pages, "chunks": chunks, "elements": elements}
     if embedder is not None:
         new["elements"] = ingest.normalized_elements(elements)
-    store.write({k: there[k].unionByName(_shaped(t, k)) for k, t in new.items()})
+    store.add({k: _shaped(t, k) for k, t in new.items()}, report.select("slug") if policy == "replace" else None)
     return report
 
 

@@ -14,7 +14,7 @@ def page_stream(spark: SparkSession, root: str, files_per_trigger: int = 1000) -
     """Page files of an extraction tree as they come."""
     stream = spark.readStream.schema(schemas.PAGE_JSON).option("multiLine", True).option("maxFilesPerTrigger", files_per_trigger).json(f"{root}/*/pages")
     path = F.col("_metadata.file_path")
-    return stream.withColumn("slug", F.regexp_extract(path, r"([^/]+)/pages/[^/]+$", 1))
+    return stream.withColumns({"slug": F.regexp_extract(path, r"([^/]+)/pages/[^/]+$", 1), "came": F.struct(F.col("_metadata.file_modification_time").alias("time"), path.alias("path"))})
 
 
 def append_new(batch: DataFrame, target: str, key: list[str]) -> None:
@@ -32,7 +32,8 @@ def ingest_available(spark: SparkSession, root: str, target: str, checkpoint: st
     """Chunks of all pages that came since the last run, appended to ``target``; ends when none is left."""
 
     def add(batch: DataFrame, _: int) -> None:
-        pages = batch.select("slug", "page_number", F.coalesce("text", F.lit("")).alias("full_text"))
+        first = batch.groupBy("slug", "page_number").agg(F.min_by(F.struct("text"), "came").alias("page"))  # of several files for one page the first counts
+        pages = first.select("slug", "page_number", F.coalesce("page.text", F.lit("")).alias("full_text"))
         append_new(chunk_pages(pages), target, ["slug", "page_number", "chunk_index"])
 
     return page_stream(spark, root).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ from sparkfolio import cli
 from sparkfolio.chat import Chat
 from sparkfolio.api import Library
 from sparkfolio.functions import format as cards
-from sparkfolio.functions import lexical, vectors
+from sparkfolio.functions import lexical, text, vectors
 from sparkfolio.operators import enrich, index, ingest, search
 from sparkfolio.operators.pipeline import Store, ingest_tree
 from sparkfolio.operators.providers import HashingEmbedder
@@ -63,10 +63,54 @@ def test_ingestion_by_policy(spark, tree, tmp_path_factory):
     before = first["chunks"].count()
     ingest_tree(spark, tree, store, policy="replace")
     assert store.tables()["chunks"].count() == before
+    kept = store._last()[1]
+    store.delete(["nobody"])
+    assert store._last()[1] == kept
     store.delete(["beta", "unknown"])
     assert [r["slug"] for r in store.tables()["documents"].collect()] == ["alpha_v1"] and store.tables()["elements"].count() == 2
 
 
+def test_a_document_more_leaves_other_parts_alone(spark, tree, tmp_path, tmp_path_factory):
+    store = Store(spark, str(tmp_path_factory.mktemp("store")))
+    ingest_tree(spark, tree, store)
+    first = store._last()[1]
+    page = tmp_path / "gamma" / "pages"
+    page.mkdir(parents=True)
+    (tmp_path / "gamma" / "document.json").write_text(json.dumps({"source_file": "gamma.pdf"}))
+    (page / "page_001.json").write_text(json.dumps({"page_number": 1, "text": "one page", "elements": []}))
+    assert [(r["slug"], r["pages"], r["elements"]) for r in ingest_tree(spark, tree, store).collect()] == [("gamma", 1, 0)]
+    assert store._last()[1][:1] == first and len(store._last()[1]) == 2
+    store.delete(["gamma"])
+    assert store._last()[1][:1] == first
+    rows = {k: sorted(map(tuple, t.select("id").collect())) for k, t in store.tables().items()}
+    store.compact()
+    assert len(store._last()[1]) == 1 and {k: sorted(map(tuple, t.select("id").collect())) for k, t in store.tables().items()} == rows
+    ingest_tree(spark, tree, store, policy="replace")
+    assert sorted(r["slug"] for r in store.tables()["documents"].collect()) == ["alpha_v1", "beta", "gamma"]
+    for t in store.tables().values():
+        assert ingest.violations(t, "id").count() == 0
+
+
+def test_page_summaries_are_cut_as_if_all_were_joined(spark):
+    rows = [(d, n, f"{'s' * (n % 7)}{n}" if n % 5 else "") for d, pages in ((1, 400), (2, 3), (3, 0)) for n in range(1, pages + 1)]
+    pages = spark.createDataFrame(rows + [(2, 9, None)], "document_id int, page_number int, summary string")
+    for most, true_numbers in ((60, False), (500, True), (100_000, False)):
+        got = {r["document_id"]: r["text"] for r in ingest.summary_input(pages, "summary", most=most, true_numbers=true_numbers).collect()}
+        want = {}
+        for d in (1, 2):
+            kept = [(n, s) for e, n, s in rows if e == d and s]
+            text = "\n".join(f"Page {n if true_numbers else i}: {s}" for i, (n, s) in enumerate(kept, 1))
+            want[d] = text if len(text) <= most else text[:most] + "\n..."
+        assert got == want
+
+
+def test_pages_of_white_space_are_not_worth_a_summary(spark):
+    rows = spark.createDataFrame([("\n" * 300,), ("\t" + "x" * 100,), (None,), ("\u3000" * 200,)], "t string")
+    assert [r["w"] for r in rows.select(ingest.worth_summary(F.col("t")).alias("w")).collect()] == [False, True, False, False]
+    ends = spark.createDataFrame([("a", None), (None, None)], "a string, b string")
+    assert [r["x"] for r in ends.select(text.license_input(F.col("a"), F.col("b")).alias("x")).collect()] == ["FIRST PAGE:\na\n\nLAST PAGE:\n", "FIRST PAGE:\n\n\nLAST PAGE:\n"]
+
+
 def test_command_line(spark, tree, tmp_path_factory, capsys):
     folder = str(tmp_path_factory.mktemp("store"))
     assert cli.main(["--store", folder, "ingest", tree]) == 0
