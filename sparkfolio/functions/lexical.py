@@ -198,6 +198,12 @@ def vector_column(text: Column, stemmed: bool = True) -> Column:
     return build(text)
 
 
+def shown(vector: Column) -> Column:
+    """A position vector as text: each quoted lexeme with its places."""
+    places = lambda e: F.array_join(F.transform(e["positions"], lambda p: p.cast("string")), ",")
+    return F.array_join(F.transform(vector, lambda e: F.concat(F.lit("'"), e["lexeme"], F.lit("':"), places(e))), " ")
+
+
 def rank_column(vector: Column, lexemes: list[str]) -> Column:
     """Rank of matching rows, null for the others. Rows that lack a lexeme never reach Python."""
     is_lexeme = lambda x: lambda e: e["lexeme"] == x

@@ -558,12 +558,33 @@ def _(t: Tables) -> DataFrame:
     return rows.select("id", lexical.exact_rank(F.col("words"), ["the", "thing"]).alias("r")).where("r is not null").orderBy(F.desc("r"), "id").limit(10).select("id", six(F.col("r")).alias("rank"))
 
 
-@query("tsvector_build")
+#: The words of parts whose stem is another word.
+STEMS = {"economy": "economi", "large": "larg"}
+
+
+def _vectors_sql(content: str) -> str:
+    """places(id, lexeme, positions) of texts ``content`` in els, which hold plain words and numbers only and no stop words."""
+    stem = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in STEMS.items()) + " ELSE w END"
+    words = f"SELECT id, regexp_extract_all(lower({content}), '[a-z]+|[0-9]+') AS words FROM els"
+    return f"{ELEMENTS.strip()}, tok AS (SELECT id, unnest(words) AS w, generate_subscripts(words, 1) AS place FROM ({words})), places AS (SELECT id, {stem} AS lexeme, list(place::INT ORDER BY place) AS positions FROM tok GROUP BY 1, 2)"
+
+
+def _pair_rank_sql(a: str, b: str) -> str:
+    """ranks(id, rank) of rows that hold two lexemes: each pair of places counts by its distance."""
+    near = "CASE WHEN abs(x - y) > 100 THEN 1e-30::DOUBLE ELSE 1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(x - y) / 1.5::DOUBLE - 2)) END"
+    pairs = f"SELECT p.id, x, y FROM places p JOIN places q ON p.id = q.id, unnest(p.positions) AS u(x), unnest(q.positions) AS v(y) WHERE p.lexeme = '{a}' AND q.lexeme = '{b}'"
+    return f"ranks AS (SELECT id, round(1 - product(1 - sqrt(0.01::DOUBLE * ({near}))), 9) AS rank FROM ({pairs}) GROUP BY 1)"
+
+
+WORDED = "concat_ws(' ', label, description, search_text)"
+
+
+@query("tsvector_build", f"WITH {_vectors_sql(WORDED)} SELECT id, string_agg(chr(39) || lexeme || chr(39) || ':' || array_to_string(positions, ','), ' ' ORDER BY lexeme) AS tsv FROM places GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.view_elements.select("id", lexical.vector_column(F.concat_ws(" ", "label", "description", "search_text")).alias("tsv"))
+    return t.view_elements.select("id", lexical.shown(lexical.vector_column(F.concat_ws(" ", "label", "description", "search_text"))).alias("tsv"))
 
 
-@query("lexical_rank")
+@query("lexical_rank", f"WITH {_vectors_sql(WORDED)}, {_pair_rank_sql('red', 'widget')} SELECT id, label, round(rank, 6) AS rank, round(greatest(0, 1 - 2 * rank), 6) AS score FROM ranks JOIN els USING (id) ORDER BY ranks.rank DESC, id LIMIT 20")
 def _(t: Tables) -> DataFrame:
     rows = t.view_elements.withColumn("tsv", lexical.vector_column(F.concat_ws(" ", "label", "description", "search_text")))
     return search.lexical_matches(rows, "red widgets", 20).select("id", "label", six(F.col("rank")).alias("rank"), six(F.col("score")).alias("score"))
@@ -808,12 +829,12 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array(size["width"], size["height"]).alias("size"))
 
 
-@query("postings_build")
+@query("postings_build", f"WITH {_vectors_sql('description')} SELECT lexeme, id, positions FROM places")
 def _(t: Tables) -> DataFrame:
-    return index.postings(t.view_elements.select("id", lexical.vector_column(F.col("description")).alias("tsv")))
+    return index.postings(t.view_elements.select("id", lexical.vector_column(F.col("description")).alias("tsv"))).select("lexeme", "id", "positions")
 
 
-@query("postings_match")
+@query("postings_match", f"WITH {_vectors_sql('description')}, {_pair_rank_sql('red', 'widget')} SELECT id, round(rank, 6) AS rank FROM ranks ORDER BY ranks.rank DESC, id LIMIT 20")
 def _(t: Tables) -> DataFrame:
     table = index.postings(t.view_elements.select("id", lexical.vector_column(F.col("description")).alias("tsv")))
     return index.match_postings(table, lexical.query_lexemes("red widgets"), 20).select("id", six(F.col("rank")).alias("rank"))
