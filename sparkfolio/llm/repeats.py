@@ -8,8 +8,10 @@ maximal repeats, each with all its occurrences.
 least hash of its 32-byte windows, which depends on nothing but the string; so equal strings
 have equal anchors at equal places. Texts are cut into segments that share an anchor, only
 anchors that occur again are followed, and the suffixes that start at equal anchors meet in one
-bucket, where a sparse suffix array of them is scanned. Segments that are the same wherever their anchor occurs are repeats as a whole. A bucket over the
-bounds is resolved by counts of its whole strings, which no task has to hold together.
+bucket, where a sparse suffix array of them is scanned. Segments that are the same wherever their anchor occurs are repeats as a whole. A large bucket is
+split by what its segments share on either side of the anchor, as a repeat that has not half of its bytes on the left has the other half on the right, and so
+on for the rest; each part is scanned like a bucket. Only what is still too large after ``LEVELS`` splits, or too deep, is resolved by counts of its whole
+strings, which no task has to hold together.
 
 ``repeated_passages`` counts passages of over 50 words that stand in another document as well, however many bytes they have: by the same anchors, over words.
 """
@@ -32,8 +34,8 @@ LEAST = 400
 GRAM = 32
 #: Words of a passage, and of the stretches of it that anchors are chosen among.
 PASSAGE, PASSAGE_GRAM = 51, 8
-#: Different segments of a bucket that one task scans; the strings of a larger one are counted instead. A segment has under twice LEAST bytes.
-BUCKET_SEGMENTS = 8192
+#: Different segments of a bucket that one task scans; a larger one is split, up to LEVELS times. A segment has under twice LEAST bytes.
+BUCKET_SEGMENTS, LEVELS = 512, 3
 #: A bucket whose intervals hold so many members for each segment is counted as well.
 BUCKET_DEPTH = 200
 _LOW = 22  # bits for a position in a slice of texts
@@ -307,11 +309,11 @@ _WINDOW = "key long, c1 long, c2 long, copies long, at long, w1 long, w2 long"
 
 
 def _counted(windows: DataFrame, least: int) -> DataFrame:
-    """key, c1, c2, spans of segments by counts of all their strings."""
+    """key, c1, c2, spans of segments by counts of all their strings in a bucket."""
     windows = materialise(windows)
-    again = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1")
+    again = windows.groupBy("key", "w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1")
     span = F.struct(F.col("at").alias("a"), (F.col("at") + least).alias("b"))
-    return windows.join(materialise(again), ["w1", "w2"]).groupBy("key", "c1", "c2").agg(F.collect_list(span).alias("spans"))
+    return windows.join(materialise(again), ["key", "w1", "w2"]).groupBy("key", "c1", "c2").agg(F.collect_list(span).alias("spans"))
 
 
 def _repeated(found: DataFrame, least: int, depth_limit: int) -> DataFrame:
@@ -322,6 +324,49 @@ def _repeated(found: DataFrame, least: int, depth_limit: int) -> DataFrame:
     return done if is_empty(deep) else done.unionByName(_counted(deep.mapInArrow(_windows(least), _WINDOW), least))
 
 
+_PART = _SEGMENT + ", whole long, l long, r long"
+
+
+def _halved(least: int):
+    """Segments of a bucket that agree on l bytes before and r from the anchor, by what two of them with a common string agree on besides: half of the rest on one side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, c1, c2, copies, anchor, raw, whole, l, r in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                rest = least - l - r
+                for more, on in ((l + rest // 2, r), (l, r + rest - rest // 2)):
+                    if more <= anchor and on <= len(raw) - anchor:
+                        part = xxhash.xxh3_64_intdigest(b"%d %d %d " % (key, more, on) + raw[anchor - more : anchor + on])
+                        rows.append((part - (1 << 63), c1, c2, copies, anchor, raw, whole, more, on))
+            kinds = [pa.int64()] * 5 + [pa.binary()] + [pa.int64()] * 3
+            names = ("key", "c1", "c2", "copies", "anchor", "bytes", "whole", "l", "r")
+            yield pa.record_batch([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names=list(names))
+
+    return run
+
+
+def _split_repeats(found: DataFrame, least: int, most: int, depth_limit: int) -> DataFrame:
+    """key, c1, c2, spans of segments whose buckets are too large for a task: by parts of them, and by counts where parts remain large."""
+    rows = materialise(found.select("*", F.col("key").alias("whole"), F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("r")))
+    spans, names = [], ("key", "c1", "c2")
+    again = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("bytes").cast("long").alias("b"))).alias("spans")
+    out = rows.filter("copies > 1").select(*names, again)
+    for level in range(LEVELS):
+        parts = materialise(rows.mapInArrow(tidy(_halved(least)), _PART))
+        size = materialise(parts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        few = _repeated(parts.join(size.filter(f"n <= {most}"), "key"), least, depth_limit)
+        rows = materialise(parts.join(size.filter(f"n > {most}"), "key").select(parts.columns))
+        spans.append((few, parts))
+        if is_empty(rows):
+            break
+    else:
+        spans.append((_counted(rows.mapInArrow(tidy(_windows(least)), _WINDOW), least), rows))
+    for one, parts in spans:
+        out = out.unionByName(one.join(parts.select(*names, "whole"), list(names)).select(F.col("whole").alias("key"), "c1", "c2", "spans"))
+    return out
+
+
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         rows = []
@@ -410,7 +455,7 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE, gram: int = PASSAGE
     whole = one.filter("lo <> hi").select("content", F.expr("sequence(0L, size(windows) - 1L)").alias("places"))
     places = materialise(whole.unionByName(alone))
     found = runs.select("doc_id", "th", "at", "content").join(places, "content").select("doc_id", "th", F.expr("transform(places, i -> i + at)").alias("places"))
-    starts = found.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("s"))
+    starts = found.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("s"))
     count = F.expr(f"if(size(s) = 1, 1, 1 + size(filter(sequence(1, size(s) - 1), i -> s[i] - s[i - 1] > {words})))").cast("long")
     out = materialise(starts.select("doc_id", "th", count.alias("n_passages")))
     release(again, runs, one, common, places)
@@ -495,12 +540,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = plain.unionByName(_repeated(small, least, depth_limit))
     large = distinct.filter(f"different > greatest(1, {most})")
     if not is_empty(large):  # no task holds such a bucket together
-        windows = holders_of(large).mapInArrow(lambda batches: _windows(least)(_cut_segments(batches)), _WINDOW)
-        spans = spans.unionByName(_counted(windows, least))
+        spans = spans.unionByName(_split_repeats(holders_of(large).mapInArrow(tidy(_cut_segments), _SEGMENT), least, most, depth_limit))
 
     # Back to the texts.
     spans = found.join(spans, ["key", "c1", "c2"]).select("doc_id", "th", F.expr("transform(spans, s -> struct(s.a + begin as a, s.b + begin as b))").alias("spans"))
-    spans = spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # rows equal in id and text have the same spans, which count once
     passages = passages.withColumnsRenamed({"doc_id": "in_id", "th": "in_th"})
     same_row = F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.col("th") == F.col("in_th"))
     spans = spans.join(passages, same_row, "full").select(F.coalesce("doc_id", "in_id").alias("spans_id"), F.coalesce("th", "in_th").alias("spans_th"), "spans", F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"))

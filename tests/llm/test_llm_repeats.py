@@ -98,7 +98,7 @@ def corpus(seed, n=60):
     return texts + [texts[1], texts[1], texts[2][10:], "x" * 300, None, ""]
 
 
-@pytest.mark.parametrize("seed, options", [(1, {}), (2, {}), (3, {"most": 3}), (4, {"most": 1}), (5, {"depth_limit": -10**6, "most": 8})])
+@pytest.mark.parametrize("seed, options", [(1, {}), (2, {}), (3, {"most": 3}), (4, {"most": 1}), (5, {"depth_limit": -10**6, "most": 8}), (6, {"depth_limit": -10**6, "most": 2})])
 def test_removal_is_that_of_brute_force(make, seed, options):
     texts = corpus(seed)
     out = {r["doc_id"]: r for r in R.remove_repeats(make(list(enumerate(texts))).repartition(5), least=60, gram=12, with_kept=True, **options).collect()}
@@ -108,6 +108,22 @@ def test_removal_is_that_of_brute_force(make, seed, options):
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] and r["n_bytes"] == len((texts[i] or "").encode())
 
 
+def test_near_copies_of_one_passage_are_split_and_still_exact(make):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdef ") for _ in range(400))
+    texts = []
+    for i in range(90):
+        at = [rng.randrange(400) for _ in range(rng.randrange(5))]
+        texts.append("".join(rng.choice("xyz") if j in at else c for j, c in enumerate(passage)) + f" tail {i}")
+    rows = list(enumerate(texts)) + [(7, texts[7])] * 40  # one row many times over
+    out = {}
+    for r in R.remove_repeats(make(rows).repartition(5), least=100, gram=12, most=6).collect():
+        out.setdefault(r["doc_id"], set()).add((r["n_removed"], r["n_spans"], r["kept_sha256"]))
+    want = brute([t.encode() for _, t in rows], 100)
+    assert [out[i] for i in range(len(texts))] == [{w} for w in want[: len(texts)]]
+    assert len(out[7]) == 1 and want[7][0] == len(texts[7].encode())
+
+
 def test_query_on_the_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = dict(zip([d["doc_id"] for d in docs], brute([(d["text"] or "").encode() for d in docs], 400)))
