@@ -108,7 +108,7 @@ def test_removal_is_that_of_brute_force(make, seed, options):
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] and r["n_bytes"] == len((texts[i] or "").encode())
 
 
-def test_near_copies_of_one_passage_are_split_and_still_exact(make):
+def test_near_copies_of_one_passage_and_many_equal_rows_are_exact(make):
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdef ") for _ in range(400))
     texts = []
