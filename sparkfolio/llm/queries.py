@@ -13,10 +13,13 @@ from .link_filter import judge_pages
 from .mixing import mix
 from .ogg import ogg_digests
 from .quality import score_quality
+from .ranked import rank_documents
 from .repeats import remove_repeats
+from .repetition import GRAM_LIMITS, LINE_LIMIT, judge_repetition
 from .secrets import find_secrets
 from .sentencepiece import encode_documents
 from .simhash import simhash_groups
+from .whitening import whiten
 
 
 def _documents(operator: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -34,8 +37,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ogg_media": _documents(ogg_digests),
     "op9_repeat_removal": _documents(remove_repeats),
     "op10_simhash_groups": _documents(simhash_groups),
+    "op11_ranked_search": lambda spark, sf_dir: rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op12_repetition_rules": _documents(judge_repetition),
+    "op13_embedding_whitening": lambda spark, sf_dir: whiten(table(spark, sf_dir, "embeddings")),
 }
 
+
+def _gram_sql() -> str:
+    """Runs of n words of each text as lists: whether they are found again, and the characters in those that repeat an earlier one."""
+    parts = []
+    for n in (*GRAM_LIMITS,):
+        parts.append(f"""
+        , g{n} AS (
+            SELECT r, i, count(*) OVER (PARTITION BY r, gram) > 1 AS twice, row_number() OVER (PARTITION BY r, gram ORDER BY i) > 1 AS later
+            FROM (SELECT r, unnest(range(1, greatest(len(words) - {n} + 2, 1))) AS i, words[i : i + {n - 1}] AS gram FROM t)
+        ), c{n} AS (
+            SELECT w.r, sum(CASE WHEN later THEN chars ELSE 0 END)::BIGINT AS dup_chars_{n}, count(*) FILTER (WHERE twice) AS n_twice_{n} FROM (
+                SELECT word.r, chars, coalesce(bool_or(later) OVER run, false) AS later, coalesce(bool_or(twice) OVER run, false) AS twice
+                FROM word LEFT JOIN g{n} g ON word.r = g.r AND word.i = g.i WINDOW run AS (PARTITION BY word.r ORDER BY word.i ROWS {n - 1} PRECEDING)
+            ) w GROUP BY w.r
+        )""")
+    return "".join(parts)
+
+
+_LIMITS = " OR ".join(f"100 * coalesce(dup_chars_{n}, 0) > {limit} * coalesce(word_chars, 0)" for n, limit in GRAM_LIMITS.items())
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
         WITH t AS (
@@ -81,4 +107,50 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target, size * (repeats + CASE WHEN h < coalesce(under, 0) THEN 1 ELSE 0 END) AS taken
         FROM sized s JOIN repeated r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN edge e ON s.source IS NOT DISTINCT FROM e.source
     """,
+    "op11_ranked_search": r"""
+        WITH doc AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), item AS (
+            SELECT row_number() OVER () AS b, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM benchmark
+        ), total AS (
+            SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM doc WHERE len(terms) > 0
+        ), wanted AS (
+            SELECT b, term, count(*) AS times FROM (SELECT b, unnest(terms) AS term FROM item) GROUP BY ALL
+        ), posting AS (
+            SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM doc) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+        ), weight AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM posting, total GROUP BY term, n_docs
+        ), score AS (
+            SELECT b, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(terms) * n_docs) // n_terms))))::BIGINT AS score
+            FROM wanted JOIN weight USING (term) JOIN posting USING (term) JOIN doc USING (r), total GROUP BY b, r
+        ), ranked AS (
+            SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+            FROM score JOIN doc USING (r) JOIN item USING (b) WHERE score > 0
+        )
+        SELECT * FROM ranked WHERE rank <= 10
+    """,
+    "op12_repetition_rules": rf"""
+        WITH t AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), word AS (
+            SELECT r, unnest(range(1, len(words) + 1)) AS i, length(words[i]) AS chars FROM t
+        ), line AS (
+            SELECT r, count(*) - 1 AS again, (count(*) - 1) * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars
+            FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line
+        ), lines AS (
+            SELECT r, sum(again)::BIGINT AS n_dup_lines, sum(chars)::BIGINT AS dup_line_chars FROM line GROUP BY r
+        ), size AS (
+            SELECT r, sum(chars)::BIGINT AS word_chars FROM word GROUP BY r
+        ){_gram_sql()}, found AS (
+            SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+                coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_twice_8, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars,
+                {", ".join(f"coalesce(dup_chars_{n}, 0) AS dup_chars_{n}" for n in GRAM_LIMITS)},
+                len(words) < 20 OR 100 * coalesce(n_twice_8, 0) > 30 * len(words) AS base_failed,
+                100 * coalesce(dup_line_chars, 0) > {LINE_LIMIT} * coalesce(word_chars, 0) OR {_LIMITS} AS over
+            FROM t LEFT JOIN lines USING (r) LEFT JOIN size USING (r) {" ".join(f"LEFT JOIN c{n} USING (r)" for n in GRAM_LIMITS)}
+        )
+        SELECT * EXCLUDE (over), NOT base_failed AND NOT over AS kept FROM found
+    """,
 }

@@ -52,9 +52,13 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return mixed((total[gram:] - total[:-gram]) * down[: len(data) - gram + 1])
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text of each word, words being what stands between ASCII white space."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
+#: Bytes of a search term: ASCII letters and digits, and all of characters beyond ASCII.
+TERM = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of each word, words being what stands between ASCII white space, or else the runs of bytes that ``inside`` marks."""
+    space = (data == 32) | ((data >= 9) & (data <= 13)) if inside is None else ~inside[data]
     before, after = np.ones(len(data) + 1, bool), np.ones(len(data) + 1, bool)
     before[1:], after[:-1] = space, space
     inner = offsets[1:-1]
