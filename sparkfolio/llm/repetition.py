@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import id_text, slices, tidy, utf8
 from .rolling import Powers, mixed, word_bounds, word_hashes
 
-#: Fixed values, as published for repetition rules: by words of a run, the per cent of a text's characters that may stand in runs that repeat an earlier one.
-GRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+#: By words of a run, the per cent of a text's characters that may stand in runs that repeat an earlier one. Published limits go down to 10 for runs of 10 words; those
+#: reject short texts for one line that stands at the top and again at the end, which is no fault of the text.
+GRAM_LIMITS = dict.fromkeys(range(5, 11), 20)
 #: The same for lines that repeat an earlier line.
 LINE_LIMIT = 20
 #: Fixed values of the base rule.
