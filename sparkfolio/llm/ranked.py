@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import id_text, materialise, slices, tidy, utf8
+from .common import id_text, materialise, shuffle_width, slices, tidy, utf8
 from .rolling import LOWER, TERM, word_bounds, word_hashes
 
 #: Documents of a cluster at most, and its postings (a document with more is a cluster of its own).
@@ -138,6 +138,7 @@ def _counted(fraction: float):
         rng = np.random.default_rng(TaskContext.get().partitionId())
         documents = words = 0
         sketches: list[np.ndarray] = []
+        sizes: list[int] = []
         for batch in slices(batches, "text"):
             data, off = utf8(batch.column("text"))
             start, _, text = word_bounds(data, off, TERM)
@@ -146,31 +147,38 @@ def _counted(fraction: float):
             for i in np.flatnonzero(rng.random(len(size)) < fraction):
                 terms, _ = terms_of(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]))
                 sketches.append(np.unique(terms)[:SAMPLE_TERMS].view(np.int64))
-        yield pa.record_batch({"documents": pa.array([documents] + [0] * len(sketches), pa.int64()), "terms": pa.array([words] + [0] * len(sketches), pa.int64()), "sketch": pa.array([None, *sketches], pa.list_(pa.int64()))})
+                sizes.append(int(size[i]))
+        none = [0] * len(sketches)
+        columns = {"documents": pa.array([documents, *none], pa.int64()), "terms": pa.array([words, *none], pa.int64()), "size": pa.array([0, *sizes], pa.int64())}
+        yield pa.record_batch(columns | {"sketch": pa.array([None, *sketches], pa.list_(pa.int64()))})
 
     return run
 
 
-def _group_column(salts: int, shared):
-    """The group whose terms cost a text least, times ``salts`` salts in turn, so that no group is one task."""
+def cheapest_group(terms: np.ndarray, text: np.ndarray, texts: int, vocabulary: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The group whose terms cost each text least."""
+    cost = np.zeros((texts, GROUPS))
+    if len(vocabulary):
+        at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+        known = vocabulary[at] == terms
+        at, text = at[known], text[known]
+        if len(at):
+            first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+            cost[text[first]] = np.add.reduceat(weights[at], first, axis=0)
+    return np.argmin(cost, axis=1)
+
+
+def _group_column(salts: np.ndarray, shared):
+    """A number for the cheapest group of a text and one of the group's ``salts`` in turn, so that no group is one task."""
+    first_of = np.cumsum(salts) - salts
 
     def run(texts: pa.Array) -> pa.Array:
-        vocabulary, weights = shared.value
-        batch, out = pa.record_batch({"text": texts}), []
-        for part in slices([batch], "text"):
-            terms, text = terms_of(*utf8(part.column("text")))
-            cost = np.zeros((part.num_rows, GROUPS))
-            if len(vocabulary):
-                at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
-                known = vocabulary[at] == terms
-                at, text = at[known], text[known]
-                if len(at):
-                    first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-                    cost[text[first]] = np.add.reduceat(weights[at], first, axis=0)
-            out.append(np.argmin(cost, axis=1))
-        group = np.concatenate(out) if out else np.zeros(0, np.int64)
-        turn = (np.arange(len(group)) + TaskContext.get().partitionId()) % salts
-        return pa.array(group * salts + turn, pa.int64())
+        out = [np.zeros(0, np.int64)]
+        for part in slices([pa.record_batch({"text": texts})], "text"):
+            out.append(cheapest_group(*terms_of(*utf8(part.column("text"))), part.num_rows, *shared.value))
+        group = np.concatenate(out)
+        turn = (np.arange(len(group)) + TaskContext.get().partitionId()) % salts[group]
+        return pa.array(first_of[group] + turn, pa.int64())
 
     return F.arrow_udf(run, "long")
 
@@ -391,17 +399,19 @@ class LexicalIndex:
         mine = id_text(docs, id_col, text_col)
         spark = mine.sparkSession
         rows = mine.select("doc_id").count()
-        counted = materialise(mine.mapInArrow(tidy(_counted(min(1.0, SAMPLE / max(rows, 1)))), "documents long, terms long, sketch array<long>"))
+        counted = materialise(mine.mapInArrow(tidy(_counted(min(1.0, SAMPLE / max(rows, 1)))), "documents long, terms long, size long, sketch array<long>"))
         n_docs, n_terms = counted.agg(F.sum("documents"), F.sum("terms")).first()
         if not n_docs:
             return None
-        sketches = [np.array(r["sketch"], np.int64).view(np.uint64) for r in counted.filter("sketch IS NOT NULL").limit(2 * SAMPLE).collect()]
-        doc = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
-        model = group_weights(doc, np.concatenate([*sketches, np.empty(0, np.uint64)]), len(sketches))
-        parts = max(1, -(-n_terms // PART))
-        salts = max(1, -(-2 * parts // GROUPS))
+        sample = counted.filter("sketch IS NOT NULL").limit(2 * SAMPLE).collect()
+        sketches = [np.array(r["sketch"], np.int64).view(np.uint64) for r in sample]
+        doc, terms = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches]), np.concatenate([*sketches, np.empty(0, np.uint64)])
+        model = group_weights(doc, terms, len(sketches))
+        tasks = max(-(-2 * n_terms // PART), shuffle_width(spark))
+        share = np.bincount(cheapest_group(terms, doc, len(sketches), *model), [r["size"] for r in sample], GROUPS)
+        salts = np.maximum(1, np.ceil(tasks * share / max(share.sum(), 1))).astype(np.int64)
         group = _group_column(salts, spark.sparkContext.broadcast(model))  # GROUP_TERMS x GROUPS numbers at most
-        dealt = mine.withColumn("part", group(F.col("text"))).repartition(max(parts, min(parts * 2, GROUPS)), "part").drop("part")
+        dealt = mine.withColumn("part", group(F.col("text"))).repartition(int(tasks), "part").drop("part")
         id_type = mine.schema["doc_id"].dataType.simpleString()
         schema = f"part long, cluster int, ids array<{id_type}>, terms binary, most binary, counts binary, places binary, q binary"
         return cls(materialise(dealt.mapInArrow(tidy(_clusters(_arrow_type(mine), n_docs, n_terms)), schema)), n_docs, n_terms)

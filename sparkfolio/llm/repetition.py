@@ -60,6 +60,8 @@ def coverage(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """``COLUMNS`` of each text, whose bytes are data[offsets[i]:offsets[i + 1]]."""
     texts = len(offsets) - 1
     start, end, text = word_bounds(data, offsets)
+    if not len(start):
+        return {c: np.zeros(texts, np.int64) for c in COLUMNS}
     chars_before = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=chars_before[1:])
     chars = chars_before[end] - chars_before[start]
@@ -79,7 +81,7 @@ def coverage(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     words = np.searchsorted(start, stop) - first
     has = words > 0
     begin, stop, first, words = begin[has], stop[has], first[has], words[has]
-    line_chars = np.add.reduceat(chars, first) if len(first) else chars
+    line_chars = np.add.reduceat(chars, first)
     line_text = text[first]
     _, later = _found_again(_own(word_hashes(data, begin, stop), line_text))
     out["n_dup_lines"] = total(line_text[later])

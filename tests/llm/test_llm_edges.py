@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkfolio.llm import exact_dedup, language, link_filter, mixing, ogg, quality, repeats, secrets, sentencepiece, simhash
+from sparkfolio.llm import exact_dedup, language, link_filter, mixing, ogg, quality, repeats, repetition, secrets, sentencepiece, simhash
 
 LONG = "A long text of many words, token = abcdefgh1234 and more. " * 4000
 ROWS = [(1, None), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (4, "ONE two three four five six"), (None, "no id here at all"), (5, LONG), (6, LONG), (7, "12 34 !!"), (8, None), (9, "zwei und drei Wörter für Äpfel")]
@@ -19,6 +19,7 @@ OPERATORS = {
     "ogg": lambda d: ogg.ogg_digests(d),
     "repeats": lambda d: repeats.remove_repeats(d),
     "simhash": lambda d: simhash.simhash_groups(d),
+    "repetition": lambda d: repetition.judge_repetition(d),
 }
 
 
@@ -38,7 +39,7 @@ def test_an_empty_table_gives_no_rows(make, edges, name):
     assert OPERATORS[name](edges.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["secrets", "pieces", "language", "quality", "ogg", "repeats"])
+@pytest.mark.parametrize("name", ["secrets", "pieces", "language", "quality", "ogg", "repeats", "repetition"])
 def test_equal_texts_have_equal_values(edges, name):
     rows = {}
     for r in OPERATORS[name](edges).collect():
