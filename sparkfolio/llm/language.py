@@ -3,7 +3,7 @@
 The network reads every byte of a text, blanks included, in both directions and gives each a distribution over languages; a document's probabilities
 are their mean. Texts of any length are read in windows of ``WINDOW`` bytes. In each, the network starts ``CONTEXT`` bytes before the first label
 it gives, and ends as many after the last, across words and blanks; beyond the ends of a text stands an edge symbol. It is
-trained in numpy by backpropagation through time, on windows from all over the documents of a bounded sample.
+trained in numpy by backpropagation through time, on the whole documents of a bounded sample.
 
 Arrays are laid out with windows along the last axis, where numpy is fastest.
 """
@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, tidy, utf8
+from .common import materialise, slices, small_batches, tidy, utf8
 
 UNDETERMINED = "und"
-#: The sample: documents of each language, chosen by hash, and documents over all languages; beyond eight languages, each has fewer.
-SAMPLE_DOCS, SAMPLE_ROWS = 250, 2000
-#: Windows that are learned from in each sampled document, spread evenly over the whole of it, and the characters of each.
-SAMPLE_WINDOWS, SAMPLE_CHARS = 8, 80
+#: The sample: documents of each language, in the order of a hash of their ids, and documents over all languages (beyond eight languages, each has fewer),
+#: until together they pass SAMPLE_BYTES. Each is learned from as a whole, however long it is.
+SAMPLE_DOCS, SAMPLE_ROWS, SAMPLE_BYTES = 250, 2000, 1 << 25
+#: Bytes of the windows that a sampled text is cut into; documents count alike, whatever their length.
+LEARNED = 96
 HIDDEN, STEPS, BATCH, RATE = 12, 240, 192, 0.02
 #: Bytes labelled in a window, and bytes read before and after them.
 WINDOW, CONTEXT = 224, 32
@@ -174,24 +175,30 @@ class LanguageModel:
     net: BiGru | None
 
     @classmethod
-    def train(cls, windows: list[tuple[bytes, int]], languages: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 7) -> LanguageModel:
-        """``windows``: bytes and number of the language of each. A part of them is shown with edges where a text would begin or end."""
-        if not windows:
+    def train(cls, texts: list[tuple[bytes, int]], languages: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 7) -> LanguageModel:
+        """``texts``: bytes and number of the language of each. They are cut into windows, a part of which is shown with edges where a text would begin or end."""
+        if not texts:
             return cls(languages, None)
         net, rng = BiGru.new(len(languages), hidden, seed), np.random.default_rng(seed)
-        width = max(len(b) for b, _ in windows)
-        x = np.full((width, len(windows)), EDGE, np.int64)
-        for i, (b, _) in enumerate(windows):
-            x[: len(b), i] = np.frombuffer(b, np.uint8)
-        target = np.eye(len(languages), dtype=np.float32)[:, [k for _, k in windows]]
-        odds = 1 / (target.sum(axis=1) @ target)  # languages alike
+        size = np.array([len(b) for b, _ in texts])
+        count = -(-size // LEARNED)
+        text = np.repeat(np.arange(len(texts)), count)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        whole, start = np.frombuffer(b"".join(b for b, _ in texts), np.uint8), np.cumsum(size) - size
+        last = np.minimum(size[text] - place * LEARNED, LEARNED)
+        x = np.full((LEARNED, len(text)), EDGE, np.int16)
+        for t in range(LEARNED):
+            has = last > t
+            x[t, has] = whole[(start[text] + place * LEARNED + t)[has]]
+        target = np.eye(len(languages), dtype=np.float32)[:, np.array([k for _, k in texts])[text]]
+        odds = 1 / count[text] / (np.bincount([k for _, k in texts], minlength=len(languages)) @ target)  # languages alike, and so the documents of each
         odds /= odds.sum()
         first, second = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
         for step in range(1, steps + 1):
-            pick = rng.choice(len(windows), BATCH, p=odds)
-            some = x[:, pick]
+            pick = rng.choice(len(text), BATCH, p=odds)
+            some = x[:, pick].astype(np.int64)
             cut = rng.integers(0, CONTEXT + 1, BATCH) * (rng.random(BATCH) < 0.25)
-            some[np.arange(width)[:, None] < cut] = EDGE
+            some[np.arange(LEARNED)[:, None] < cut] = EDGE
             _, grads = net.gradients(some, target[:, pick], (some != EDGE).astype(np.float32))
             rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
             for p, d, m, v in zip(net.parts(), grads, first, second):  # Adam
@@ -242,20 +249,21 @@ def remainder(col: Column, by: int) -> Column:
 def train_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 4, out: int = 2, steps: int = STEPS) -> LanguageModel:
     """Learns from ``SAMPLE_DOCS`` documents of each language, by hash, whose crc32(id) mod ``fold`` is not ``out``.
 
-    ``SAMPLE_WINDOWS`` windows of each come to the driver, spread over the whole text. Rows with a null text, id or language are left out but for
-    a null id, which is as any other; ties of the hash are told apart by id and text; without rows there is no network, and all is undetermined.
+    They come to the driver as whole texts, ``SAMPLE_BYTES`` and one text together at most. Rows with a null text, id or language are left out but for
+    a null id, which is as any other; rows that repeat an id and text count once; without rows there is no network, and all is undetermined.
     """
     small_batches(docs.sparkSession)
     mine = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    mine = mine.filter((remainder(F.col("doc_id"), fold) != out) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
-    cut = [F.substring(F.col("text"), (room * i / max(1, SAMPLE_WINDOWS - 1)).cast("int") + 1, F.lit(SAMPLE_CHARS)) for i in range(SAMPLE_WINDOWS)]
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "parts")
-    picked = mine.select("lang", "doc_id", F.array(*cut).alias("parts")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_DOCS)
-    rows = picked.orderBy("n", "lang").limit(SAMPLE_ROWS).select("lang", "parts", "n").collect()
+    mine = mine.filter((remainder(F.col("doc_id"), fold) != out) & F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("text"))
+    order = (F.xxhash64("doc_id", F.lit(1)), "doc_id", "h")
+    keys = mine.select("lang", "doc_id", "h", F.octet_length("text").cast("long").alias("size")).distinct()
+    keys = keys.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("n") <= SAMPLE_DOCS).orderBy("n", "lang").limit(SAMPLE_ROWS)
+    before = F.sum("size").over(W.orderBy("n", "lang").rowsBetween(W.unboundedPreceding, -1))  # SAMPLE_ROWS rows of numbers, the texts are not moved
+    picked = materialise(keys.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") <= SAMPLE_BYTES).select("lang", F.col("doc_id").alias("picked_id"), "h", "n"))
+    found = mine.join(F.broadcast(picked), (mine["lang"] == picked["lang"]) & mine["doc_id"].eqNullSafe(F.col("picked_id")) & (mine["h"] == picked["h"])).select(picked["lang"], "n", "text")
+    rows = sorted(found.dropDuplicates(["lang", "n"]).collect(), key=lambda r: (r["n"], r["lang"]))
     languages = sorted({r["lang"] for r in rows})
-    windows = [(p.encode(), languages.index(r["lang"])) for r in sorted(rows, key=lambda r: (r["n"], r["lang"])) for p in dict.fromkeys(r["parts"])]
-    return LanguageModel.train(windows, languages, steps)
+    return LanguageModel.train([(r["text"].encode(), languages.index(r["lang"])) for r in rows], languages, steps)
 
 
 #: Bytes of text that are read at a time.

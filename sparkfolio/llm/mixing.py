@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -107,10 +107,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS) -> DataFrame:
-    """The rows that the mix takes, each as often as it takes it, with all columns of ``docs``."""
-    mark = "__mix_"
+    """The rows that the mix takes, each as often as it takes it, with all columns of ``docs``, whatever their names.
+
+    Nulls, repeated ids, ties and empty tables as in ``mix``.
+    """
+    source, repeats, under, taken, time = (free_name(docs, f"mix_{x}") for x in ("source", "repeats", "under", "taken", "time"))
     limits = thresholds(_sized(docs, id_col, text_col, source_col), weights)
-    limits = limits.select(F.col("s").alias(mark + "s"), F.col("repeats").alias(mark + "r"), F.col("under").alias(mark + "u"))
-    times = F.col(mark + "r") + (hash40(docs[id_col]) < F.col(mark + "u")).cast("long")
-    out = docs.join(limits, docs[source_col].eqNullSafe(F.col(mark + "s"))).withColumn(mark + "n", times).filter(F.col(mark + "n") > 0)
-    return out.withColumn(mark + "k", F.explode(F.expr(f"sequence(1L, {mark}n)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    limits = limits.select(F.col("s").alias(source), F.col("repeats").alias(repeats), F.col("under").alias(under))
+    times = F.col(repeats) + (hash40(docs[id_col]) < F.col(under)).cast("long")
+    out = docs.join(limits, docs[source_col].eqNullSafe(F.col(source))).withColumn(taken, times).filter(F.col(taken) > 0)
+    return out.withColumn(time, F.explode(F.sequence(F.lit(1).cast("long"), F.col(taken)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, slices, small_batches, tidy, utf8
@@ -23,8 +24,8 @@ PASSAGE, PIECE = 512, 1 << 21
 #: Byte counts, words, and words that equal the one before.
 FEATURES, WORDS, REPEATED = 258, 256, 257
 ENCODED, ATTENTION = 16, 8
-#: Labelled documents that are learned from, chosen by hash among those of no more bytes than SAMPLE_BYTES; all of their passages count.
-SAMPLE, SAMPLE_BYTES = 3000, 1 << 15
+#: Labelled documents that are learned from: so many in the order of a hash of their ids, until together they pass so many bytes. Each is read as a whole, however long it is.
+SAMPLE, SAMPLE_BYTES = 3000, 1 << 25
 STEPS, BATCH, RATE = 400, 256, 0.02
 THRESHOLD = 0.3
 
@@ -145,19 +146,22 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: int = 5, steps: int = STEPS) -> AttentionMil | None:
-    """Learns from ``SAMPLE`` labelled documents whose crc32(id) mod ``fold`` is not 0, each read as a whole.
+    """Learns from ``SAMPLE`` labelled documents whose crc32(id) mod ``fold`` is not 0, each read as a whole; fewer where the first of them, by hash, pass ``SAMPLE_BYTES`` together.
 
-    Of labels that disagree on an id the larger counts; null labels and labels without a document count for nothing; rows that repeat an id come in as they are, up to
-    the bound; without any there is no model.
+    Of labels that disagree on an id the larger counts; null labels and labels without a document count for nothing; of rows that repeat an
+    id and text one counts, other texts of an id count too; without any there is no model.
     """
     small_batches(docs.sparkSession)
     mine = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("quality")).filter((remainder(F.col("doc_id"), fold) != 0) & F.col("quality").isNotNull())
     mine = mine.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    order = (F.xxhash64("doc_id", F.lit(2)), "doc_id")
-    short = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    picked = materialise(short.select("doc_id").join(mine, "doc_id").distinct().orderBy(*order).limit(SAMPLE))  # so it may be broadcast
-    found = short.join(F.broadcast(picked), "doc_id").orderBy(*order, F.xxhash64("text"), "text").limit(SAMPLE)
+    docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    keys = docs.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("size")).join(mine, "doc_id").distinct()
+    order = (F.xxhash64("doc_id", F.lit(2)), "doc_id", "h")
+    before = F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1))  # SAMPLE rows of numbers, the texts are not moved
+    picked = keys.orderBy(*order).limit(SAMPLE).withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") <= SAMPLE_BYTES)
+    picked = materialise(picked.select("doc_id", "h", "quality"))  # so it may be broadcast
+    found = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).drop("h")
     rows = found.mapInArrow(_bags, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, quality int, counts binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["counts"]))
     bags = [features(np.frombuffer(r["counts"], np.uint16).reshape(-1, FEATURES).astype(np.int64)) for r in rows]

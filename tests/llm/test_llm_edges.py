@@ -110,3 +110,12 @@ def test_long_texts_go_piece_by_piece_with_the_same_results(monkeypatch):
     mil = quality.AttentionMil.new()
     counts, n = quality.passages(raw, off)
     assert mil.forward(quality.features(counts), n)[0] == pytest.approx(mil.pool(mil.encode(quality.features(counts)), n)[0])
+
+
+def test_stages_keep_columns_with_the_names_they_use_inside(spark, make, sf):
+    names = ["language_id", "mix_source", "mix_repeats", "mix_under", "mix_taken", "mix_time", "__language", "__mix_s", "__mix_r", "__mix_u", "__mix_n", "__mix_k", "without_th", "again_th"]
+    docs = make([(i, f"these are the words of text number {i} and {i * 7} more of them") for i in range(12)], ", ".join(f"{n} string" for n in ("fp", "key"))).select("*", *[F.col("doc_id").cast("string").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert all(r[n] == str(r["doc_id"]) for r in out.collect() for n in names), name

@@ -163,3 +163,46 @@ def test_cut_caches():
     for pieces in (["a", "bb", "a"], ["ccc", "bb", "d", "ee"], ["a", "fff"]):
         rows = cache.numbers(pieces)
         assert cache.rows[rows][:, 0].tolist() == [len(p) for p in pieces]
+
+
+def test_quality_scores_passage_by_passage(documents, spark, sf):
+    """Each document's score again, one passage and one unit at a time."""
+    import math
+    import re
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = Q.train_quality(documents, labels, steps=60)
+    w, b, wv, wu, wa, wc, bc = [p.astype(np.float64) for p in model.parts]
+    got = {r["doc_id"]: r["score"] for r in Q.score_quality(documents, labels, model=model).collect()}
+    for r in documents.orderBy("doc_id").limit(60).collect():
+        raw = (r["text"] or "").encode()
+        hidden, attention = [], []
+        words = [(m.start(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        for a in range(0, max(len(raw), 1), Q.PASSAGE):
+            part = raw[a : a + Q.PASSAGE]
+            starts = [i for i, (at, _) in enumerate(words) if a <= at < a + Q.PASSAGE]
+            x = np.zeros(Q.FEATURES)
+            for byte in part:
+                x[byte] += 1
+            x[:256] = np.sqrt(x[:256] / max(1, len(part)))
+            x[Q.WORDS] = bool(starts)
+            x[Q.REPEATED] = 2 * math.sqrt(sum(i > 0 and words[i][1] == words[i - 1][1] for i in starts) / max(1, len(starts)))
+            h = np.tanh(x @ w + b)
+            hidden.append(h)
+            attention.append(sum(math.tanh(h @ wv[:, j]) / (1 + math.exp(-(h @ wu[:, j]))) * wa[j] for j in range(len(wa))))
+        weights = [math.exp(e) for e in attention]
+        bag = sum(k * h for k, h in zip(weights, hidden)) / sum(weights)
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-(bag @ wc + bc[0])))) < 1e-4
+
+
+def test_long_documents_are_learned_from(make, monkeypatch):
+    docs = make([(i, f"{'good' if i % 2 else 'bad'} words of it " * (3000 if i == 1 else 5)) for i in range(40)])
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    seen = []
+    monkeypatch.setattr(Q.AttentionMil, "train", classmethod(lambda cls, bags, y, steps, seed=11: seen.append([len(b) for b in bags])))
+    Q.train_quality(docs, labels, fold=50)
+    assert max(seen[0]) == -(-len("good words of it " * 3000) // Q.PASSAGE) and len(seen[0]) > 35
+    texts = []
+    monkeypatch.setattr(L.LanguageModel, "train", classmethod(lambda cls, t, languages, steps=0: texts.append(t)))
+    L.train_language(docs)
+    assert max(len(t) for t, _ in texts[0]) == len("good words of it " * 3000)
