@@ -9,12 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp, sqrt
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .positions import ranks, ranks_of_places
+
 #: English stop words of full-text search.
 STOP = frozenset(
     """
@@ -167,33 +169,27 @@ def query_lexemes(query: str, stemmed: bool = True) -> list[str]:
     return sorted({x for x, _ in tokens(query, stemmed)})
 
 
-#: Fixed values of the rank: weight of plain text, and the sum of 1 / j**2 over all j.
-WEIGHT, ALL_SQUARES = 0.1, 1.64493406685
-
-
 def rank(places: list[list[int]]) -> float:
     """Rank of a row by the positions of each query lexeme."""
-    if len(places) == 1:
-        return WEIGHT * sum(1 / j**2 for j in range(1, len(places[0]) + 1)) / ALL_SQUARES
-    out = -1.0
-    for i, a in enumerate(places):
-        for b in places[i + 1 :]:
-            for x in a:
-                for y in b:
-                    d = abs(x - y)
-                    near = 1e-30 if d > 100 else 1 / (1.005 + 0.05 * exp(d / 1.5 - 2))
-                    w = sqrt(WEIGHT * WEIGHT * near)
-                    out = w if out < 0 else 1 - (1 - out) * (1 - w)
-    return max(out, 0.0)
+    end = np.cumsum([len(x) for x in places]).reshape(-1, 1)
+    return float(ranks(np.concatenate(places), end - [[len(x)] for x in places], end)[0])
 
 
 VECTOR = "array<struct<lexeme: string, positions: array<int>>>"
 
 
 def vector_column(text: Column, stemmed: bool = True) -> Column:
-    @F.pandas_udf(VECTOR)
-    def build(part: pd.Series) -> pd.Series:
-        return part.map(lambda t: position_vector(t, stemmed))
+    @F.arrow_udf(VECTOR)
+    def build(texts: pa.Array) -> pa.Array:
+        lexemes, places, of_text, of_lexeme = [], [], [0], [0]
+        for t in texts.to_pylist():
+            for e in position_vector(t, stemmed):
+                lexemes.append(e["lexeme"])
+                places += e["positions"]
+                of_lexeme.append(len(places))
+            of_text.append(len(lexemes))
+        entries = pa.StructArray.from_arrays([pa.array(lexemes, pa.string()), pa.ListArray.from_arrays(pa.array(of_lexeme, pa.int32()), pa.array(places, pa.int32()))], ["lexeme", "positions"])
+        return pa.ListArray.from_arrays(pa.array(of_text, pa.int32()), entries)
 
     return build(text)
 
@@ -211,12 +207,8 @@ def rank_column(vector: Column, lexemes: list[str]) -> Column:
     for x in lexemes:
         has_all = has_all & F.exists(vector, is_lexeme(x))
 
-    @F.pandas_udf("double")
-    def score(part: pd.Series) -> pd.Series:
-        return part.map(lambda p: None if p is None else rank([list(x) for x in p]))
-
     wanted = F.array(*[F.filter(vector, is_lexeme(x))[0]["positions"] for x in lexemes]) if lexemes else F.lit(None).cast("array<array<int>>")
-    return F.when(has_all, score(F.when(has_all, wanted)))
+    return F.arrow_udf(ranks_of_places, "double")(F.when(has_all, wanted))
 
 
 def exact_words(text: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.lexical import rank
+from ..functions.positions import ranks_of_places
 
 #: Vectors that cell centres are fitted on, chosen by hash; every vector is assigned to a cell.
 SAMPLE, ROUNDS = 20_000, 12
@@ -37,10 +37,7 @@ def match_postings(table: DataFrame, lexemes: list[str], limit: int) -> DataFram
     found = table.where(F.col("lexeme_part").isin(wanted) & F.col("lexeme").isin(lexemes))
     found = found.groupBy("id").agg(F.collect_list("positions").alias("places")).where(F.size("places") == len(lexemes))
 
-    @F.pandas_udf("double")
-    def score(part: pd.Series) -> pd.Series:
-        return part.map(lambda p: rank([list(x) for x in p]))
-
+    score = F.arrow_udf(ranks_of_places, "double")
     return found.select("id", score("places").alias("rank")).orderBy(F.desc("rank"), "id").limit(limit)
 
 

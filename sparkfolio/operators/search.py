@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lexical, text, vectors
+from . import batch_search
 
 #: Results farther than this are left out.
 MAX_DISTANCE = 0.94
@@ -24,6 +25,8 @@ RESULT = ["id", "score", "content", "source_type", "document_slug", "document_ti
 KEPT = ["id", "score", "content", "source_type", "document_id", "page_id", "element_type", "element_label", "crop_path", "rendered_path", "chunk_index"]
 #: Query vectors of a batched search that go to all executors; beyond, searches run in blocks of so many.
 QUERY_BLOCK = 1000
+#: Results that may be broadcast to find their documents and pages.
+FEW = 20_000
 
 
 @dataclass
@@ -118,24 +121,12 @@ def search(corpus: Corpus, query: str, embed, limit: int = 10, document_slug: st
     """Hybrid search: up to two queries by vector and two by words, over chunks and elements.
 
     The query without stop words is searched too if it differs: by vector if it has over two characters, by words
-    always. A query that ``embed`` gives no vector for is left out. Each branch is limited before they are fused.
+    always. A query that ``embed`` gives no vector for is left out. Each branch is limited before they are fused. Chunks are scanned once, and elements once.
     """
-    short = keywords(query)
-    wordings = [query] + ([short] if short != query and len(short) > 2 else [])
-    lexical_wordings = [query] + ([short] if short != query else [])
-    kinds = []
-    if include_chunks:
-        kinds.append(corpus.chunk_rows(document_slug))
-    if include_elements:
-        kinds.append(corpus.element_rows(document_slug))
-    branches = []
-    for wording in wordings:
-        vector = embed(wording)
-        if vector is not None:
-            branches += [nearest(rows, vector, limit) for rows in kinds]
-    for wording in lexical_wordings:
-        branches += [lexical_matches(rows, wording, limit, exact_words) for rows in kinds]
-    best = fuse(branches, limit, max_distance, KEPT)
+    asked = batch_search.Asked()
+    asked.add(query, keywords(query), embed, exact_words)
+    kinds = [corpus.chunk_rows(document_slug)] * include_chunks + [corpus.element_rows(document_slug)] * include_elements
+    best = batch_search.answers(kinds, asked, limit, max_distance, KEPT, exact_words)
     return corpus.placed(best).select(*RESULT, "first_seen").orderBy("score", "first_seen")
 
 
@@ -183,10 +174,10 @@ def knn_join(rows: DataFrame, queries: DataFrame, limit: int, id_col: str = "id"
                     continue
                 x, ids = np.array(batch["embedding"].tolist(), np.float64), batch["id"].to_numpy()
                 rough = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * q @ x.T
-                k = min(limit + 8, len(x))  # some more, as the product rounds
-                near = np.argpartition(rough, k - 1, axis=1)[:, :k]
-                exact = np.sqrt(((x[near] - q[:, None]) ** 2).sum(axis=2))
-                yield pd.DataFrame({"query_id": np.repeat(names, k), "id": ids[near].ravel(), "distance": exact.ravel()})
+                for name, v, near in zip(names, q, rough):
+                    some, exact = batch_search.distances(x, v, near, np.inf, limit)
+                    order = np.lexsort((ids[some], exact))[:limit]
+                    yield pd.DataFrame({"query_id": name, "id": ids[some[order]], "distance": exact[order]})
 
         return base.mapInPandas(best, "query_id long, id long, distance double")
 

@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import format as cards
 from ..functions import lexical, parse, text, vectors
-from ..operators import catalog, chunking, enrich, index, ingest, rag, search
+from ..operators import batch_search, catalog, chunking, enrich, index, ingest, rag, search
 from ..sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,8 +100,7 @@ class Tables:
 
     @property
     def corpus(self) -> search.Corpus:
-        """Chunks are kept while the branches of a search read them, each on its own."""
-        return search.Corpus(self.catalog, self.view_pages.select("id", "document_id", "page_number"), self.chunks.persist(StorageLevel.MEMORY_AND_DISK), self.paged_elements)
+        return search.Corpus(self.catalog, self.view_pages.select("id", "document_id", "page_number"), self.chunks, self.paged_elements)
 
 
 def query(name: str, oracle: str | None = None):
@@ -659,6 +657,84 @@ def _(t: Tables) -> DataFrame:
     return _hybrid(t, True, False, 8)
 
 
+def _inflected(words: list[str]) -> dict[str, str]:
+    """The stems of words, and of what stems alike: by endings that the stemmer takes away."""
+    ends = ["", "s", "es", "ed", "ing", "ings", "ingly", "edly", "ly", "lies", "li", "'", "'s", "e", "y", "ies", "ied", "ional", "ate", "ation"]
+    bases = {b for w in words for x in (w, lexical.stem(w)) for b in (x, x + x[-1], x[:-1])}
+    forms = {b + e for b in bases for e in ends if b + e not in lexical.STOP}
+    wanted = {lexical.stem(w) for w in words}
+    return {f: lexical.stem(f) for f in sorted(forms) if lexical.stem(f) in wanted}
+
+
+#: Words of the queries below, all other words that stem alike, and their stems.
+QUERY_WORDS = "anvil blue bolt cold gear gizmo hot large new old plate red ring rod small widget standard medium promo economy thing".split()
+STEM_TABLE = ", ".join(f"('{w.replace(chr(39), chr(39) * 2)}', '{x}')" for w, x in _inflected(QUERY_WORDS).items())
+#: Plurals and two lexemes, one lexeme, three lexemes.
+ASKED = "SELECT p_partkey AS query_id, CASE p_partkey % 150 WHEN 0 THEN p_name || 's' WHEN 50 THEN 'what are the things in ' || p_size ELSE p_name || ' ' || lower(p_type) END AS query FROM part WHERE p_partkey % 50 = 0"
+
+
+def _lexemes_sql(name: str, rows: str, content: str, keys: str) -> str:
+    """``name``(keys, lexeme, place) of the tokens of ``content``, those of a hyphenated word after it, that are in the table of stems or are numbers."""
+    token = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*(?:''[\p{L}\p{N}]+)?"
+    parts = f"flatten(list_transform(regexp_extract_all(lower({content}), '{token}'), lambda x: CASE WHEN contains(x, '-') THEN list_prepend(x, string_split(x, '-')) ELSE [x] END))"
+    return f"{name}_tokens AS (SELECT {keys}, unnest(w) AS w, generate_subscripts(w, 1) AS place FROM (SELECT {keys}, {parts} AS w FROM {rows})), {name} AS (SELECT {keys}, coalesce(lexeme, t.w) AS lexeme, place FROM {name}_tokens t LEFT JOIN stems s ON s.w = t.w WHERE lexeme IS NOT NULL OR regexp_full_match(t.w, '[0-9]+'))"
+
+
+def _hybrid_rows_sql() -> str:
+    chunk_rows = "SELECT 0 AS kind, doc_id * 100000 + chunk_index AS id, content AS worded, CASE WHEN chunk_index = 0 THEN embedding END AS embedding FROM ch LEFT JOIN embeddings ON vec_id = doc_id"
+    element_rows = "SELECT 1, e.id, concat_ws(' ', label, description, search_text), embedding FROM els e JOIN pgs p ON p.id = e.page_id JOIN docs d ON d.id = e.document_id"
+    return f"WITH RECURSIVE {chunk_sql('text')}, {ELEMENTS.strip()}, stems(w, lexeme) AS (VALUES {STEM_TABLE}), found AS ({chunk_rows} UNION ALL {element_rows})"
+
+
+def _hybrid_stems_sql(asked: str, limit: int, max_distance: float) -> str:
+    """Hybrid search of many queries by stems: all pairs of queries and rows, ranked and fused."""
+    short = f"array_to_string(list_filter(string_split(query, ' '), lambda x: NOT list_contains({STOP}, lower(x))), ' ')"
+    near = "CASE WHEN abs(a.place - b.place) > 100 THEN 1e-30::DOUBLE ELSE 1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(a.place - b.place) / 1.5::DOUBLE - 2)) END"
+    return f"""{_hybrid_rows_sql()}, asked AS ({asked}),
+        wording AS (SELECT query_id, 0 AS n, query AS w FROM asked UNION ALL SELECT query_id, 1, {short} FROM asked WHERE {short} <> query),
+        near AS (SELECT query_id, n, kind, f.id, list_distance(f.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM wording JOIN embeddings v ON v.vec_id = length(w) % 100, found f WHERE f.embedding IS NOT NULL AND (n = 0 OR length(w) > 2)),
+        {_lexemes_sql("meant", "wording", "w", "query_id, n")}, lexemes AS (SELECT DISTINCT query_id, n, lexeme FROM meant), {_lexemes_sql("said", "found", "worded", "kind, id")},
+        hits AS (SELECT query_id, n, kind, id, s.lexeme, place FROM said s JOIN lexemes l ON l.lexeme = s.lexeme),
+        full_hits AS (SELECT query_id, n, kind, id, lexeme, place FROM hits JOIN (SELECT h.query_id, h.n, kind, id FROM hits h JOIN (SELECT query_id, n, count(*) AS lexemes FROM lexemes GROUP BY 1, 2) c ON h.query_id = c.query_id AND h.n = c.n GROUP BY h.query_id, h.n, kind, id, c.lexemes HAVING count(DISTINCT lexeme) = c.lexemes) USING (query_id, n, kind, id)),
+        ranks AS (
+            SELECT query_id, n, kind, id, 1 - product(1 - sqrt(0.01::DOUBLE * ({near}))) AS rank FROM full_hits a JOIN full_hits b USING (query_id, n, kind, id) WHERE a.lexeme < b.lexeme GROUP BY ALL
+            UNION ALL
+            SELECT query_id, n, kind, id, 0.1::DOUBLE * list_sum(list_transform(range(1, count(*) + 1), lambda j: 1 / (j * j)::DOUBLE)) / 1.64493406685::DOUBLE FROM full_hits GROUP BY ALL HAVING count(DISTINCT lexeme) = 1
+        ),
+        branches AS (
+            SELECT query_id, kind, id, score, (2 * n + kind) * 1000000 + row_number() OVER (PARTITION BY query_id, n, kind ORDER BY score, id) AS seen FROM near QUALIFY row_number() OVER (PARTITION BY query_id, n, kind ORDER BY score, id) <= {limit}
+            UNION ALL
+            SELECT query_id, kind, id, greatest(0, 1 - 2 * rank), (4 + 2 * n + kind) * 1000000 + row_number() OVER (PARTITION BY query_id, n, kind ORDER BY round(rank, 9) DESC, id) FROM ranks QUALIFY row_number() OVER (PARTITION BY query_id, n, kind ORDER BY round(rank, 9) DESC, id) <= {limit}
+        ),
+        fused AS (SELECT query_id, kind, id, min(score) AS score, min(seen) AS seen FROM branches GROUP BY ALL)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), seen))::INT AS rank, CASE kind WHEN 0 THEN 'chunk' ELSE 'element' END AS source_type, id, round(score, 6) AS score
+        FROM fused WHERE score <= {max_distance} QUALIFY rank <= {limit}"""
+
+
+def _embed_all(t: Tables):
+    stored = {r["vec_id"]: r["embedding"] for r in t.embeddings.where("vec_id < 100").collect()}
+    return lambda wordings: [stored[len(w) % 100] for w in wordings]
+
+
+def _worded(t: Tables) -> search.Corpus:
+    """The corpus with position vectors."""
+    c = t.corpus
+    return search.Corpus(c.documents, c.pages, c.chunks.withColumn("tsv", lexical.vector_column(F.col("content"))), c.elements.withColumn("tsv", lexical.vector_column(F.concat_ws(" ", "label", "description", "search_text"))))
+
+
+@query("hybrid_batch", _hybrid_stems_sql(ASKED, 10, search.MAX_DISTANCE))
+def _(t: Tables) -> DataFrame:
+    name, kind = F.col("p_name"), F.col("p_partkey") % 150
+    text_of = F.when(kind == 0, F.concat(name, F.lit("s"))).when(kind == 50, F.concat(F.lit("what are the things in "), F.col("p_size").cast("string"))).otherwise(F.concat(name, F.lit(" "), F.lower("p_type")))
+    asked = t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), text_of.alias("query"))
+    return batch_search.search_batch(_worded(t), asked, _embed_all(t)).select("query_id", "rank", "source_type", "id", six(F.col("score")).alias("score"))
+
+
+@query("hybrid_default", "SELECT source_type, id, score FROM (" + _hybrid_stems_sql(f"SELECT 0 AS query_id, '{HYBRID}' AS query", 10, search.MAX_DISTANCE) + ")")
+def _(t: Tables) -> DataFrame:
+    return search.search(_worded(t), HYBRID, _embed(t)).select("source_type", "id", six(F.col("score")).alias("score"))
+
+
 @query("search_elements", f"WITH {ELEMENTS} SELECT e.id, e.label AS element_label, coalesce(nullif(search_text, ''), description) AS content, round(list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {len(HYBRID)})), 6) AS score FROM els e JOIN pgs p ON p.id = page_id JOIN docs d ON d.id = e.document_id WHERE embedding IS NOT NULL AND d.slug = 'src2' ORDER BY list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {len(HYBRID)})), e.id LIMIT 6")
 def _(t: Tables) -> DataFrame:
     return search.search_elements(t.corpus, HYBRID, _embed(t), 6, "src2").select("id", "element_label", "content", six(F.col("score")).alias("score"))
