@@ -49,7 +49,7 @@ def normalized_elements(elements: DataFrame) -> DataFrame:
 
 def with_ids(rows: DataFrame, order: str, after: int = 0) -> DataFrame:
     """``id`` by an integer column, following on ``after``."""
-    return running_number(rows.withColumn("__all", F.lit(1)), ["__all"], [order], "id", start=after + 1).drop("__all")
+    return running_number(rows.withColumn("__all", F.lit(1)), ["__all"], [order], "id", start=after + 1, kind="long").drop("__all")
 
 
 def dry_run(pages: DataFrame, elements: DataFrame, by: str = "document_id") -> DataFrame:

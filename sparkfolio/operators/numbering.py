@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 WIDTH = 4096
 
 
-def running_number(rows: DataFrame, groups: list[str], order: list[str], name: str, start: int = 1, width: int = WIDTH) -> DataFrame:
+def running_number(rows: DataFrame, groups: list[str], order: list[str], name: str, start: int = 1, width: int = WIDTH, kind: str = "int") -> DataFrame:
     """``row_number`` of each row in its group by ``order``, whose first column is an integer.
 
     A group is numbered in stretches of that column, and the stretches' sizes are summed up; so one that
-    holds most of the rows is spread over tasks.
+    holds most of the rows is spread over tasks. Numbers over all rows of a corpus need ``kind`` long.
     """
     rows = rows.withColumn("__part", F.floor(F.col(order[0]) / width))
     sizes = rows.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("__n"))
@@ -24,4 +24,4 @@ def running_number(rows: DataFrame, groups: list[str], order: list[str], name: s
     numbered = rows.withColumn("__k", number)
     same = [numbered[g].eqNullSafe(sizes[g]) for g in groups] + [numbered["__part"].eqNullSafe(sizes["__part"])]
     kept = [numbered[c] for c in rows.columns if c != "__part"]
-    return numbered.join(sizes, same).select(*kept, (F.col("__k") + F.col("__before") + (start - 1)).cast("int").alias(name))
+    return numbered.join(sizes, same).select(*kept, (F.col("__k") + F.col("__before") + (start - 1)).cast(kind).alias(name))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import corpus, schemas
+from ..sources.versions import Versions
 from . import ingest
 from .chunking import chunk_pages
 from .numbering import running_number
@@ -15,29 +16,22 @@ from .providers import Embedder, embed_column
 
 TABLES = {"documents": schemas.DOCUMENTS, "pages": schemas.PAGES, "chunks": schemas.CHUNKS, "elements": schemas.ELEMENTS}
 
+#: Folder of tables that an ingestion works on, beside the parts.
+KEPT = "reports"
+
 
 class Store:
     """Versions of the four tables under one folder.
 
     A version is a list of parts, and a part holds the documents of one ingestion with all their pages, chunks and elements. Adding documents writes
-    only their part; taking some away rewrites only the parts that hold them. Parts are written whole before a line in ``current`` names them, so a
-    failed run leaves the last version as it was. ``compact`` puts all parts into one.
+    only their part; taking some away rewrites only the parts that hold them. Parts are written whole before a version names them, so a
+    failed run leaves the last version as it was, and writers that come at the same time each get a version of their own. ``compact`` joins small parts, ``restore`` goes back
+    to an older version, ``vacuum`` deletes what no recent version names.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _last(self) -> tuple[int, list[str]]:
-        """Number and parts of the last version."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return 0, []
-        row = self.spark.read.schema("number long, parts array<string>").json(f"{self.root}/current").agg(F.max(F.struct("number", "parts")).alias("last")).first()["last"]
-        return (row["number"], list(row["parts"])) if row else (0, [])
-
-    def _name(self, parts: list[str]) -> None:
-        number = self._last()[0] + 1
-        self.spark.createDataFrame([(number, parts)], "number long, parts array<string>").coalesce(1).write.mode("append").json(f"{self.root}/current")
+        self.versions = Versions(spark, root)
 
     def _read(self, parts: list[str]) -> dict[str, DataFrame]:
         if not parts:
@@ -50,8 +44,9 @@ class Store:
             t.write.parquet(f"{self.root}/{name}/{k}")
         return name
 
-    def tables(self) -> dict[str, DataFrame]:
-        return self._read(self._last()[1])
+    def tables(self, version: int | None = None) -> dict[str, DataFrame]:
+        """Of the last version, or of an older one."""
+        return self._read(self.versions.parts(version))
 
     def _without(self, gone: DataFrame, parts: list[str]) -> list[str]:
         """The parts once the documents of ``gone`` (slug) have left them."""
@@ -59,28 +54,49 @@ class Store:
             return []
         holding = self._read(parts)["documents"].select("slug", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("part"))
         touched = {r["part"] for r in holding.join(gone.select("slug").distinct(), "slug", "left_semi").select("part").distinct().collect()}
-        return [self._write_part(ingest.delete_documents(self._read([p]), gone)) if p in touched else p for p in parts]
+        if not touched:
+            return parts
+        whole = [p for p in parts if p not in touched]  # all touched parts are rewritten at once, as one
+        return [*whole, self._write_part(ingest.delete_documents(self._read([p for p in parts if p in touched]), gone))]
 
     def add(self, tables: dict[str, DataFrame], instead_of: DataFrame | None = None) -> None:
         """A version with the rows of ``tables`` as a part of their own, and without the documents of ``instead_of`` (slug)."""
         new = self._write_part(tables)
-        parts = self._last()[1]
-        self._name([*(parts if instead_of is None else self._without(instead_of, parts)), new])
+        self.versions.commit(lambda parts: [*(parts if instead_of is None else self._without(instead_of, parts)), new])
 
     def delete(self, slugs: list[str]) -> None:
-        parts = self._last()[1]
-        left = self._without(self.spark.createDataFrame([(s,) for s in slugs], "slug string"), parts)
-        if left != parts:
-            self._name(left)
-
-    def compact(self) -> None:
-        parts = self._last()[1]
-        if len(parts) > 1:
-            self._name([self._write_part(self._read(parts))])
+        gone = self.spark.createDataFrame([(s,) for s in slugs], "slug string")
+        parts = self.versions.parts()
+        if self.tables()["documents"].join(gone, "slug", "left_semi").limit(1).count() and parts:
+            self.versions.commit(lambda parts: self._without(gone, parts))
+
+    def compact(self, enough: int = 1 << 30) -> None:
+        """Joins the parts of fewer bytes than ``enough`` into one; larger parts stay as they are."""
+        small = [p for p in self.versions.parts() if self.versions.size(p) < enough]
+        if len(small) > 1:
+            joined = self._write_part(self._read(small))
+            # If one of them was rewritten meanwhile, the join is of no use and all stays.
+            self.versions.commit(lambda parts: [joined, *[p for p in parts if p not in small]] if set(small) <= set(parts) else parts)
+
+    def restore(self, version: int) -> int:
+        """A new version with the parts of an older one; the number of the new one."""
+        older = self.versions.parts(version)
+        missing = set(older) - set(self.versions.folders())
+        if missing:
+            raise ValueError(f"version {version} names parts that are deleted")
+        return self.versions.commit(lambda _: older)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes the parts that none of the last ``keep`` versions names, and says how many. No ingestion may be under way."""
+        named = {p for n in self.versions.numbers()[-keep:] for p in self.versions.parts(n)}
+        gone = [p for p in self.versions.folders() if p not in named and p != KEPT]
+        for p in [*gone, KEPT]:
+            self.versions.remove(p)
+        return len(gone)
 
     def keep(self, rows: DataFrame) -> DataFrame:
         """Rows as they are now, read from a table beside the parts."""
-        path = f"{self.root}/reports/{uuid.uuid4().hex}"
+        path = f"{self.root}/{KEPT}/{uuid.uuid4().hex}"
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
@@ -94,7 +110,7 @@ def _shaped(rows: DataFrame, table: str) -> DataFrame:
 def _numbered(rows: DataFrame, order: list[str], after: int) -> DataFrame:
     """Ids that follow on ``after``; rows are spread by hash stretches, so ids are dense but only stable for the same rows."""
     keyed = rows.withColumns({"__all": F.lit(1), "__k": F.pmod(F.xxhash64(*order), F.lit(1 << 40))})
-    return running_number(keyed, ["__all"], ["__k", *order], "id", start=after + 1, width=1 << 30).drop("__all", "__k")
+    return running_number(keyed, ["__all"], ["__k", *order], "id", start=after + 1, width=1 << 30, kind="long").drop("__all", "__k")
 
 
 def ingest_tree(spark: SparkSession, root: str, store: Store, embedder: Embedder | None = None, policy: str = "skip", dry_run: bool = False) -> DataFrame:
@@ -111,8 +127,12 @@ def ingest_tree(spark: SparkSession, root: str, store: Store, embedder: Embedder
     elif policy == "error":
         documents = ingest.require_new(documents, there["documents"])
     source = corpus.read_pages(spark, root).join(documents.select("slug"), "slug", "left_semi")
+    if not dry_run:
+        documents, source = store.keep(documents), store.keep(source)  # the tree's files are read once
     pages, elements = corpus.page_rows(source), corpus.element_rows(source)
     chunks = chunk_pages(pages.select("slug", "page_number", "full_text"))
+    if not dry_run:
+        chunks = store.keep(chunks)  # and texts are cut once
     count = lambda t, name: t.groupBy("slug").agg(F.count(F.lit(1)).alias(name))
     report = documents.select("slug")
     for t, name in ((pages, "pages"), (chunks, "chunks"), (elements, "elements")):

@@ -6,6 +6,7 @@ chunks come from the chunker, and each row of ``part`` is an element on the page
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import format as cards
 from ..functions import lexical, parse, text, vectors
-from ..operators import batch_search, catalog, chunking, enrich, index, ingest, rag, search
+from ..operators import batch_search, catalog, chunking, enrich, index, ingest, posting_index, rag, search
 from ..sources import corpus
+from ..sources.versions import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -813,7 +815,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("assigned_ids", "SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) + 500)::INT AS id FROM part")
 def _(t: Tables) -> DataFrame:
-    return ingest.with_ids(t.part.select("p_partkey"), "p_partkey", 500)
+    return ingest.with_ids(t.part.select("p_partkey"), "p_partkey", 500).withColumn("id", F.col("id").cast("int"))
 
 
 @query("uniqueness_violations", "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
@@ -916,6 +918,28 @@ def _(t: Tables) -> DataFrame:
     return index.match_postings(table, lexical.query_lexemes("red widgets"), 20).select("id", six(F.col("rank")).alias("rank"))
 
 
+#: Queries of one, two and three lexemes.
+LOOKED_UP = ("widgets", "red widgets", "brand red widget")
+
+
+def _topk_sql(content: str, limit: int) -> str:
+    """The best rows of each of ``LOOKED_UP`` by ranking every row that has all lexemes."""
+    asked = ", ".join(f"({len(q.split())}, '{x}')" for q in LOOKED_UP for x in lexical.query_lexemes(q))
+    near = "CASE WHEN abs(a.place - b.place) > 100 THEN 1e-30::DOUBLE ELSE 1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(a.place - b.place) / 1.5::DOUBLE - 2)) END"
+    hits = "hits AS (SELECT n, id, p.lexeme, unnest(positions) AS place FROM places p JOIN asked a ON a.lexeme = p.lexeme WHERE (SELECT count(*) FROM places o JOIN asked b ON b.lexeme = o.lexeme WHERE o.id = p.id AND b.n = a.n) = a.n)"
+    pairs = f"SELECT n, id, 1 - product(1 - sqrt(0.01::DOUBLE * ({near}))) AS rank FROM hits a JOIN hits b USING (n, id) WHERE a.lexeme < b.lexeme GROUP BY ALL"
+    single = "SELECT n, id, 0.1::DOUBLE * list_sum(list_transform(range(1, count(*) + 1), lambda j: 1 / (j * j)::DOUBLE)) / 1.64493406685::DOUBLE FROM hits WHERE n = 1 GROUP BY ALL"
+    return f"WITH {_vectors_sql(content)}, asked(n, lexeme) AS (VALUES {asked}), {hits}, ranks AS ({pairs} UNION ALL {single}) SELECT n AS lexemes, id, round(rank, 6) AS rank FROM ranks QUALIFY row_number() OVER (PARTITION BY n ORDER BY round(rank, 9) DESC, id) <= {limit}"
+
+
+@query("posting_index_topk", _topk_sql("description", 20))
+def _(t: Tables) -> DataFrame:
+    found = posting_index.PostingIndex(t.spark, f"{shared_dir(t.spark)}/postings-{uuid.uuid4().hex}")
+    found.add(t.view_elements.select("id", lexical.vector_column(F.col("description")).alias("tsv")))
+    best = [found.search(lexical.query_lexemes(q), 20).select(F.lit(len(q.split())).alias("lexemes"), "id", six(F.col("rank")).alias("rank")) for q in LOOKED_UP]
+    return best[0].unionByName(best[1]).unionByName(best[2])
+
+
 @query("knn_cells")
 def _(t: Tables) -> DataFrame:
     rows = t.embeddings.withColumnRenamed("vec_id", "id")

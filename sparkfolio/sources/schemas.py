@@ -12,10 +12,10 @@ DOCUMENT_JSON = (
 LEGACY_ELEMENT = "struct<type: string, bbox_1000: array<double>, bbox_pixels: array<int>, label: string, description: string, crop_path: string>"
 LEGACY_JSON = f"document string, source_file string, extraction_date string, model string, pages array<struct<page_number: int, image: string, width: int, height: int, text: string, elements: array<{LEGACY_ELEMENT}>, total_page_time_seconds: double>>"
 
-DOCUMENTS = "id int, slug string, title string, source_file string, extraction_date timestamp_ntz, model string, metadata map<string, string>, summary string, keywords array<string>, license string"
-PAGES = "id int, document_id int, page_number int, image_path string, annotated_image_path string, full_text string, summary string, keywords array<string>, width int, height int"
-CHUNKS = "id int, document_id int, page_id int, content string, chunk_index int, start_char int, end_char int, embedding array<float>"
+DOCUMENTS = "id long, slug string, title string, source_file string, extraction_date timestamp_ntz, model string, metadata map<string, string>, summary string, keywords array<string>, license string"
+PAGES = "id long, document_id long, page_number int, image_path string, annotated_image_path string, full_text string, summary string, keywords array<string>, width int, height int"
+CHUNKS = "id long, document_id long, page_id long, content string, chunk_index int, start_char int, end_char int, embedding array<float>"
 ELEMENTS = (
-    "id int, document_id int, page_id int, element_type string, label string, description string, search_text string, latex string, "
+    "id long, document_id long, page_id long, element_type string, label string, description string, search_text string, latex string, "
     "crop_path string, rendered_path string, bbox_pixels array<int>, embedding array<float>"
 )

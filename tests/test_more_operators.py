@@ -8,7 +8,7 @@ from sparkfolio.chat import Chat
 from sparkfolio.api import Library
 from sparkfolio.functions import format as cards
 from sparkfolio.functions import lexical, text, vectors
-from sparkfolio.operators import enrich, index, ingest, search
+from sparkfolio.operators import enrich, index, ingest, pipeline, search
 from sparkfolio.operators.pipeline import Store, ingest_tree
 from sparkfolio.operators.providers import HashingEmbedder
 from sparkfolio.sources import render as render_module
@@ -63,9 +63,9 @@ def test_ingestion_by_policy(spark, tree, tmp_path_factory):
     before = first["chunks"].count()
     ingest_tree(spark, tree, store, policy="replace")
     assert store.tables()["chunks"].count() == before
-    kept = store._last()[1]
+    kept = store.versions.parts()
     store.delete(["nobody"])
-    assert store._last()[1] == kept
+    assert store.versions.parts() == kept
     store.delete(["beta", "unknown"])
     assert [r["slug"] for r in store.tables()["documents"].collect()] == ["alpha_v1"] and store.tables()["elements"].count() == 2
 
@@ -73,24 +73,71 @@ def test_ingestion_by_policy(spark, tree, tmp_path_factory):
 def test_a_document_more_leaves_other_parts_alone(spark, tree, tmp_path, tmp_path_factory):
     store = Store(spark, str(tmp_path_factory.mktemp("store")))
     ingest_tree(spark, tree, store)
-    first = store._last()[1]
+    first = store.versions.parts()
     page = tmp_path / "gamma" / "pages"
     page.mkdir(parents=True)
     (tmp_path / "gamma" / "document.json").write_text(json.dumps({"source_file": "gamma.pdf"}))
     (page / "page_001.json").write_text(json.dumps({"page_number": 1, "text": "one page", "elements": []}))
     assert [(r["slug"], r["pages"], r["elements"]) for r in ingest_tree(spark, tree, store).collect()] == [("gamma", 1, 0)]
-    assert store._last()[1][:1] == first and len(store._last()[1]) == 2
+    assert store.versions.parts()[:1] == first and len(store.versions.parts()) == 2
     store.delete(["gamma"])
-    assert store._last()[1][:1] == first
+    assert store.versions.parts()[:1] == first
     rows = {k: sorted(map(tuple, t.select("id").collect())) for k, t in store.tables().items()}
     store.compact()
-    assert len(store._last()[1]) == 1 and {k: sorted(map(tuple, t.select("id").collect())) for k, t in store.tables().items()} == rows
+    assert len(store.versions.parts()) == 1 and {k: sorted(map(tuple, t.select("id").collect())) for k, t in store.tables().items()} == rows
     ingest_tree(spark, tree, store, policy="replace")
     assert sorted(r["slug"] for r in store.tables()["documents"].collect()) == ["alpha_v1", "beta", "gamma"]
     for t in store.tables().values():
         assert ingest.violations(t, "id").count() == 0
 
 
+def test_versions_come_back_and_unnamed_parts_go(spark, tree, tmp_path_factory):
+    store = Store(spark, str(tmp_path_factory.mktemp("store")))
+    ingest_tree(spark, tree, store)
+    slugs = lambda version=None: sorted(r["slug"] for r in store.tables(version)["documents"].collect())
+    store.delete(["beta"])
+    assert slugs() == ["alpha_v1"] and slugs(1) == ["alpha_v1", "beta"]
+    assert store.restore(1) == 3 and slugs() == ["alpha_v1", "beta"]
+    assert store.vacuum() == 1 and slugs() == ["alpha_v1", "beta"]
+    with pytest.raises(ValueError):
+        store.restore(2)
+    big = store.versions.parts()
+    store.add(store._read([]))
+    store.compact(enough=1)
+    assert store.versions.parts()[:1] == big and len(store.versions.parts()) == 2
+
+
+def test_two_writers_keep_both_documents(spark, tree, tmp_path_factory, monkeypatch):
+    store = Store(spark, str(tmp_path_factory.mktemp("store")))
+    ingest_tree(spark, tree, store)
+    tables, other = store.tables(), Store(spark, store.root)
+    part, commit = tables["documents"].where("slug = 'beta'"), other.versions.commit
+    turns = []
+
+    def slow(change):
+        def late(parts):
+            if not turns:
+                turns.append(1)
+                store.add({**store._read([]), "documents": part.withColumn("slug", F.lit("first"))})  # another writer between reading and naming
+            return change(parts)
+
+        return commit(late)
+
+    monkeypatch.setattr(other.versions, "commit", slow)
+    other.add({**store._read([]), "documents": part.withColumn("slug", F.lit("second"))}, instead_of=spark.createDataFrame([("alpha_v1",)], "slug string"))
+    assert sorted(r["slug"] for r in store.tables()["documents"].collect()) == ["beta", "first", "second"]
+    assert store.versions.numbers() == [1, 2, 3]
+
+
+def test_ids_go_beyond_32_bits(spark, tree, tmp_path_factory):
+    store = Store(spark, str(tmp_path_factory.mktemp("store")))
+    big = spark.createDataFrame([(2**31 + 7, "old", "old.pdf")], "id long, slug string, source_file string")
+    store.add(store._read([]) | {"documents": pipeline._shaped(big, "documents"), "chunks": pipeline._shaped(spark.createDataFrame([(2**40, 2**31 + 7)], "id long, document_id long"), "chunks")})
+    ingest_tree(spark, tree, store)
+    assert store.tables()["documents"].agg(F.max("id")).first()[0] == 2**31 + 9
+    assert store.tables()["chunks"].where("id > 1099511627776").count() > 3
+
+
 def test_page_summaries_are_cut_as_if_all_were_joined(spark):
     rows = [(d, n, f"{'s' * (n % 7)}{n}" if n % 5 else "") for d, pages in ((1, 400), (2, 3), (3, 0)) for n in range(1, pages + 1)]
     pages = spark.createDataFrame(rows + [(2, 9, None)], "document_id int, page_number int, summary string")
