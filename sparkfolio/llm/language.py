@@ -82,8 +82,10 @@ class BiGru:
         out = np.empty((len(x), hidden, n), self.out.dtype)
         bias = self.bias[k][:, None]
         least = len(x) if begin is None else int(begin.min())
+        room = np.empty((3 * hidden, n), self.out.dtype)
         for t in range(len(x)) if k == 0 else reversed(range(len(x))):
-            given, back = np.take(self.table[k], x[t], axis=1), self.recur[k] @ h
+            given = np.take(self.table[k], x[t], axis=1, out=room if trace is None else np.empty_like(room), mode="clip")  # symbols are in the table; numpy is slower where it checks
+            back = self.recur[k] @ h
             gates = given[: 2 * hidden]
             gates += back[: 2 * hidden]
             gates *= 0.5
