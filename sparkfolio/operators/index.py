@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,6 +64,15 @@ class Cells:
         d = (self.centres**2).sum(axis=1) - 2 * x @ self.centres.T
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
+    def distance(self, vector, cell):
+        """Column of the distance of a vector to the centre of a cell."""
+
+        def run(vectors: pa.Array, cell: pa.Array) -> pa.Array:
+            x = np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1)
+            return pa.array(np.sqrt(((x - self.centres[cell.to_numpy(zero_copy_only=False)]) ** 2).sum(axis=1)))
+
+        return F.arrow_udf(run, "double")(vector, cell)
+
     def assign(self, rows: DataFrame, n: int = 1, name: str = "cell") -> DataFrame:
         """Rows with their cell, or, for n over 1, once for each of their nearest cells."""
         shared = rows.sparkSession.sparkContext.broadcast(self)
@@ -74,10 +84,24 @@ class Cells:
         return rows.where(F.col("embedding").isNotNull()).withColumn(name, F.explode(cells(F.col("embedding"))))
 
 
-def near_join(indexed: DataFrame, cells: Cells, queries: DataFrame, limit: int, probe: int = 8) -> DataFrame:
-    """query_id, id, distance, rank of the ``limit`` nearest rows among each query's ``probe`` nearest cells."""
+def near_join(indexed: DataFrame, cells: Cells, queries: DataFrame, limit: int, probe: int = 8, exact: bool = False) -> DataFrame:
+    """query_id, id, distance, rank of the ``limit`` nearest rows among each query's ``probe`` nearest cells.
+
+    ``exact`` goes on to every cell that may hold a nearer row: whose centre is no farther from the query than the ``limit``-th distance so far and the farthest of its rows together.
+    """
     asked = cells.assign(queries.select("query_id", "embedding"), probe).withColumnRenamed("embedding", "asked")
     pairs = indexed.select("id", "embedding", "cell").join(asked, "cell")
     pairs = pairs.select("query_id", "id", vectors.l2_distance(F.col("embedding"), F.col("asked")).alias("distance"))
     order = W.partitionBy("query_id").orderBy("distance", "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    if not exact:
+        return best
+    radius = indexed.select("cell", cells.distance(F.col("embedding"), F.col("cell")).alias("far")).groupBy("cell").agg(F.max("far").alias("radius"))
+    every = cells.assign(queries.select("query_id", "embedding"), len(cells.centres))
+    left = every.join(asked.select("query_id", "cell"), ["query_id", "cell"], "left_anti").join(F.broadcast(radius), "cell")  # a row a cell
+    reach = best.where(F.col("rank") == limit).select("query_id", F.col("distance").alias("reach"))
+    left = left.join(reach, "query_id", "left").withColumn("gap", cells.distance(F.col("embedding"), F.col("cell")) - F.col("radius") * (1 + 1e-9) - 1e-9)
+    left = left.where(F.col("reach").isNull() | (F.col("gap") <= F.col("reach"))).select("query_id", "cell", F.col("embedding").alias("asked"))
+    more = indexed.select("id", "embedding", "cell").join(left, "cell")
+    more = more.select("query_id", "id", vectors.l2_distance(F.col("embedding"), F.col("asked")).alias("distance"))
+    return best.drop("rank").unionByName(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

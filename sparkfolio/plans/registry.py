@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import format as cards
 from ..functions import lexical, parse, text, vectors
-from ..operators import batch_search, catalog, chunking, enrich, index, ingest, posting_index, rag, search
+from ..operators import batch_search, catalog, chunking, enrich, index, ingest, posting_index, rag, search, vector_codes
 from ..sources import corpus
 from ..sources.versions import shared_dir
 
@@ -940,9 +940,23 @@ def _(t: Tables) -> DataFrame:
     return best[0].unionByName(best[1]).unionByName(best[2])
 
 
-@query("knn_cells")
+NEIGHBOURS = "SELECT * FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS distance, (row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), e.vec_id))::INT AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE rank <= 5"
+
+
+@query("knn_cells", NEIGHBOURS)
 def _(t: Tables) -> DataFrame:
     rows = t.embeddings.withColumnRenamed("vec_id", "id")
     cells = index.Cells.fit(rows, 16)
     queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return index.near_join(cells.assign(rows), cells, queries, 5, probe=10)
+    return index.near_join(cells.assign(rows), cells, queries, 5, probe=4, exact=True).select("query_id", "id", six(F.col("distance")).alias("distance"), "rank")
+
+
+@query("knn_codes", NEIGHBOURS)
+def _(t: Tables) -> DataFrame:
+    rows = t.embeddings.withColumnRenamed("vec_id", "id")
+    books = vector_codes.Codebooks.fit(rows)
+    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    at = f"{shared_dir(t.spark)}/codes-{uuid.uuid4().hex}"
+    books.codes(rows).write.partitionBy("cell").parquet(at)
+    found = vector_codes.nearest_by_codes(books, t.spark.read.schema(vector_codes.CODES).parquet(at), rows, queries, 5)
+    return found.select("query_id", "id", six(F.col("distance")).alias("distance"), "rank")
