@@ -53,6 +53,9 @@ class Library:
     def element(self, element_id: int) -> DataFrame:
         return search.element_by_id(self.corpus, element_id)
 
+    def element_by_label(self, document_id: int, label: str, page_number: int | None = None) -> DataFrame:
+        return catalog.element_by_label(self.corpus.elements, self.corpus.pages, document_id, label, page_number)
+
     def page(self, document_id: int, page_number: int) -> DataFrame:
         return catalog.page_lookup(self.corpus.pages, document_id, page_number)
 

@@ -37,8 +37,10 @@ def type_counts(elements: DataFrame, by: str = "document_id") -> DataFrame:
 
 
 def document_details(documents: DataFrame, pages: DataFrame, elements: DataFrame, slug: str) -> DataFrame:
-    one = page_counts(documents.where(F.col("slug") == slug), pages)
-    return one.join(type_counts(elements).withColumnRenamed("document_id", "id"), "id", "left").na.fill(0, [f"{t}s" for t in ELEMENT_TYPES])
+    found = documents.where(F.col("slug") == slug)
+    of = found.select(F.col("id").alias("document_id"))  # so only its own pages and elements are counted
+    one = page_counts(found, pages.join(of, "document_id", "left_semi"))
+    return one.join(type_counts(elements.join(of, "document_id", "left_semi")).withColumnRenamed("document_id", "id"), "id", "left").na.fill(0, [f"{t}s" for t in ELEMENT_TYPES])
 
 
 def verified_counts(documents: DataFrame, pages: DataFrame, elements: DataFrame) -> DataFrame:
@@ -54,7 +56,9 @@ def find_documents(documents: DataFrame, pages: DataFrame, query: str, limit: in
     like = F.lit(False)
     for c in ("title", "slug", "source_file"):
         like = like | F.coalesce(F.col(c).ilike(f"%{query}%"), F.lit(False))
-    return page_counts(documents.where(like), pages).orderBy(F.asc_nulls_last("title"), "slug").limit(limit)
+    found = documents.where(like).orderBy(F.asc_nulls_last("title"), "slug").limit(limit)
+    mine = pages.join(found.select(F.col("id").alias("document_id")), "document_id", "left_semi")  # pages of others aren't counted
+    return page_counts(found, mine).orderBy(F.asc_nulls_last("title"), "slug")
 
 
 def _with_page(elements: DataFrame, pages: DataFrame) -> DataFrame:
@@ -92,8 +96,8 @@ def page_elements(elements: DataFrame, page_id: int) -> DataFrame:
 
 
 def page_lookup(pages: DataFrame, document_id: int, page_number: int) -> DataFrame:
-    """The page itself is looked up, so gaps in a document do no harm."""
-    return pages.where((F.col("document_id") == document_id) & (F.col("page_number") == page_number)).limit(1)
+    """The page itself is looked up, so gaps in a document do no harm; of rows that repeat it the one with the lowest id."""
+    return pages.where((F.col("document_id") == document_id) & (F.col("page_number") == page_number)).orderBy("id").limit(1)
 
 
 def page_metadata(pages: DataFrame, elements: DataFrame, document_id: int, page_number: int) -> DataFrame:
@@ -101,7 +105,8 @@ def page_metadata(pages: DataFrame, elements: DataFrame, document_id: int, page_
     one = page_lookup(pages, document_id, page_number)
     text = F.when(F.length("search_text") > 500, F.concat(F.left("search_text", F.lit(500)), F.lit("..."))).otherwise(F.nullif(F.col("search_text"), F.lit("")))
     item = F.struct(F.coalesce("element_type", F.lit("unknown")).alias("type"), "label", F.nullif(F.col("description"), F.lit("")).alias("description"), text.alias("text"), "id")
-    listed = elements.groupBy(F.col("page_id").alias("id")).agg(F.sort_array(F.collect_list(item)).alias("elements"))
+    mine = elements.join(F.broadcast(one.select(F.col("id").alias("page_id"))), "page_id", "left_semi")  # one row
+    listed = mine.groupBy(F.col("page_id").alias("id")).agg(F.sort_array(F.collect_list(item)).alias("elements"))
     return one.join(listed, "id", "left").withColumn("element_count", F.coalesce(F.size("elements"), F.lit(0)))
 
 

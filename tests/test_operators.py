@@ -100,6 +100,15 @@ def test_lookups(library):
         library.elements(element_type="photo")
 
 
+def test_lookups_of_repeated_rows_and_by_label(spark, library):
+    assert library.element_by_label(1, "Tab 1").first()["id"] == 6 and library.element_by_label(1, "Tab 1", 9).count() == 0
+    pages = spark.createDataFrame([(9, 1, 1), (4, 1, 1), (7, 1, 2)], "id int, document_id int, page_number int")
+    assert catalog.page_lookup(pages, 1, 1).first()["id"] == 4
+    found = library.page_metadata(1, 2).first()
+    assert (found["id"], found["element_count"], [e["label"] for e in found["elements"]]) == (11, 2, ["Fig 1", "Tab 1"])
+    assert library.page_metadata(1, 1).first()["element_count"] == 0 and library.page_metadata(1, 7).count() == 0
+
+
 def test_vectors(spark):
     row = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0, 9.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
     got = row.select(vectors.l2_normalize(F.col("a")).alias("n"), vectors.l2_normalize(F.col("z")).alias("z"), vectors.cosine_similarity(F.col("a"), F.col("z")).alias("c"), vectors.l2_distance(F.col("a"), F.col("z")).alias("d")).first()
