@@ -46,8 +46,13 @@ LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 PACKED, STEP, OUTPUT = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]"), 1024, 1 << 16
 SEPARATOR, BASE64_PART = re.compile(r"[/_-]"), re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
 #: A compressed layer is held as a whole up to so many bytes for each character of the text, or LAYER_LEAST if that is more. The rest of a larger one is
-#: scanned in windows, which have SHARED bytes in common; its spans are all of the compressed run, so it ends once it has given every kind.
+#: scanned as a stream (``Windows``); its spans are all of the compressed run, so it ends once it has given every kind.
 LAYER_TIMES, LAYER_LEAST, WINDOW, SHARED = 64, 16 << 20, 1 << 22, 1 << 16
+#: What ends a run in a stream, and what decodes one. An escape has ESCAPE_MOST bytes at most, a line break with its indentation GAP_MOST.
+BLANKS, LINK = re.compile(rb"\s+"), re.compile(rb"(?<=[A-Za-z0-9+/_-])\r?\n[ \t]*(?=[A-Za-z0-9+/_-])")
+NOT_BASE64, STANDARD = re.compile(rb"[^A-Za-z0-9+/_\-\r\n\t ]+"), bytes.maketrans(b"-_", b"+/")
+PERCENT_BYTES, ESCAPE_BYTES = re.compile(rb"%([0-9A-Fa-f]{2})"), re.compile(rb"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|u\{([0-9A-Fa-f]{1,6})\})")
+ESCAPE_MOST, GAP_MOST = 10, 1024
 SPACES = re.compile(rb" {2,}")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -153,20 +158,248 @@ def unpacked(raw: bytes, most: int) -> tuple[bytes | None, Iterator[bytes]]:
     return b"".join(out), chunks
 
 
+class Inflating:
+    """Passes on what gzip or zlib data hold as they come, all members, up to the first error."""
+
+    def __init__(self, to: Layer) -> None:
+        self.to, self.unpack, self.rest, self.alive = to, zlib.decompressobj(47), b"", True
+
+    def feed(self, raw: bytes) -> None:
+        for at in range(0, len(raw), STEP):
+            piece, self.rest = self.rest + raw[at : at + STEP], b""
+            while piece and self.alive:
+                if self.unpack.eof:  # another member
+                    if len(piece) < 3:
+                        self.rest = piece
+                        break
+                    if not _compressed(piece):
+                        self.alive = False
+                        break
+                    self.unpack = zlib.decompressobj(47)
+                try:
+                    got = self.unpack.decompress(piece, OUTPUT)
+                except zlib.error:
+                    self.alive = False
+                    break
+                self.to.feed(got)
+                piece = self.unpack.unused_data if self.unpack.eof else self.unpack.unconsumed_tail
+
+    def close(self) -> None:
+        self.to.close()
+
+
+class Layer:
+    """Unpacked bytes: themselves compressed, or text."""
+
+    def __init__(self, found: set[int]) -> None:
+        self.found, self.head, self.to = found, b"", None
+
+    def feed(self, raw: bytes) -> None:
+        if self.to is None:
+            self.head += raw
+            if len(self.head) < STEP:
+                return
+            self._start()
+        else:
+            self.to.feed(raw)
+
+    def _start(self) -> None:
+        self.to = Inflating(Layer(self.found)) if _opens(self.head) else Windows(self.found)
+        self.to.feed(self.head)
+
+    def close(self) -> None:
+        if self.to is None:
+            self._start()
+        self.to.close()
+
+
+class Decoded:
+    """Bytes of a decoded run: text, and data compressed from any place on."""
+
+    def __init__(self, found: set[int]) -> None:
+        self.found, self.text, self.packed, self.tail, self.begun = found, Windows(found), [], b"", False
+
+    def feed(self, raw: bytes) -> None:
+        for p in self.packed:
+            p.feed(raw)
+        view = self.tail + raw
+        if len(view) < 3:
+            self.tail = view
+        else:
+            starts = [m.start() for m in PACKED.finditer(view) if m.end() > len(self.tail) or not self.begun]
+            if not self.begun and 0 not in starts and _compressed(view):
+                starts.append(0)
+            for at in starts:
+                self.packed.append(Inflating(Layer(self.found)))
+                self.packed[-1].feed(view[at:])
+            self.begun, self.tail = True, view[-2:]
+        ended = [p for p in self.packed if not p.alive]
+        self.packed = [p for p in self.packed if p.alive]
+        for p in [*ended]:
+            p.close()
+        self.text.feed(raw)
+
+    def close(self) -> None:
+        for p in self.packed:
+            p.close()
+        self.text.close()
+
+
+class Base64Stream:
+    """Base64 of a long run, over line breaks, at each of the four offsets. Windows have parts of up to SHARED characters whole, so only longer ones are decoded."""
+
+    def __init__(self, found: set[int]) -> None:
+        self.found, self.held, self.to = found, bytearray(), None
+
+    def feed(self, piece: bytes) -> None:
+        at = 0
+        for m in NOT_BASE64.finditer(piece):
+            self._take(piece[at : m.start()])
+            self.close()
+            at = m.end()
+        self._take(piece[at:])
+
+    def _take(self, part: bytes) -> None:
+        part = part.translate(STANDARD, b"\r\n\t ")
+        if self.to is None:
+            self.held += part
+            if len(self.held) <= SHARED:
+                return
+            part, self.held = bytes(self.held), bytearray()
+            self.to = [[part[off:off], Decoded(self.found)] for off in range(4)]
+            pieces = [part[off:] for off in range(4)]
+        else:
+            pieces = [part] * 4
+        for state, piece in zip(self.to, pieces):
+            whole = state[0] + piece
+            cut = len(whole) // 4 * 4
+            state[0] = whole[cut:]
+            state[1].feed(base64.b64decode(whole[:cut]))
+
+    def close(self) -> None:
+        for rest, to in self.to or ():
+            to.feed(base64.b64decode(rest + b"=" * (-len(rest) % 4)) if len(rest) > 1 else b"")
+            to.close()
+        self.held, self.to = bytearray(), None
+
+
+class EscapeStream:
+    """A long run with its escapes of one kind taken out, from SHARED bytes before the first on."""
+
+    def __init__(self, found: set[int], one: re.Pattern, lead: bytes) -> None:
+        self.found, self.one, self.lead, self.rest, self.to = found, one, lead, b"", None
+
+    def feed(self, piece: bytes, last: bool = False) -> None:
+        whole = self.rest + piece
+        if self.to is None:
+            if not self.one.search(whole):
+                self.rest = whole[-SHARED:]
+                return
+            self.to = Decoded(self.found)
+        cut = whole.rfind(self.lead, max(0, len(whole) - ESCAPE_MOST))  # an escape may go on in the next piece
+        cut = len(whole) if last or cut < 0 else cut
+        self.rest = whole[cut:]
+        self.to.feed(self.one.sub(_escaped, whole[:cut]))
+
+    def close(self) -> None:
+        self.feed(b"", True)
+        if self.to is not None:
+            self.to.close()
+
+
+def _escaped(m: re.Match) -> bytes:
+    code = int(next(filter(None, m.groups())), 16)
+    return bytes([code]) if code < 256 else chr(code).encode(errors="replace") if code < 0x110000 else b"?"
+
+
+def _gaps(held: bytes, first: int, last: int) -> Iterator[re.Match]:
+    """Blanks that begin in a range and end a run: all but single line breaks between base64 characters."""
+    for m in BLANKS.finditer(held, max(0, first - GAP_MOST)):
+        if m.start() >= last:
+            return
+        link = LINK.match(held, m.start())
+        if m.start() >= first and not (link and link.end() == m.end()):
+            yield m
+
+
+def _run_start(held: bytes, at: int) -> int:
+    """Where the run that goes on at a place begins."""
+    while at > 0:
+        low = max(0, at - SHARED)
+        ends = [m.end() for m in _gaps(held, low, at)]
+        if ends:
+            return ends[-1]
+        at = low
+    return 0
+
+
+class Windows:
+    """Kinds of secrets in bytes of any number, window by window.
+
+    Windows have SHARED bytes in common. A run without blanks that a window cuts is carried over; one of over half a window is decoded as it comes, so memory is bounded and no run is seen in parts only.
+    """
+
+    def __init__(self, found: set[int]) -> None:
+        self.found, self.held, self.run, self.given = found, bytearray(), [], 0
+
+    def feed(self, chunk: bytes) -> None:
+        self.held += chunk
+        if len(self.held) >= WINDOW and len(self.found) < len(KINDS):
+            self._squeeze()
+            if len(self.held) >= WINDOW:
+                self._look()
+        elif len(self.held) >= WINDOW:
+            self.held.clear()
+
+    def _squeeze(self) -> None:
+        """Patterns take any number of spaces; a run's bytes that went to its decoders stay as they are."""
+        self.held[self.given :] = SPACES.sub(b" ", self.held[self.given :])
+
+    def _look(self, last: bool = False) -> None:
+        held = bytes(self.held)
+        self.found |= {k for _, k, _ in deep_scan(held.decode(errors="replace"))[1]}
+        keep = max(0, len(held) - SHARED)
+        if self.run:
+            self._pass_on(held, last)
+        if not self.run and not last:
+            start = min(keep, _run_start(held, keep))
+            if len(held) - start > WINDOW // 2:
+                self.run = [Base64Stream(self.found), EscapeStream(self.found, PERCENT_BYTES, b"%"), EscapeStream(self.found, ESCAPE_BYTES, b"\\")]
+                self.given = start
+                self._pass_on(held, last)
+            else:
+                keep = start
+        self.held = bytearray(held[keep:])
+        self.given = max(0, self.given - keep) if self.run else 0
+
+    def _pass_on(self, held: bytes, last: bool) -> None:
+        begin = self.given
+        end = len(held) if last else max(begin, len(held) - GAP_MOST)  # blanks after it may go on
+        gap = next(_gaps(held, begin, end), None)
+        self.given = gap.start() if gap else end
+        for to in self.run:
+            to.feed(held[begin : self.given])
+        if gap or last:
+            for to in self.run:
+                to.close()
+            self.run = []
+
+    def close(self) -> None:
+        if len(self.found) < len(KINDS):
+            self._squeeze()
+            self._look(True)
+        self.held.clear()
+
+
 def kinds_of(chunks: Iterator[bytes]) -> set[int]:
-    """Kinds of secrets in bytes of any number, window by window: a secret needs far fewer bytes than windows have in common."""
-    found, held = set(), b""
-    for chunk in itertools.chain(chunks, [None]):
-        if chunk is not None:
-            held += chunk
-            if len(held) >= WINDOW:
-                held = SPACES.sub(b" ", held)  # patterns take any number of them
-            if len(held) < WINDOW:
-                continue
-        found |= {k for _, k, _ in deep_scan(held.decode(errors="replace"))[1]}
-        held = held[-SHARED:]
+    """Kinds of secrets in bytes of any number; ends once it has all."""
+    found: set[int] = set()
+    to = Windows(found)
+    for chunk in chunks:
+        to.feed(bytes(chunk))
         if len(found) == len(KINDS):
             break
+    to.close()
     return found
 
 
@@ -179,7 +412,9 @@ def _packed(raw: bytes, first: int, last: int, most: int) -> list:
     out = [(text, np.full(len(text), first), np.full(len(text), last))]
     more = next(rest, None)
     if more is not None:
-        out.append((kinds_of(itertools.chain([SPACES.sub(b" ", inner)[-SHARED:], more], rest)), first, last))
+        held = SPACES.sub(b" ", inner)
+        held = held[min(len(held), _run_start(held, max(0, len(held) - SHARED))) :]
+        out.append((kinds_of(itertools.chain((held[at : at + OUTPUT] for at in range(0, len(held), OUTPUT)), [more], rest)), first, last))
     return out
 
 

@@ -5,6 +5,7 @@ import time
 import zlib
 from urllib.parse import quote
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,3 +141,39 @@ def test_layers_that_are_partly_no_text():
     assert found("/?q=caf%E9&token%3Dabcdefgh1") == ["token%3Dabcdefgh1"]
     for raw in (gzip.compress(b"token=abcdefgh99", mtime=0), zlib.compress(b"token=abcdefgh99")):
         assert found("data=" + quote(raw)) and found('b"' + "".join(f"\\x{c:02x}" for c in raw) + '"')
+
+
+def packed_long(inner: bytes, filler: int = 40_000) -> str:
+    """A compressed run that holds ``inner`` past the part that is held as a whole."""
+    return base64.b64encode(zlib.compress(b"some words " * filler + inner + b" some words" * 20_000, 9)).decode()
+
+
+@pytest.fixture
+def small_windows(monkeypatch):
+    for name, value in {"LAYER_TIMES": 1, "LAYER_LEAST": 1 << 16, "WINDOW": 1 << 15, "SHARED": 1 << 11}.items():
+        monkeypatch.setattr(S, name, value)
+
+
+@pytest.mark.parametrize("size", [1_000, 30_000, 200_000])
+@pytest.mark.parametrize("kind", ["gzip", "twice", "wrapped", "plain", "glued", "percent", "escape", "at the cut"])
+def test_long_runs_in_large_layers_are_found_at_any_length(small_windows, kind, size):
+    noise = np.random.default_rng(5).integers(33, 90, size, np.uint8).tobytes().replace(b"%", b"!").replace(b"=", b"!").replace(b":", b"!")
+    secret = noise + b" token=abcdefgh99 " + noise[: size // 2]
+    coded = base64.b64encode(gzip.compress(secret, 1))
+    inner, filler = {
+        "gzip": (coded, 40_000),
+        "twice": (base64.b64encode(zlib.compress(b"x" * 90_000 + b" " + coded)), 40_000),
+        "wrapped": (b"\r\n".join(coded[i : i + 76] for i in range(0, len(coded), 76)), 40_000),
+        "plain": (base64.b64encode(secret), 40_000),
+        "glued": (b"name." + b"ab/" * 2 + coded, 40_000),
+        "percent": (noise + quote(noise.decode()).encode() + b"token%3Dabcdefgh99", 40_000),
+        "escape": (noise.replace(b"A", b"\\x41") + b"t\\u006fken=abcdefgh99", 40_000),
+        "at the cut": (coded, (1 << 16) // 11),
+    }[kind]
+    assert {k for _, k, _ in S.deep_scan(packed_long(inner, filler))[1]} == {0}
+
+
+def test_runs_in_large_layers_without_secrets_give_none(small_windows):
+    noise = bytes(np.random.default_rng(6).integers(33, 58, 300_000, np.uint8)).replace(b"=", b"!").replace(b":", b"!")
+    for inner in (noise, base64.b64encode(noise), quote(noise.decode()).encode(), b"\0" * 500_000, b"A" * 500_000):
+        assert S.deep_scan(packed_long(inner))[1] == []
