@@ -10,8 +10,13 @@ from ..operators.numbering import running_number
 from . import schemas
 
 
+def file_path() -> Column:
+    """Path of a row's file; Spark's metadata have it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
+    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("path", file_path())
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import chunk_pages
 from ..sources import schemas
+from ..sources.corpus import file_path
 
 
 def page_stream(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
     """Page files of an extraction tree as they come."""
     stream = spark.readStream.schema(schemas.PAGE_JSON).option("multiLine", True).option("maxFilesPerTrigger", files_per_trigger).json(f"{root}/*/pages")
-    path = F.col("_metadata.file_path")
+    path = file_path()
     return stream.withColumns({"slug": F.regexp_extract(path, r"([^/]+)/pages/[^/]+$", 1), "came": F.struct(F.col("_metadata.file_modification_time").alias("time"), path.alias("path"))})
 
 
