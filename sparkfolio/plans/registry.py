@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import format as cards
 from ..functions import lexical, parse, text, vectors
 from ..operators import batch_search, catalog, chunking, enrich, index, ingest, posting_index, rag, search, vector_codes
-from ..sources import corpus
+from ..sources import corpus, tree
 from ..sources.versions import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -960,3 +960,19 @@ def _(t: Tables) -> DataFrame:
     books.codes(rows).write.partitionBy("cell").parquet(at)
     found = vector_codes.nearest_by_codes(books, t.spark.read.schema(vector_codes.CODES).parquet(at), rows, queries, 5)
     return found.select("query_id", "id", six(F.col("distance")).alias("distance"), "rank")
+
+
+@query(
+    "tree_enriched",
+    "SELECT source AS slug, printf('page_%09d.json', doc_id) AS file_name, doc_id::INT AS page_number, text, CASE WHEN length(text) > 300 THEN 'Text of ' || length(text) || ' characters' END AS summary, CASE WHEN length(text) > 300 THEN 2 ELSE 1 END::BIGINT AS changed_by FROM documents WHERE source IS NOT NULL",
+)
+def _(t: Tables) -> DataFrame:
+    """An extraction tree of all texts, written, enriched where pages are long, merged, and read with the write that changed each file last."""
+    root = f"{shared_dir(t.spark)}/tree-{uuid.uuid4().hex}"
+    rows = t.documents.where("source IS NOT NULL").select(F.col("source").alias("slug"), F.format_string("page_%09d.json", "doc_id").alias("file_name"), F.col("doc_id").cast("int").alias("page_number"), "text")
+    tree.write_tree(tree.tree_files(rows), root)
+    long = F.length("text") > 300
+    pages = tree.tree_pages(tree.read_tree(t.spark, root))
+    tree.write_tree(tree.tree_files(pages.withColumn("summary", F.when(long, F.concat(F.lit("Text of "), F.length("text").cast("string"), F.lit(" characters"))))), root)
+    last = tree.tree_changes(t.spark, root).groupBy("slug", "file_name").agg(F.max("commit").alias("changed_by"))
+    return tree.tree_pages(tree.read_tree(t.spark, root)).join(last, ["slug", "file_name"]).select("slug", "file_name", "page_number", "text", "summary", "changed_by")
