@@ -11,6 +11,7 @@ from .functions import text
 from .functions.vectors import score_percent
 from .operators import catalog, rag, search
 from .operators.providers import Embedder, Generator, with_retries
+from .sources.corpus import read_image
 
 
 @dataclass
@@ -20,6 +21,7 @@ class Library:
     corpus: search.Corpus
     embedder: Embedder
     generator: Generator | None = None
+    tree: str | None = None  # root of the extraction tree, whose images pages and elements name
 
     def _embed(self, query: str):
         found = with_retries(lambda: self.embedder([query]))
@@ -62,6 +64,23 @@ class Library:
     def page_metadata(self, document_id: int, page_number: int) -> DataFrame:
         return catalog.page_metadata(self.corpus.pages, self.corpus.elements, document_id, page_number)
 
+    def _image(self, rows: DataFrame, path) -> DataFrame:
+        """The image that the one row of ``rows`` (document_id and the columns of ``path``) names."""
+        if self.tree is None:
+            raise RuntimeError("no extraction tree")
+        spark = self.corpus.documents.sparkSession
+        named = rows.withColumn("image", path).join(self.corpus.documents.select(F.col("id").alias("document_id"), "slug"), "document_id").select("slug", "image").first()
+        return read_image(spark, self.tree, named["slug"] if named else "", named["image"] if named else None)
+
+    def page_image(self, document_id: int, page_number: int) -> DataFrame:
+        """path, mime, width, height, content of a page's image, or no row."""
+        return self._image(catalog.page_lookup(self.corpus.pages, document_id, page_number), F.col("image_path"))
+
+    def element_image(self, element_id: int) -> DataFrame:
+        """path, mime, width, height, content of an element's rendered image, or else its crop, or no row."""
+        rows = self.corpus.elements.where(F.col("id") == element_id).limit(1)
+        return self._image(rows, catalog.best_image(rows, any_type=True))
+
     def sql(self, query: str, **args) -> DataFrame:
         """A query with named parameters over the views documents, pages, chunks and elements."""
         for name in ("documents", "pages", "chunks", "elements"):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import format as cards
 from ..functions import lexical, parse, text, vectors
+from ..functions.images import image_header
 from ..operators import batch_search, catalog, chunking, enrich, index, ingest, posting_index, rag, search, vector_codes
 from ..sources import corpus, tree
 from ..sources.versions import shared_dir
@@ -976,3 +977,28 @@ def _(t: Tables) -> DataFrame:
     tree.write_tree(tree.tree_files(pages.withColumn("summary", F.when(long, F.concat(F.lit("Text of "), F.length("text").cast("string"), F.lit(" characters"))))), root)
     last = tree.tree_changes(t.spark, root).groupBy("slug", "file_name").agg(F.max("commit").alias("changed_by"))
     return tree.tree_pages(tree.read_tree(t.spark, root)).join(last, ["slug", "file_name"]).select("slug", "file_name", "page_number", "text", "summary", "changed_by")
+
+
+@query(
+    "image_sizes",
+    """WITH i AS (SELECT doc_id, ['png', 'gif', 'webp', 'webp', 'webp', 'jpeg', NULL][1 + doc_id % 7] AS format, (1 + coalesce(length(text), 0) % 16000)::INT AS width, (1 + doc_id % 16000)::INT AS height FROM documents)
+    SELECT doc_id, format, CASE WHEN format IS NOT NULL THEN width END AS width, CASE WHEN format IS NOT NULL THEN height END AS height FROM i""",
+)
+def _(t: Tables) -> DataFrame:
+    """Headers of all formats before whole texts, in turn with texts that are no image."""
+    width, height = 1 + F.coalesce(F.length("text"), F.lit(0)) % 16000, 1 + F.col("doc_id") % 16000
+    big = lambda v, n: F.lpad(F.hex(v.cast("long")), 2 * n, "0")
+    little = lambda v, n: F.concat(*[big(F.shiftright(v.cast("long"), 8 * i).bitwiseAND(255), 1) for i in range(n)])
+    webp = lambda kind, *rest: F.concat(F.lit((b"RIFF\0\0\0\0WEBP" + kind + b"\0\0\0\0").hex()), *rest)
+    headers = [
+        F.concat(F.lit((b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR").hex()), big(width, 4), big(height, 4)),
+        F.concat(F.lit(b"GIF89a".hex()), little(width, 2), little(height, 2)),
+        webp(b"VP8 ", F.lit("5001009d012a"), little(width, 2), little(height, 2)),
+        webp(b"VP8L", F.lit("2f"), little(width - 1 + (height - 1) * (1 << 14), 4)),
+        webp(b"VP8X", F.lit("00000000"), little(width - 1, 3), little(height - 1, 3)),
+        F.concat(F.lit("ffd8ffe000040000ffffc2000b08"), big(height, 2), big(width, 2)),
+        F.lit(""),
+    ]
+    chosen = F.element_at(F.array(*headers), (F.col("doc_id") % len(headers) + 1).cast("int"))
+    rows = t.documents.select("doc_id", F.concat(F.unhex(chosen), F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content"))
+    return rows.select("doc_id", image_header(F.col("content")).alias("h")).select("doc_id", "h.*")

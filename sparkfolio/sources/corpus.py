@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.images import image_header
 from ..operators.numbering import running_number
 from . import schemas
 
@@ -80,19 +84,32 @@ def element_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-def png_size(content: Column) -> Column:
-    """width and height from a PNG's header, null for other bytes."""
-    number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")
-    is_png = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A"
-    return F.when(is_png, F.struct(number(17).alias("width"), number(21).alias("height")))
+IMAGES = "path string, mime string, width int, height int, content binary"
+
+
+def _images(files: DataFrame) -> DataFrame:
+    header = image_header(F.col("content"))
+    return files.withColumn("mime", text.mime_of(F.regexp_extract("path", r"([^/]+)$", 1))).where("mime is not null").select("path", "mime", header["width"].alias("width"), header["height"].alias("height"), "content")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path, mime, width, height and base64 of image files; others are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    size = png_size(F.col("content"))
-    return files.select("path", text.mime_of(name).alias("mime"), size["width"].alias("width"), size["height"].alias("height"), F.base64("content").alias("base64")).where("mime is not null")
+    return _images(files).select("path", "mime", "width", "height", F.base64("content").alias("base64"))
+
+
+def read_image(spark: SparkSession, root: str, slug: str, path: str | None) -> DataFrame:
+    """path, mime, width, height and content of one image of a document; no row if there is none, its suffix isn't an image's or its path leaves the folder."""
+    none = spark.createDataFrame([], IMAGES)
+    if not path or spark.createDataFrame([(path,)], "p string").select(text.mime_of(F.col("p"))).first()[0] is None:
+        return none
+    plain = re.sub(r"([\\\[\]{}*?])", r"\\\1", f"{slug}/{path}")  # names may hold what globs are made of
+    try:
+        return _images(spark.read.format("binaryFile").load(f"{root}/{plain}").select("path", "content"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
 
 
 # Views of the plain tables as a corpus
