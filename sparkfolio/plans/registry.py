@@ -119,7 +119,9 @@ def query(name: str, oracle: str | None = None):
 
 
 def six(c: Column) -> Column:
-    return F.round(c, 6)
+    """Rounded as SQL does it: half away from zero in doubles, and what is rounded to zero keeps its sign."""
+    c = c.cast("double")
+    return F.signum(c) * F.round(F.abs(c) * 1e6) / 1e6
 
 
 # Vectors

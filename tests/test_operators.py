@@ -1,5 +1,6 @@
 import json
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +10,7 @@ from sparkfolio import config
 from sparkfolio.api import Library
 from sparkfolio.functions import vectors
 from sparkfolio.operators import catalog, chunking, ingest, numbering, providers, rag, search
+from sparkfolio.plans.registry import six
 from sparkfolio.sources import corpus
 from sparkfolio.streaming import incremental
 
@@ -207,3 +209,11 @@ def test_vectors_of_another_length_have_no_distance(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, [0.0, 1.0])], "id long, embedding array<double>")
     assert [r["id"] for r in search.nearest(rows, [1.0, 0.0], 9).collect()] == [1, 4]
     assert [r["id"] for r in search.most_similar(rows, [0.0, 1.0], 9).collect()] == [4, 1]
+
+
+def test_rounding_is_that_of_sql(spark):
+    values = [-1e-8, 1e-8, -0.0, 0.0000005, -0.0000005, 0.1234565, -2.5000005, 1e300, None, float("nan")]
+    con = duckdb.connect()
+    want = con.execute("SELECT list_transform(?::DOUBLE[], lambda x: round(x, 6))", [values]).fetchone()[0]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", six(F.col("v")).alias("v")).orderBy("i").collect()
+    assert [str(r["v"]) for r in got] == [str(w) for w in want]
