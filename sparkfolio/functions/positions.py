@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 
 #: Fixed values of the rank: weight of plain text, the sum of 1 / j**2 over all j, and what places farther apart than FAR count.
 WEIGHT, ALL_SQUARES, FAR, FAR_VALUE = 0.1, 1.64493406685, 100, 1e-30
+#: Digits in which ranks are compared: a product of the same factors in another order differs in its last bits.
+RANK_DIGITS = 9
 #: Pairs of places that are looked at together.
 PAIRS = 1 << 20
 

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..functions.lexical import best_first
 from ..functions.positions import ranks_of_places
 
 #: Vectors that cell centres are fitted on, chosen by hash; every vector is assigned to a cell.
@@ -39,7 +40,7 @@ def match_postings(table: DataFrame, lexemes: list[str], limit: int) -> DataFram
     found = found.groupBy("id").agg(F.collect_list("positions").alias("places")).where(F.size("places") == len(lexemes))
 
     score = F.arrow_udf(ranks_of_places, "double")
-    return found.select("id", score("places").alias("rank")).orderBy(F.desc("rank"), "id").limit(limit)
+    return found.select("id", score("places").alias("rank")).orderBy(*best_first()).limit(limit)
 
 
 @dataclass

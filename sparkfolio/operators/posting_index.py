@@ -13,7 +13,8 @@ from math import exp, sqrt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.positions import ALL_SQUARES, WEIGHT, ranks_of_places
+from ..functions.lexical import best_first
+from ..functions.positions import ALL_SQUARES, RANK_DIGITS, WEIGHT, ranks_of_places
 from ..sources.versions import Versions
 
 #: Ids of a range (as a power of two), folders that lexemes are dealt to, and ranges that are looked at before the rest is bounded.
@@ -104,7 +105,7 @@ class PostingIndex:
     def search(self, lexemes: list[str], limit: int, first: int = FIRST) -> DataFrame:
         """id and rank of the ``limit`` best rows that have all lexemes, equal ranks by id: what ranking every row gives.
 
-        No lexeme matches no row. The ``first`` ranges with the highest bounds give the rank that any other range must reach.
+        Ranks are compared in ``RANK_DIGITS``. No lexeme matches no row. The ``first`` ranges with the highest bounds give the rank that any other range must reach.
         """
         lexemes = sorted(set(lexemes))
         parts = self.versions.parts()
@@ -122,12 +123,12 @@ class PostingIndex:
         def ranked(of: DataFrame) -> DataFrame:
             rows = self._rows(blocks.join(of, ["at", "range"], "left_semi")).groupBy("at", "id").agg(F.collect_list("places").alias("places"))
             rows = self._alive(rows.where(F.size("places") == len(lexemes)), parts)
-            return rows.select("id", F.arrow_udf(ranks_of_places, "double")("places").alias("rank")).orderBy(F.desc("rank"), "id").limit(limit)
+            return rows.select("id", F.arrow_udf(ranks_of_places, "double")("places").alias("rank")).orderBy(*best_first()).limit(limit)
 
         some = self.spark.createDataFrame([(r["at"], r["range"]) for r in best], "at int, range long")
         found = ranked(F.broadcast(some)).collect()
-        least = found[-1]["rank"] - 1e-9 if len(found) == limit else 0.0  # bounds are rounded
+        least = found[-1]["rank"] - 2 * 10.0**-RANK_DIGITS if len(found) == limit else 0.0  # ranks and bounds are rounded
         rest = ranges.where(F.col("bound") >= least).join(F.broadcast(some), ["at", "range"], "left_anti")
-        out = self.spark.createDataFrame([tuple(r) for r in found], "id long, rank double").unionByName(ranked(rest)).orderBy(F.desc("rank"), "id").limit(limit)
+        out = self.spark.createDataFrame([tuple(r) for r in found], "id long, rank double").unionByName(ranked(rest)).orderBy(*best_first()).limit(limit)
         out._ranges = (ranges, len(best), rest)
         return out

@@ -92,7 +92,7 @@ def lexical_matches(rows: DataFrame, query: str, limit: int, exact: bool = False
     else:
         found = rows.withColumn("rank", lexical.rank_column(F.col("tsv"), lexemes))
     found = found.where(F.col("rank").isNotNull())
-    return found.orderBy(F.desc("rank"), "id").limit(limit).withColumn("score", vectors.distance_of_rank(F.col("rank")))
+    return found.orderBy(*lexical.best_first()).limit(limit).withColumn("score", vectors.distance_of_rank(F.col("rank")))
 
 
 def fuse(branches: list[DataFrame], limit: int, max_distance: float = MAX_DISTANCE, columns: list[str] = RESULT) -> DataFrame:

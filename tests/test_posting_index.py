@@ -1,3 +1,4 @@
+import itertools
 import threading
 
 import numpy as np
@@ -89,3 +90,15 @@ def test_writers_at_the_same_time_lose_no_version(spark, tmp_path):
     assert len(versions.parts(3)) == 3
     with pytest.raises(ValueError):
         versions.parts(99)
+
+
+def test_equal_ranks_stay_in_order_of_id(spark, tmp_path, small):
+    """Three lexemes in all orders: the same factors, multiplied in another order."""
+    pairs = [(i, " ".join(w)) for i, w in enumerate(list(itertools.permutations(["map", "ice", "snow"])) * 30)]
+    rows = rows_of(spark, pairs).repartition(3).cache()
+    index = PostingIndex(spark, str(tmp_path))
+    index.add(rows)
+    ranks = {r["id"]: round(r["rank"], 9) for r in index.search(["ice", "map", "snow"], 180).collect()}
+    best = [i for i in sorted(ranks, key=lambda i: (-ranks[i], i))][:40]
+    assert [r["id"] for r in index.search(["ice", "map", "snow"], 40, first=2).collect()] == best
+    assert [r["id"] for r in search.lexical_matches(rows, "map ice snow", 40).collect()] == best
