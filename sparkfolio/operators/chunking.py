@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..functions.batches import SLICE, slices, small_batches, tidy
 from ..functions.text import clean_text
 from .numbering import running_number
 
 SIZE, OVERLAP = 800, 200
-CHUNKS = "array<struct<chunk_index: int, start_char: int, end_char: int, content: string>>"
+CHUNK = StructType([*(StructField(c, IntegerType()) for c in ("chunk_index", "start_char", "end_char")), StructField("content", StringType())])
 #: What ends a sentence (the right-most of any wins) and a clause (the first kind that occurs wins).
 SENTENCE = (". ", ".\n", "! ", "!\n", "? ", "?\n")
 CLAUSE = (", ", "; ", ": ")
@@ -39,13 +43,15 @@ def check_sizes(size: int, overlap: int) -> None:
         raise ValueError(f"an overlap of {overlap} does not fit chunks of {size}")
 
 
-def chunk_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP, respect_sentences: bool = True) -> list[tuple[int, int, int, str]]:
+def chunks_of(text: str | None, size: int = SIZE, overlap: int = OVERLAP, respect_sentences: bool = True) -> Iterator[tuple[int, int, int, str]]:
     """(index, start, end, content) of each chunk. Offsets are in the stripped text; content is stripped once more, and blank chunks are left out."""
     check_sizes(size, overlap)
     text = (text or "").strip()
     if len(text) <= size:
-        return [(0, 0, len(text), text)] if text else []
-    out, start = [], 0
+        if text:
+            yield 0, 0, len(text), text
+        return
+    index = start = 0
     while True:
         end = start + size
         if end >= len(text):
@@ -53,28 +59,51 @@ def chunk_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP, respe
         elif respect_sentences:
             end = break_point(text, max(start, end - size // 5), end)
         if content := text[start:end].strip():
-            out.append((len(out), start, end, content))
+            yield index, start, end, content
+            index += 1
         if end >= len(text):
-            return out
+            return
         start = end - overlap
 
 
-def chunks_column(text: Column, size: int = SIZE, overlap: int = OVERLAP, respect_sentences: bool = True) -> Column:
-    """Chunks of each text as an array, over Arrow batches."""
-    check_sizes(size, overlap)
-    names = ("chunk_index", "start_char", "end_char", "content")
+def chunk_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP, respect_sentences: bool = True) -> list[tuple[int, int, int, str]]:
+    return list(chunks_of(text, size, overlap, respect_sentences))
+
 
-    @F.pandas_udf(CHUNKS)
-    def chunk(part: pd.Series) -> pd.Series:
-        return part.map(lambda t: [dict(zip(names, c)) for c in chunk_text(t, size, overlap, respect_sentences)])
+def _chunk_batches(text: str, kept: list[str], settings: tuple[int, int, bool], limit: int = SLICE):
+    """Batches of chunks with the ``kept`` columns of their page. Texts come in slices and chunks go out in batches of about ``limit`` characters, so memory grows with neither the batch nor the longest text's chunks."""
 
-    return chunk(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, limit):
+            rows, found, chars = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.int32(), pa.string()))]
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), *columns], [*kept, *CHUNK.names])
+
+            for row, one in enumerate(batch.column(text)):
+                for chunk in chunks_of(one.as_py(), *settings):
+                    rows.append(row)
+                    found.append(chunk)
+                    chars += len(chunk[3])
+                    if chars >= limit:
+                        yield out()
+                        rows, found, chars = [], [], 0
+            if rows:
+                yield out()
+
+    return run
 
 
 def chunk_pages(pages: DataFrame, text: str = "full_text", size: int = SIZE, overlap: int = OVERLAP, clean: bool = True, respect_sentences: bool = True) -> DataFrame:
     """A row for each chunk of each page, with the page's other columns. Indexes count within a page."""
-    source = clean_text(F.col(text)) if clean else F.col(text)
-    return pages.withColumn("chunk", F.explode(chunks_column(source, size, overlap, respect_sentences))).select(*[c for c in pages.columns if c != text], "chunk.*")
+    check_sizes(size, overlap)
+    small_batches(pages.sparkSession)
+    kept = [c for c in pages.columns if c != text]
+    source = pages.select(*kept, (clean_text(F.col(text)) if clean else F.col(text)).alias(text))
+    schema = StructType([pages.schema[c] for c in kept] + CHUNK.fields)
+    return source.mapInArrow(tidy(_chunk_batches(text, kept, (size, overlap, respect_sentences))), schema)
 
 
 def with_global_index(chunks: DataFrame, document: str, page: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -217,3 +218,12 @@ def test_rounding_is_that_of_sql(spark):
     want = con.execute("SELECT list_transform(?::DOUBLE[], lambda x: round(x, 6))", [values]).fetchone()[0]
     got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", six(F.col("v")).alias("v")).orderBy("i").collect()
     assert [str(r["v"]) for r in got] == [str(w) for w in want]
+
+
+def test_chunks_leave_the_worker_in_small_batches():
+    texts = ["word " * 300_000, None, "", "short", "a b. " * 2000]
+    batch = pa.record_batch({"page": pa.array(range(5)), "full_text": pa.array(texts)})
+    out = list(chunking._chunk_batches("full_text", ["page"], (800, 200, True), 1 << 16)(iter([batch])))
+    assert len(out) > 20 and max(b.nbytes for b in out) < 1 << 17
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert rows == [(i, *c) for i, t in enumerate(texts) for c in chunking.chunk_text(t)]
