@@ -51,3 +51,13 @@ def test_cells_go_on_until_exact(spark, sf):
     queries = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
     cells = index.Cells.fit(rows, 16)
     assert plain(index.near_join(cells.assign(rows), cells, queries, 6, probe=1, exact=True)) == plain(search.knn_join(rows, queries, 6))
+
+
+def test_cells_form_no_pairs_of_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(index, "QUERY_BLOCK", 3)
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    queries = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    cells = index.Cells.fit(rows, 16)
+    found = index.near_join(cells.assign(rows), cells, queries, 6, probe=2, exact=True)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert plain(found) == plain(search.knn_join(rows, queries, 6))
