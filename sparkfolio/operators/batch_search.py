@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import lexical, vectors
-from ..functions.positions import Lexemes, Words
+from ..functions.positions import RANK_DIGITS, Lexemes, Words
 
 #: Branches of a query: two wordings by vector, then two by words, each over chunks and elements.
 WORDINGS, KINDS = 2, 2
@@ -52,19 +52,20 @@ class Asked:
 
 
 class Best:
-    """The ``k`` best rows of each branch so far, by key, then id. Rows are numbers into a pool of kept rows."""
+    """The ``k`` best rows of each branch so far, by key, then id, with a value beside the key. Rows are numbers into a pool of kept rows."""
 
     def __init__(self, branches: int, k: int):
         self.key, self.id = np.full((branches, k), np.inf), np.full((branches, k), np.iinfo(np.int64).max)
-        self.row, self.k = np.full((branches, k), -1), k
+        self.row, self.value, self.k = np.full((branches, k), -1), np.zeros((branches, k)), k
 
-    def offer(self, branch: int, key: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    def offer(self, branch: int, key: np.ndarray, ids: np.ndarray, rows: np.ndarray, value: np.ndarray | None = None) -> None:
         some = key <= self.key[branch, -1]
         if not some.any():
             return
-        key, ids, rows = (np.concatenate([old[branch], new[some]]) for old, new in ((self.key, key), (self.id, ids), (self.row, rows)))
+        value = key if value is None else value
+        key, ids, rows, value = (np.concatenate([old[branch], new[some]]) for old, new in ((self.key, key), (self.id, ids), (self.row, rows), (self.value, value)))
         order = np.lexsort((ids, key))[: self.k]
-        self.key[branch], self.id[branch], self.row[branch] = key[order], ids[order], rows[order]
+        self.key[branch], self.id[branch], self.row[branch], self.value[branch] = key[order], ids[order], rows[order], value[order]
 
     def live(self) -> np.ndarray:
         return np.unique(self.row[self.row >= 0])
@@ -118,7 +119,7 @@ def _answers(asked, k: int, exact: bool, kept: list[str], types: dict[str, pa.Da
                         rows, rank = found.match(codes)
                         fits = may(q, rows)
                         rows, rank = (rows, rank) if fits is None else (rows[fits], rank[fits])
-                        worded.offer(i, -rank, ids[rows], first + rows)
+                        worded.offer(i, -np.round(rank, RANK_DIGITS), ids[rows], first + rows, rank)
             mine = pa.table([batch.column(c) for c in kept], kept)
             pool = mine if pool is None else pa.concat_tables([pool, mine])
             live = np.union1d(near.live(), worded.live())
@@ -134,7 +135,8 @@ def _answers(asked, k: int, exact: bool, kept: list[str], types: dict[str, pa.Da
             key = b.key[branch, place]
             rows = pool.take(pa.array(b.row[branch, place])).to_batches()
             if rows:
-                score = np.maximum(0.0, 1 - 2 * -key) if by_words else key
+                value = b.value[branch, place]
+                score = np.maximum(0.0, 1 - 2 * value) if by_words else value
                 columns = {"q": pa.array(query), "branch": pa.array(by_words * WORDINGS + wording, pa.int32()), "key": pa.array(key), "score": pa.array(score)}
                 out.append(pa.RecordBatch.from_arrays([*columns.values(), *[pa.chunked_array([r.column(c) for r in rows]).combine_chunks().cast(types[c]) for c in kept]], [*columns, *kept]))
         yield from out
@@ -165,40 +167,41 @@ def answers(kinds: list[DataFrame], asked: Asked, limit: int, max_distance: floa
     row = F.struct("score", *carried)
     best = found.groupBy("q", F.col("source_type").alias("of"), F.col("id").alias("of_id")).agg(F.min_by(row, F.struct("score", "seen")).alias("r"), F.min("seen").alias("first_seen"))
     best = best.select("q", *[F.col(f"r.{c}") for c in kept], "first_seen").where(F.col("score") <= max_distance)
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("score", "first_seen"))).where(F.col("rank") <= limit)
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.round("score", RANK_DIGITS), "first_seen"))).where(F.col("rank") <= limit)
 
 
 def search_batch(corpus, queries: DataFrame, embed_all: Callable[[list[str]], list], limit: int = 10, include_chunks: bool = True, include_elements: bool = True, max_distance: float | None = None, exact_words: bool = False, block: int | None = None) -> DataFrame:
     """query_id, rank, the columns of a result and first_seen for each row of ``queries`` (query_id, query, and document_slug where a query is limited to a document).
 
-    Each query has the result it has alone. Queries come in blocks of ``block`` (``search.QUERY_BLOCK``): a block is one scan of the chunks and one of the elements. ``embed_all`` gets each
-    wording of a block once and returns a vector or None for each; null queries count as empty, a query limited to an unknown document finds nothing.
+    Each query has the result it has alone; queries of one text (and document) are answered once. Different ones come in blocks of ``block`` (``search.QUERY_BLOCK``): a block is one scan of the
+    chunks and one of the elements. ``embed_all`` gets each wording of a block once and returns a vector or None for each; null queries count as empty, a query limited to an unknown document finds nothing.
     """
     from . import search
 
-    names = ["query_id", "query"] + ["document_slug"] * ("document_slug" in queries.columns)
     spark, parts, some = queries.sparkSession, [], []
-    id_type = queries.schema["query_id"].dataType.simpleString()
+    names = ["query"] + ["document_slug"] * ("document_slug" in queries.columns)
+    asking = queries.select("query_id", *[F.coalesce(c, F.lit("")).alias(f"of_{c}") for c in names])
 
     def ask(rows: list) -> None:
-        texts = [r["query"] or "" for r in rows]
+        texts = [r["of_query"] for r in rows]
         short = [search.keywords(x) for x in texts]
         wordings = list(dict.fromkeys(w for x, y in zip(texts, short) for w in (x, y) if w == x or len(y) > 2))
         vector = dict(zip(wordings, embed_all(wordings)))
-        slugs = {r["document_slug"] for r in rows if "document_slug" in names} - {None, ""}
+        slugs = {r["of_document_slug"] for r in rows if "document_slug" in names} - {""}
         of: dict[str, list[int]] = {s: [] for s in slugs}
         for r in corpus.documents.where(F.col("slug").isin(*slugs)).select("slug", "id").collect() if slugs else []:
             of[r["slug"]].append(r["id"])
         asked = Asked()
         for r, x, y in zip(rows, texts, short):
-            asked.add(x, y, vector.get, exact_words, of.get(r["document_slug"]) if "document_slug" in names else None)
+            asked.add(x, y, vector.get, exact_words, of.get(r["of_document_slug"]) if "document_slug" in names else None)
         kinds = [corpus.chunk_rows()] * include_chunks + [corpus.element_rows()] * include_elements
         best = answers(kinds, asked, limit, search.MAX_DISTANCE if max_distance is None else max_distance, search.KEPT, exact_words)
-        named = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(rows)], f"q int, query_id {id_type}")
+        named = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "q int, " + ", ".join(f"of_{c} string" for c in names))
         best = best.join(F.broadcast(named), "q")
-        parts.append(corpus.placed(best, few=len(rows) * limit <= search.FEW).select("query_id", "rank", *search.RESULT, "first_seen"))
+        parts.append(corpus.placed(best, few=len(rows) * limit <= search.FEW).select(*of_names, "rank", *search.RESULT, "first_seen"))
 
-    for r in queries.select(*names).toLocalIterator():
+    of_names = [f"of_{c}" for c in names]
+    for r in asking.select(*of_names).distinct().toLocalIterator():
         some.append(r)
         if len(some) == (block or search.QUERY_BLOCK):
             ask(some)
@@ -208,4 +211,4 @@ def search_batch(corpus, queries: DataFrame, embed_all: Callable[[list[str]], li
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return asking.join(out, of_names).select("query_id", "rank", *search.RESULT, "first_seen")

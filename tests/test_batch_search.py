@@ -111,3 +111,12 @@ def test_empty_corpus_and_no_queries(spark, corpus):
     assert search.search(nothing, "map", lambda q: EMBED([q])[0]).count() == 0
     asked = spark.createDataFrame([], "query_id long, query string")
     assert batch_search.search_batch(corpus, asked, lambda w: [EMBED([x])[0] for x in w]).count() == 0
+
+
+def test_queries_of_one_text_are_answered_once(spark, corpus):
+    asked = spark.createDataFrame([(i, "map of the glacier" if i % 3 else "ice") for i in range(30)], "query_id long, query string")
+    calls = []
+    out = batch_search.search_batch(corpus, asked, lambda w: calls.append(w) or [EMBED([x])[0] for x in w], 4, max_distance=1.3, block=2).collect()
+    of = lambda i: sorted((r["rank"], r["source_type"], r["id"], r["score"]) for r in out if r["query_id"] == i)
+    assert len(calls) == 1
+    assert of(0) and of(1) and all(of(i) == of(1 if i % 3 else 0) for i in range(30))
