@@ -91,8 +91,11 @@ class Tables:
 
     @property
     def chunks(self) -> DataFrame:
-        """Chunks of the pages; a page's first chunk has the page's vector."""
-        placed = self.texts.join(self.catalog.select(F.col("slug").alias("source"), F.col("id").alias("document_id")), "source")  # texts need no page number, so they are not moved
+        return self.chunks_of(self.texts)
+
+    def chunks_of(self, texts: DataFrame) -> DataFrame:
+        """Chunks of pages; a page's first chunk has the page's vector."""
+        placed = texts.join(self.catalog.select(F.col("slug").alias("source"), F.col("id").alias("document_id")), "source")  # texts need no page number, so they are not moved
         out = chunking.chunk_pages(placed.select(F.col("doc_id").alias("id"), "document_id", F.col("text").alias("full_text")))
         out = out.select((F.col("id") * 100_000 + F.col("chunk_index")).alias("id"), "document_id", F.col("id").alias("page_id"), "content", "chunk_index", "start_char", "end_char")
         first = self.embeddings.select((F.col("vec_id") * 100_000).alias("id"), "embedding")
@@ -491,7 +494,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("chunk_context_range", f"WITH RECURSIVE {chunk_sql('text')} SELECT doc_id * 100000 + chunk_index AS id, chunk_index, md5(content) AS content FROM ch WHERE doc_id = 21 AND chunk_index BETWEEN 0 AND 3 AND EXISTS (SELECT 1 FROM ch WHERE doc_id = 21 AND chunk_index = 1)")
 def _(t: Tables) -> DataFrame:
-    return search.chunk_context(t.chunks, 2_100_001, 2).select("id", "chunk_index", F.md5("content").alias("content"))
+    page = t.documents.where(F.col("doc_id") == 2_100_001 // 100_000)  # a chunk's id names its page; no other is cut
+    return search.chunk_context(t.chunks_of(page), 2_100_001, 2).select("id", "chunk_index", F.md5("content").alias("content"))
 
 
 # Questions and conversations

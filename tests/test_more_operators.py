@@ -11,6 +11,7 @@ from sparkfolio.functions import lexical, text, vectors
 from sparkfolio.operators import enrich, index, ingest, pipeline, search
 from sparkfolio.operators.pipeline import Store, ingest_tree
 from sparkfolio.operators.providers import HashingEmbedder
+from sparkfolio.plans import registry
 from sparkfolio.sources import render as render_module
 
 
@@ -246,3 +247,8 @@ def test_chat(spark):
     assert [r["id"] for r in chat.show("1, 9")] == [7]
     chat.clear()
     assert chat.results == [] and len(chat.window()) == 1
+
+
+def test_a_chunk_in_context_cuts_its_page_alone(spark, sf):
+    plan = registry.QUERIES["chunk_context_range"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EqualTo(doc_id,21)") == plan.count("MapInArrow") > 0
