@@ -4,7 +4,8 @@ Candidates come from two places. Fingerprints (SimHash of the set of shingles) t
 come from shingles: order all shingles alike everywhere, and two sets of similarity ``LEAST`` share one of their first n - ceil(LEAST * n) + 1. Any order is
 right; here shingles that are frequent among those first ones go last, as counts over all documents tell, so that buckets stay small. All pairs
 are verified on their whole sets, after bounds by histograms. First come neighbours in the buckets and linked fingerprints, whose links contract groups of
-copies, then the pairs of a bucket that are not yet connected.
+copies, then the pairs of a bucket that are not yet connected. Texts that share hundreds of first shingles meet in as many buckets; each row knows the last
+few of its keys before the bucket's, and a pair that has one of them in common has met there before.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ OFTEN = 32
 COARSE, FINE = 128, 1024
 #: A bucket beyond this is dealt out: by hash for neighbours, in pairs of blocks for pairs.
 BUCKET = 4096
+#: Keys before a bucket's own that a row of it knows, and rows made with them at a time.
+RECENT, MADE = 8, 1 << 16
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 18
 
@@ -140,17 +143,47 @@ def _neighbours(shared: DataFrame, least: tuple[int, int], limit: int, turn: int
     return pairs.filter(fits).select(*_pair("node", "other.node"))
 
 
+def met_before(recent_a: np.ndarray, many_a: np.ndarray, recent_b: np.ndarray, many_b: np.ndarray) -> np.ndarray:
+    """Whether pairs of rows have one of their ``recent`` keys (row, RECENT) in common, of which the first ``many`` count."""
+    one, two = (np.arange(recent_a.shape[1]) < many[:, None] for many in (many_a, many_b))
+    return ((recent_a[:, :, None] == recent_b[:, None]) & one[:, :, None] & two[:, None]).any(axis=(1, 2))
+
+
+def _recent_rows(some: BitFilter):
+    """A maker of rows (key, node, many, recent): keys of each node that may be in ``some``, with the up to RECENT ones that stand before them in the list."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("keys").value_lengths().to_numpy()
+            keys = batch.column("keys").flatten().to_numpy()
+            go = some.has(keys)
+            owner, keys = np.repeat(np.arange(len(size)), size)[go], keys[go]
+            place = np.arange(len(keys)) - np.searchsorted(owner, owner)
+            for a in range(0, len(keys), MADE):
+                at = np.arange(a, min(a + MADE, len(keys)))
+                recent = keys[np.maximum(at[:, None] - np.arange(1, RECENT + 1), 0)]
+                held = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * (8 * RECENT)), pa.py_buffer(recent)])
+                yield pa.record_batch({"key": pa.array(keys[at]), "node": batch.column("node").take(pa.array(owner[at])), "many": pa.array(np.minimum(place[at], RECENT)), "recent": held})
+
+    return rows
+
+
 def _bucket_pairs(least: tuple[int, int]):
-    """A maker of the pairs (u, v) within each bucket that may be similar by their sizes and coarse histograms and have no root in common. Rows come ordered by key."""
+    """A maker of the pairs (u, v) within each bucket that may be similar by their sizes and coarse histograms, have no root in common and have not met in a
+    bucket before. Rows come ordered by key. Those of one ``side`` meet elsewhere, but for side -1."""
 
-    def solve(n: np.ndarray, node: np.ndarray, root: np.ndarray, coarse: np.ndarray, block: int = 256) -> Iterator[pa.RecordBatch]:
+    def solve(n: np.ndarray, node: np.ndarray, root: np.ndarray, side: np.ndarray, many: np.ndarray, recent: np.ndarray, coarse: np.ndarray, block: int = 256) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(n), block):
-            one, two = n[a : a + block, None], n[None]
-            fits = (root[a : a + block, None] != root) & (least[1] * np.minimum(one, two) >= least[0] * np.maximum(one, two)) & (node[a : a + block, None] < node)
+            mine = slice(a, a + block)
+            one, two = n[mine, None], n[None]
+            fits = (root[mine, None] != root) & (least[1] * np.minimum(one, two) >= least[0] * np.maximum(one, two)) & (node[mine, None] < node)
+            fits &= (side[mine, None] != side) | (side < 0)
             i, j = np.nonzero(fits)
             i += a
             for at in range(0, len(i), 8192):
                 x, y = i[at : at + 8192], j[at : at + 8192]
+                new = ~met_before(recent[x], many[x], recent[y], many[y])
+                x, y = x[new], y[new]
                 keep = bounded(coarse[x], coarse[y], n[x] + n[y], least)
                 if keep.any():
                     yield pa.record_batch({"u": pa.array(node[x[keep]]), "v": pa.array(node[y[keep]])})
@@ -160,15 +193,15 @@ def _bucket_pairs(least: tuple[int, int]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, n, node, root = (batch.column(c).to_numpy() for c in ("key", "n", "node", "root"))
-            coarse = _matrix(batch.column("coarse"))
+            keys, *columns = (batch.column(c).to_numpy() for c in ("key", "n", "node", "root", "side", "many"))
+            columns += [_matrix(batch.column("recent")).view(np.int64), _matrix(batch.column("coarse"))]
             bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             for a, b in zip(bounds[:-1], bounds[1:]):
                 if keys[a] != key:
                     if parts:
                         yield from solve(*map(np.concatenate, zip(*parts)))
                     key, parts = int(keys[a]), []
-                parts.append((n[a:b], node[a:b], root[a:b], coarse[a:b]))
+                parts.append([c[a:b] for c in columns])
         if parts:
             yield from solve(*map(np.concatenate, zip(*parts)))
 
@@ -176,13 +209,21 @@ def _bucket_pairs(least: tuple[int, int]):
 
 
 def _open_pairs(nodes: DataFrame, shared: DataFrame, roots: DataFrame, least: tuple[int, int], limit: int) -> DataFrame:
-    """Pairs (u, v) of nodes that share a first shingle, may be similar by their sizes and coarse histograms and are not connected yet."""
-    rooted = materialise(shared.select("key", "n", "node").join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root")))
+    """Pairs (u, v) of nodes that share a first shingle, may be similar by their sizes and coarse histograms and are not connected yet.
+
+    Keys have one order in all lists, so two nodes meet first in the bucket of the first open key of both, where no key before is common: that bucket makes the pair.
+    """
+    rooted = shared.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     open_keys = materialise(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "rows"))
+    some = BitFilter(open_keys.select("key"), hashed=True)
+    found = materialise(nodes.select("node", "keys").mapInArrow(tidy(_recent_rows(some)), "key long, node long, many long, recent binary"))
     last = F.ceil(F.col("rows") / limit) - 1
-    dealt = rooted.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), last + 1)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    dealt = dealt.select(F.when(last == 0, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))).alias("key"), "n", "node", "root")
-    dealt = dealt.join(nodes.select("node", "coarse"), "node")
+    dealt = found.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), last + 1)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    key = F.when(last == 0, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with")))
+    side = F.when(F.col("block") == F.col("with"), F.lit(-1).cast("long")).otherwise(F.col("block"))
+    dealt = dealt.select(key.alias("key"), "node", side.alias("side"), "many", "recent")
+    rows = nodes.select("node", "n", "coarse").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    dealt = dealt.join(rows, "node").select("key", "n", "node", "root", "side", "many", "recent", "coarse")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_bucket_pairs(least)), "u long, v long")
 
 

@@ -3,6 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from sparkfolio.llm import near_copies as steps
 from sparkfolio.llm.near_copies import drop_near_copies, near_copies
 
 
@@ -72,3 +73,18 @@ def test_large_buckets_are_dealt_out_with_the_same_groups(make):
     for limit in (4096, 7):
         found = {r["doc_id"]: r["component_id"] for r in near_copies(make(rows).repartition(3), limit=limit).collect()}
         assert found == want
+
+
+@pytest.mark.parametrize("limit", [4096, 5])
+def test_pairs_that_share_hundreds_of_first_shingles_are_made_once(spark, make, limit):
+    rows = []
+    for i in range(12):
+        words = [f"w{n}" for n in range(1500)]
+        words[i * 120 : i * 120 + 120] = [f"own{i}x{n}" for n in range(120)]  # two of them have a similarity of about 0.7
+        rows.append((i, " ".join(words)))
+    docs = make(rows).select("doc_id", "text", steps.text_hash("text").alias("th"))
+    nodes = steps._documents(docs, steps.SHINGLE, steps.LEAST, None)
+    shared = steps._shared_rows(nodes)
+    made = steps._open_pairs(nodes, shared, spark.createDataFrame([], "node long, root long"), steps.LEAST, limit).collect()
+    assert len(set(made)) == 66 and len(made) <= 80
+    assert shared.count() > 2000
