@@ -77,36 +77,64 @@ class BiGru:
 
     def states(self, x: np.ndarray, k: int, begin: np.ndarray | None = None, trace: list | None = None) -> np.ndarray:
         """Hidden states (place, hidden, window) of direction k over symbols x (place, window). ``begin``: how many places of each window the backward direction reads."""
+        if trace is None:
+            return self._states(x, k, begin)
         hidden, n = self.recur[k].shape[1], x.shape[1]
         h = np.zeros((hidden, n), self.out.dtype)
         out = np.empty((len(x), hidden, n), self.out.dtype)
         bias = self.bias[k][:, None]
-        least = len(x) if begin is None else int(begin.min())
-        room = np.empty((3 * hidden, n), self.out.dtype)
         for t in range(len(x)) if k == 0 else reversed(range(len(x))):
-            given = np.take(self.table[k], x[t], axis=1, out=room if trace is None else np.empty_like(room), mode="clip")  # symbols are in the table; numpy is slower where it checks
+            given = np.take(self.table[k], x[t], axis=1, mode="clip")  # symbols are in the table; numpy is slower where it checks
             back = self.recur[k] @ h
-            gates = given[: 2 * hidden]
-            gates += back[: 2 * hidden]
-            gates *= 0.5
-            np.tanh(gates, out=gates)
-            gates += 1
-            gates *= 0.5
+            gates = _sigmoid(given[: 2 * hidden] + back[: 2 * hidden])
             z, r = gates[:hidden], gates[hidden:]
-            inner = back[2 * hidden :]
-            inner += bias
+            inner = back[2 * hidden :] + bias
             c = np.tanh(given[2 * hidden :] + r * inner)
             new = out[t]
             np.subtract(h, c, out=new)
             new *= z
             new += c
-            if t >= least:
-                new *= t < begin
-            if trace is not None:
-                trace.append((t, h, z, r, inner, c))
+            trace.append((t, h, z, r, inner, c))
             h = new
         return out
 
+    def _states(self, x: np.ndarray, k: int, begin: np.ndarray | None) -> np.ndarray:
+        """``states`` without a trace, laid out as (gate, window, unit), so that a symbol's weights are looked up as rows. With t = tanh(a / 2) a gate is
+        (1 + t) / 2; the halves are in the weights. One more unit is always 1 and carries the bias: its update gate is 1, its candidate 0."""
+        hidden, n, dtype = self.recur[k].shape[1], x.shape[1], self.out.dtype
+        table, recur = np.zeros((3, self.table[k].shape[1], hidden + 1), dtype), np.zeros((3, hidden + 1, hidden + 1), dtype)
+        table[..., :hidden] = self.table[k].reshape(3, hidden, -1).transpose(0, 2, 1)
+        table[:2] *= 0.5
+        table[0, :, hidden] = 100
+        recur[:, :hidden, :hidden] = self.recur[k].reshape(3, hidden, hidden).transpose(0, 2, 1)
+        recur[2, hidden, :hidden] = self.bias[k]
+        recur *= 0.5
+        out = np.empty((len(x), n, hidden + 1), dtype)
+        h = np.zeros((n, hidden + 1), dtype)
+        h[:, hidden] = 1
+        least = len(x) if begin is None else int(begin.min())
+        given, back = np.empty((2, 3, n, hidden + 1), dtype)
+        (z, r, inner), gates, c = back, back[:2], given[2]
+        for t in range(len(x)) if k == 0 else reversed(range(len(x))):
+            np.take(table, x[t], axis=1, out=given, mode="clip")  # symbols are in the table; numpy is slower where it checks
+            np.matmul(h, recur, out=back)
+            gates += given[:2]
+            np.tanh(gates, out=gates)
+            c += inner
+            r *= inner
+            c += r
+            np.tanh(c, out=c)
+            new = out[t]
+            np.subtract(h, c, out=new)
+            new *= 0.5
+            z *= new
+            new += c
+            new += z
+            if t >= least:
+                new[:, :hidden] *= (t < begin)[:, None]
+            h = new
+        return out[..., :hidden].transpose(0, 2, 1)
+
     def logits(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
         """(place, language, window)"""
         hidden = forward.shape[1]
