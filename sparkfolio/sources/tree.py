@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from ..functions.batches import SLICE, give_back, slices, small_batches
 from . import schemas
 
 NAME, SCHEMA = "extraction_tree", "slug string, file_name string, content string"
 DOCUMENT, PAGE = "document.json", re.compile(r"page_[^/]*\.json")
 COMMITS, STAGING = "_commits", "_staging"
 #: Files that a task reads, bytes of a batch it gives, and moves that a commit makes at a time.
-FILES, BATCH_BYTES, MOVES = 1000, 8 << 20, 16
+FILES, BATCH_BYTES, MOVES = 1000, SLICE, 16
 
 File = tuple[str, str]  # slug, file name
 
@@ -179,7 +180,7 @@ class TreeWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         tree, task = Tree(self.root), TaskContext.get()
         out = Written(f"{tree.base}/{self.staging}/{task.partitionId()}-{task.taskAttemptId()}", [], [])
-        for batch in iterator:
+        for batch in slices(iterator, "content"):  # else all texts of a batch are Python's at once
             for slug, name, content in zip(*(batch.column(c).to_pylist() for c in ("slug", "file_name", "content"))):
                 if not slug or "/" in slug or slug[0] in "_." or content is None or not (name == DOCUMENT or PAGE.fullmatch(name or "")):
                     raise ValueError(f"no file of an extraction tree: slug {slug!r}, file {name!r}")
@@ -191,6 +192,7 @@ class TreeWriter(DataSourceArrowWriter):
                 else:
                     tree.write(tree.path(file, out.folder), content.encode())
                     out.changed.append(file)
+        give_back()
         return out
 
     @staticmethod
@@ -265,6 +267,7 @@ class ExtractionTree(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Makes ``format("extraction_tree")`` known to a session."""
+    small_batches(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ExtractionTree)
 

@@ -1,5 +1,8 @@
 import json
+import tracemalloc
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +122,20 @@ def test_stream_gives_what_changed_over_restarts(spark, tmp_path):
     assert follow() == follow()
     latest = {(s, n) for s, n, _ in follow()}
     assert latest == {(r["slug"], r["file_name"]) for r in tree.read_tree(spark, root).collect()}
+
+
+def test_a_task_holds_a_slice_of_its_texts(tmp_path, monkeypatch):
+    rows = pa.record_batch({"slug": ["s"] * 64, "file_name": [f"page_{i}.json" for i in range(64)], "content": [f"{i} " + "x" * (1 << 18) for i in range(64)]})
+    monkeypatch.setattr(tree, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0)))
+    tracemalloc.start()
+    done = tree.TreeWriter(str(tmp_path), True).write(iter([rows]))
+    wrote = tracemalloc.get_traced_memory()[1]
+    files = list(done.changed)
+    assert len(files) == 64
+    tree.TreeWriter(str(tmp_path), True).commit([done])
+    tracemalloc.reset_peak()
+    found = [(b.nbytes, b.num_rows) for b in tree._contents(str(tmp_path), files)]
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for _, n in found) == 64 and sum(size for size, _ in found) > 16 << 20
+    assert wrote < 6 << 20 and read < 6 << 20
