@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, small_batches, tidy, utf8
+from .common import give_back, materialise, slices, small_batches, tidy, utf8
 
 UNDETERMINED = "und"
 #: The sample: documents of each language, in the order of a hash of their ids, and documents over all languages (beyond eight languages, each has fewer),
@@ -327,12 +327,15 @@ def language_column(docs: DataFrame, text_col: str = "text", **names) -> Column:
 
     @F.arrow_udf("lang string, score double")
     def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for part in parts:
-            batch = pa.record_batch({"text": part})
-            found: tuple[list, list] = ([], [])
-            for piece in slices([batch], "text", SLICE):
-                for all_, some in zip(found, shared.value.predict(*utf8(piece.column("text")))):
-                    all_ += some
-            yield pa.StructArray.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], ["lang", "score"])
+        try:
+            for part in parts:
+                batch = pa.record_batch({"text": part})
+                found: tuple[list, list] = ([], [])
+                for piece in slices([batch], "text", SLICE):
+                    for all_, some in zip(found, shared.value.predict(*utf8(piece.column("text")))):
+                        all_ += some
+                yield pa.StructArray.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], ["lang", "score"])
+        finally:  # workers are used again by later stages
+            give_back()
 
     return predict(F.col(text_col).cast("string"))

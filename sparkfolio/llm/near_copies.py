@@ -251,15 +251,25 @@ def _likely(nodes: DataFrame, pairs: DataFrame, column: str, least: tuple[int, i
     return materialise(both.select("u", "v", "a", "b", (F.col("one") + F.col("two")).alias("n")).mapInArrow(tidy(bound), "u long, v long"))
 
 
+def _set_rows(docs: DataFrame, inside: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes: the sets of the documents that are ``inside`` (node, in_id, in_th). A task has one Python worker, which looks texts up and hashes them."""
+    some = BitFilter(inside.select("in_th"), hashed=True)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            go = pa.array(some.has(batch.column("th").to_numpy()))
+            for part in slices([batch.filter(go)], "text", SLICE):
+                hashes, count = _sets(part, shingle)
+                cut, whole = np.append(0, np.cumsum(count) * 8).tolist(), hashes.tobytes()
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "th": part.column("th"), "hashes": pa.array([whole[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+
+    found = docs.select("doc_id", "text", "th").mapInArrow(tidy(rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, hashes binary")
+    return found.join(inside, F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.col("th") == F.col("in_th"))).select("node", "hashes")
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, least: tuple[int, int], bound: bool = False) -> DataFrame:
     """The pairs (u, v) (of which ``bound`` says that they have passed the coarse histograms) whose whole sets have the least similarity. Only texts of documents in pairs that pass both bounds are hashed again and moved."""
 
-    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
-            hashes, count = _sets(batch, shingle)
-            cut, whole = np.append(0, np.cumsum(count) * 8).tolist(), hashes.tobytes()
-            yield pa.record_batch({"node": batch.column("node"), "hashes": pa.array([whole[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -273,9 +283,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     likely = _likely(nodes, pairs if bound else _likely(nodes, pairs, "coarse", least), "fine", least)
     inside = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     inside = materialise(nodes.select("node", F.col("doc_id").alias("in_id"), F.col("th").alias("in_th")).join(inside, "node"))
-    some = docs.filter(BitFilter(inside.select("in_th")).column(F.col("th")))
-    some = some.join(inside, F.col("doc_id").eqNullSafe(F.col("in_id")) & (F.col("th") == F.col("in_th"))).select("node", "text")
-    sets = materialise(some.mapInArrow(tidy(set_rows), "node long, hashes binary").dropDuplicates(["node"]))
+    sets = materialise(_set_rows(docs, inside, shingle).dropDuplicates(["node"]))
     first = likely.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
     both = first.join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v").select("u", "v", "a", "b")
     out = materialise(both.mapInArrow(tidy(check), "u long, v long"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -88,3 +89,14 @@ def test_pairs_that_share_hundreds_of_first_shingles_are_made_once(spark, make,
     made = steps._open_pairs(nodes, shared, spark.createDataFrame([], "node long, root long"), steps.LEAST, limit).collect()
     assert len(set(made)) == 66 and len(made) <= 80
     assert shared.count() > 2000
+
+
+def test_texts_are_looked_up_and_hashed_by_one_python_worker_of_a_task(spark, make):
+    rows = [(i, None if i == 3 else f"a b c d e f g h {i % 7}") for i in range(40)] + [(None, "no id at all here"), (5, "again " * 9)]
+    docs = make(rows).select("doc_id", "text", steps.text_hash("text").alias("th"))
+    wanted = docs.where("doc_id % 3 = 0 or doc_id is null or doc_id = 5").selectExpr("monotonically_increasing_id() as node", "doc_id as in_id", "th as in_th")
+    sets = steps._set_rows(docs, wanted.localCheckpoint(), steps.SHINGLE)
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert sets.count() == 17 and {len(r["hashes"]) // 8 for r in sets.collect()} == {1, 5}
+    assert all(list(np.frombuffer(r["hashes"], np.uint64)) == sorted(np.frombuffer(r["hashes"], np.uint64)) for r in sets.collect())
