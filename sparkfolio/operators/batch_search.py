@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import lexical, vectors
+from ..functions.batches import SLICE, slices, tidy
 from ..functions.positions import RANK_DIGITS, Lexemes, Words
 
 #: Branches of a query: two wordings by vector, then two by words, each over chunks and elements.
@@ -99,13 +100,19 @@ def _offer_nearest(best: Best, asked: Asked, batch: pa.RecordBatch, ids: np.ndar
                 best.offer(i, d, ids[rows[at[some]]], first + rows[at[some]])
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose texts have yet to become position vectors come in slices."""
+    for batch in batches:
+        yield from [batch] if pa.types.is_list(batch.column("worded").type) else slices([batch], "worded", SLICE)
+
+
 def _answers(asked, k: int, exact: bool, kept: list[str], types: dict[str, pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: Asked = asked.value
         near, worded = Best(len(a.by_vector), k), Best(len(a.by_words), k)
         names = list(a.lexemes)
         pool = None
-        for batch in batches:
+        for batch in _small(batches):
             if not batch.num_rows:
                 continue
             ids, documents = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "document_id"))
@@ -113,7 +120,8 @@ def _answers(asked, k: int, exact: bool, kept: list[str], types: dict[str, pa.Da
             first = 0 if pool is None else pool.num_rows
             _offer_nearest(near, a, batch, ids, may, first)
             if a.by_words:
-                found = (Words if exact else Lexemes)(batch.column("worded"), names)
+                worded_by = batch.column("worded")
+                found = Words(worded_by, names) if exact else Lexemes(worded_by if pa.types.is_list(worded_by.type) else lexical.vectors_of(worded_by), names)
                 for i, (q, _, codes) in enumerate(a.by_words):
                     if all(len(found.of[c][0]) for c in codes):
                         rows, rank = found.match(codes)
@@ -147,7 +155,7 @@ def _answers(asked, k: int, exact: bool, kept: list[str], types: dict[str, pa.Da
 def answers(kinds: list[DataFrame], asked: Asked, limit: int, max_distance: float, kept: list[str], exact: bool = False) -> DataFrame:
     """q, rank, ``kept``, score, first_seen: for each query the best rows of its branches, fused.
 
-    ``kinds``: rows of chunks and of elements with id, document_id, embedding, content, ``kept`` and, but for ``exact``, tsv. A row counts by its best score over all
+    ``kinds``: rows of chunks and of elements with id, document_id, embedding, content, ``kept`` and, but for ``exact``, tsv: position vectors, or texts that the same task turns into them. A row counts by its best score over all
     branches, up to ``max_distance``; equal scores stay in the order in which the rows first came up, by branch, then by rank in it.
     """
     spark = kinds[0].sparkSession
@@ -159,7 +167,7 @@ def answers(kinds: list[DataFrame], asked: Asked, limit: int, max_distance: floa
         rows = rows.select(*carried, F.col("embedding"), worded.alias("worded"))
         schema = "q int, branch int, key double, score double, " + ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
         types = {c: to_arrow_type(rows.schema[c].dataType) for c in carried}
-        one = rows.mapInArrow(_answers(shared, limit, exact, carried, types), schema).withColumn("branch", F.col("branch") * KINDS + kind)
+        one = rows.mapInArrow(tidy(_answers(shared, limit, exact, carried, types)), schema).withColumn("branch", F.col("branch") * KINDS + kind)
         found = one if found is None else found.unionByName(one)
     # Branches in order: wordings by vector over each kind, then wordings by words.
     place = F.row_number().over(W.partitionBy("q", "branch").orderBy("key", "id"))

@@ -726,9 +726,9 @@ def _embed_all(t: Tables):
 
 
 def _worded(t: Tables) -> search.Corpus:
-    """The corpus with position vectors."""
+    """The corpus with texts that searches turn into position vectors."""
     c = t.corpus
-    return search.Corpus(c.documents, c.pages, c.chunks.withColumn("tsv", lexical.vector_column(F.col("content"))), c.elements.withColumn("tsv", lexical.vector_column(F.concat_ws(" ", "label", "description", "search_text"))))
+    return search.Corpus(c.documents, c.pages, c.chunks.withColumn("tsv", F.col("content")), c.elements.withColumn("tsv", F.concat_ws(" ", "label", "description", "search_text")))
 
 
 @query("hybrid_batch", _hybrid_stems_sql(ASKED, 10, search.MAX_DISTANCE))

@@ -120,3 +120,15 @@ def test_queries_of_one_text_are_answered_once(spark, corpus):
     of = lambda i: sorted((r["rank"], r["source_type"], r["id"], r["score"]) for r in out if r["query_id"] == i)
     assert len(calls) == 1
     assert of(0) and of(1) and all(of(i) == of(1 if i % 3 else 0) for i in range(30))
+
+
+def test_texts_become_position_vectors_in_the_worker_that_searches_them(corpus):
+    chunks = corpus.chunks.withColumn("tsv", F.when(F.col("id") != 3, F.col("content")))
+    elements = corpus.elements.withColumn("tsv", F.concat_ws(" ", "label", "description", "search_text"))
+    worded = search.Corpus(corpus.documents, corpus.pages, chunks, elements)
+    without = search.Corpus(corpus.documents, corpus.pages, corpus.chunks.where("id <> 3"), corpus.elements)
+    for query in QUERIES[:3]:
+        ask = lambda of: search.search(of, query, lambda q: None, 6, max_distance=1.3)  # noqa: B023, E731
+        found = ask(worded)
+        assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+        assert [tuple(r) for r in found.collect()] == [tuple(r) for r in ask(without).collect()] != []
