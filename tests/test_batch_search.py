@@ -1,14 +1,18 @@
+import gc
+import tracemalloc
 from math import exp, sqrt
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import lexical, positions
-from sparkfolio.operators import batch_search, providers, search
+from sparkfolio.operators import batch_search, chunking, providers, search
 
 EMBED = providers.HashingEmbedder()
 
@@ -132,3 +136,46 @@ def test_texts_become_position_vectors_in_the_worker_that_searches_them(corpus):
         found = ask(worded)
         assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
         assert [tuple(r) for r in found.collect()] == [tuple(r) for r in ask(without).collect()] != []
+
+
+@pytest.mark.parametrize("batches, texts", [(40, 1), (1, 40)])
+def test_memory_of_a_search_does_not_grow_with_its_rows(batches, texts):
+    """Chunker and search of exact words in a row, over five times and more the input, in more batches or in longer ones."""
+    asked, rng, slice_bytes = batch_search.Asked(), np.random.default_rng(0), 1 << 16
+    asked.add("what the thing is", "thing", lambda q: [0.0] * 8, exact=True)
+    kept = [c for c in search.KEPT if c != "score"]
+    text = " ".join(rng.choice(["what", "the", "thing", "is", "map", "river"], 20_000))
+    kinds = {c: pa.string() for c in kept} | {"id": pa.int64(), "document_id": pa.int64(), "page_id": pa.int64(), "chunk_index": pa.int32()}
+
+    def pages(batches, texts):
+        for i in range(batches):
+            yield pa.record_batch({"id": pa.array(range(i * texts, (i + 1) * texts)), "text": pa.array([text] * texts)})
+
+    def rows(batches, texts):
+        for b in chunking._chunk_batches("text", ["id"], (800, 200, True), slice_bytes)(pages(batches, texts)):
+            n = b.num_rows
+            known = {"id": pc.add(pc.multiply(b.column("id"), 100_000), b.column("chunk_index").cast(pa.int64())), "content": b.column("content"), "chunk_index": b.column("chunk_index"), "document_id": pa.array([1] * n), "page_id": b.column("id"), "source_type": pa.array(["chunk"] * n)}
+            vectors = pa.array([[float(i % 7)] * 8 for i in range(n)], pa.list_(pa.float32()))
+            yield pa.record_batch({c: known.get(c, pa.nulls(n, kinds[c])) for c in kept} | {"embedding": vectors, "worded": pc.split_pattern(b.column("content"), " ")})
+
+    def peak(batches, texts):
+        most, before = 0, pa.default_memory_pool().bytes_allocated()
+
+        def watched():
+            nonlocal most
+            for b in rows(batches, texts):
+                most = max(most, pa.default_memory_pool().bytes_allocated() - before)
+                yield b
+
+        gc.collect()
+        tracemalloc.start()
+        try:
+            found = list(batch_search._answers(SimpleNamespace(value=asked), 5, True, kept, kinds)(watched()))
+            return most, tracemalloc.get_traced_memory()[1], sum(b.num_rows for b in found)
+        finally:
+            tracemalloc.stop()
+
+    small, large = peak(min(batches, 8), min(texts, 8)), peak(batches, texts)
+    own = len(text) * max(texts - 8, 0)  # a longer batch itself is not the worker's to bound
+    assert small[2] == large[2] == 20
+    assert large[0] < small[0] + own + (1 << 19) and large[1] < small[1] + (1 << 19)
