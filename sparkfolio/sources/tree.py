@@ -2,6 +2,7 @@
 
 A row is a file: slug, file_name, content. JSON is built and parsed by Spark's own functions (``tree_files``, ``tree_pages``, ``tree_documents``);
 the source lists, reads and writes files. Names are listed on the driver, as Spark's file sources do; contents are read and written by tasks.
+Of names, the driver holds those of a document at a time, and packed ones; tasks leave sorted lists of what they wrote in the staging folder, which the commit merges and goes through.
 
 A write goes to a staging folder first. ``append`` merges a file into the one that is there, key by key, and leaves files that say the same already untouched;
 ``overwrite`` replaces the documents it writes as wholes and leaves other documents alone. The commit moves pages, then each ``document.json``, then adds a list of the
@@ -11,14 +12,17 @@ A stream follows the lists, so it sees what was written through this source.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 import re
 import uuid
-from collections import Counter
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched, groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
@@ -35,8 +39,11 @@ DOCUMENT, PAGE = "document.json", re.compile(r"page_[^/]*\.json")
 COMMITS, STAGING = "_commits", "_staging"
 #: Files that a task reads, bytes of a batch it gives, and moves that a commit makes at a time.
 FILES, BATCH_BYTES, MOVES = 1000, SLICE, 16
+#: Names that are held at a time, lists that are merged at a time, and bytes that are read of each.
+NAMES, LISTS, LIST_BYTES = 10_000, 64, 1 << 16
 
 File = tuple[str, str]  # slug, file name
+Row = tuple[str, str, str]  # slug, file name, the folder it is staged in or "" where it said the same already
 
 
 class Tree:
@@ -51,6 +58,12 @@ class Tree:
         return f"{base or self.base}/{slug}/{name}" if name == DOCUMENT else f"{base or self.base}/{slug}/pages/{name}"
 
     def _names(self, folder: str, kind: fs.FileType) -> list[str]:
+        if isinstance(self.system, fs.LocalFileSystem):  # its names come one by one
+            try:
+                with os.scandir(folder) as found:
+                    return sorted(f.name for f in found if not f.name.startswith(("_", ".")) and (f.is_dir() if kind == fs.FileType.Directory else f.is_file()))
+            except FileNotFoundError:
+                return []
         found = self.system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
         return sorted(f.base_name for f in found if f.type == kind and not f.base_name.startswith(("_", ".")))
 
@@ -63,6 +76,16 @@ class Tree:
     def files(self, slug: str) -> list[File]:
         return [*((slug, n) for n in self._names(f"{self.base}/{slug}", fs.FileType.File) if n == DOCUMENT), *self.pages(slug)]
 
+    def all_files(self, slugs: list[str]) -> Iterator[File]:
+        """Files of documents in turn; small documents are listed side by side."""
+        rest, side_by_side = iter(slugs), 1
+        with ThreadPoolExecutor(MOVES) as pool:
+            while some := list(islice(rest, side_by_side)):
+                found = list(pool.map(self.files, some))
+                side_by_side = min(MOVES, 2 * side_by_side) if sum(map(len, found)) < NAMES else 1
+                for of_slug in found:
+                    yield from of_slug
+
     def read(self, file: File) -> bytes | None:
         try:
             with self.system.open_input_stream(self.path(file)) as f:
@@ -71,31 +94,70 @@ class Tree:
             return None
 
     def write(self, path: str, content: bytes) -> None:
-        self.system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         with self.system.open_output_stream(path) as f:
             f.write(content)
 
+    def write_lines(self, path: str, rows: Iterable) -> int:
+        """Writes rows as lines of JSON into a folder that is there; returns how many there are."""
+        count = 0
+        with self.system.open_output_stream(path) as f:
+            for some in batched(rows, NAMES):
+                f.write("".join(json.dumps(row) + "\n" for row in some).encode())
+                count += len(some)
+        return count
+
+    def lines(self, path: str) -> Iterator:
+        """What ``write_lines`` wrote. The file is open only while a piece of it is read, so any number can be read in turn."""
+        at, rest = 0, b""
+        while True:
+            with self.system.open_input_file(path) as f:
+                f.seek(at)
+                piece = f.read(LIST_BYTES)
+            at += len(piece)
+            *whole, rest = (rest + piece).split(b"\n")
+            yield from map(json.loads, whole if piece or not rest else [rest])
+            if not piece:
+                return
+
+    def in_order(self, lists: list[str], drafts: str) -> Iterator[list[str]]:
+        """Rows of sorted lists in their order; more than LISTS of them are merged in rounds, into files whose names begin with ``drafts``."""
+        number = 0
+        while len(lists) > LISTS:
+            fewer = []
+            for some in batched(lists, LISTS):
+                fewer.append(f"{drafts}-{number}.json")
+                self.write_lines(fewer[-1], heapq.merge(*map(self.lines, some)))
+                number += 1
+            lists = fewer
+        return heapq.merge(*map(self.lines, lists))
+
     def commits(self) -> list[int]:
         found = self.system.get_file_info(fs.FileSelector(f"{self.base}/{COMMITS}", allow_not_found=True))
         return sorted(int(f.base_name[:-5]) for f in found if re.fullmatch(r"\d+\.json", f.base_name))
 
-    def changed(self, after: int, until: int) -> list[File]:
-        """Files that a range of commits changed, each once."""
-        out = set()
-        for n in self.commits():
-            if after < n <= until:
-                with self.system.open_input_stream(f"{self.base}/{COMMITS}/{n:012d}.json") as f:
-                    out |= {(row["slug"], row["file_name"]) for row in map(json.loads, f.read().splitlines())}
-        return sorted(out)
+    def changed(self, after: int, until: int) -> Iterator[File]:
+        """Files that a range of commits changed, each once and in order, as they stand in the list of each commit."""
+        lists = [self.lines(f"{self.base}/{COMMITS}/{n:012d}.json") for n in self.commits() if after < n <= until]
+        return (file for file, _ in groupby(heapq.merge(*(map(itemgetter("slug", "file_name"), rows) for rows in lists))))
 
 
 @dataclass
 class Files(InputPartition):
-    files: list[File]
+    """Files that a task reads; their names are packed, as the driver has those of all tasks."""
+
+    packed: bytes
+
+    @classmethod
+    def of(cls, files: Iterable[File]) -> Files:
+        return cls(zlib.compress(json.dumps(list(files)).encode()))
+
+    @property
+    def files(self) -> list[File]:
+        return [(slug, name) for slug, name in json.loads(zlib.decompress(self.packed))]
 
 
-def _blocks(files: list[File], size: int) -> list[Files]:
-    return [Files(files[i : i + size]) for i in range(0, len(files), size)]
+def _blocks(files: Iterable[File], size: int) -> list[Files]:
+    return [Files.of(some) for some in batched(files, size)]
 
 
 def _contents(root: str, files: list[File]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +189,7 @@ class TreeReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         tree = Tree(self.root)
         slugs = [s for s in tree.slugs() if self.slugs is None or s in self.slugs]
-        with ThreadPoolExecutor(MOVES) as pool:
-            files = [f for of_slug in pool.map(tree.files, slugs) for f in of_slug]
-        return _blocks(files, self.size) or [Files([])]
+        return _blocks(tree.all_files(slugs), self.size) or [Files.of([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         return _contents(self.root, partition.files)
@@ -148,7 +208,7 @@ class TreeStreamReader(DataSourceStreamReader):
         return {"commit": max(Tree(self.root).commits(), default=0)}
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
-        return _blocks(Tree(self.root).changed(start["commit"], end["commit"]), self.size) or [Files([])]
+        return _blocks(Tree(self.root).changed(start["commit"], end["commit"]), self.size) or [Files.of([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         return _contents(self.root, partition.files)
@@ -168,18 +228,41 @@ def merged(old, new):
 
 @dataclass
 class Written(WriterCommitMessage):
+    """The folder a task staged its files in, and in how many sorted lists there it has named them; the driver gets no names."""
+
+    root: str
     folder: str
-    changed: list[File]
-    same: list[File]
+    lists: int = 0
+
+    def add(self, rows: list[Row]) -> None:
+        Tree(self.root).write_lines(self.path(self.lists), sorted(rows))
+        self.lists += 1
+
+    def path(self, number: int) -> str:
+        return f"{self.folder}/_files-{number}.json"
+
+    @property
+    def changed(self) -> Iterator[File]:
+        return ((slug, name) for n in range(self.lists) for slug, name, folder in Tree(self.root).lines(self.path(n)) if folder)
+
+
+def _each(work: Callable, items: Iterable) -> None:
+    with ThreadPoolExecutor(MOVES) as pool:
+        for some in batched(items, NAMES):  # a pool takes in all it is given at once
+            list(pool.map(lambda few: [work(x) for x in few], batched(some, 100)))
 
 
 class TreeWriter(DataSourceArrowWriter):
     def __init__(self, root: str, replace: bool):
         self.root, self.replace, self.staging = root, replace, f"{STAGING}-{uuid.uuid4().hex}"
+        tree = Tree(root)
+        tree.system.create_dir(f"{tree.base}/{self.staging}", recursive=True)  # by the driver alone, so that a task that outlives an abort fails and doesn't bring it back
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         tree, task = Tree(self.root), TaskContext.get()
-        out = Written(f"{tree.base}/{self.staging}/{task.partitionId()}-{task.taskAttemptId()}", [], [])
+        out = Written(self.root, f"{tree.base}/{self.staging}/{task.partitionId()}-{task.taskAttemptId()}")
+        made, rows = set(), []
+        tree.system.create_dir(out.folder, recursive=False)
         for batch in slices(iterator, "content"):  # else all texts of a batch are Python's at once
             for slug, name, content in zip(*(batch.column(c).to_pylist() for c in ("slug", "file_name", "content"))):
                 if not slug or "/" in slug or slug[0] in "_." or content is None or not (name == DOCUMENT or PAGE.fullmatch(name or "")):
@@ -188,10 +271,21 @@ class TreeWriter(DataSourceArrowWriter):
                 if there is not None and not self.replace:
                     content = self._merge(there, content)
                 if there is not None and there == content.encode():
-                    out.same.append(file)
+                    rows.append((*file, ""))
                 else:
+                    if slug not in made:
+                        for folder in (slug, f"{slug}/pages"):
+                            tree.system.create_dir(f"{out.folder}/{folder}", recursive=False)
+                        if len(made) == NAMES:
+                            made.clear()
+                        made.add(slug)
                     tree.write(tree.path(file, out.folder), content.encode())
-                    out.changed.append(file)
+                    rows.append((*file, out.folder))
+                if len(rows) == NAMES:
+                    out.add(rows)
+                    rows = []
+        if rows:
+            out.add(rows)
         give_back()
         return out
 
@@ -205,32 +299,37 @@ class TreeWriter(DataSourceArrowWriter):
         return there.decode() if new == old else json.dumps(new, ensure_ascii=False)
 
     def commit(self, messages: list[Written | None]) -> None:
-        tree, done = Tree(self.root), [m for m in messages if m is not None]
-        times = Counter(f for m in done for f in (*m.changed, *m.same))
-        twice = [f for f, n in times.items() if n > 1]
-        if twice:
-            self.abort(messages)
-            raise ValueError(f"{len(twice)} files come more than once, {'/'.join(min(twice))} for one")
-        moves = [(m.folder, f) for m in done for f in m.changed]
-        slugs = sorted({f[0] for f in times})
+        tree, staging, twice = Tree(self.root), f"{Tree(self.root).base}/{self.staging}", []
+        files, draft = f"{staging}/files.json", f"{staging}/commit.json"
 
-        def move(one: tuple[str, File]) -> None:
-            tree.system.move(tree.path(one[1], one[0]), tree.path(one[1]))
+        def once(rows: Iterable[list[str]]) -> Iterator[list[str]]:
+            for _, same in groupby(rows, itemgetter(0, 1)):
+                yield (row := next(same))
+                if next(same, None):
+                    twice[:] = [twice[0] + 1, twice[1]] if twice else [1, f"{row[0]}/{row[1]}"]
 
-        with ThreadPoolExecutor(MOVES) as pool:
-            list(pool.map(lambda s: tree.system.create_dir(f"{tree.base}/{s}/pages", recursive=True), slugs))
-            list(pool.map(move, [m for m in moves if m[1][1] != DOCUMENT]))
-            if self.replace:
-                gone = [f for of_slug in pool.map(tree.pages, slugs) for f in of_slug if f not in times]
-                list(pool.map(lambda f: tree.system.delete_file(tree.path(f)), gone))
-            list(pool.map(move, [m for m in moves if m[1][1] == DOCUMENT]))
-        if moves:
-            number = max(tree.commits(), default=0) + 1
-            lines = [json.dumps({"commit": number, "slug": s, "file_name": n}) for s, n in sorted(f for _, f in moves)]
-            draft, place = f"{tree.base}/{self.staging}/commit.json", f"{tree.base}/{COMMITS}/{number:012d}.json"
-            tree.write(draft, "\n".join(lines).encode())
+        tree.write_lines(files, once(tree.in_order([m.path(n) for m in messages if m is not None for n in range(m.lists)], f"{staging}/merged")))
+        if twice:
+            self.abort(messages)
+            raise ValueError(f"{twice[0]} files come more than once, {twice[1]} for one")
+
+        def move(row: list[str]) -> None:
+            tree.system.move(tree.path((row[0], row[1]), row[2]), tree.path((row[0], row[1])))
+
+        def gone() -> Iterator[File]:
+            for slug, rows in groupby(tree.lines(files), itemgetter(0)):
+                written = {name for _, name, _ in rows}
+                yield from (f for f in tree.pages(slug) if f[1] not in written)
+
+        _each(lambda s: tree.system.create_dir(f"{tree.base}/{s}/pages", recursive=True), (s for s, _ in groupby(tree.lines(files), itemgetter(0))))
+        _each(move, (row for row in tree.lines(files) if row[2] and row[1] != DOCUMENT))
+        if self.replace:
+            _each(lambda f: tree.system.delete_file(tree.path(f)), gone())
+        _each(move, (row for row in tree.lines(files) if row[2] and row[1] == DOCUMENT))
+        number = max(tree.commits(), default=0) + 1
+        if tree.write_lines(draft, ({"commit": number, "slug": s, "file_name": n} for s, n, folder in tree.lines(files) if folder)):
             tree.system.create_dir(f"{tree.base}/{COMMITS}", recursive=True)
-            tree.system.move(draft, place)
+            tree.system.move(draft, f"{tree.base}/{COMMITS}/{number:012d}.json")
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -1,4 +1,5 @@
 import json
+import pickle
 import tracemalloc
 from types import SimpleNamespace
 
@@ -139,3 +140,52 @@ def test_a_task_holds_a_slice_of_its_texts(tmp_path, monkeypatch):
     tracemalloc.stop()
     assert sum(n for _, n in found) == 64 and sum(size for size, _ in found) > 16 << 20
     assert wrote < 6 << 20 and read < 6 << 20
+
+
+def task_writes(root, monkeypatch, tasks, replace=False):
+    """A writer, and what each of its tasks tells it, of lists of (slug, file_name, content)."""
+    writer, messages = tree.TreeWriter(root, replace), []
+    for number, files in enumerate(tasks):
+        monkeypatch.setattr(tree, "TaskContext", SimpleNamespace(get=lambda n=number: SimpleNamespace(partitionId=lambda: n, taskAttemptId=lambda: n)))
+        messages.append(writer.write(iter([pa.record_batch(list(map(list, zip(*files))), ["slug", "file_name", "content"])])))
+    return writer, messages
+
+
+def test_the_driver_holds_few_names(tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "NAMES", 500, raising=False)
+    monkeypatch.setattr(tree, "LIST_BYTES", 1 << 12, raising=False)
+    names = [("many" if i % 2 else "more", f"page_{i:09d}.json") for i in range(10_000)]
+    writer, messages = task_writes(str(tmp_path), monkeypatch, [[(*f, "{}") for f in names[n::4]] for n in range(4)])
+    assert sum(len(pickle.dumps(m)) for m in messages) < 4000
+    tracemalloc.start()
+    writer.commit(messages)
+    committed = tracemalloc.get_traced_memory()[1]
+    partitions = tree.TreeReader(str(tmp_path), 1000).partitions()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert [f for p in partitions for f in p.files] == sorted(names) == list(tree.Tree(str(tmp_path)).changed(0, 1))
+    assert committed < 3 << 20 and sum(len(pickle.dumps(p)) for p in partitions) < 10 * len(names) and held < 1 << 20
+    assert not list(tmp_path.glob("_staging*"))
+
+
+def test_lists_are_merged_in_rounds(tmp_path, monkeypatch):
+    for name, value in (("NAMES", 2), ("LISTS", 2), ("LIST_BYTES", 7)):
+        monkeypatch.setattr(tree, name, value)
+    root, page = str(tmp_path), "page_{}.json".format
+    first = [[(s, page(i), f'{{"n": {i}}}') for s in ("b", "ä\n", "a") for i in range(n, 9, 3)] for n in range(3)]
+    writer, messages = task_writes(root, monkeypatch, [*first, [("a", "document.json", "{}")]])
+    writer.commit([*messages, None])
+    written = sorted((s, n) for files in [*first, [("a", "document.json", "")]] for s, n, _ in files)
+    writer, messages = task_writes(root, monkeypatch, [[("a", page(0), '{"n": 0}'), ("a", page(1), '{"n": 7}')], [("c", page(1), "{}")]])  # one says the same
+    writer.commit(messages)
+    at = tree.Tree(root)
+    assert list(at.changed(0, 1)) == written and list(at.changed(1, 2)) == [("a", page(1)), ("c", page(1))] and list(at.changed(0, 2)) == sorted({*written, ("c", page(1))})
+    assert [f for p in tree.TreeReader(root, 4).partitions() for f in p.files] == sorted({*written, ("c", page(1))})
+    again = [[("b", page(n), "{}") for n in (5, 1, 3, 1)], [("b", page(n), "{}") for n in (3, 3, 2)], [("a", page(2), "{}")]]
+    writer, messages = task_writes(root, monkeypatch, again, replace=True)
+    with pytest.raises(ValueError, match="^2 files come more than once, b/page_1.json for one"):
+        writer.commit(messages)
+    assert at.commits() == [1, 2] and at.read(("b", page(1))) == b'{"n": 1}'
+    writer, messages = task_writes(root, monkeypatch, [[("b", page(n), "{}") for n in (8, 2)], [("b", page(9), "{}")]], replace=True)
+    writer.commit(messages)
+    assert at.files("b") == [("b", page(n)) for n in (2, 8, 9)] and len(at.files("a")) == 10 and not list(tmp_path.glob("_staging*"))
